@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from forumlens.llm import exact_dedup, sharding
+from forumlens.llm import exact_dedup, sharding, simhash, token_counts
 from forumlens.session import table
 
 QUERIES = {}
@@ -45,12 +46,12 @@ WITH RECURSIVE crc_table AS (
     FROM jump WHERE j <= 40)
 ), last AS (SELECT rid, arg_max(shard, step) AS shard, arg_max(grown, step) AS grown FROM jump GROUP BY rid)
 SELECT doc_id, size, xor(c, 4294967295::BIGINT)::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard,
-       NULL::BIGINT AS slot, grown::INT AS grown_shard
+       row_number() OVER (PARTITION BY shard ORDER BY ('0x' || m[17:24])::BIGINT % 64, doc_id, xor(c, 4294967295::BIGINT), size) - 1 AS slot, grown::INT AS grown_shard
 FROM sized JOIN last USING (rid)
 """
 
 
-@query("op1_sharding")
+@query("op1_sharding", _OP1)
 def op1_sharding(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = sharding.shard_documents(docs, N_SHARDS)
@@ -72,3 +73,16 @@ def op7_exact_dedup(spark, sf_dir):
         "doc_id", F.col("dedup_keep_id").alias("keep_id"), F.col("dedup_group_size").alias("group_size"),
         F.col("dedup_kept").alias("kept"), F.col("dedup_digest").alias("text_sha256"),
     )
+
+
+@query("op4_simhash_near_dedup")
+def op4_simhash_near_dedup(spark, sf_dir):
+    out = simhash.near_duplicate_classes(table(spark, sf_dir, "documents"), width=3, budget=2)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op2_token_counts")
+def op2_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")

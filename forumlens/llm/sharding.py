@@ -36,11 +36,11 @@ def _lcg(hi: Column, lo: Column) -> tuple[Column, Column]:
     return (carry + _mul_low(lo, MULT_HI) + _mul_low(hi, MULT_LO)).bitwiseAND(MASK), low.bitwiseAND(MASK)
 
 
-def key_halves(*keys: str) -> tuple[Column, Column]:
-    """The first 64 bits of the MD5 of the keys' text, as two unsigned halves. Null differs from every text."""
+def key_halves(*keys: str, at: int = 1) -> tuple[Column, Column]:
+    """64 bits of the MD5 of the keys' text, from its hex digit `at` on, as two unsigned halves. Null differs from every text."""
     joined = F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("\x00null")) for k in keys])
     digest = F.md5(joined)
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.conv(F.substring(digest, 9, 8), 16, 10).cast("long")
+    return tuple(F.conv(F.substring(digest, at + k, 8), 16, 10).cast("long") for k in (0, 8))
 
 
 def jump_shards(hi: Column, lo: Column, n_shards: int) -> Column:
@@ -84,10 +84,10 @@ def assign_shards(df: DataFrame, keys: list[str], n_shards: int) -> DataFrame:
 def number_slots(df: DataFrame, order: list[str], parts: int = PARTS) -> DataFrame:
     """Adds `slot`, gapless from 0 within each shard.
 
-    A shard is dealt over `parts` groups by a hash of `order`; their sizes, at most shards * parts rows and so fit
+    A shard is dealt over `parts` groups by a digest of the first of `order`; their sizes, at most shards * parts rows and so fit
     to be broadcast, give each group its first number. No task holds a shard.
     """
-    df = df.withColumn("_part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in order]), F.lit(parts)).cast("int"))
+    df = df.withColumn("_part", (key_halves(order[0], at=17)[0] % parts).cast("int"))
     sizes = df.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
