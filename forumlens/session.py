@@ -19,6 +19,7 @@ def build_session(app: str = "forumlens", master: str | None = None, shuffle_par
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.ui.enabled", os.environ.get("SPARK_UI", "false"))
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         b = b.master(master)
