@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from forumlens.llm import exact_dedup, sharding, simhash, token_counts
+from forumlens.llm import exact_dedup, packing, sharding, simhash, token_counts
 from forumlens.session import table
 
 QUERIES = {}
@@ -86,3 +86,8 @@ def op2_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op8_best_fit_packing")
+def op8_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)

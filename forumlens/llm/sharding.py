@@ -10,10 +10,10 @@ vanishing share of keys; the others take the long way.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forumlens.llm.shared import text_or_empty
+from forumlens.llm.shared import numbered, text_or_empty
 
 #: The multiplier 2862933555777941757 of the published algorithm, in halves of 32 bits.
 MULT_HI, MULT_LO = divmod(2862933555777941757, 1 << 32)
@@ -82,18 +82,8 @@ def assign_shards(df: DataFrame, keys: list[str], n_shards: int) -> DataFrame:
 
 
 def number_slots(df: DataFrame, order: list[str], parts: int = PARTS) -> DataFrame:
-    """Adds `slot`, gapless from 0 within each shard.
-
-    A shard is dealt over `parts` groups by a digest of the first of `order`; their sizes, at most shards * parts rows and so fit
-    to be broadcast, give each group its first number. No task holds a shard.
-    """
-    df = df.withColumn("_part", (key_halves(order[0], at=17)[0] % parts).cast("int"))
-    sizes = df.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy("shard", "_part").orderBy(*[F.col(f"`{c}`") for c in order])
-    ranked = df.withColumn("_rank", F.row_number().over(within).cast("long") - 1)
-    return ranked.join(F.broadcast(sizes), ["shard", "_part"]).withColumn("slot", F.col("_first") + F.col("_rank")).drop("_part", "_first", "_rank")
+    """Adds `slot`, gapless from 0 within each shard, which is dealt over `parts` groups by a digest of order[0]."""
+    return numbered(df, "shard", key_halves(order[0], at=17)[0] % parts, order, "slot")
 
 
 def shard_documents(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

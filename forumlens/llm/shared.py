@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,3 +35,18 @@ def with_columns_of(df: DataFrame, needed: dict[str, T.DataType | str]) -> DataF
     """`df` cut down to the needed columns, cast to their types; a column that is missing becomes null."""
     have = set(df.columns)
     return df.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in needed.items()])
+
+
+def numbered(df: DataFrame, group: str, part: Column, order: list[str], name: str) -> DataFrame:
+    """Adds `name`, a long gapless from 0 within each value of `group`; no task holds a group.
+
+    `part` deals each group over a fixed number of parts. The table of their sizes has at most as many rows as there
+    are values of `group` times parts, which callers keep bounded; so it is fit to be broadcast.
+    """
+    df = df.withColumn("_part", part.cast("int"))
+    sizes = df.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    within = Window.partitionBy(group, "_part").orderBy(*[F.col(f"`{c}`") for c in order])
+    ranked = df.withColumn("_rank", F.row_number().over(within).cast("long") - 1)
+    return ranked.join(F.broadcast(sizes), [group, "_part"]).withColumn(name, F.col("_first") + F.col("_rank")).drop("_part", "_first", "_rank")
