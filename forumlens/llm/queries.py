@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from forumlens.llm import exact_dedup, packing, sharding, simhash, token_counts
+from forumlens.llm import exact_dedup, packing, secrets, sharding, simhash, token_counts
 from forumlens.session import table
 
 QUERIES = {}
@@ -91,3 +91,12 @@ def op2_token_counts(spark, sf_dir):
 @query("op8_best_fit_packing")
 def op8_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+@query("op6_secret_scan")
+def op6_secret_scan(spark, sf_dir):
+    out = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("secrets.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.sha2(joined("secrets.base"), 256).alias("base_sha256")
+    return out.select("doc_id", *map(count, secrets.KINDS), base, joined("secrets.every").alias("spans"))
