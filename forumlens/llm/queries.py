@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from forumlens.llm import exact_dedup, packing, secrets, sharding, simhash, token_counts
+from forumlens.llm import exact_dedup, licenses, packing, secrets, sharding, simhash, token_counts
 from forumlens.session import table
 
 QUERIES = {}
@@ -100,3 +100,33 @@ def op6_secret_scan(spark, sf_dir):
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.sha2(joined("secrets.base"), 256).alias("base_sha256")
     return out.select("doc_id", *map(count, secrets.KINDS), base, joined("secrets.every").alias("spans"))
+
+
+def _license_oracle() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = ", ".join(
+        f"({t}, {quoted(label)}, {str(whole).lower()}, {k}, {size}, {q}, [{', '.join(map(quoted, run))}])"
+        for t, label, whole, k, size, q, run in licenses.template_rows(licenses.PHRASES, licenses.TEXTS)
+    )
+    return rf"""
+WITH runs(template, label, whole, k, size, q, run) AS (VALUES {rows}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+grams AS (SELECT r, k, p, w[p + 1:p + k] AS run FROM (SELECT r, w, k, unnest(range(len(w) - k + 1)) AS p FROM d, (VALUES ({licenses.SHORT}), ({licenses.LONG})) ks(k))),
+hits AS (SELECT r, template, label, whole, g.k, size, q, p, p - q AS d FROM grams g JOIN runs USING (k, run)),
+marked AS (SELECT *, coalesce(d - lag(d) OVER (PARTITION BY r, template ORDER BY d) > CASE WHEN whole THEN 0 ELSE {licenses.APART} END, true)::INT AS new FROM hits),
+spans AS (SELECT *, sum(new) OVER (PARTITION BY r, template ORDER BY d ROWS UNBOUNDED PRECEDING) AS span FROM marked),
+merged AS (SELECT r, label, whole, min(p) AS s, list(DISTINCT q) AS qs, k, size FROM spans GROUP BY r, template, label, whole, k, size, span),
+good AS (SELECT * FROM (SELECT r, label, whole, s, len(list_distinct(flatten(list_transform(qs, lambda q: range(q, q + k))))) / size AS cover FROM merged)
+         WHERE CASE WHEN whole THEN cover = 1 ELSE cover >= {licenses.SHARE} END),
+found AS (SELECT r, count(*) FILTER (whole) AS n_base, min(s) FILTER (whole) AS first_word, max(s) FILTER (whole) AS last_word,
+                 string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score
+          FROM good GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN found USING (r)
+"""
+
+
+@query("op3_license_scan", _license_oracle())
+def op3_license_scan(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
