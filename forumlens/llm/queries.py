@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from forumlens.llm import exact_dedup, licenses, packing, secrets, sharding, simhash, token_counts
+from forumlens.llm import exact_dedup, licenses, packing, quality, secrets, sharding, simhash, token_counts
 from forumlens.session import table
 
 QUERIES = {}
@@ -130,3 +130,10 @@ FROM d LEFT JOIN found USING (r)
 @query("op3_license_scan", _license_oracle())
 def op3_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op10_quality_classifier")
+def op10_quality_classifier(spark, sf_dir):
+    out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    kept = F.col("quality_kept").alias("kept")
+    return out.select("doc_id", F.col("quality_votes").alias("votes"), F.round("junk_score", 6).alias("junk_score"), F.round("toxic_score", 6).alias("toxic_score"), kept)
