@@ -9,10 +9,12 @@ as a whole.
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
 import numpy as np
+import tiktoken
 from tokenizers import Tokenizer
 
 #: Characters whose class is beyond doubt in every version of Unicode: printable ASCII, line feed, Latin letters.
@@ -29,18 +31,44 @@ def load(path: str) -> Tokenizer:
     return t
 
 
+#: Fixed value: the public pre-token pattern of byte-level BPE.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_of() -> dict[str, int]:
+    """Byte-level BPE writes printable Latin-1 bytes as themselves and the others, in order, from U+0100 on."""
+    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+def ranked(path: str) -> tiktoken.Encoding | None:
+    """The same vocabulary as an encoding by ranks, which takes a fifth of the library's time for short pieces.
+
+    None if ids don't follow the order of the merges, for then ranks would say something else.
+    """
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, merges, to_byte = model["vocab"], model["merges"], byte_of()
+    made = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in merges]
+    if made != sorted(made) or len(set(made)) != len(made) or made[:1] == [-1] or model.get("dropout") or any(c not in to_byte for t in vocab for c in t):
+        return None
+    ranks = {bytes(to_byte[c] for c in token): i for token, i in vocab.items()}
+    return tiktoken.Encoding("pieces", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={}) if len(ranks) == len(vocab) else None
+
+
 class PieceCache(dict):
     """piece -> what `value` makes of its ids; a miss is encoded and kept."""
 
-    def __init__(self, tokenizer: Tokenizer, value, known: dict | None = None):
+    def __init__(self, encode, value, known: dict | None = None):
         super().__init__(known or {})
-        self.tokenizer, self.value, self.known = tokenizer, value, known or {}
+        self.encode, self.value, self.known = encode, value, known or {}
 
     def __missing__(self, piece: str):
         if len(self) - len(self.known) >= CACHE:
             self.clear()
             self.update(self.known)
-        out = self[piece] = self.value(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        out = self[piece] = self.value(self.encode(piece))
         return out
 
 
@@ -53,7 +81,9 @@ class Encoder:
 
     def __init__(self, path: str, value, known: dict | None = None):
         self.tokenizer, self.value = load(path), value
-        self.pieces = PieceCache(self.tokenizer, value, known)
+        fast = ranked(path)
+        encode = fast.encode_ordinary if fast else lambda piece: self.tokenizer.encode(piece, add_special_tokens=False).ids
+        self.pieces = PieceCache(encode, value, known)
         self.feed = self.pieces["\n"]
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 

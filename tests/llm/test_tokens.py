@@ -48,3 +48,12 @@ def test_counts(spark, monkeypatch):
     n = lambda x: len(t.encode(x or "", add_special_tokens=False).ids)
     assert got == sorted((i or -1, x or "", len((x or "").encode()), n(x), n(x) > 30) for i, x, _ in rows)
     assert token_counts.count_tokens(spark.createDataFrame([], DOCS), PATH, 30).count() == 0
+
+
+def test_ranks_are_the_library():
+    rnd = random.Random(8)
+    t, fast = bpe.load(PATH), bpe.ranked(PATH)
+    pieces = [" " * (k % 2) + "".join(rnd.choices("etaoinshrdlucmfwypvbgkjqxzETAOéüß,.-'12", k=rnd.randint(1, 24))) for k in range(30_000)]
+    pieces += ["".join(rnd.choices(["th", "tion", "er", "ing", "an", "st", " re", "ble", "é", "ung", "pre"], k=rnd.randint(1, 6))) for _ in range(30_000)]
+    want = [e.ids for e in t.encode_batch(pieces, add_special_tokens=False)]
+    assert [fast.encode_ordinary(p) for p in pieces] == want
