@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from forumlens.llm import exact_dedup, licenses, packing, quality, secrets, sharding, simhash, token_counts
+from forumlens.llm import exact_dedup, licenses, mixing, packing, quality, secrets, sharding, simhash, token_counts, topk
 from forumlens.session import table
 
 QUERIES = {}
@@ -137,3 +137,39 @@ def op10_quality_classifier(spark, sf_dir):
     out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     kept = F.col("quality_kept").alias("kept")
     return out.select("doc_id", F.col("quality_votes").alias("votes"), F.round("junk_score", 6).alias("junk_score"), F.round("toxic_score", 6).alias("toxic_score"), kept)
+
+
+_OP5 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s
+QUALIFY rank <= 5
+"""
+
+
+@query("op5_exact_top_k", _OP5)
+def op5_exact_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
+#: Poisson steps of each source as a list, of which a document's uniform number passes as many as it gets copies.
+_OP9 = """
+WITH sizes AS (SELECT coalesce(source, chr(0) || 'null') AS k, sum(octet_length(encode(coalesce(text, ''))) + 1) AS size FROM documents GROUP BY 1),
+rates AS (SELECT k, pow(size, 0.7) / sum(pow(size, 0.7)) OVER () * sum(size) OVER () / size AS rate FROM sizes),
+steps AS (SELECT k, rate, list(p ORDER BY i) AS steps FROM (
+  SELECT k, rate, i, sum(exp(i * ln(rate) - rate - lgamma(i + 1))) OVER (PARTITION BY k ORDER BY i) AS p
+  FROM rates, range(0, 200) r(i)) GROUP BY k, rate),
+drawn AS (SELECT doc_id, source, rate, coalesce(doc_id::VARCHAR, chr(0) || 'null') AS ident,
+                 len(list_filter(steps, lambda p: p <= ('0x' || md5('mix' || chr(31) || coalesce(doc_id::VARCHAR, chr(0) || 'null'))[1:13])::BIGINT / 4503599627370496.0::DOUBLE)) AS copies
+          FROM documents JOIN steps ON k = coalesce(source, chr(0) || 'null'))
+SELECT doc_id, source, round(rate, 6) AS rate, copies::BIGINT AS copies, copy, ('0x' || md5('mix order' || chr(31) || ident || chr(31) || copy::VARCHAR)[1:15])::BIGINT AS shuffle_key
+FROM (SELECT *, unnest(range(copies)) AS copy FROM drawn)
+"""
+
+
+@query("op9_mixing", _OP9)
+def op9_mixing(spark, sf_dir):
+    out = mixing.mix(table(spark, sf_dir, "documents"), alpha=0.7, epochs=1.0, seed="mix")
+    return out.select("doc_id", "source", F.round("mix_rate", 6).alias("rate"), F.col("mix_copies").alias("copies"), F.col("mix_copy").alias("copy"), F.col("mix_order").alias("shuffle_key"))
