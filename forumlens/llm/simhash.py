@@ -183,3 +183,89 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
     found = classes.select("fp", "label").join(least, "label").select("fp", "component_id")
     return marks.join(found, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
+
+
+#: Fingerprints a document gets for similarity search, and shingles that each is made of.
+TABLES, SAMPLED = 8, 3
+#: Buckets up to this size are paired within; in larger ones every member is paired with the bucket's centre.
+SMALL = 12
+
+
+def sampled_fingerprints(text: str, width: int, tables: int = TABLES, sampled: int = SAMPLED) -> list[int]:
+    """One fingerprint a table, each of the `sampled` shingles that come first in the table's own order of hashes.
+
+    Texts of Jaccard similarity j have the same sample, and so the same fingerprint, in a share j ** sampled of the
+    tables. A text without words has none.
+    """
+    h = np.unique(shingle_hashes(text, width))
+    if not len(h):
+        return []
+    out = []
+    for t in range(tables):
+        order = h * np.uint64(2 * 0x9E3779B97F4A7C15 * (t + 1) + 1 & MASK)
+        order ^= order >> np.uint64(29)
+        first = h[np.argsort(order, kind="stable")[:sampled]] if len(h) > sampled else h
+        mark = majority_bits(first)
+        out.append(signed((mark ^ (0xD6E8FEB86659FD93 * (t + 1))) & MASK))
+    return out
+
+
+def similar_pairs(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """Pairs (a, b), a < b, of ids whose texts' shingle sets have a Jaccard similarity of at least `similarity`.
+
+    Candidates are the members of a bucket, which is one sampled fingerprint, or two that a trie join finds one bit
+    apart. Small buckets are paired within. In a large one each member is paired with the centre, the member whose
+    buckets are largest: copies of an original share more samples with it than with each other, so the original
+    stands in the centre. Every candidate is verified on the whole sets.
+    """
+
+    @F.pandas_udf("array<long>")
+    def marks_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([sampled_fingerprints(t, width) for t in texts], dtype=object)
+
+    @F.pandas_udf("binary")
+    def set_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, width).astype(np.uint32)).tobytes() for t in texts], dtype=object)
+
+    @F.pandas_udf("double")
+    def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(x, y, strict=True):
+            a, b = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(both / max(1, len(a) + len(b) - both))
+        return pd.Series(out, dtype="float64")
+
+    base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    marks = written(base.select("id", marks_of("text").alias("fps")).select("id", F.explode("fps").alias("fp")).distinct())
+    sizes = marks.groupBy("fp").agg(F.count("*").alias("n"))
+    near = hamming_pairs(sizes.select("fp"), 1)
+    # A fingerprint that the trie finds one bit off lends its bucket to its neighbour.
+    lent = near.select(F.col("a").alias("fp"), F.col("b").alias("to")).union(near.select(F.col("b"), F.col("a")))
+    lent = marks.join(lent, "fp").select("id", F.col("to").alias("fp"))
+    shared = sizes.filter("n > 1").select("fp").union(lent.select("fp")).distinct()
+    member = written(marks.join(shared, "fp").select("id", "fp").union(lent).distinct())
+    size = member.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1")
+    placed = member.join(size, "fp")
+    weight = placed.groupBy("id").agg(F.sum("n").alias("w"))
+    centre = placed.join(weight, "id").groupBy("fp").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("other"))
+    starred = placed.select("id", "fp").join(centre, "fp").select("id", "other")
+    few = placed.filter(F.col("n") <= SMALL)
+    within = few.select("id", "fp").join(few.select(F.col("id").alias("other"), "fp"), "fp").filter("id < other").select("id", "other")
+    pairs = starred.filter("id <> other").union(within).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    pairs = written(pairs.distinct())
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = written(base.join(ids, "id", "left_semi").select("id", set_of("text").alias("set")).dropDuplicates(["id"]))
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return both.filter(jaccard("x", "y") >= similarity).select("a", "b")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """`docs` without near duplicates: of each component of similar texts the row with the smallest id stays.
+
+    Rows without an id and texts without words take no part and stay. Rows that share an id are one document, and
+    stay or go together. An empty table gives an empty result; the columns are those of `docs`.
+    """
+    labels = connected_components(written(similar_pairs(docs, id_col, text_col, width, similarity)))
+    gone = labels.filter("node <> label").select(F.col("node").alias("_gone"))
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
