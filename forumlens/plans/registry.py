@@ -20,3 +20,7 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+# The modules below register their queries when they are imported.
+from forumlens.plans import aggregations, enrichment, panels, search, streams  # noqa: E402, F401
