@@ -1 +1,215 @@
-"""Registered queries."""
+"""Registered scalar, rule, redaction, sentiment and normalising queries with their DuckDB equivalents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from forumlens.functions import dates, pii, rules, text
+from forumlens.operators import filters, normalise, sentiment
+from forumlens.plans.registry import query
+from forumlens.session import table
+
+_SP = r"[ \t\n\r\f\x0B]+"
+
+
+@query("tokenize_counts", r"SELECT doc_id, len(t)::INT AS n_tokens, len(list_distinct(t))::INT AS n_distinct FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)")
+def tokenize_counts(spark, sf):
+    df = table(spark, sf, "documents").select("doc_id", text.tokenize("text").alias("t"))
+    return df.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
+
+
+@query("snippet", rf"SELECT doc_id, CASE WHEN length(s) <= 240 THEN s ELSE rtrim(s[1:239]) || '…' END AS snippet FROM (SELECT doc_id, trim(regexp_replace(text, '{_SP}', ' ', 'g')) AS s FROM documents)")
+def snippet(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.snippet("text").alias("snippet"))
+
+
+_DECODED = "regexp_replace({0}, '<[^>]+>', ' ', 'g')"
+for _n, _c in text.ENTITIES:
+    _DECODED = f"replace({_DECODED}, '{_n}', '{_c if _c != chr(39) else chr(39) * 2}')"
+
+
+@query("strip_html", rf"SELECT page_id, trim(regexp_replace({_DECODED.format('html')}, '{_SP}', ' ', 'g')) AS text FROM pages")
+def strip_html(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.strip_html("html").alias("text"))
+
+
+@query("html_entities", "SELECT page_id, (length(html) - length(replace(html, '&amp;', '&')))::BIGINT // 4 AS n_amp FROM pages")
+def html_entities(spark, sf):
+    n = ((F.length("html") - F.length(F.replace("html", F.lit("&amp;"), F.lit("&")))) / 4).cast("bigint")
+    return table(spark, sf, "pages").select("page_id", n.alias("n_amp"))
+
+
+@query(
+    "safe_doc_id",
+    rf"""WITH r AS (SELECT page_id, trim(url || '/' || url || '/' || url) AS raw FROM pages),
+c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(raw, '{_SP}', '_', 'g'), '[/:]', '_', 'g'), '[^A-Za-z0-9._-]', '_', 'g') AS c FROM r)
+SELECT page_id, 'web_' || CASE WHEN length(c) > 160 THEN c[1:120] || '_' || sha1(raw)[1:16] ELSE c END AS safe_id FROM c""",
+)
+def safe_doc_id(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.safe_doc_id(F.concat_ws("/", "url", "url", "url"), "web").alias("safe_id"))
+
+
+@query("stable_hash", "SELECT doc_id, sha1('lang=' || coalesce('s:' || lang, 'n') || chr(31) || 'text=' || coalesce('s:' || text, 'n'))[1:16] AS hash FROM documents")
+def stable_hash(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.stable_hash({"text": "text", "lang": "lang"}).alias("hash"))
+
+
+@query(
+    "clean_social",
+    rf"""SELECT doc_id, trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(text, 'https?://[^ \t\n\r\f\x0B]+|www\.[^ \t\n\r\f\x0B]+', ' ', 'g'), '@[A-Za-z0-9_.]+', ' ', 'g'), '#', ''),
+'[^A-Za-z0-9 .,!?''\-]', ' ', 'g'), '{_SP}', ' ', 'g')) AS clean FROM documents""",
+)
+def clean_social(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.clean_social("text").alias("clean"))
+
+
+@query(
+    "parse_dates",
+    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(o_orderdate, '%Y-%m-%dT00:00:00Z') END AS date FROM orders""",
+)
+def parse_dates(spark, sf):
+    k = F.col("o_orderkey") % 4
+    raw = F.when(k == 3, "soon").when(k == 2, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, F.date_format("o_orderdate", "yyyyMMddHHmmss")).otherwise(F.date_format("o_orderdate", "yyyyMMdd"))
+    return table(spark, sf, "orders").select("o_orderkey", dates.normalise_date(raw).alias("date"))
+
+
+@query(
+    "infer_period",
+    """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') WHEN 2 THEN strftime(o_orderdate, '%Y') WHEN 3 THEN strftime(o_orderdate, '%Y') ELSE 'unknown' END AS period FROM orders""",
+)
+def infer_period(spark, sf):
+    k, f = F.col("o_orderkey") % 5, lambda p: F.date_format("o_orderdate", p)
+    raw = F.when(k == 0, F.concat(F.lit("rents/"), f("yyyy_MM"), F.lit(".xlsx"))).when(k == 1, F.concat(F.lit("Bonds "), f("MMMM yyyy")))
+    raw = raw.when(k == 2, F.concat(F.lit("year "), f("yyyy"))).when(k == 3, F.concat(F.lit("sales-"), f("yyyy"), F.lit("-final"))).otherwise("no date")
+    return table(spark, sf, "orders").select("o_orderkey", dates.infer_period(raw).alias("period"))
+
+
+@query("infer_state", "SELECT page_id, CASE WHEN contains(lower(url), 'nsw') THEN 'NSW' WHEN contains(lower(url), 'ex') THEN 'EX' WHEN contains(lower(url), 'a') THEN 'A' ELSE 'none' END AS state FROM pages")
+def infer_state(spark, sf):
+    return table(spark, sf, "pages").select("page_id", rules.contains_cascade("url", [("nsw", "NSW"), ("ex", "EX"), ("a", "A")], "none").alias("state"))
+
+
+@query("humanise_code", "SELECT n_nationkey, lower(array_to_string(list_filter(string_split(n_name, '_'), lambda p: length(p) > 2 AND NOT regexp_matches(p, '^[0-9]+$')), ' ')) AS label FROM nation")
+def humanise_code(spark, sf):
+    return table(spark, sf, "nation").select("n_nationkey", text.humanise_code("n_name").alias("label"))
+
+
+SUBTOPICS = [("legal", r"\b(license|copyright)\b"), ("letters", r"\b(thing|tion)\b"), ("common", r"\b(of|de|der)\b")]
+_CASE = "CASE " + " ".join(f"WHEN regexp_matches({{0}}, '{p}') THEN '{n}'" for n, p in SUBTOPICS) + " END"
+
+
+@query("subtopic_cascade", f"SELECT doc_id, coalesce({_CASE.format('lower(source)')}, {_CASE.format('lower(text)')}, 'general') AS subtopic FROM documents WHERE lang = 'en'")
+def subtopic_cascade(spark, sf):
+    english = table(spark, sf, "documents").filter("lang = 'en'")
+    return english.select("doc_id", rules.infer_subtopic("source", "text", SUBTOPICS).alias("subtopic"))
+
+
+@query("relevance_word_or_phrase", r"SELECT doc_id, regexp_matches(lower(text), '\b(?:license|thing)\b') OR contains(lower(text), 'is and') AS relevant FROM documents WHERE lang = 'en'")
+def relevance_word_or_phrase(spark, sf):
+    return table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", rules.relevant("text", ["license", "thing"], ["is and"]).alias("relevant"))
+
+
+_PII = dict(pii.PATTERNS)
+
+
+@query(
+    "redact_pii",
+    rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{_PII["EMAIL"]}', '[EMAIL]', 'g'), '{_PII["PHONE"]}', '[PHONE]', 'g'),
+'(^|[^A-Za-z0-9_])@[A-Za-z0-9_.-]{{2,}}', '\1[HANDLE]', 'g'), '{_PII["URL"]}', '[URL]', 'g') AS text FROM documents""",
+)
+def redact_pii(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", pii.redact("text").alias("text"))
+
+
+@query("stable_id", "SELECT doc_id, sha256('pepper:' || doc_id)[1:24] AS public_id FROM documents")
+def stable_id(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", pii.stable_id("doc_id", "pepper").alias("public_id"))
+
+
+@query(
+    "pii_audit",
+    " UNION ALL ".join(rf"SELECT doc_id, '{n}' AS rule, len(regexp_extract_all(text, '{_PII[n]}'))::BIGINT AS n FROM documents WHERE regexp_matches(text, '{_PII[n]}')" for n in ("EMAIL", "PHONE", "URL")),
+)
+def pii_audit(spark, sf):
+    return pii.audit(table(spark, sf, "documents"), "doc_id", "text", tuple(r for r in pii.PATTERNS if r[0] != "HANDLE"))
+
+
+@query("public_record", rf"SELECT sha256('pepper:' || doc_id)[1:24] AS public_id, source[1:64] AS source, regexp_replace(lang, '{_PII['EMAIL']}', '[EMAIL]', 'g')[1:2] AS lang FROM documents")
+def public_record(spark, sf):
+    return pii.public_record(table(spark, sf, "documents"), "doc_id", "pepper", {"source": 64, "lang": 2})
+
+
+@query("json_props_extract", "SELECT event_id, coalesce(try_cast(props->>'$.k' AS BIGINT), 0) AS k FROM events")
+def json_props_extract(spark, sf):
+    return table(spark, sf, "events").select("event_id", text.to_int(F.get_json_object("props", "$.k")).alias("k"))
+
+
+@query("variant_props", "SELECT event_id, (props->>'$.k')::BIGINT AS k, props->>'$.missing' AS missing FROM events")
+def variant_props(spark, sf):
+    v = F.try_parse_json("props")
+    return table(spark, sf, "events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"), F.try_variant_get(v, "$.missing", "string").alias("missing"))
+
+
+@query(
+    "official_row_text",
+    """SELECT s_suppkey, 'name: ' || s_name || ' | nation: ' || s_nationkey AS text, 1 AS numeric_count, s_name AS row_label FROM supplier""",
+)
+def official_row_text(spark, sf):
+    m = F.create_map(F.lit("name"), F.col("s_name"), F.lit("nation"), F.col("s_nationkey").cast("string"), F.lit("empty"), F.lit("NaN"))
+    df = table(spark, sf, "supplier").select("s_suppkey", rules.non_null_entries(m).alias("m"))
+    return df.select("s_suppkey", rules.row_text("m").alias("text"), rules.numeric_entries("m").alias("numeric_count"), rules.row_label("m", normalise.PREFERRED).alias("row_label"))
+
+
+_LEX = sentiment.Lexicon(
+    negative_phrases={"the of": -0.5}, positive_phrases={"is and": 0.4}, negative_words={"ing": -0.4, "ion": -0.3}, positive_words={"able": 0.5, "ion": 0.2, "ly": 0.3}, context=("the", "of", "and", "is", "in")
+)
+
+
+def _sentiment_sql(src: str, key: str) -> str:
+    weights = {**_LEX.positive_words, **_LEX.negative_words}
+    words = " ".join(f"WHEN '{w}' THEN {v}::DOUBLE" for w, v in weights.items())
+    phrases = " + ".join(f"CASE WHEN contains(s, '{p}') THEN {w}::DOUBLE ELSE 0 END" for p, w in {**_LEX.negative_phrases, **_LEX.positive_phrases}.items())
+    context = ", ".join(f"'{c}'" for c in _LEX.context)
+    return rf"""WITH d AS (SELECT {key}, lower(text) AS s, regexp_extract_all(lower(text), '[a-zA-Z'']+') AS w FROM {src}),
+p AS (SELECT {key}, len(w) AS n, {phrases} + coalesce(list_sum(list_transform(w, lambda x: CASE x {words} ELSE 0 END)), 0) AS raw, len(list_intersect(list_distinct(w), [{context}])) AS h FROM d),
+r AS (SELECT {key}, CASE WHEN n = 0 THEN 0 ELSE greatest(-1, least(1, (raw + CASE WHEN h >= 5 THEN -0.15 WHEN h >= 3 THEN -0.10 WHEN h >= 1 THEN -0.06 ELSE 0 END::DOUBLE) / greatest(1, ln(n + 1)))) END AS d FROM p),
+e AS (SELECT {key}, round(greatest(-1, least(1, CASE WHEN d = 0 THEN 0.35 * d ELSE 0.65 * d END)), 4)::DOUBLE AS sentiment, round(least(1, abs(d) + 0.15), 4)::DOUBLE AS subjectivity FROM r),
+f AS (SELECT *, CASE WHEN sentiment >= 0.04 THEN 'positive' WHEN sentiment <= -0.04 THEN 'negative' ELSE 'neutral' END AS sentiment_label FROM e)
+"""
+
+
+@query("lexicon_sentiment", _sentiment_sql("documents", "doc_id") + "SELECT doc_id, sentiment, subjectivity, sentiment_label FROM f")
+def lexicon_sentiment(spark, sf):
+    return sentiment.attach(table(spark, sf, "documents"), "text", _LEX).select("doc_id", "sentiment", "subjectivity", "sentiment_label")
+
+
+@query(
+    "sentiment_label_dist",
+    _sentiment_sql("(SELECT text, role FROM conversations)", "role") + "SELECT role, sentiment_label, count(*) AS count, round(avg(sentiment), 4) AS avg_sentiment FROM f GROUP BY ALL",
+)
+def sentiment_label_dist(spark, sf):
+    out = sentiment.attach(table(spark, sf, "conversations"), "text", _LEX)
+    return out.groupBy("role", "sentiment_label").agg(F.count("*").alias("count"), F.round(F.avg("sentiment"), 4).alias("avg_sentiment"))
+
+
+@query("conversation_fold", r"SELECT conv_id, array_to_string((array_agg(text ORDER BY turn))[1:4], chr(10)) AS text FROM conversations GROUP BY 1")
+def conversation_fold(spark, sf):
+    return normalise.fold_thread(table(spark, sf, "conversations"), "conv_id", "turn", "text", most=3)
+
+
+@query(
+    "conversation_explode",
+    "SELECT conv_id, turn AS part, CASE WHEN turn > h THEN h END AS parent, text FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS h FROM conversations) WHERE length(trim(text)) > 0",
+)
+def conversation_explode(spark, sf):
+    return normalise.explode_thread(table(spark, sf, "conversations"), "conv_id", "turn", "text")
+
+
+@query(
+    "three_prong_filter_with_reason",
+    """SELECT page_id, concat_ws(', ', CASE WHEN regexp_matches(html, '(?i)housing|rent') THEN 'theme' END, CASE WHEN contains(html, 'Contact') THEN 'place' END, CASE WHEN contains(url, '.au') OR page_id % 3 = 0 THEN 'domain' END) AS reasons
+FROM pages WHERE regexp_matches(html, '(?i)housing|rent') OR contains(html, 'Contact') OR contains(url, '.au') OR page_id % 3 = 0""",
+)
+def three_prong_filter_with_reason(spark, sf):
+    keep, reasons = filters.any_reason({"theme": F.col("html").rlike("(?i)housing|rent"), "place": F.col("html").contains("Contact"), "domain": F.col("url").contains(".au") | (F.col("page_id") % 3 == 0)})
+    return table(spark, sf, "pages").filter(keep).select("page_id", reasons.alias("reasons"))

@@ -1 +1,139 @@
-"""Registered queries."""
+"""Dashboard panels, tools over the corpus and their registered long forms."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from forumlens.operators import aggs, retrieval
+from forumlens.operators.dedup import best_wins
+from forumlens.plans.registry import query
+from forumlens.session import table
+
+
+def overview(orders: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
+    """The panels of the dashboard's first page, each a lazy table of its own."""
+    return {
+        "priorities": aggs.terms(orders, "o_orderpriority", 10),
+        "statuses": aggs.terms(orders, "o_orderstatus", 10),
+        "events": aggs.terms(events, "event_type", 10),
+        "months": aggs.date_histogram(orders, "o_orderdate", "month", densify=True),
+        "metrics": aggs.stats(events, "value", ["event_type"]),
+    }
+
+
+@query(
+    "dashboard_overview_long",
+    """SELECT 'orders' AS panel, 'o_orderpriority' AS field, o_orderpriority AS key, count(*) AS count FROM orders GROUP BY 3
+UNION ALL SELECT 'orders', 'o_orderstatus', o_orderstatus, count(*) FROM orders GROUP BY 3 UNION ALL SELECT 'orders', 'total', NULL, count(*) FROM orders
+UNION ALL SELECT 'events', 'event_type', event_type, count(*) FROM events GROUP BY 3 UNION ALL SELECT 'events', 'total', NULL, count(*) FROM events""",
+)
+def dashboard_overview_long(spark, sf):
+    """All counts of the first page in one scan of each table."""
+    part = lambda name, *keys: aggs.multi_terms(table(spark, sf, name), list(keys)).select(F.lit(name).alias("panel"), F.col("panel").alias("field"), "key", "count")
+    return part("orders", "o_orderpriority", "o_orderstatus").union(part("events", "event_type"))
+
+
+@query(
+    "volume_anomaly",
+    """WITH l AS (SELECT max(ts)::DATE - 1 AS d FROM events),
+c AS (SELECT user_id, count(*) FILTER (ts::DATE < d) AS before, count(*) FILTER (ts::DATE = d) AS after FROM events, l WHERE ts::DATE BETWEEN d - 1 AND d GROUP BY 1)
+SELECT user_id, before, after, round(after / nullif(before, 0), 4) AS ratio,
+coalesce(before > 0 AND NOT (before < 100 AND after < 100) AND (round(after / nullif(before, 0), 4) < 0.2 OR round(after / nullif(before, 0), 4) > 3), false) AS alert FROM c""",
+)
+def volume_anomaly(spark, sf):
+    events = table(spark, sf, "events")
+    last = events.agg(F.date_sub(F.max("ts").cast("date"), 1).alias("_day"))
+    return aggs.day_over_day(events.crossJoin(F.broadcast(last)), "ts", "user_id", F.col("_day"))  # one row
+
+
+@query(
+    "compare_two_corpora",
+    """WITH d AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents WHERE lang IN ('de', 'en')),
+s AS (SELECT lang, doc_id, len(list_filter(t, lambda x: x IN ('license', 'mit', 'apache')))::INT AS hits FROM d)
+SELECT lang, doc_id, hits, (row_number() OVER (PARTITION BY lang ORDER BY hits DESC, doc_id))::INT AS rank FROM s WHERE hits > 0 QUALIFY rank <= 3""",
+)
+def compare_two_corpora(spark, sf):
+    """The best documents of each of two corpora, by a window within each."""
+    docs = retrieval.with_tokens(table(spark, sf, "documents").filter(F.col("lang").isin("de", "en")), "text")
+    hits = F.size(F.filter("_tokens", lambda x: x.isin("license", "mit", "apache"))).alias("hits")
+    w = Window.partitionBy("lang").orderBy(F.desc("hits"), "doc_id")
+    scored = docs.select("lang", "doc_id", hits).filter("hits > 0")
+    return scored.withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
+
+
+@dataclass(frozen=True)
+class SearchRequest:
+    """A validated search: text of 2 to 500 characters, 1 to 20 results."""
+
+    query: str
+    top_k: int = 5
+    corpus: str | None = None
+
+    def __post_init__(self):
+        object.__setattr__(self, "query", " ".join(self.query.split()))
+        if not 2 <= len(self.query) <= 500:
+            raise ValueError("a query has 2 to 500 characters")
+        if not 1 <= self.top_k <= 20:
+            raise ValueError("top_k is 1 to 20")
+
+
+class Tools:
+    """Read-only questions over a table of documents; every answer is a lazy DataFrame."""
+
+    NAMES = ("search", "count_topic", "compare", "trend", "coverage")
+
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text", corpus: str = "lang", source: str = "source", period: str = "n_chars"):
+        self.docs, self.id, self.text, self.corpus, self.source, self.period = docs, id_col, text, corpus, source, period
+
+    def call(self, name: str, **arguments) -> DataFrame:
+        if name not in self.NAMES:
+            raise ValueError(f"no tool {name!r}")
+        return getattr(self, name)(**arguments)
+
+    def search(self, query: str, top_k: int = 5, corpus: str | None = None) -> DataFrame:
+        r = SearchRequest(query, top_k, corpus)
+        where = F.col(self.corpus) == r.corpus if r.corpus else None
+        return retrieval.search(self.docs, r.query, self.id, self.text, where=where, k=r.top_k)
+
+    def count_topic(self, topic: str) -> DataFrame:
+        hit = F.arrays_overlap("_tokens", F.array(*map(F.lit, retrieval.tokens_of(topic[:100]))))
+        return aggs.multi_terms(retrieval.with_tokens(self.docs, self.text).filter(hit), [self.corpus, self.source])
+
+    def compare(self, query: str, corpora: list[str], top_k: int = 2) -> DataFrame:
+        if not 2 <= len(corpora) <= 4:
+            raise ValueError("2 to 4 corpora can be compared")
+        parts = [self.search(query, top_k, c).withColumn(self.corpus, F.lit(c)) for c in corpora]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def trend(self, topic: str) -> DataFrame:
+        hit = F.arrays_overlap("_tokens", F.array(*map(F.lit, retrieval.tokens_of(topic[:100]))))
+        found = retrieval.with_tokens(self.docs, self.text).filter(hit)
+        return found.select(self.id, self.period).orderBy(F.col(self.period).asc_nulls_first(), self.id)
+
+    def coverage(self) -> DataFrame:
+        return aggs.coverage(self.docs, self.corpus, self.source, self.period)
+
+
+@query("tool_search", None)
+def tool_search(spark, sf):
+    return Tools(table(spark, sf, "documents")).call("search", query="apache license", top_k=5, corpus="en")
+
+
+@query(
+    "evidence_merge",
+    """WITH h AS (SELECT doc_id, n_chars % 97 AS score, 1 AS arrival FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, n_chars % 89, 2 FROM documents WHERE doc_id % 3 = 0),
+b AS (SELECT doc_id, score FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, arrival) = 1)
+SELECT doc_id, score, (row_number() OVER (ORDER BY score DESC, doc_id))::INT AS rank FROM b ORDER BY rank LIMIT 8""",
+)
+def evidence_merge(spark, sf):
+    """The best score of each document over several result lists, then the best eight."""
+    docs = table(spark, sf, "documents")
+    part = lambda m, d, a: docs.filter(F.col("doc_id") % m == 0).select("doc_id", (F.col("n_chars") % d).alias("score"), F.lit(a).alias("arrival"))
+    best = best_wins(part(2, 97, 1).union(part(3, 89, 2)), ["doc_id"], "score", "arrival")
+    return retrieval.ranked(best.drop("arrival"), "score", "doc_id", 8)
