@@ -1 +1,44 @@
-"""Registered queries."""
+"""Registered streaming queries, which must equal their batch SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from forumlens.plans.registry import query
+from forumlens.session import fresh_dir, table
+from forumlens.sources.sinks import KeyedTable
+from forumlens.streaming import jobs
+
+
+def _events(spark, sf):
+    return jobs.read_files(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema)
+
+
+@query("stream_tumbling_counts", "SELECT ts::DATE AS date, event_type, count(*) AS count FROM events GROUP BY ALL")
+def stream_tumbling_counts(spark, sf):
+    out = fresh_dir(spark, "counts")
+    jobs.run_to_end(jobs.tumbling_counts(_events(spark, sf), "ts", "event_type"), "complete", f"{out}/checkpoint", jobs.keep_result(f"{out}/table"))
+    return spark.read.parquet(f"{out}/table").select(F.col("start").cast("date").alias("date"), "event_type", "count")
+
+
+@query("stream_dedup_upsert", "SELECT user_id, max(ts) AS ts FROM events WHERE user_id IS NOT NULL GROUP BY 1")
+def stream_dedup_upsert(spark, sf):
+    out = fresh_dir(spark, "latest")
+    schema = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("ts", T.TimestampNTZType())])
+    target = KeyedTable(spark, f"{out}/table", schema, "user_id", "ts")
+    jobs.run_to_end(_events(spark, sf).select("user_id", "ts"), "append", f"{out}/checkpoint", jobs.upsert_into(target))
+    return target.read()
+
+
+@query(
+    "stream_streak",
+    """WITH d AS (SELECT DISTINCT user_id, ts::DATE AS d FROM events), g AS (SELECT user_id, d - lag(d) OVER (PARTITION BY user_id ORDER BY d) - 1 AS gap FROM d)
+SELECT user_id, coalesce(max(gap), 0)::INT AS longest, coalesce(max(gap), 0) >= 3 AS alert FROM g GROUP BY 1""",
+)
+def stream_streak(spark, sf):
+    out = fresh_dir(spark, "streaks")
+    schema = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("longest", T.IntegerType()), T.StructField("alert", T.BooleanType()), T.StructField("days", T.IntegerType())])
+    target = KeyedTable(spark, f"{out}/table", schema, "user_id", "days")
+    jobs.run_to_end(jobs.gap_alerts(_events(spark, sf), "user_id", "ts", alert=3), "update", f"{out}/checkpoint", jobs.upsert_into(target))
+    return target.read().select("user_id", "longest", "alert")
