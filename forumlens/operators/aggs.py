@@ -102,6 +102,7 @@ def rollup_labels(df: DataFrame, raw: str, label: Column, first: int = 500, size
 
 def multi_terms(df: DataFrame, keys: list[str]) -> DataFrame:
     """(panel, key, count) of several fields and of all rows, in one scan by grouping sets."""
+    keys = list(dict.fromkeys(keys))
     typed = df.select(*[F.col(k).cast("string").alias(k) for k in keys])
     out = typed.groupingSets([[], *[[k] for k in keys]], *keys).agg(F.count("*").alias("count"), F.grouping_id().alias("_g"))
     n = len(keys)
