@@ -37,7 +37,7 @@ WITH RECURSIVE crc_table AS (
          md5(coalesce(doc_id::VARCHAR, chr(0) || 'null')) AS m
   FROM documents, crc_table
 ), jump AS (
-  SELECT rid, 0 AS step, (('0x' || m[1:16])::UBIGINT::UHUGEINT * 2862933555777941757 + 1) % 18446744073709551616::UHUGEINT AS k,
+  SELECT rid, 0 AS step, ('0x' || m[1:16])::UBIGINT::UHUGEINT AS k,
          0::BIGINT AS j, 0::BIGINT AS shard, 0::BIGINT AS grown FROM sized
   UNION ALL
   SELECT rid, step + 1, k, j, CASE WHEN j < 40 THEN j ELSE shard END, CASE WHEN j < 41 THEN j ELSE grown END FROM (

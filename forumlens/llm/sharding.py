@@ -59,10 +59,8 @@ def jump_shards(hi: Column, lo: Column, n_shards: int) -> Column:
         return F.when(s["j"] > n_shards, s).otherwise(nxt)
 
     zero = F.lit(0).cast("long")
-    # The first step goes from bucket -1, and (-1 + 1) * x is 0: so it gives bucket 0, as the start state says,
-    # but it still advances the generator.
-    h, low = _lcg(hi, lo)
-    start = F.struct(h.alias("hi"), low.alias("lo"), zero.alias("j"), zero.alias("shard"), zero.alias("grown"))
+    # The first bucket of every key is 0.
+    start = F.struct(hi.alias("hi"), lo.alias("lo"), zero.alias("j"), zero.alias("shard"), zero.alias("grown"))
     most = n_shards + 1
     end = F.aggregate(F.sequence(F.lit(1), F.lit(min(most, SHORT))), start, step)
     if most > SHORT:

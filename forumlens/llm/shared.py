@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="forumlens-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
+from forumlens.session import fresh_dir
 
 
 def written(df: DataFrame) -> DataFrame:
     """`df` written as Parquet in the shared folder and read again: lineage is cut, and lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = fresh_dir(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -31,12 +20,6 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def with_columns_of(df: DataFrame, needed: dict[str, T.DataType | str]) -> DataFrame:
-    """`df` cut down to the needed columns, cast to their types; a column that is missing becomes null."""
-    have = set(df.columns)
-    return df.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in needed.items()])
-
-
 def numbered(df: DataFrame, group: str, part: Column, order: list[str], name: str) -> DataFrame:
     """Adds `name`, a long gapless from 0 within each value of `group`; no task holds a group.
 

@@ -99,6 +99,11 @@ def exact_products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return q @ v.T
 
 
+def at_most(score: int) -> float:
+    """A float that is not above the score."""
+    return float(score) - (abs(score) * 2.0**-52 if abs(score) >= 2**53 else 0.0)
+
+
 def best_of(q: np.ndarray, q_ids: np.ndarray, floors: np.ndarray, v: np.ndarray, v_ids: np.ndarray, turn: np.ndarray, k: int, lead: int) -> list[list[tuple[int, int]]]:
     """For each query its best (score, id) among the block, at most k; those below its floor may be missing."""
     best: list[list[tuple[int, int]]] = [[] for _ in q]
@@ -129,7 +134,7 @@ def best_of(q: np.ndarray, q_ids: np.ndarray, floors: np.ndarray, v: np.ndarray,
                 ok = ok[row[ok] >= np.sort(row[ok])[-k]]
             best[n] = sorted(best[n] + [(int(row[j]), int(ids[j])) for j in ok], key=lambda x: (-x[0], x[1]))[:k]
             if len(best[n]) == k:
-                floors[n] = max(floors[n], best[n][-1][0])
+                floors[n] = max(floors[n], at_most(best[n][-1][0]))
     return best
 
 
@@ -166,7 +171,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
             for i in range(b.num_rows):
                 q, q_ids, v, v_ids = arrays(b, i)
                 got = best_of(q, q_ids, np.full(len(q), -np.inf), v, v_ids, turn.value, k, lead)
-                out.append(np.asarray([x[-1][0] if len(x) == k else -np.inf for x in got], float))
+                out.append(np.asarray([at_most(x[-1][0]) if len(x) == k else -np.inf for x in got], float))
             yield pa.RecordBatch.from_pydict({"ask": b.column("ask"), "least": pa.array([float(x.min()) for x in out], pa.float64()), "floors": pa.array([x.tobytes() for x in out], pa.binary())})
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
