@@ -41,6 +41,9 @@ def majority_bits(hashes: np.ndarray) -> int:
     """The bits that are set in over half of the hashes; zero if there are none."""
     if not len(hashes):
         return 0
+    if len(hashes) == 3:
+        a, b, c = map(int, hashes)
+        return a & b | b & c | a & c
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = np.ascontiguousarray(hashes[at : at + (1 << 16)]).view(np.uint8).reshape(-1, 8)
@@ -149,8 +152,9 @@ def hamming_pairs(fps: DataFrame, budget: int, unit: int = UNIT) -> DataFrame:
         other = under.select("turn", F.col("p").alias("b"), F.col("vs").alias("ys"))
         same = pairs.filter("a = b").withColumn("ys", F.lit(None).cast("array<long>"))
         apart = pairs.filter("a <> b").join(other, ["turn", "b"])
-        found = same.unionByName(apart).select(F.explode(walk("turn", F.lit(depth), "diff", "xs", "ys")).alias("e")).select("e.a", "e.b")
-        found = written(found)
+        # The outer form keeps Spark from calling walk() beforehand, to see whether there is anything to explode.
+        found = same.unionByName(apart).select(F.explode_outer(walk("turn", F.lit(depth), "diff", "xs", "ys")).alias("e"))
+        found = written(found.select("e.a", "e.b")).filter("a is not null")
         out = found if out is None else out.union(found)
         large = front.filter(~small)
         if depth == BITS or large.isEmpty():
@@ -200,14 +204,14 @@ def sampled_fingerprints(text: str, width: int, tables: int = TABLES, sampled: i
     h = np.unique(shingle_hashes(text, width))
     if not len(h):
         return []
-    out = []
-    for t in range(tables):
-        order = h * np.uint64(2 * 0x9E3779B97F4A7C15 * (t + 1) + 1 & MASK)
-        order ^= order >> np.uint64(29)
-        first = h[np.argsort(order, kind="stable")[:sampled]] if len(h) > sampled else h
-        mark = majority_bits(first)
-        out.append(signed((mark ^ (0xD6E8FEB86659FD93 * (t + 1))) & MASK))
-    return out
+    turn = np.asarray([(2 * 0x9E3779B97F4A7C15 * (t + 1) + 1) & MASK for t in range(tables)], np.uint64)
+    salt = [(0xD6E8FEB86659FD93 * (t + 1)) & MASK for t in range(tables)]
+    if len(h) <= sampled:
+        return [signed(majority_bits(h) ^ s) for s in salt]
+    order = h[None, :] * turn[:, None]
+    order ^= order >> np.uint64(29)
+    first = h[np.argpartition(order, sampled - 1, axis=1)[:, :sampled]]
+    return [signed(majority_bits(x) ^ s) for x, s in zip(first, salt, strict=True)]
 
 
 def similar_pairs(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
@@ -237,7 +241,8 @@ def similar_pairs(docs: DataFrame, id_col: str, text_col: str, width: int, simil
         return pd.Series(out, dtype="float64")
 
     base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    marks = written(base.select("id", marks_of("text").alias("fps")).select("id", F.explode("fps").alias("fp")).distinct())
+    marks = base.select("id", marks_of("text").alias("fps")).select("id", F.explode_outer("fps").alias("fp"))
+    marks = written(marks.filter("fp is not null").distinct())
     sizes = marks.groupBy("fp").agg(F.count("*").alias("n"))
     near = hamming_pairs(sizes.select("fp"), 1)
     # A fingerprint that the trie finds one bit off lends its bucket to its neighbour.
