@@ -38,6 +38,29 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return salted.groupBy("digest", "content").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"))
 
 
+def _groups(docs: DataFrame, id_col: str, text_col: str, salts: int, digest) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(groups with contents, written groups without contents, digests of more than one content or None)."""
+    groups = duplicate_groups(docs, id_col, text_col, salts, digest)
+    found = written(groups.select("digest", "keep_id", "group_size"))
+    collided = found.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
+    return groups, found, None if collided.isEmpty() else collided
+
+
+def _found_by(rows: DataFrame, groups: DataFrame, found: DataFrame, collided: DataFrame | None, content: Column, join) -> DataFrame:
+    """`join(rows, groups, keys)` by digest; for digests of more than one content by digest and content."""
+    if collided is None:
+        return join(rows, found, ["digest"])
+    clear = join(rows, found.join(collided, "digest", "left_anti"), ["digest"])
+    mixed = rows.join(collided, "digest", "left_semi").withColumn("content", content)
+    return clear.unionByName(join(mixed, groups.join(collided, "digest", "left_semi"), ["digest", "content"]).drop("content"))
+
+
+def _prepared(docs: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
+    """The columns of `docs` as a struct `row`, with id, digest and a text `key` of the id that is never null."""
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit("\x00null"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), key.alias("key"), digest(normalised(text_or_empty(text_col))).alias("digest"))
+
+
 def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest=sha256_of) -> DataFrame:
     """All rows and columns of `docs`, plus dedup_digest, dedup_keep_id, dedup_group_size, dedup_kept.
 
@@ -46,31 +69,34 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     An empty table gives an empty result. Columns of the input never clash: ours are prefixed `dedup_`, and an
     input column of such a name is replaced.
     """
-    cols = [c for c in docs.columns if not c.startswith("dedup_")]
-    groups = duplicate_groups(docs, id_col, text_col, salts, digest)
-    found = written(groups.select("digest", F.xxhash64("content").alias("content_hash"), "keep_id", "group_size"))
-    collided = found.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    content = normalised(text_or_empty(text_col))
-    base = docs.select(*[F.col(f"`{c}`") for c in cols], digest(content).alias("dedup_digest"))
-    info = ["keep_id", "group_size"]
-    if collided.isEmpty():
-        g = found.select(F.col("digest").alias("dedup_digest"), *[F.col(c).alias(f"dedup_{c}") for c in info])
-        out = base.join(g, "dedup_digest")
-    else:
-        bad = collided.withColumnRenamed("digest", "dedup_digest")
-        g = found.join(collided, "digest", "left_anti").select(F.col("digest").alias("dedup_digest"), *[F.col(c).alias(f"dedup_{c}") for c in info])
-        h = groups.join(collided, "digest", "left_semi").select(F.col("digest").alias("dedup_digest"), F.col("content").alias("dedup_content"), *[F.col(c).alias(f"dedup_{c}") for c in info])
-        clear = base.join(g, "dedup_digest")
-        mixed = base.join(bad, "dedup_digest", "left_semi").withColumn("dedup_content", content).join(h, ["dedup_digest", "dedup_content"]).drop("dedup_content")
-        out = clear.unionByName(mixed)
-    first = F.col(f"`{id_col}`").eqNullSafe(F.col("dedup_keep_id"))
-    # Among rows of one id and group any may stay; the window is by id, so a large group is dealt over many tasks.
-    w = Window.partitionBy(id_col, "dedup_digest", "dedup_keep_id").orderBy(F.lit(0))
-    out = out.withColumn("dedup_kept", first & (F.row_number().over(w) == 1))
-    return out.select(*[F.col(f"`{c}`") for c in cols], "dedup_digest", "dedup_keep_id", "dedup_group_size", "dedup_kept")
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows that stay, with the columns of `docs`."""
-    cols = docs.columns
-    return mark_duplicates(docs, id_col, text_col, salts).filter("dedup_kept").select(*[F.col(f"`{c}`") for c in cols])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if not c.startswith("dedup_")])
+    parts = _groups(docs, id_col, text_col, salts, digest)
+    rows, cols = _prepared(docs, id_col, text_col, digest), docs.columns
+    content = normalised(F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit("")))
+    out = _found_by(rows, *parts, content, lambda r, g, on: r.join(g.select(*on, "keep_id", "group_size"), on))
+    # Rows that repeat an id are told apart in a window by id and not by digest, so that Spark can split the join
+    # above where a group is large. Rows without an id are dealt by digest.
+    spread = Window.partitionBy(F.when(F.col("id").isNull(), F.concat("key", "digest")).otherwise(F.col("key"))).orderBy("digest", "keep_id", "group_size")
+    same = [F.lag(c).over(spread).eqNullSafe(F.col(c)) for c in ("digest", "keep_id", "group_size")]
+    kept = F.col("id").eqNullSafe(F.col("keep_id")) & ~(same[0] & same[1] & same[2])
+    return out.withColumn("kept", kept).select(
+        *[F.col(f"row.`{c}`").alias(c) for c in cols], F.col("digest").alias("dedup_digest"), F.col("keep_id").alias("dedup_keep_id"),
+        F.col("group_size").alias("dedup_group_size"), F.col("kept").alias("dedup_kept"),
+    )
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest=sha256_of) -> DataFrame:
+    """The rows that mark_duplicates() marks as kept, with the columns of `docs`.
+
+    Rows are joined to the groups by digest and kept id together, so no group, however large, meets in one task.
+    """
+    parts = _groups(docs, id_col, text_col, salts, digest)
+    rows, cols = _prepared(docs, id_col, text_col, digest), docs.columns
+    content = normalised(F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit("")))
+
+    def join(r: DataFrame, g: DataFrame, on: list[str]) -> DataFrame:
+        first = g.select(*on, F.coalesce(F.col("keep_id").cast("string"), F.lit("\x00null")).alias("key"))
+        one = Window.partitionBy("key", *on).orderBy("key")
+        return r.join(first, ["key", *on]).withColumn("n", F.row_number().over(one)).filter("n = 1").drop("n")
+
+    return _found_by(rows, *parts, content, join).select(*[F.col(f"row.`{c}`").alias(c) for c in cols])

@@ -34,8 +34,12 @@ def test_groups_match_brute_force(spark, digest):
     assert all(i == min((x for x in groups[t] if x is not None), default=None) for t, i in kept)
 
 
-def test_keep_first_and_empty(spark):
+@pytest.mark.parametrize("digest", [exact_dedup.sha256_of, lambda t: F.substring(F.sha2(t, 256), 1, 1)])
+def test_keep_first_and_empty(spark, digest):
     df = spark.createDataFrame(corpus(), DOCS)
-    kept = exact_dedup.keep_first(df)
+    kept = exact_dedup.keep_first(df, digest=digest)
+    marked = exact_dedup.mark_duplicates(df).filter("dedup_kept").select("doc_id", "text")
+    norm = lambda rs: Counter((r.doc_id, re.sub("[\x20\x09-\x0d]+", " ", r.text or "")) for r in rs)
+    assert norm(kept.collect()) == norm(marked.collect())
     assert kept.columns == df.columns and kept.count() == len({re.sub("[\x20\x09-\x0d]+", " ", t or "") for _, t, _ in corpus()})
     assert exact_dedup.keep_first(spark.createDataFrame([], DOCS)).count() == 0
