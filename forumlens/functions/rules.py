@@ -84,3 +84,11 @@ def relevant(c: Column | str, words: list[str], phrases: list[str]) -> Column:
     for p in phrases:
         out = out | s.contains(p)
     return out
+
+
+def regions_in_text(c: Column | str, aliases: dict[str, str]) -> Column:
+    """The distinct codes whose alias stands in the text as a word of its own, longest aliases first."""
+    s = F.lower(F.coalesce(col(c), F.lit("")))
+    order = sorted(aliases.items(), key=lambda a: (-len(a[0]), a[0]))
+    hits = F.array(*[F.when(s.rlike(f"(^|[^a-z]){alias}([^a-z]|$)"), code) for alias, code in order])
+    return F.array_distinct(F.array_compact(hits))

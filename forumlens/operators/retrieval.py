@@ -160,3 +160,19 @@ def field_boost(df: DataFrame, query: str, id_col: str, fields: dict[str, float]
         scores = s if scores is None else scores.join(s, id_col)
     best = F.greatest(*[F.col(f"_f{i}") for i in range(len(fields))]) if len(fields) > 1 else F.col("_f0")
     return scores.select(id_col, F.round(best, 6).alias("score")).filter("score > 0").orderBy(F.desc("score"), id_col).limit(k)
+
+
+def adapter_fusion(df: DataFrame, query: str, id_col: str, text: str, k: int) -> DataFrame:
+    """(id, rank, score): both lists cut to k, fused and reranked, and not cut again: up to 2k rows."""
+    docs = gate(with_tokens(df, text), query)
+    lists = [ranked(bm25(docs, docs, query, id_col), "bm25", id_col, k), ranked(dense(docs, query, id_col), "dense", id_col, k)]
+    hits = F.broadcast(rrf(lists, id_col)).join(df.select(id_col, F.col(text).alias("_text")), id_col)  # at most 2k rows
+    scored = hits.select(id_col, F.round(rerank_score(F.col("fused"), None, F.col("_text"), query), 6).alias("score"))
+    return ranked(scored, "score", id_col, 2 * k).select(id_col, "rank", "score")
+
+
+def match_latest(df: DataFrame, query: str, fields: list[str], stamp: str, id_col: str, k: int) -> DataFrame:
+    """Rows in which any query term stands in any of the fields, latest first: relevance does not rank them."""
+    terms = F.array(*map(F.lit, sorted(set(tokens_of(query)))))
+    hit = F.arrays_overlap(tokenize(F.concat_ws(" ", *fields)), terms)
+    return df.filter(hit).orderBy(F.col(stamp).desc_nulls_last(), id_col).limit(k)

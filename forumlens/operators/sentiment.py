@@ -65,3 +65,21 @@ def attach(df: DataFrame, text: Column | str, lex: Lexicon = HOUSING) -> DataFra
     d = domain_score(text, lex)
     out = df.withColumn("_d", d).withColumn("sentiment", F.round(blend(F.col("_d")), 4))
     return out.withColumns({"sentiment_label": label("sentiment"), "subjectivity": F.round(F.least(F.lit(1.0), F.abs(F.col("_d")) + 0.15), 4)}).drop("_d")
+
+
+def live_text(text: Column | str, strip_links: bool = True) -> Column:
+    """Text as the live variants score it: lower case, hash signs as spaces; links and mentions go unless told not to."""
+    s = F.lower(F.coalesce(col(text), F.lit("")))
+    if strip_links:
+        s = F.regexp_replace(F.regexp_replace(s, r"https?://[^ \t\n\r\f\x0B]+|www\.[^ \t\n\r\f\x0B]+", " "), r"@[a-z0-9_.]+", " ")
+    return F.replace(s, F.lit("#"), F.lit(" "))
+
+
+def attach_live(df: DataFrame, text: Column | str, lex: Lexicon = HOUSING, strip_links: bool = True) -> DataFrame:
+    """The live variant: the domain score alone; subjectivity is 0.15 at least where there are words."""
+    clean = live_text(text, strip_links)
+    score = domain_score(clean, lex)
+    words = F.size(F.regexp_extract_all(clean, F.lit("[a-zA-Z']+"), F.lit(0)))
+    out = df.withColumn("_d", score).withColumn("_n", words).withColumn("sentiment", F.round("_d", 4))
+    subjectivity = F.when(F.col("_n") > 0, F.least(F.lit(1.0), F.abs("_d") + 0.15)).otherwise(0.0)
+    return out.withColumns({"sentiment_label": label("sentiment"), "subjectivity": F.round(subjectivity, 4)}).drop("_d", "_n")

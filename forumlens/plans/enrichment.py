@@ -8,6 +8,7 @@ from forumlens.functions import dates, pii, rules, text
 from forumlens.operators import filters, normalise, sentiment
 from forumlens.plans.registry import query
 from forumlens.session import table
+from forumlens.sources import readers
 
 _SP = r"[ \t\n\r\f\x0B]+"
 
@@ -213,3 +214,40 @@ FROM pages WHERE regexp_matches(html, '(?i)housing|rent') OR contains(html, 'Con
 def three_prong_filter_with_reason(spark, sf):
     keep, reasons = filters.any_reason({"theme": F.col("html").rlike("(?i)housing|rent"), "place": F.col("html").contains("Contact"), "domain": F.col("url").contains(".au") | (F.col("page_id") % 3 == 0)})
     return table(spark, sf, "pages").filter(keep).select("page_id", reasons.alias("reasons"))
+
+
+ALIASES = {"thing": "T", "ion": "I", "the": "D", "is and": "A"}
+
+
+@query(
+    "regions_in_text",
+    "SELECT doc_id, array_to_string(h, ',') AS codes FROM (SELECT doc_id, list_filter(["
+    + ", ".join(f"CASE WHEN regexp_matches(lower(text), '(^|[^a-z]){a}([^a-z]|$)') THEN '{c}' END" for a, c in sorted(ALIASES.items(), key=lambda a: (-len(a[0]), a[0])))
+    + "], lambda x: x IS NOT NULL) AS h FROM documents)",
+)
+def regions_in_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.array_join(rules.regions_in_text("text", ALIASES), ",").alias("codes"))
+
+
+@query("profile_threads", "SELECT count(*) AS threads, count(*) FILTER (n > 1) AS with_items, sum(n - 1)::BIGINT AS items FROM (SELECT conv_id, count(turn) AS n FROM conversations GROUP BY 1)")
+def profile_threads(spark, sf):
+    return readers.profile_threads(table(spark, sf, "conversations"), "conv_id", "turn")
+
+
+@query("clamp_values", "SELECT event_id, greatest(10.0::DOUBLE, least(50.0::DOUBLE, value)) AS value FROM events")
+def clamp_values(spark, sf):
+    return table(spark, sf, "events").select("event_id", text.clamp("value", 10.0, 50.0).alias("value"))
+
+
+@query("source_group", "SELECT page_id, CASE WHEN contains(url, '/') THEN split_part(url, '/', 1) ELSE 'unknown' END AS source_group FROM pages")
+def source_group(spark, sf):
+    return table(spark, sf, "pages").select("page_id", rules.source_group("url").alias("source_group"))
+
+
+@query(
+    "sentiment_live_variant",
+    _sentiment_sql("(SELECT doc_id, replace(regexp_replace(regexp_replace(lower(text), 'https?://[^ \\t\\n\\r\\f\\x0B]+|www\\.[^ \\t\\n\\r\\f\\x0B]+', ' ', 'g'), '@[a-z0-9_.]+', ' ', 'g'), '#', ' ') AS text FROM documents)", "doc_id").replace("CASE WHEN d = 0 THEN 0.35 * d ELSE 0.65 * d END", "d")
+    + "SELECT doc_id, sentiment, sentiment_label FROM f",
+)
+def sentiment_live_variant(spark, sf):
+    return sentiment.attach_live(table(spark, sf, "documents"), "text", _LEX).select("doc_id", "sentiment", "sentiment_label")

@@ -117,3 +117,20 @@ SELECT page_id, round(greatest(s0.s, s1.s), 6) AS score FROM s0 JOIN s1 USING (p
 )
 def field_boost_match(spark, sf):
     return retrieval.field_boost(table(spark, sf, "pages"), "about the news", "page_id", {"url": 2.0, "html": 1.0}, 20)
+
+
+@query(
+    "adapter_fusion",
+    _base_sql("true").replace("LIMIT 40", "LIMIT 10").replace("n AS (SELECT greatest(count(*), 1) AS n FROM c)", "n AS (SELECT greatest(count(*), 1) AS n FROM d)").replace("(SELECT count(*) FROM c WHERE", "(SELECT count(*) FROM d WHERE")
+    + "z AS (SELECT 1) SELECT doc_id, (row_number() OVER (ORDER BY score DESC, doc_id))::INT AS rank, score FROM re",
+)
+def adapter_fusion(spark, sf):
+    return retrieval.adapter_fusion(table(spark, sf, "documents"), QUERY, "doc_id", "text", 10)
+
+
+@query(
+    "match_latest",
+    rf"SELECT doc_id, n_chars FROM documents WHERE list_has_any({_TOKENS.format("source || ' ' || text")}, ['apache', 'mit']) ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 25",
+)
+def match_latest(spark, sf):
+    return retrieval.match_latest(table(spark, sf, "documents"), "MIT Apache", ["source", "text"], "n_chars", "doc_id", 25).select("doc_id", "n_chars")

@@ -91,3 +91,9 @@ def read_zipped_tsv(spark: SparkSession, path: str) -> DataFrame:
 
     zips = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path)
     return zips.select("path", "content").mapInPandas(unzip, GKG)
+
+
+def profile_threads(df: DataFrame, key: str, order: str) -> DataFrame:
+    """(threads, with_items, items): threads, those with items after their head, and how many such items there are."""
+    per = df.groupBy(key).agg(F.count(order).alias("n"))
+    return per.agg(F.count("*").alias("threads"), F.count(F.when(F.col("n") > 1, 1)).alias("with_items"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("items"))
