@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import tiktoken
@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 PLAIN = re.compile(r"[^\n\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-ſ]")
 DOUBLE = re.compile(r"[ \n][ \n]")
 #: Entries of a worker's cache; when it is full it starts anew.
-CACHE = 400_000
+CACHE = 150_000
 
 
 def load(path: str) -> Tokenizer:
@@ -80,12 +80,20 @@ class Encoder:
     """Encodes texts with a PieceCache. `value` is len, or ids_bytes for ids as little-endian 32-bit integers."""
 
     def __init__(self, path: str, value, known: dict | None = None):
-        self.tokenizer, self.value = load(path), value
+        self.path, self.value = path, value
         fast = ranked(path)
-        encode = fast.encode_ordinary if fast else lambda piece: self.tokenizer.encode(piece, add_special_tokens=False).ids
-        self.pieces = PieceCache(encode, value, known)
+        self.pieces = PieceCache(fast.encode_ordinary if fast else self.whole, value, known)
         self.feed = self.pieces["\n"]
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            self.added = [t["content"] for t in json.load(f).get("added_tokens", [])]
+
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """The library's tokenizer, loaded for the first text that needs it: it takes more memory than all else."""
+        return load(self.path)
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def simple(self, text: str) -> bool:
         return not (PLAIN.search(text) or DOUBLE.search(text) or any(a in text for a in self.added))
@@ -95,7 +103,7 @@ class Encoder:
         if not text:
             return []
         if not self.simple(text):
-            return [self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)]
+            return [self.value(self.whole(text))]
         get, out = self.pieces.__getitem__, []
         for k, line in enumerate(text.split("\n")):
             if k:

@@ -13,6 +13,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -60,11 +61,17 @@ def _by(share: float, bad: float, good: float) -> str:
     return BAD if share >= bad else GOOD if share <= good else NONE
 
 
-def votes(text: str) -> dict[str, str]:
-    """The votes of the heuristic labellers of each head, one letter a labeller. An empty text gets none."""
+def parse(text: str) -> tuple[list[str], dict[str, float]]:
+    """The words of a text in lower case, and its shape."""
     words = WORD.findall(text.lower())
-    s, n = shape(text, words), len(words)
-    insults = sum(w in INSULTS for w in words)
+    return words, shape(text, words)
+
+
+def votes(text: str, parsed: tuple[list[str], dict[str, float]]) -> dict[str, str]:
+    """The votes of the heuristic labellers of each head, one letter a labeller. An empty text gets none."""
+    words, s = parsed
+    n = len(words)
+    insults = sum(map(INSULTS.__contains__, words))
     junk = NONE * 5
     if s:
         junk = "".join(
@@ -77,7 +84,7 @@ def votes(text: str) -> dict[str, str]:
             ]
         )
     # The list is English: it says nothing on a text in another language that holds none of it.
-    clear = GOOD if n >= 20 and sum(w in ENGLISH for w in words) >= 0.05 * n else NONE
+    clear = GOOD if n >= 20 and sum(map(ENGLISH.__contains__, words)) >= 0.05 * n else NONE
     return {"junk": junk, "toxic": (BAD if insults else clear) + (BAD if insults > 1 else NONE if insults else clear)}
 
 
@@ -85,22 +92,20 @@ class Hasher(dict):
     """word -> its features, kept for a worker's life and cleared when it grows."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         out = self[word] = tuple(zlib.crc32(x.encode()) % WIDTH for x in (f"w {word}", f"4 {word[:4]}", f"5 {word[:5]}")[: 3 if len(word) > 4 else 1])
         return out
 
 
-def features(text: str, hasher: Hasher) -> np.ndarray:
+def features(parsed: tuple[list[str], dict[str, float]], hasher: Hasher) -> np.ndarray:
     """Distinct hashed features of a whole text."""
-    words = WORD.findall(text.lower())
-    found: set[int] = set()
-    for w in set(words):
-        found.update(hasher[w])
-    for name, share in shape(text, words).items():
+    words, shares = parsed
+    found = set(chain.from_iterable(map(hasher.__getitem__, set(words))))
+    for name, share in shares.items():
         # One feature for each tenth that is reached, so that weights add up along the scale.
         found.update(zlib.crc32(f"s {name} {k}".encode()) % WIDTH for k in range(1, int(share * 20) + 1))
-    return np.fromiter(sorted(found), np.int32, len(found))
+    return np.fromiter(found, np.int32, len(found))
 
 
 #: The last labeller, the human one, is taken to vote against the truth in at most this share of its votes.
@@ -179,14 +184,19 @@ VOTES = T.StructType([T.StructField(h, T.StringType()) for h in HEADS])
 
 @F.pandas_udf(VOTES)
 def votes_of(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([votes(t) for t in texts], columns=list(HEADS))
+    return pd.DataFrame([votes(t, parse(t)) for t in texts], columns=list(HEADS))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def features_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.pandas_udf(T.StructType([*VOTES.fields, T.StructField("f", T.ArrayType(T.IntegerType()))]))
+def votes_and_features_of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     hasher = Hasher()
     for batch in texts:
-        yield pd.Series([features(t, hasher) for t in batch])
+        rows = []
+        for t in batch:
+            parsed = parse(t)
+            v = votes(t, parsed)
+            rows.append((v["junk"], v["toxic"], features(parsed, hasher)))
+        yield pd.DataFrame(rows, columns=[*HEADS, "f"])
 
 
 def human_votes(labels: DataFrame) -> DataFrame:
@@ -216,8 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     voted = base.select("_id", votes_of("_text").alias("v")).join(human, "_id", "left").select(*joined("v"))
     # At most 3 ** 6 times 3 ** 3 patterns, whatever the corpus.
     counts = voted.groupBy(*HEADS).agg(F.count("*").alias("n")).collect()
-    some = labelled_sample(base, human, sum(r.n for r in counts), sample).select(features_of("_text").alias("f"), votes_of("_text").alias("v"), *[f"h_{h}" for h in HEADS])
-    some = some.select("f", *joined("v")).toPandas()
+    some = labelled_sample(base, human, sum(r.n for r in counts), sample).select(votes_and_features_of("_text").alias("v"), *[f"h_{h}" for h in HEADS])
+    some = some.select("v.f", *joined("v")).toPandas()
     model = {}
     for head in HEADS:
         by_pattern: Counter = Counter()
@@ -243,7 +253,8 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
         for batch in texts:
             rows = []
             for t in batch:
-                f, v = features(t, hasher), votes(t)
+                parsed = parse(t)
+                f, v = features(parsed, hasher), votes(t, parsed)
                 z = [float(np.clip(weights[h][0][f].sum() + weights[h][1], -30, 30)) for h in HEADS]
                 rows.append((f"{v['junk']}/{v['toxic']}", *(1 / (1 + np.exp(-x)) for x in z)))
             yield pd.DataFrame(rows, columns=["votes", *HEADS])

@@ -10,9 +10,11 @@ a pair with many goes four bits down in a Spark join first, again and again, so
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -231,14 +233,14 @@ def similar_pairs(docs: DataFrame, id_col: str, text_col: str, width: int, simil
     def set_of(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(shingle_hashes(t, width).astype(np.uint32)).tobytes() for t in texts], dtype=object)
 
-    @F.pandas_udf("double")
-    def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y, strict=True):
-            a, b = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(both / max(1, len(a) + len(b) - both))
-        return pd.Series(out, dtype="float64")
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):  # without copies of the sets
+                p, q = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= similarity * max(1, len(p) + len(q) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     marks = base.select("id", marks_of("text").alias("fps")).select("id", F.explode_outer("fps").alias("fp"))
@@ -262,7 +264,7 @@ def similar_pairs(docs: DataFrame, id_col: str, text_col: str, width: int, simil
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = written(base.join(ids, "id", "left_semi").select("id", set_of("text").alias("set")).dropDuplicates(["id"]))
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return both.filter(jaccard("x", "y") >= similarity).select("a", "b")
+    return both.select("a", "b", "x", "y").mapInArrow(verify, pairs.schema)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
