@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,8 +55,3 @@ def refresh_panels(panels: dict[str, DataFrame], path: str) -> None:
 
 def read_panel(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}")
-
-
-def part_path(path: str) -> str:
-    """A folder of its own below `path`."""
-    return f"{path.rstrip('/')}/{uuid.uuid4().hex}"
