@@ -9,6 +9,7 @@ a pair with many goes four bits down in a Spark join first, again and again, so
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -193,78 +194,188 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 #: Fingerprints a document gets for similarity search, and shingles that each is made of.
 TABLES, SAMPLED = 8, 3
-#: Buckets up to this size are paired within; in larger ones every member is paired with the bucket's centre.
+#: Buckets up to this size are paired within; in larger ones every member is paired with the bucket's centre first.
 SMALL = 12
+#: Shingles by which samples grow for the members of buckets that their centre leaves open.
+DEEPER = 4
+#: Share of pairs at the very threshold that a deeper level may leave without a common sample.
+MISSED = 0.003
 
 
-def sampled_fingerprints(text: str, width: int, tables: int = TABLES, sampled: int = SAMPLED) -> list[int]:
+def sampled_fingerprints(hashes: np.ndarray, tables: int = TABLES, sampled: int = SAMPLED) -> list[int]:
     """One fingerprint a table, each of the `sampled` shingles that come first in the table's own order of hashes.
 
-    Texts of Jaccard similarity j have the same sample, and so the same fingerprint, in a share j ** sampled of the
-    tables. A text without words has none.
+    `hashes` are the distinct shingle hashes of a text. Texts of Jaccard similarity j have the same sample, and so
+    the same fingerprint, in a share j ** sampled of the tables. A text without words has none.
     """
-    h = np.unique(shingle_hashes(text, width))
+    h = hashes.astype(np.uint64)
     if not len(h):
         return []
-    turn = np.asarray([(2 * 0x9E3779B97F4A7C15 * (t + 1) + 1) & MASK for t in range(tables)], np.uint64)
     salt = [(0xD6E8FEB86659FD93 * (t + 1)) & MASK for t in range(tables)]
     if len(h) <= sampled:
         return [signed(majority_bits(h) ^ s) for s in salt]
-    order = h[None, :] * turn[:, None]
-    order ^= order >> np.uint64(29)
-    first = h[np.argpartition(order, sampled - 1, axis=1)[:, :sampled]]
-    return [signed(majority_bits(x) ^ s) for x, s in zip(first, salt, strict=True)]
+    turn = np.asarray([(2 * 0x9E3779B97F4A7C15 * (t + 1) + 1) & MASK for t in range(tables)], np.uint64)
+    out, step = [], max(8, (1 << 18) // len(h))  # bounded memory for many tables
+    for at in range(0, tables, step):
+        order = h[None, :] * turn[at : at + step, None]
+        order ^= order >> np.uint64(29)
+        first = h[np.argpartition(order, sampled - 1, axis=1)[:, :sampled]]
+        out += [signed(majority_bits(x) ^ s) for x, s in zip(first, salt[at : at + step], strict=True)]
+    return out
+
+
+def _spread(part: np.ndarray) -> np.ndarray:
+    """64-bit hashes of 32-bit ones (the finaliser of MurmurHash3)."""
+    h = part.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    for by in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(by)
+    return h ^ (h >> np.uint64(33))
+
+
+def _bucketed(marks: DataFrame, lend: bool) -> DataFrame:
+    """(id, fp, n): members of buckets of two or more, n being the size.
+
+    lend: a fingerprint that the trie join finds one bit off lends its bucket to its neighbour.
+    """
+    sizes = marks.groupBy("fp").agg(F.count("*").alias("n"))
+    member = marks
+    if lend:
+        near = hamming_pairs(sizes.select("fp"), 1)
+        lent = near.select(F.col("a").alias("fp"), F.col("b").alias("to")).union(near.select(F.col("b"), F.col("a")))
+        lent = marks.join(lent, "fp").select("id", F.col("to").alias("fp"))
+        shared = sizes.filter("n > 1").select("fp").union(lent.select("fp")).distinct()
+        member = written(marks.join(shared, "fp").select("id", "fp").union(lent).distinct())
+        sizes = member.groupBy("fp").agg(F.count("*").alias("n"))
+    return member.join(sizes.filter("n > 1"), "fp").select("id", "fp", "n")
+
+
+def _candidates(placed: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b: all within small buckets; in large ones each member with the centre.
+
+    The centre is the member whose buckets are largest: copies of an original share more samples with it than with
+    each other, so the original stands in the centre.
+    """
+    weight = placed.groupBy("id").agg(F.sum("n").alias("w"))
+    centre = placed.join(weight, "id").groupBy("fp").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("other"))
+    starred = placed.select("id", "fp").join(centre, "fp").select("id", "other")
+    few = placed.filter(F.col("n") <= SMALL)
+    within = few.select("id", "fp").join(few.select(F.col("id").alias("other"), "fp"), "fp").filter("id < other").select("id", "other")
+    pairs = starred.filter("id <> other").union(within).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    return pairs.distinct()
+
+
+def _labelled(rows: DataFrame, labels: DataFrame, id_col: str, name: str) -> DataFrame:
+    """`rows` with the component of `id_col`, which is its own where no link reaches it."""
+    known = labels.select(F.col("node").alias(id_col), F.col("label").alias(name))
+    return rows.join(known, id_col, "left").withColumn(name, F.coalesce(name, id_col))
 
 
-def similar_pairs(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """Pairs (a, b), a < b, of ids whose texts' shingle sets have a Jaccard similarity of at least `similarity`.
+def _unsettled(placed: DataFrame, labels: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """(id, fp, label, lead, others) of large buckets: members that may yet be linked to another component's.
+
+    lead: the component of most of them; others: how many are outside it. Texts x and y of similarity s share at least
+    s / (1 + s) * (|x| + |y|) shingles, of which neither holds more than its `common` ones. So x has partners of
+    at least s * |x| and at most `upto` shingles only, and those must admit |x| in turn. That is looked up by classes of
+    sizes, a twentieth wide, so that no bucket is sorted or paired.
+    """
+    large = _labelled(placed.filter(F.col("n") > SMALL).select("id", "fp"), labels, "id", "label").join(sizes, "id")
+    most = F.least(F.col("size") / similarity, F.col("common") * ((1 + similarity) / similarity) - F.col("size")) + 1e-6
+    large = large.withColumn("upto", most).withColumn("from", F.col("size") * similarity - 1e-6).filter(F.col("upto") >= F.col("from"))
+    step = lambda c: F.floor(F.log(F.col(c)) / math.log(1.05))
+    held = large.groupBy("fp", step("size").alias("c")).agg(
+        F.min("label").alias("l"), F.max("label").alias("m"), F.min("size").alias("low"), F.max("size").alias("high"), F.max("upto").alias("admits"))
+    asks = large.withColumn("c", F.explode(F.sequence(step("from"), step("upto"))))
+    fits = "(l <> label or m <> label) and low <= upto and high >= `from` and admits >= size"
+    going = asks.join(held, ["fp", "c"]).filter(fits).select("id", "fp", "label").distinct()
+    going = written(going)
+    parts = going.groupBy("fp", "label").agg(F.count("*").alias("k"))
+    parts = parts.groupBy("fp").agg(F.max_by("label", F.struct("k", -F.col("label"))).alias("lead"), (F.sum("k") - F.max("k")).alias("others"))
+    return written(going.join(parts.filter("others > 0"), "fp").select("id", "fp", "label", "lead", "others"))
+
+
+def _set_sizes(sets: DataFrame) -> DataFrame:
+    """(id, size, common) of (id, set): shingles, and those of them that another set holds too.
+
+    Counts are combined before the shuffle, so that a frequent shingle does no harm.
+    """
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x in zip(batch.column("id"), batch.column("set"), strict=True):
+                h = np.frombuffer(x.as_buffer(), np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i.as_py(), np.int64)), pa.array(h)], ["id", "h"])
+
+    held = sets.select(F.col("id").cast("long"), "set").mapInArrow(shingles, "id long, h int").groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    own = held.filter("n = 1").groupBy("id").agg(F.count("*").alias("own"))
+    size = F.length("set") / 4
+    return sets.join(own, "id", "left").select("id", size.alias("size"), (size - F.coalesce("own", F.lit(0))).alias("common"))
+
+
+def similar_components(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """(node, label): the components of ids whose texts' shingle sets have a Jaccard similarity of `similarity` or more.
 
     Candidates are the members of a bucket, which is one sampled fingerprint, or two that a trie join finds one bit
-    apart. Small buckets are paired within. In a large one each member is paired with the centre, the member whose
-    buckets are largest: copies of an original share more samples with it than with each other, so the original
-    stands in the centre. Every candidate is verified on the whole sets.
+    apart. Small buckets are paired within, large ones with their centre, and every pair is verified on the whole
+    sets. What that leaves open in a large bucket are its members outside the leading component; those that can have
+    no partner by their sizes are set aside. If few are left, each is paired with all others of the bucket; else the
+    members get larger samples in more tables, whose buckets are smaller, until all are settled. Ids without a
+    link are not listed.
     """
 
     @F.pandas_udf("array<long>")
     def marks_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([sampled_fingerprints(t, width) for t in texts], dtype=object)
+        return pd.Series([sampled_fingerprints(np.unique(shingle_hashes(t, width))) for t in texts], dtype=object)
 
     @F.pandas_udf("binary")
     def set_of(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(shingle_hashes(t, width).astype(np.uint32)).tobytes() for t in texts], dtype=object)
 
+    def deeper_marks(tables: int, sampled: int):
+        @F.pandas_udf("array<long>")
+        def f(sets: pd.Series) -> pd.Series:
+            return pd.Series([sampled_fingerprints(_spread(np.frombuffer(x, np.uint32)), tables, sampled) for x in sets], dtype=object)
+
+        return f
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):  # without copies of the sets
                 p, q = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-                both = len(np.intersect1d(p, q, assume_unique=True))
+                both = 0
+                if min(len(p), len(q)) >= similarity * max(len(p), len(q)):
+                    both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(both >= similarity * max(1, len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        return written(both.select("a", "b", "x", "y").mapInArrow(verify, pairs.schema))
+
     base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     marks = base.select("id", marks_of("text").alias("fps")).select("id", F.explode_outer("fps").alias("fp"))
-    marks = written(marks.filter("fp is not null").distinct())
-    sizes = marks.groupBy("fp").agg(F.count("*").alias("n"))
-    near = hamming_pairs(sizes.select("fp"), 1)
-    # A fingerprint that the trie finds one bit off lends its bucket to its neighbour.
-    lent = near.select(F.col("a").alias("fp"), F.col("b").alias("to")).union(near.select(F.col("b"), F.col("a")))
-    lent = marks.join(lent, "fp").select("id", F.col("to").alias("fp"))
-    shared = sizes.filter("n > 1").select("fp").union(lent.select("fp")).distinct()
-    member = written(marks.join(shared, "fp").select("id", "fp").union(lent).distinct())
-    size = member.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1")
-    placed = member.join(size, "fp")
-    weight = placed.groupBy("id").agg(F.sum("n").alias("w"))
-    centre = placed.join(weight, "id").groupBy("fp").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("other"))
-    starred = placed.select("id", "fp").join(centre, "fp").select("id", "other")
-    few = placed.filter(F.col("n") <= SMALL)
-    within = few.select("id", "fp").join(few.select(F.col("id").alias("other"), "fp"), "fp").filter("id < other").select("id", "other")
-    pairs = starred.filter("id <> other").union(within).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-    pairs = written(pairs.distinct())
+    placed = written(_bucketed(written(marks.filter("fp is not null").distinct()), lend=True))
+    pairs = written(_candidates(placed))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = written(base.join(ids, "id", "left_semi").select("id", set_of("text").alias("set")).dropDuplicates(["id"]))
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(verify, pairs.schema)
+    links = verified(pairs, sets)
+    labels, sampled = connected_components(links), SAMPLED
+    while True:
+        wide = placed.filter(F.col("n") > SMALL).select("id").distinct()
+        rest = _unsettled(placed, labels, _set_sizes(sets.join(wide, "id", "left_semi")), similarity)
+        if rest.isEmpty():
+            return labels
+        few, many = rest.filter(F.col("others") <= SMALL), rest.filter(F.col("others") > SMALL).select("id").distinct()
+        outside = few.filter("label <> lead").select("fp", F.col("id").alias("x"), F.col("label").alias("lx"))
+        crossed = outside.join(few.select("fp", "id", "label"), "fp").filter("label <> lx")
+        crossed = crossed.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+        sampled += DEEPER
+        tables = math.ceil(math.log(1 / MISSED) / similarity**sampled)
+        deep = sets.join(many, "id", "left_semi").select("id", deeper_marks(tables, sampled)("set").alias("fps")).select("id", F.explode_outer("fps").alias("fp"))
+        placed = written(_bucketed(written(deep.filter("fp is not null").distinct()), lend=False))
+        pairs = _labelled(_labelled(_candidates(placed), labels, "a", "la"), labels, "b", "lb").filter("la <> lb").select("a", "b")
+        links = links.union(verified(written(crossed.union(pairs).distinct()), sets))
+        labels = connected_components(links)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -273,6 +384,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows without an id and texts without words take no part and stay. Rows that share an id are one document, and
     stay or go together. An empty table gives an empty result; the columns are those of `docs`.
     """
-    labels = connected_components(written(similar_pairs(docs, id_col, text_col, width, similarity)))
+    labels = similar_components(docs, id_col, text_col, width, similarity)
     gone = labels.filter("node <> label").select(F.col("node").alias("_gone"))
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")

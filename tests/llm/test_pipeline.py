@@ -59,6 +59,27 @@ def test_near_duplicates_are_caught_and_others_stay(spark, words):
 DOCS_2 = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
 
 
+def test_large_buckets_lose_no_link(spark, words):
+    """A large family about the threshold: its members are linked to each other and seldom to the original."""
+    rnd = random.Random(12)
+    base = text(rnd, 300, words)
+    rows = [(0, base)]
+    for k in range(1, 70):
+        w = (rows[rnd.randrange(len(rows))][1] if k % 2 else base).split(" ")
+        at = rnd.randrange(260)
+        n = rnd.choice([14, 28, 40])
+        w[at : at + n] = [f"n{k}x{i}" for i in range(n)]
+        rows.append((k, " ".join(w)))
+    comp = {i: i for i, _ in rows}
+    for i, a in rows:
+        for j, b in rows[:i]:
+            if comp[i] != comp[j] and jaccard(a, b) >= 0.8:
+                old, new = max(comp[i], comp[j]), min(comp[i], comp[j])
+                comp = {x: new if c == old else c for x, c in comp.items()}
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS_2)).collect()}
+    assert kept == set(comp.values()) and 1 < len(kept) < 69
+
+
 def test_pipeline(spark, words, tmp_path):
     rnd = random.Random(11)
     rows, labels = [], []
