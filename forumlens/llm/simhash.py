@@ -358,8 +358,7 @@ def similar_components(docs: DataFrame, id_col: str, text_col: str, width: int,
     pairs = written(_candidates(placed))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = written(base.join(ids, "id", "left_semi").select("id", set_of("text").alias("set")).dropDuplicates(["id"]))
-    links = verified(pairs, sets)
-    labels, sampled = connected_components(links), SAMPLED
+    labels, sampled = connected_components(verified(pairs, sets)), SAMPLED
     while True:
         wide = placed.filter(F.col("n") > SMALL).select("id").distinct()
         rest = _unsettled(placed, labels, _set_sizes(sets.join(wide, "id", "left_semi")), similarity)
@@ -374,8 +373,10 @@ def similar_components(docs: DataFrame, id_col: str, text_col: str, width: int,
         deep = sets.join(many, "id", "left_semi").select("id", deeper_marks(tables, sampled)("set").alias("fps")).select("id", F.explode_outer("fps").alias("fp"))
         placed = written(_bucketed(written(deep.filter("fp is not null").distinct()), lend=False))
         pairs = _labelled(_labelled(_candidates(placed), labels, "a", "la"), labels, "b", "lb").filter("la <> lb").select("a", "b")
-        links = links.union(verified(written(crossed.union(pairs).distinct()), sets))
-        labels = connected_components(links)
+        links = verified(written(crossed.union(pairs).distinct()), sets)
+        if not links.isEmpty():
+            # The components found so far, as stars, stand for the links that made them.
+            labels = connected_components(links.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
