@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -198,8 +199,35 @@ TABLES, SAMPLED = 8, 3
 SMALL = 12
 #: Shingles by which samples grow for the members of buckets that their centre leaves open.
 DEEPER = 4
-#: Share of pairs at the very threshold that a deeper level may leave without a common sample.
-MISSED = 0.003
+#: Share of pairs at the very threshold that the first level, and a deeper one, may leave without a common sample.
+FIRST_MISSED, MISSED = 0.0036, 0.003
+#: Subsets of a short set that are listed, at most; longer sets are sampled.
+SUBSETS = 1200
+#: Tables of a level, at most. Members that would need more are paired in full with the rest of their bucket.
+MOST_TABLES = 2500
+
+
+def deletions(n: int, similarity: float) -> int:
+    """How many of its `n` shingles a set may have that a similar one lacks."""
+    return max(e for e in range(n + 1) if n - e >= similarity * n)
+
+
+def short_limit(similarity: float) -> int:
+    """The largest size up to which every set has at most SUBSETS subsets that a similar set can share with it."""
+    n = 0
+    while sum(math.comb(n + 1, e) for e in range(deletions(n + 1, similarity) + 1)) <= SUBSETS and n < 64:
+        n += 1
+    return n
+
+
+def tables_for(size: int, sampled: int, similarity: float, missed: float = MISSED) -> float:
+    """Tables after which two sets, the larger of `size` shingles, lack a common sample in a share `missed` of cases.
+
+    Samples are without replacement: c of u shingles shared make the same sample in C(c, s) / C(u, s) of the tables. That
+    grows with u, which is at least `size`, so a smaller set has more tables and two sets meet in those of the larger.
+    """
+    share = math.prod(max(0.0, (similarity * size - i) / (size - i)) if size > i else 0.0 for i in range(sampled))
+    return math.ceil(math.log(missed) / math.log1p(-share)) if 0 < share < 1 else (math.inf if share <= 0 else 1)
 
 
 def sampled_fingerprints(hashes: np.ndarray, tables: int = TABLES, sampled: int = SAMPLED) -> list[int]:
@@ -224,6 +252,46 @@ def sampled_fingerprints(hashes: np.ndarray, tables: int = TABLES, sampled: int
     return out
 
 
+def shared_subsets(hashes: list[int], own: set[int], similarity: float) -> list[tuple[int, int, int]]:
+    """(sum of hashes, size, shingles left out) of each subset that the set can share with a similar one.
+
+    `own` shingles are held by no other set, and so by no subset.
+    """
+    most = deletions(len(hashes), similarity) - len(own)
+    rest = [h for h in hashes if h not in own]
+    total = sum(rest)
+    return [(signed((total - sum(out)) & MASK), len(rest) - k, len(own) + k) for k in range(most + 1) for out in combinations(rest, k)]
+
+
+def short_links(short: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join all similar sets of (id, hs), hs being sorted shingle hashes of at most short_limit().
+
+    Sets x and y are similar if and only if they hold a common subset S, with |S| >= similarity * (|S| + what x has
+    besides + what y has besides). Of the sets that hold S, the one with the least besides it is similar to each that is
+    similar to any, so links to it are enough: no bucket is paired, and nothing is left to chance but hash collisions.
+    """
+
+    @F.pandas_udf("array<struct<s:long,size:int,e:int>>")
+    def subsets(hs: pd.Series, own: pd.Series) -> pd.Series:
+        own = [set() if o is None else set(map(int, o)) for o in own]
+        return pd.Series([[{"s": s, "size": n, "e": e} for s, n, e in shared_subsets([int(h) for h in x], o, similarity)] for x, o in zip(hs, own, strict=True)], dtype=object)
+
+    sets = written(short.groupBy("hs").agg(F.min("id").alias("node")))
+    equal = short.join(sets, "hs").filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    # Two sets of one id may differ; each has its own subsets.
+    held = sets.withColumn("k", F.xxhash64("hs")).select("k", F.explode("hs").alias("h"))
+    alone = held.groupBy("h").agg(F.count("*").alias("n"), F.min("k").alias("k")).filter("n = 1").groupBy("k").agg(F.collect_list("h").alias("own"))
+    open_ = sets.withColumn("k", F.xxhash64("hs")).join(alone, "k", "left")
+    most = F.element_at(F.array(*[F.lit(deletions(n, similarity)) for n in range(1, short_limit(similarity) + 1)]), F.size("hs"))
+    open_ = open_.filter(F.coalesce(F.size("own"), F.lit(0)) <= most)
+    marks = written(open_.select("node", F.explode_outer(subsets("hs", "own")).alias("m")).filter("m is not null").select("node", "m.s", "m.size", "m.e"))
+    best = marks.groupBy("s", "size").agg(F.count("*").alias("n"), F.min(F.struct("e", "node")).alias("least")).filter("n > 1")
+    best = best.select("s", "size", F.col("least.e").alias("low"), F.col("least.node").alias("b"))
+    linked = marks.join(best, ["s", "size"]).filter(F.col("node") != F.col("b"))
+    linked = linked.filter(F.col("size") >= similarity * (F.col("size") + F.col("e") + F.col("low")))
+    return written(equal.union(linked.select(F.col("node").alias("a"), "b")).distinct())
+
+
 def _spread(part: np.ndarray) -> np.ndarray:
     """64-bit hashes of 32-bit ones (the finaliser of MurmurHash3)."""
     h = part.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
@@ -314,26 +382,37 @@ def _set_sizes(sets: DataFrame) -> DataFrame:
 def similar_components(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
     """(node, label): the components of ids whose texts' shingle sets have a Jaccard similarity of `similarity` or more.
 
+    Short sets are linked exactly, by common subsets (short_links); sampling is for pairs of which one is longer.
+
     Candidates are the members of a bucket, which is one sampled fingerprint, or two that a trie join finds one bit
     apart. Small buckets are paired within, large ones with their centre, and every pair is verified on the whole
     sets. What that leaves open in a large bucket are its members outside the leading component; those that can have
     no partner by their sizes are set aside. If few are left, each is paired with all others of the bucket; else the
-    members get larger samples in more tables, whose buckets are smaller, until all are settled. Ids without a
-    link are not listed.
+    members get larger samples in more tables, whose buckets are smaller, until all are settled. Members for which those
+    would be over MOST_TABLES tables are paired with all others of the bucket, however many. Ids without a link are not
+    listed.
     """
-
-    @F.pandas_udf("array<long>")
-    def marks_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([sampled_fingerprints(np.unique(shingle_hashes(t, width))) for t in texts], dtype=object)
+    limit = short_limit(similarity)
+    tables = lambda n, sampled, missed: tables_for(max(n, limit + 1), sampled, similarity, missed)
+
+    @F.pandas_udf("struct<fps:array<long>,hs:array<long>>")
+    def marks_of(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            h = np.unique(shingle_hashes(t, width))
+            # Of sets that are too short to be similar to a set over the limit no samples are needed.
+            fps = [] if len(h) < similarity * (limit + 1) else sampled_fingerprints(h, tables(len(h), SAMPLED, FIRST_MISSED))
+            rows.append((fps, h.view(np.int64).tolist() if 0 < len(h) <= limit else None))
+        return pd.DataFrame(rows, columns=["fps", "hs"])
 
     @F.pandas_udf("binary")
     def set_of(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(shingle_hashes(t, width).astype(np.uint32)).tobytes() for t in texts], dtype=object)
 
-    def deeper_marks(tables: int, sampled: int):
+    def deeper_marks(sampled: int):
         @F.pandas_udf("array<long>")
         def f(sets: pd.Series) -> pd.Series:
-            return pd.Series([sampled_fingerprints(_spread(np.frombuffer(x, np.uint32)), tables, sampled) for x in sets], dtype=object)
+            return pd.Series([sampled_fingerprints(_spread(np.frombuffer(x, np.uint32)), tables(len(x) // 4, sampled, MISSED), sampled) for x in sets], dtype=object)
 
         return f
 
@@ -353,24 +432,32 @@ def similar_components(docs: DataFrame, id_col: str, text_col: str, width: int,
         return written(both.select("a", "b", "x", "y").mapInArrow(verify, pairs.schema))
 
     base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    marks = base.select("id", marks_of("text").alias("fps")).select("id", F.explode_outer("fps").alias("fp"))
+    first = written(base.select("id", marks_of("text").alias("m")).select("id", "m.fps", "m.hs"))
+    short = short_links(first.filter("hs is not null").select(F.col("id").cast("long").alias("id"), "hs"), similarity)
+    marks = first.select("id", F.explode_outer("fps").alias("fp"))
     placed = written(_bucketed(written(marks.filter("fp is not null").distinct()), lend=True))
     pairs = written(_candidates(placed))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = written(base.join(ids, "id", "left_semi").select("id", set_of("text").alias("set")).dropDuplicates(["id"]))
-    labels, sampled = connected_components(verified(pairs, sets)), SAMPLED
+    labels, sampled = connected_components(verified(pairs, sets).union(short)), SAMPLED
     while True:
         wide = placed.filter(F.col("n") > SMALL).select("id").distinct()
         rest = _unsettled(placed, labels, _set_sizes(sets.join(wide, "id", "left_semi")), similarity)
         if rest.isEmpty():
             return labels
-        few, many = rest.filter(F.col("others") <= SMALL), rest.filter(F.col("others") > SMALL).select("id").distinct()
-        outside = few.filter("label <> lead").select("fp", F.col("id").alias("x"), F.col("label").alias("lx"))
-        crossed = outside.join(few.select("fp", "id", "label"), "fp").filter("label <> lx")
-        crossed = crossed.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
         sampled += DEEPER
-        tables = math.ceil(math.log(1 / MISSED) / similarity**sampled)
-        deep = sets.join(many, "id", "left_semi").select("id", deeper_marks(tables, sampled)("set").alias("fps")).select("id", F.explode_outer("fps").alias("fp"))
+        # The smallest size whose next level keeps to MOST_TABLES; members below it end here.
+        least = limit + 1
+        while tables(least, sampled, MISSED) > MOST_TABLES and similarity**sampled * MOST_TABLES > 2 * math.log(1 / MISSED):
+            least += 1
+        ends = F.lit(tables(least, sampled, MISSED) > MOST_TABLES) | ((F.col("size") < least) & F.lit(least > limit + 1))
+        rest = rest.join(sets.select("id", (F.length("set") / 4).alias("size")), "id").withColumn("ends", ends)
+        few, many = rest.filter(F.col("others") <= SMALL), rest.filter(F.col("others") > SMALL)
+        outside = few.filter("label <> lead").union(many.filter("ends")).select("fp", F.col("id").alias("x"), F.col("label").alias("lx"))
+        crossed = outside.join(rest.select("fp", "id", "label"), "fp").filter("label <> lx")
+        crossed = crossed.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+        many = many.filter("not ends").select("id").distinct()
+        deep = sets.join(many, "id", "left_semi").select("id", deeper_marks(sampled)("set").alias("fps")).select("id", F.explode_outer("fps").alias("fp"))
         placed = written(_bucketed(written(deep.filter("fp is not null").distinct()), lend=False))
         pairs = _labelled(_labelled(_candidates(placed), labels, "a", "la"), labels, "b", "lb").filter("la <> lb").select("a", "b")
         links = verified(written(crossed.union(pairs).distinct()), sets)

@@ -72,3 +72,53 @@ def test_components_of_a_long_path(spark):
     got = {r.node: r.label for r in connected_components(edges).collect()}
     assert {got[i] for i in ids[:150]} == {min(ids[:150])}
     assert got[ids[150]] == got[ids[151]] == min(ids[150:152])
+
+
+def jaccard_components(rows, width, similarity):
+    """Smallest id of each id's component, by all pairs that share a shingle."""
+    sets = {i: set(simhash.shingle_hashes(t, width).tolist()) for i, t in rows}
+    holders, comp = {}, {i: i for i in sets}
+
+    def root(i):
+        while comp[i] != i:
+            comp[i] = i = comp[comp[i]]
+        return i
+
+    for i, s in sets.items():
+        for j in {j for h in s for j in holders.get(h, ())}:
+            both = len(s & sets[j])
+            if both >= similarity * (len(s) + len(sets[j]) - both):
+                a, b = root(i), root(j)
+                comp[max(a, b)] = min(a, b)
+        for h in s:
+            holders.setdefault(h, []).append(i)
+    return {i: root(i) for i in sets}
+
+
+def test_no_link_between_short_texts_is_lost(spark):
+    rnd = random.Random(3)
+    rows = []
+    for f in range(60):
+        # Members of a family share a run of words, and so samples, but most of them are no near duplicates.
+        core = [f"f{f}w{k}" for k in range(20)]
+        for _ in range(50):
+            n = rnd.randint(8, 20)
+            own = rnd.choice((0, 0, 1, 2, 4))
+            words = core[: n - own] + [f"x{rnd.randint(0, 6)}" for _ in range(own)]
+            rows.append(" ".join(words) if rnd.random() < 0.5 else " ".join([f"y{rnd.randint(0, 6)}", *words]))
+    rows = list(enumerate(rows))
+    got = {r.node: r.label for r in simhash.similar_components(spark.createDataFrame(rows, DOCS), "doc_id", "text", 5, 0.8).collect()}
+    assert {i: got.get(i, i) for i, _ in rows} == jaccard_components(rows, 5, 0.8)
+
+
+@pytest.mark.parametrize("similarity", [0.6, 0.8, 0.9])
+def test_tables_find_pairs_at_the_threshold(similarity):
+    import math
+
+    limit = simhash.short_limit(similarity)
+    for sampled, missed in ((3, simhash.FIRST_MISSED), (7, simhash.MISSED), (11, simhash.MISSED)):
+        for size in range(limit + 1, 200):
+            tables = simhash.tables_for(size, sampled, similarity, missed)
+            for union in range(size, math.floor(size / similarity) + 1) if tables <= simhash.MOST_TABLES else ():
+                share = math.comb(math.ceil(similarity * union - 1e-9), sampled) / math.comb(union, sampled)
+                assert (1 - share) ** tables <= missed + 1e-9
