@@ -5,6 +5,10 @@ a labeller among them. Expectation-maximisation on the counts of vote patterns,
 how each labeller votes on bad and on good documents; the posterior of a pattern is the soft label of its documents.
 The scorer is a logistic regression over hashed words, word starts and shape features. It is fitted to the posteriors
 of a bounded sample of labelled rows, and its score decides. There are two heads: junk and toxicity.
+
+Shares of distinct words and numbers of distinct features depend on the length of a text. Long texts are therefore cut
+into windows of about WINDOW characters, which cover them whole. Shapes are averaged over them, and so is the junk score;
+the toxic score is that of the most toxic window. What repeats from window to window is measured on the whole text.
 """
 
 from __future__ import annotations
@@ -26,13 +30,16 @@ from forumlens.llm.shared import text_or_empty
 BAD, GOOD, NONE = "b", "g", "-"
 #: Rows of the sample that the scorer is fitted to, at most (in expectation; see labelled_sample).
 SAMPLE = 6000
-#: Hashed features.
-WIDTH = 1 << 18
+#: Characters of a window; a text of up to one and a half is one window.
+WINDOW = 8000
+#: Words of a run that ordinary prose of any length does not repeat.
+RUN = 8
 #: A feature takes part if this many rows hold it and its share of bad rows is this many deviations too high.
 LEAST_ROWS, LEAST_Z = 4, 4.0
 #: Rejected from this score on.
 THRESHOLD = 0.5
 WORD = re.compile(r"\w+")
+BREAKS = tuple(map(re.compile, ("\n", r"\s", r"\W")))
 #: Common English insults of the toxicity labellers.
 INSULTS = frozenset("clown disgusting dumb idiot imbecile jerk loser moron pathetic scum stupid trash worthless".split())
 
@@ -57,19 +64,51 @@ def shape(text: str, words: list[str]) -> dict[str, float]:
     }
 
 
+def windows(text: str) -> list[str]:
+    """The text in parts of about equal length, cut after a line, a white space or a word where there is one."""
+    n = max(1, round(len(text) / WINDOW - 1e-9))
+    cuts = [0]
+    for k in range(1, n):
+        at = max(cuts[-1], len(text) * k // n)
+        ends = (p.search(text, at, at + WINDOW // 20) for p in BREAKS)
+        cuts.append(next((m.end() for m in ends if m), at))
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
+
+
+def repeated_runs(words: list[str]) -> float:
+    """The share of runs of RUN words that came before."""
+    if len(words) <= RUN:
+        return 0.0
+    numbers: dict[str, int] = {}
+    w = np.fromiter((numbers.setdefault(x, len(numbers)) for x in words), np.uint64, len(words))
+    h = np.zeros(len(w) - RUN + 1, np.uint64)
+    for k in range(RUN):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + w[k : len(w) - RUN + 1 + k]
+    return 1 - len(np.unique(h)) / len(h)
+
+
 def _by(share: float, bad: float, good: float) -> str:
     return BAD if share >= bad else GOOD if share <= good else NONE
 
 
-def parse(text: str) -> tuple[list[str], dict[str, float]]:
-    """The words of a text in lower case, and its shape."""
-    words = WORD.findall(text.lower())
-    return words, shape(text, words)
+def parse(text: str) -> list[tuple[list[str], dict[str, float]]]:
+    """The words of each window of a text in lower case, and its shape. Windows of white space are left out."""
+    parts = []
+    for part in windows(text):
+        words = WORD.findall(part.lower())
+        if s := shape(part, words):
+            parts.append((words, s))
+    if len(parts) > 1:
+        again = repeated_runs(list(chain.from_iterable(words for words, _ in parts)))
+        for _, s in parts:
+            s["repeats"] = max(s["repeats"], again)
+    return parts
 
 
-def votes(text: str, parsed: tuple[list[str], dict[str, float]]) -> dict[str, str]:
+def votes(text: str, parsed: list[tuple[list[str], dict[str, float]]]) -> dict[str, str]:
     """The votes of the heuristic labellers of each head, one letter a labeller. An empty text gets none."""
-    words, s = parsed
+    s = {name: sum(x[name] for _, x in parsed) / len(parsed) for name in parsed[0][1]} if parsed else {}
+    words = parsed[0][0] if len(parsed) == 1 else list(chain.from_iterable(x for x, _ in parsed))
     n = len(words)
     insults = sum(map(INSULTS.__contains__, words))
     junk = NONE * 5
@@ -88,23 +127,28 @@ def votes(text: str, parsed: tuple[list[str], dict[str, float]]) -> dict[str, st
     return {"junk": junk, "toxic": (BAD if insults else clear) + (BAD if insults > 1 else NONE if insults else clear)}
 
 
+def _number(name: str) -> int:
+    """A signed 32-bit hash: so wide that the words of a long text hit no other's feature."""
+    return (zlib.crc32(name.encode()) ^ 1 << 31) - (1 << 31)
+
+
 class Hasher(dict):
     """word -> its features, kept for a worker's life and cleared when it grows."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > 50_000:
             self.clear()
-        out = self[word] = tuple(zlib.crc32(x.encode()) % WIDTH for x in (f"w {word}", f"4 {word[:4]}", f"5 {word[:5]}")[: 3 if len(word) > 4 else 1])
+        out = self[word] = tuple(_number(x) for x in (f"w {word}", f"4 {word[:4]}", f"5 {word[:5]}")[: 3 if len(word) > 4 else 1])
         return out
 
 
-def features(parsed: tuple[list[str], dict[str, float]], hasher: Hasher) -> np.ndarray:
-    """Distinct hashed features of a whole text."""
-    words, shares = parsed
+def features(part: tuple[list[str], dict[str, float]], hasher: Hasher) -> np.ndarray:
+    """Distinct hashed features of a window."""
+    words, shares = part
     found = set(chain.from_iterable(map(hasher.__getitem__, set(words))))
     for name, share in shares.items():
         # One feature for each tenth that is reached, so that weights add up along the scale.
-        found.update(zlib.crc32(f"s {name} {k}".encode()) % WIDTH for k in range(1, int(share * 20) + 1))
+        found.update(_number(f"s {name} {k}") for k in range(1, int(share * 20) + 1))
     return np.fromiter(found, np.int32, len(found))
 
 
@@ -142,26 +186,38 @@ def posteriors(counts: dict[str, float], rounds: int = 100) -> tuple[dict[str, f
     return dict(zip(patterns, map(float, post), strict=True)), float(share), rates
 
 
-def fit_linear(rows: list[np.ndarray], target: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
-    """(feature numbers, weights, bias) of a logistic regression on the features that tell of bad rows.
+def _at(known: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """The places in `known`, which is sorted, of those that it holds."""
+    at = np.searchsorted(known, found)
+    at[at == len(known)] = 0
+    return at[known[at] == found] if len(known) else at[:0]
+
+
+def fit_linear(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray | None = None, rounds: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
+    """(sorted feature numbers, weights, bias) of a logistic regression on the features that tell of bad rows.
 
     Weights are not negative: a document is rejected for what it holds, and never for what it lacks, as short ones do.
+    `weight`: what each row counts, 1 by default.
     """
-    share = float(np.clip(target.mean(), 1e-3, 1 - 1e-3)) if len(target) else 0.01
+    weight = np.ones(len(rows)) if weight is None else weight
+    share = float(np.clip(np.average(target, weights=weight), 1e-3, 1 - 1e-3)) if len(target) else 0.01
     bias = float(np.log(share / (1 - share)))
     none = np.zeros(0, np.int32), np.zeros(0), bias
     if not len(rows):
         return none
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    cols = np.concatenate(rows) if len(of) else np.zeros(0, np.int32)
-    held = np.bincount(cols, minlength=WIDTH)
-    bad = np.bincount(cols, target[of], minlength=WIDTH)
+    names, n = np.unique(np.concatenate(rows), return_counts=True)
+    names = names[n >= LEAST_ROWS]
+    rows = [_at(names, r).astype(np.int32) for r in rows]
+    of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    cols = np.concatenate(rows)
+    held = np.bincount(cols, weight[of], minlength=len(names))
+    bad = np.bincount(cols, (weight * target)[of], minlength=len(names))
     z = (bad - held * share) / np.sqrt(np.maximum(held, 1) * share * (1 - share))
     chosen = np.nonzero((held >= LEAST_ROWS) & (z >= LEAST_Z))[0]
-    chosen = chosen[np.argsort(-z[chosen])][:2000]
+    chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")][:2000])
     if not len(chosen):
         return none
-    place = np.full(WIDTH, -1)
+    place = np.full(len(names), -1)
     place[chosen] = np.arange(len(chosen))
     x = np.zeros((len(rows), len(chosen)), np.float32)
     keep = place[cols] >= 0
@@ -170,12 +226,13 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, rounds: int = 300) ->
     w[-1] = bias
     for t in range(1, rounds + 1):
         err = 1 / (1 + np.exp(-(x @ w[:-1].astype(np.float32) + w[-1]))) - target
-        g = np.append(x.T @ err.astype(np.float32), err.sum()) / len(rows)
+        err *= weight
+        g = np.append(x.T @ err.astype(np.float32), err.sum()) / weight.sum()
         g[:-1] += 1e-4 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w[:-1] = np.maximum(w[:-1], 0)
-    return chosen.astype(np.int32), w[:-1], float(w[-1])
+    return names[chosen], w[:-1], float(w[-1])
 
 
 HEADS = ("junk", "toxic")
@@ -187,7 +244,7 @@ def votes_of(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([votes(t, parse(t)) for t in texts], columns=list(HEADS))
 
 
-@F.pandas_udf(T.StructType([*VOTES.fields, T.StructField("f", T.ArrayType(T.IntegerType()))]))
+@F.pandas_udf(T.StructType([*VOTES.fields, T.StructField("f", T.ArrayType(T.BinaryType()))]))
 def votes_and_features_of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     hasher = Hasher()
     for batch in texts:
@@ -195,7 +252,7 @@ def votes_and_features_of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in batch:
             parsed = parse(t)
             v = votes(t, parsed)
-            rows.append((v["junk"], v["toxic"], features(parsed, hasher)))
+            rows.append((v["junk"], v["toxic"], [features(part, hasher).tobytes() for part in parsed]))
         yield pd.DataFrame(rows, columns=[*HEADS, "f"])
 
 
@@ -228,6 +285,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts = voted.groupBy(*HEADS).agg(F.count("*").alias("n")).collect()
     some = labelled_sample(base, human, sum(r.n for r in counts), sample).select(votes_and_features_of("_text").alias("v"), *[f"h_{h}" for h in HEADS])
     some = some.select("v.f", *joined("v")).toPandas()
+    # A long document counts as one, in parts.
+    parts = [len(f) for f in some["f"]]
+    weight = np.repeat(1 / np.maximum(parts, 1), parts)
+    rows = [np.frombuffer(x, np.int32) for f in some["f"] for x in f]
     model = {}
     for head in HEADS:
         by_pattern: Counter = Counter()
@@ -235,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             by_pattern[r[head]] += r.n
         post, share, tables = posteriors(by_pattern)
         target = np.asarray([post[p] for p in some[head]], float)
-        model[head] = {"linear": fit_linear([np.asarray(f, np.int32) for f in some["f"]], target), "share": share, "labellers": tables, "posteriors": post}
+        model[head] = {"linear": fit_linear(rows, np.repeat(target, parts), weight), "share": share, "labellers": tables, "posteriors": post}
     return model
 
 
@@ -245,18 +306,15 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
 
     @F.pandas_udf("struct<votes:string,junk:double,toxic:double>")
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hasher, weights = Hasher(), {}
-        for h, (at, w, bias) in linear.value.items():
-            dense = np.zeros(WIDTH)
-            dense[at] = w
-            weights[h] = dense, bias
+        hasher, (junk, toxic) = Hasher(), [linear.value[h] for h in HEADS]
+        total = lambda head, f: head[1][_at(head[0], f)].sum() + head[2]
         for batch in texts:
             rows = []
             for t in batch:
                 parsed = parse(t)
-                f, v = features(parsed, hasher), votes(t, parsed)
-                z = [float(np.clip(weights[h][0][f].sum() + weights[h][1], -30, 30)) for h in HEADS]
-                rows.append((f"{v['junk']}/{v['toxic']}", *(1 / (1 + np.exp(-x)) for x in z)))
+                fs, v = [features(part, hasher) for part in parsed] or [np.zeros(0, np.int32)], votes(t, parsed)
+                z = sum(total(junk, f) for f in fs) / len(fs), max(total(toxic, f) for f in fs)
+                rows.append((f"{v['junk']}/{v['toxic']}", *(1 / (1 + np.exp(-float(np.clip(x, -30, 30)))) for x in z)))
             yield pd.DataFrame(rows, columns=["votes", *HEADS])
 
     out = docs.drop("quality_votes", "junk_score", "toxic_score", "quality_kept").withColumn("_q", judge(text_or_empty(text_col)))

@@ -66,3 +66,20 @@ def test_edges(spark):
     assert all(r.quality_kept for r in out if r.doc_id in (None, 900, 901))
     assert len({r.junk_score for r in out if r.doc_id == 5}) == 1
     assert quality.classify(spark.createDataFrame([], DOCS), labels).count() == 0
+
+
+def test_length_alone_is_no_fault(spark):
+    rows, truth = corpus()
+    rnd = random.Random(8)
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(3, 9))) for _ in range(60_000)]
+    share = [1 / (k + 3) for k in range(len(words))]
+    prose = lambda n: ". ".join(" ".join(rnd.choices(words, share, k=25)) for _ in range(n // 25))
+    shown = spark.createDataFrame([(k, *truth[k]) for k in truth], LABELS)
+    long = [(1000 + k, prose(n), None) for k, n in enumerate((50_000, 100_000, 500_000))]
+    page = prose(1500)
+    # A page over and over, and a long text that is one word in the main, are junk still; so is one insult of many pages.
+    bad = [(2000, " ".join([page] * 40), None), (2001, ("word " * 30 + "\n") * 3000, None), (2002, prose(20_000) + " idiot" * 3 + " " + prose(20_000), None)]
+    out = {r.doc_id: r for r in quality.classify(spark.createDataFrame(rows + long + bad, DOCS), shown).collect()}
+    for k, text, _ in long:
+        assert out[k].quality_kept and "b" not in out[k].quality_votes, (k, out[k].quality_votes, out[k].junk_score, out[k].toxic_score)
+    assert not any(out[k].quality_kept for k, _, _ in bad)
