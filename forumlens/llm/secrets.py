@@ -4,6 +4,9 @@ Each text is a first layer. A layer is scanned, and what is encoded in it become
 Unicode escapes, base64, and compressed data inside base64. Layers are unwrapped until none is left; a layer already
 seen at the same place is not unwrapped again, which ends cycles. A find in a decoded layer is reported with the span
 in the text that it came from: escapes map character by character, blobs map to the whole blob.
+
+Base64 that is wrapped into lines is joined first. Bytes that are no UTF-8 are scanned as Latin-1, and runs of UTF-16 in
+them once more, as the patterns are ASCII. What is too large to be held is scanned in overlapping chunks.
 """
 
 from __future__ import annotations
@@ -15,7 +18,8 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
+from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,9 +37,20 @@ URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 UNIT = re.compile(r"\\[uUx]\{?([0-9A-Fa-f]+)\}?|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
-#: Bytes that one compressed layer may unfold to. A larger layer is not scanned but counted in `unread`.
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+#: What parts the lines of a wrapped blob: a line end, real or written as an escape, with quotes and comment marks.
+BETWEEN = r"""["']?[\x20\t]*+(?:[+\\][\x20\t]*+(?=[\r\n]))?(?:\r?\n|\r|\\r\\n|\\n)[\x20\t]*+(?:[>#*|]|//(?=[\x20\t]))?[\x20\t]*+["']?"""
+WRAPPED = re.compile(rf"(?:(?<=\\[nrt])|(?<![A-Za-z0-9+/_-])(?!(?<=\\)[nrt]))[A-Za-z0-9+/_-]{{16,}}+(?:{BETWEEN}[A-Za-z0-9+/_-]++)++={{0,2}}")
+PARTED = re.compile(BETWEEN)
+#: Bytes without any of these hold no find and no further layer.
+MAYBE = re.compile(rb"password|passwd|secret|token|api_?key|[A-Z0-9+/_-]{16}|%[0-9a-f]{2}|\\[ux]|&#", re.I)
+UTF16 = re.compile(rb"(?:[\x01-\xff]\x00){6,}"), re.compile(rb"(?:\x00[\x01-\xff]){6,}")
+#: Bytes of a layer that are scanned at once. A larger one is scanned in chunks of this size. A run of base64 that is
+#: itself longer than half a chunk cannot be decoded whole, which is counted in `unread`.
 LAYER_BYTES = 256 << 20
+#: Bytes that chunks share, bytes that are unfolded at once, and compressions within each other.
+OVERLAP, PIECE, DEEP = 1 << 16, 1 << 20, 1000
+RUN_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\r\n"
 
 
 def scan_layer(text: str) -> list[tuple[str, int, int]]:
@@ -50,12 +65,9 @@ def _unescaped(text: str, pattern: re.Pattern, decode) -> tuple[str, list[int]]
     """The text with escapes decoded, and for each of its characters (and its end) the place in `text`."""
     parts, places, at = [], [], 0
     for m in pattern.finditer(text):
-        got = decode(m)
-        if got is None:
-            continue
         parts.append(text[at : m.start()])
         places += range(at, m.start())
-        chars, starts = got
+        chars, starts = decode(m)
         parts.append(chars)
         places += starts
         at = m.end()
@@ -66,116 +78,226 @@ def _unescaped(text: str, pattern: re.Pattern, decode) -> tuple[str, list[int]]
     return "".join(parts), places
 
 
-def _url(m: re.Match) -> tuple[str, list[int]] | None:
-    try:
-        chars = bytes.fromhex(m.group().replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    starts, at = [], m.start()
-    for c in chars:
+def _url(m: re.Match) -> tuple[str, list[int]]:
+    chars, starts, at = [], [], m.start()
+    for c in bytes.fromhex(m.group().replace("%", "")).decode("utf-8", "surrogateescape"):
         starts.append(at)
-        at += 3 * len(c.encode("utf-8"))
-    return chars, starts
+        alone = 0xDC80 <= ord(c) < 0xDD00  # a byte that is no UTF-8
+        chars.append(chr(ord(c) & 0xFF) if alone else c)
+        at += 3 if alone else 3 * len(c.encode("utf-8"))
+    return "".join(chars), starts
 
 
-def _unicode(m: re.Match) -> tuple[str, list[int]] | None:
+def _unicode(m: re.Match) -> tuple[str, list[int]]:
     chars, starts = [], []
     for u in UNIT.finditer(m.group()):
         code = int(u[1] or u[3], 16) if u[1] or u[3] else int(u[2])
         if code > 0x10FFFF:
-            return None
+            code = 0xFFFD
         if 0xDC00 <= code < 0xE000 and chars and 0xD800 <= ord(chars[-1]) < 0xDC00:
             chars[-1] = chr(0x10000 + ((ord(chars[-1]) - 0xD800) << 10) + code - 0xDC00)
         else:
             chars.append(chr(code))
             starts.append(m.start() + u.start())
-    if any(0xD800 <= ord(c) < 0xE000 for c in chars):
-        return None
-    return "".join(chars), starts
+    return "".join("\ufffd" if 0xD800 <= ord(c) < 0xE000 else c for c in chars), starts
 
 
-def _inflated(data: bytes, most: int) -> bytes | None:
-    """What compressed data unfolds to, or the data itself. None: larger than `most`."""
-    try:
-        if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-            d = zlib.decompressobj(47)
-            out = d.decompress(data, most)
-            return None if d.unconsumed_tail else out
-        if data[:3] == b"BZh" or data[:6] == b"\xfd7zXZ\x00":
-            d = bz2.BZ2Decompressor() if data[:3] == b"BZh" else lzma.LZMADecompressor()
-            out = d.decompress(data, most)
-            return out if d.eof or d.needs_input else None
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            out = zstandard.ZstdDecompressor().decompressobj()
-            return out.decompress(data)
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, RuntimeError):
-        return data
-    except Exception as e:  # zstandard's own error type
-        if type(e).__module__.startswith("zstandard"):
-            return data
-        raise
-    return data
-
-
-def _blob(token: str, most: int) -> tuple[str | None, bool]:
-    """(decoded text or None, whether it was too large)."""
+def _packed(data: bytes) -> str | None:
+    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
+        return "zlib"
+    starts = {b"BZh": "bz2", b"\xfd7zXZ\x00": "xz", b"\x28\xb5\x2f\xfd": "zstd"}
+    return next((kind for start, kind in starts.items() if data.startswith(start)), None)
+
+
+def _unfold(chunks: Iterator[bytes], failed: list) -> Iterator[bytes]:
+    """What a compressed stream unfolds to, member after member, and the bytes after the last as they are."""
+    data = b""
+    while True:
+        while len(data) < 6 and (more := next(chunks, None)) is not None:
+            data += more
+        kind = _packed(data)
+        if kind is None:
+            yield data
+            yield from chunks
+            return
+        try:
+            if kind == "zstd":
+                import zstandard
+
+                d = zstandard.ZstdDecompressor().decompressobj()
+            else:
+                d = zlib.decompressobj(47) if kind == "zlib" else bz2.BZ2Decompressor() if kind == "bz2" else lzma.LZMADecompressor()
+            while not d.eof:
+                if kind == "zstd":  # has no limit to its output
+                    out, data = d.decompress(data[:256]), data[256:]
+                    wanting = not data
+                elif kind == "zlib":
+                    out = d.decompress(data, PIECE)
+                    data = d.unconsumed_tail
+                    wanting = not data and len(out) < PIECE
+                else:
+                    out, data = d.decompress(data, PIECE), b""
+                    wanting = d.needs_input
+                if out:
+                    yield out
+                if wanting and not d.eof:
+                    data = next(chunks, None)
+                    if data is None:
+                        return
+            data = d.unused_data + (data if kind == "zstd" else b"")
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, RuntimeError):
+            failed.append(kind)
+            return
+        except Exception as e:  # zstandard's own error type
+            if type(e).__module__.startswith("zstandard"):
+                failed.append(kind)
+                return
+            raise
+
+
+def _chunks(stream: Iterator[bytes], most: int, lost: list) -> Iterator[bytes]:
+    """Overlapping parts of a stream, cut where no base64 runs on."""
+    held, cut_run = bytearray(), False
+    for piece in stream:
+        held += piece
+        if len(held) < most:
+            continue
+        tail = bytes(held[-(most // 2) :])
+        runs = len(tail) - len(tail.rstrip(RUN_BYTES))
+        cut_run |= runs == len(tail)
+        yield bytes(held)
+        del held[: max(1, len(held) - runs - min(OVERLAP, most // 4))]
+    if held:
+        yield bytes(held)
+    if cut_run:
+        lost.append("run")
+
+
+def _unfolded(data: bytes, most: int, lost: list) -> Iterator[bytes]:
+    """What data unfolds to, through all compressions: whole, or in chunks if it is larger than `most`."""
+    seen = set()
+    while _packed(data) and len(seen) < DEEP:
+        seen.add(hashlib.sha256(data).digest())
+        failed: list = []
+        parts = _unfold((data[k : k + OVERLAP] for k in range(0, len(data), OVERLAP)), failed)
+        out = bytearray()
+        for piece in parts:
+            out += piece
+            if len(out) > most:
+                break
+        if len(out) > most:
+            stream, head, deep = chain([bytes(out)], parts), bytes(out[:6]), 0
+            while _packed(head) and deep < DEEP:
+                stream, deep = _unfold(stream, failed), deep + 1
+                head = next(stream, b"")
+                stream = chain([head], stream)
+            yield from _chunks(stream, most, lost)
+            if failed or deep == DEEP:
+                lost.append("rest")
+            return
+        if failed:  # no compressed data, or damaged
+            if out:
+                yield bytes(out)
+            break
+        if hashlib.sha256(out).digest() in seen:
+            break
+        data = bytes(out)
+    yield data
+
+
+def _texts(data: bytes) -> Iterator[str]:
+    if MAYBE.search(data):
+        try:
+            yield data.decode("utf-8")
+        except UnicodeDecodeError:
+            yield data.decode("latin-1")
+    if b"\x00" in data:
+        for pattern in UTF16:
+            if runs := [r.replace(b"\x00", b"") for r in pattern.findall(data)]:
+                yield b"\x00".join(runs).decode("latin-1")
+
+
+def _blob(token: str, most: int, lost: list) -> Iterator[str]:
+    """The texts that a run of base64 decodes to."""
     body = token.rstrip("=")
     if len(body) % 4 == 1:
-        return None, False
+        return
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4), b"-_" if "-" in body or "_" in body else None)
     except (binascii.Error, ValueError):
-        return None, False
-    for _ in range(8 * len(data) + 1):
-        out = _inflated(data, most)
-        if out is None:
-            return None, True
-        if out == data:
-            break
-        data = out
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None, False
-    return (None if CONTROL.search(text) or not text else text), False
+        return
+    for part in _unfolded(data, most, lost):
+        yield from _texts(part)
+
+
+def _wrapped(layer: str) -> Iterator[tuple[str, int, int]]:
+    """(joined lines, start, end) of base64 in lines of equal length, but for the first and the last.
+
+    The first line can begin within a line of other text, and a line after the last can be a word of other text, so
+    that both are tried with and without.
+    """
+    for m in WRAPPED.finditer(layer):
+        lines, at = [], m.start()
+        while line := LINE.match(layer, at, m.end()):
+            lines.append(line.span())
+            gap = PARTED.match(layer, line.end(), m.end())
+            if gap is None:
+                break
+            at = gap.end()
+        size = [e - s for s, e in lines]
+        k = 0
+        while k < len(lines) - 1:
+            # From line k: one line of any length, lines as long as the next one, a last one that is not longer.
+            last = k + 1
+            while last < len(lines) - 1 and size[last] == size[k + 1] and size[last + 1] <= size[k + 1]:
+                last += 1
+            firsts = {k} | ({k + 1} if size[k] != size[k + 1] else set())
+            for first in firsts:
+                for end in {last, last - 1}:
+                    if end > first:
+                        yield "".join(layer[s:e] for s, e in lines[first : end + 1]), lines[first][0], lines[end][1]
+            k = last
 
 
 def find_secrets(text: str, most: int = LAYER_BYTES) -> tuple[list, list, int]:
-    """(finds of the text itself, all finds, layers that were too large), as (kind, start, end) in order."""
+    """(finds of the text itself, all finds, layers that were not read whole), as (kind, start, end) in order."""
     order = lambda f: (f[1], KINDS.index(f[0]), f[2])
     base = sorted(scan_layer(text), key=order)
     every, unread, seen = set(base), 0, set()
-    todo: deque = deque([(text, None)])
+
+    def span(places, s: int, e: int) -> tuple[int, int]:
+        if places is None:
+            return s, e
+        return places if isinstance(places, tuple) else (places[s], places[e])
+
+    def inner(layer: str, places) -> Iterator:
+        nonlocal unread
+        for mark, pattern, decode in (("%", URL, _url), ("\\", UNICODE, _unicode), ("&#", UNICODE, _unicode)):
+            if mark in layer and (got := _unescaped(layer, pattern, decode)):
+                new, at = got
+                yield new, places if isinstance(places, tuple) else at if places is None else [places[k] for k in at]
+        blobs = ((m.group(), m.start(), m.end()) for m in BASE64.finditer(layer))
+        for token, s, e in chain(blobs, _wrapped(layer)):
+            lost: list = []
+            for new in _blob(token, most, lost):
+                yield new, span(places, s, e)
+            unread += bool(lost)
+
+    # Layers are made when they are wanted, so that of a large one only a chunk is held.
+    todo = [iter([(text, None)])]
     while todo:
-        layer, places = todo.popleft()
         # places: None for the text itself, a list of places in the text, or the span of a blob.
+        layer, places = next(todo[-1], (None, None))
+        if layer is None:
+            todo.pop()
+            continue
         if places is not None:
-            here = (hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest(), tuple(places) if isinstance(places, tuple) else hash(tuple(places)))
+            here = (hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest(), places if isinstance(places, tuple) else hash(tuple(places)))
             if here in seen:
                 continue
             seen.add(here)
-
-        def span(s: int, e: int, places=places) -> tuple[int, int]:
-            if places is None:
-                return s, e
-            return places if isinstance(places, tuple) else (places[s], places[e])
-
-        if places is not None:
-            every.update((kind, *span(s, e)) for kind, s, e in scan_layer(layer))
-        for mark, pattern, decode in (("%", URL, _url), ("\\", UNICODE, _unicode), ("&#", UNICODE, _unicode)):
-            if mark in layer and (got := _unescaped(layer, pattern, decode)):
-                new, at = got
-                if isinstance(places, tuple):
-                    todo.append((new, places))
-                else:
-                    todo.append((new, at if places is None else [places[k] for k in at]))
-        for m in BASE64.finditer(layer):
-            new, large = _blob(m.group(), most)
-            unread += large
-            if new is not None:
-                todo.append((new, span(m.start(), m.end())))
+            every.update((kind, *span(places, s, e)) for kind, s, e in scan_layer(layer))
+        todo.append(inner(layer, places))
     return base, sorted(every, key=order), unread
 
 

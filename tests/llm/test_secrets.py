@@ -1,5 +1,7 @@
 import base64
+import bz2
 import gzip
+import lzma
 import random
 import re
 import zlib
@@ -78,3 +80,50 @@ def test_rows(spark):
     finds = sorted((r.doc_id or 0, [tuple(f) for f in r.secrets.every]) for r in got)
     assert finds == [(0, []), (1, [("assign", 0, 19)]), (1, [("assign", 0, 19)]), (2, []), (3, [("access", 300_001, 300_021)])]
     assert secrets.scan_secrets(spark.createDataFrame([], DOCS)).count() == 0
+
+
+NOISE = " ".join(f"{k * 7919 % 10007}" for k in range(400))
+BODY = f"{NOISE} {INNER} {NOISE}"
+
+
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n    ", "\\n", '" +\n  "'])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress])
+def test_wrapped_base64(width, end, pack):
+    blob = b64(pack(BODY.encode()))
+    wrapped = end.join(blob[k : k + width] for k in range(0, len(blob), width))
+    for text in (f"Data:\n{wrapped}\n-----END\n", f"data: {wrapped}\nword", f"key: x{end}{wrapped}"):
+        s = text.index(wrapped)
+        hits = [f for f in secrets.find_secrets(text)[1] if f[0] == "assign"]
+        assert any(s <= a < b <= s + len(wrapped) + 6 and b - a >= 0.8 * len(wrapped) for _, a, b in hits)
+
+
+@pytest.mark.parametrize(
+    "data",
+    [
+        b"\xe9\xff " + INNER.encode(),
+        b"\x00\x01\x02" + INNER.encode() + b"\x00",
+        INNER.encode("utf-16"),
+        ("\u0436" + INNER).encode("utf-16-be"),
+        gzip.compress(b"\x00" * 300 + b"\xe9" + INNER.encode() + b"\x00" * 300),
+        gzip.compress(b"first") + gzip.compress(INNER.encode()),
+        bz2.compress(b"first") + bz2.compress(INNER.encode()),
+        lzma.compress(b"first") + lzma.compress(INNER.encode()),
+        gzip.compress(b"first") + INNER.encode(),
+    ],
+)
+def test_all_bytes_of_a_blob(data):
+    text = f"some {b64(data)} words"
+    assert [f[0] for f in secrets.find_secrets(text)[1]].count("assign") == 1
+
+
+def test_an_invalid_escape_drops_no_others():
+    assert secrets.find_secrets("%ff%70assword%3Dhunter2xyz")[1] == [("assign", 3, 26)]
+    assert secrets.find_secrets(r"\ud800\u0070assword=hunter2xyz")[1] == [("assign", 6, 30)]
+
+
+def test_large_layers_are_read_in_chunks():
+    for at in (0, 99_990, 250_000, 399_000):
+        data = (b". " * 200_000)[:at] + b" " + INNER.encode() + b" " + b64("x" * 50 + INNER.replace("password", "passwd")).encode() + b" " + (b". " * 200_000)[at:]
+        base, every, unread = secrets.find_secrets(b64(gzip.compress(zlib.compress(data))), most=100_000)
+        assert not base and [f[0] for f in every] == ["assign"] and not unread
