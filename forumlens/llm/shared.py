@@ -17,7 +17,15 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+    return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have; case does not tell names apart."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def numbered(df: DataFrame, group: str, part: Column, order: list[str], name: str) -> DataFrame:

@@ -1,18 +1,20 @@
 """SimHash near-deduplication by a binary-trie self-join.
 
-Fingerprints are 64 bits. The distinct ones form a binary trie, and pairs of its nodes are traversed together: a pair
-carries the bits in which its prefixes differ, and is dropped when they exceed the budget. At most b differing bits
-leave one of b + 1 disjoint blocks equal, so that for each block, rotated to the front, the traversal starts at the
-pairs (p, p) of that depth. A pair with few fingerprints below it goes to one task, which walks the rest of the trie;
-a pair with many goes four bits down in a Spark join first, again and again, so that no task holds a large bucket.
+Fingerprints form a binary trie, and pairs of its nodes are traversed together: a pair carries the bits in which its
+prefixes differ, and is dropped when they exceed the budget. At most b differing bits leave one of b + 1 disjoint blocks
+equal, so that for each block, rotated to the front, the traversal starts at the pairs (p, p) of that depth. A pair with
+few items below it goes to one task, which walks the rest of the trie; a pair with many goes further down in a Spark join
+first, again and again, so that no task holds a large node. Bits of a hash of the item follow the fingerprint, so that
+items of equal fingerprints can be parted too. A pair of nodes that hold one and the same component is dropped.
+
+Two fingerprints are used. Exact links on one fingerprint a text (near_duplicate_classes) take the plain majority of
+shingle hashes. Links by similarity (similar_components) take several fingerprints of skewed weights (see
+skewed_fingerprints), whose distance follows the Jaccard similarity, and verify each candidate on the whole shingle sets.
 """
 
 from __future__ import annotations
 
-import math
-from bisect import bisect_left
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,13 +23,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forumlens.llm.components import connected_components
-from forumlens.llm.shared import text_or_empty, written
+from forumlens.llm.shared import spare, text_or_empty, written
 
 BITS = 64
 MASK = (1 << BITS) - 1
-STEP = 4
-#: A node pair goes to one task if the product of its fingerprints is at most this.
-UNIT = 4096
+#: Bits by which a pair of large nodes goes down at a time.
+STEP = 6
+#: A node pair goes to one task if the product of its items is at most this.
+UNIT = 1 << 18
+#: Within a task, nodes of at most this product are compared at once.
+BLOCK = 1 << 16
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -45,9 +50,6 @@ def majority_bits(hashes: np.ndarray) -> int:
     """The bits that are set in over half of the hashes; zero if there are none."""
     if not len(hashes):
         return 0
-    if len(hashes) == 3:
-        a, b, c = map(int, hashes)
-        return a & b | b & c | a & c
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = np.ascontiguousarray(hashes[at : at + (1 << 16)]).view(np.uint8).reshape(-1, 8)
@@ -67,98 +69,163 @@ def fingerprint(width: int):
     return simhash
 
 
-def _rotated(fp: Column, by: int) -> Column:
-    return fp if not by else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, BITS - by))
-
-
 def _prefix(value: Column, depth: int) -> Column:
     return F.shiftrightunsigned(value, BITS - depth) if depth < BITS else value
 
 
-def trie_pairs(a: list[int], b: list[int] | None, depth: int, diff: int, budget: int) -> list[tuple[int, int]]:
-    """The pairs of sorted values below two trie nodes (b None: below one, each pair once) within the budget.
+def _turned(fp: Column, bits: int, by: int) -> Column:
+    """The lowest `bits` bits of fp, rotated left, at the top of 64 bits."""
+    top = F.shiftleft(fp, BITS - bits) if bits < BITS else fp
+    if not by:
+        return top
+    low = F.shiftrightunsigned(top, BITS - by)  # the bits that come round
+    return F.shiftleft(top, by).bitwiseOR(F.shiftleft(low, BITS - bits))
+
+
+def trie_rows(items: DataFrame, bits: int, budget: int) -> DataFrame:
+    """(turn, v, id, comp, size): each fingerprint of (id, comp, size, table, fp) with each of its blocks in front."""
+    width, turns = bits // (budget + 1), budget + 1
+    tail = F.shiftrightunsigned(F.xxhash64("id"), bits) if bits < BITS else F.lit(0).cast("long")
+    each = [F.struct((F.col("table") * turns + r).cast("int").alias("turn"), _turned(F.col("fp"), bits, width * r).bitwiseOR(tail).alias("v")) for r in range(turns)]
+    return items.select(F.explode(F.array(*each)).alias("t"), "id", "comp", "size").select("t.turn", "t.v", "id", "comp", "size")
+
+
+def walk_trie(x: np.ndarray, y: np.ndarray | None, depth: int, diff: int, bits: int, budget: int, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of values within the budget, of sorted values below two trie nodes; y None: below one, each pair once.
 
     diff: the bits in which the nodes' prefixes of `depth` bits differ.
     """
-    out: list[tuple[int, int]] = []
-    todo = [(a, b, depth, diff)]
+    shift, inner = np.uint64(BITS - bits), y is None
+    other = x if inner else y
+    todo = [(0, len(x), 0, len(other), inner, depth, diff)]
     while todo:
-        x, y, d, n = todo.pop()
-        if y is None:
-            if len(x) < 2:
-                continue
-            if len(x) <= 4:
-                out += [(p, q) for i, p in enumerate(x) for q in x[:i] if (p ^ q).bit_count() <= budget]
-                continue
-        elif not x or not y:
-            continue
-        elif n == budget and len(x) + len(y) > 8:
-            # No bit is left to differ: the rest of the values must be equal.
-            rest = (1 << (BITS - d)) - 1
-            at = {q & rest: q for q in y}
-            out += [(p, at[p & rest]) for p in x if p & rest in at]
+        a, b, c, d, same, at, n = todo.pop()
+        if a == b or c == d or (same and b - a < 2):
             continue
-        elif len(x) * len(y) <= 16:
-            out += [(p, q) for p in x for q in y if (p ^ q).bit_count() <= budget]
+        if (b - a) * (d - c) <= block or at >= bits:
+            for s in range(a, b, max(1, block // (d - c))):
+                part = x[s : min(b, s + max(1, block // (d - c)))]
+                near = np.bitwise_count((part[:, None] ^ other[None, c:d]) >> shift) <= budget
+                i, j = np.nonzero(near)
+                i, j = i + s, j + c
+                if same:
+                    i, j = i[i < j], j[i < j]
+                yield i, j
             continue
-        bit = 1 << (BITS - 1 - d)
-        cut = lambda v: bisect_left(v, True, key=lambda z: bool(z & bit))  # noqa: E731  sorted below one prefix
-        i = cut(x)
-        if y is None:
-            todo += [(x[:i], None, d + 1, n), (x[i:], None, d + 1, n)]
-            if n < budget:
-                todo.append((x[:i], x[i:], d + 1, n + 1))
-        else:
-            j = cut(y)
-            todo += [(x[:i], y[:j], d + 1, n), (x[i:], y[j:], d + 1, n)]
-            if n < budget:
-                todo += [(x[:i], y[j:], d + 1, n + 1), (x[i:], y[:j], d + 1, n + 1)]
-    return out
-
-
-def _walker(width: int, budget: int):
-    block = ((1 << width) - 1) << (BITS - width)
-
-    @F.pandas_udf("array<struct<a:long,b:long>>")
-    def walk(turn: pd.Series, depth: pd.Series, diff: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
-        back = lambda v, s: ((v >> s) | (v << (BITS - s))) & MASK if s else v
-        out = []
-        for r, d, n, x, y in zip(turn, depth, diff, left, right, strict=True):
-            shift = width * int(r)
-            x = sorted(int(v) & MASK for v in x)
-            y = None if y is None else sorted(int(v) & MASK for v in y)
-            found = [(back(p, shift), back(q, shift)) for p, q in trie_pairs(x, y, int(d), int(n), budget)]
-            # A pair is reported by the first block in which it agrees.
-            mine = [(p, q) for p, q in found if all((p ^ q) & (block >> (width * k)) for k in range(int(r)))]
-            out.append([{"a": signed(p), "b": signed(q)} for p, q in mine])
-        return pd.Series(out, dtype=object)
+        bit = np.uint64(1 << (BITS - 1 - at))
+        prefix = ~np.uint64((1 << (BITS - at)) - 1)
+        m = a + int(np.searchsorted(x[a:b], (x[a] & prefix) | bit))
+        k = m if same else c + int(np.searchsorted(other[c:d], (other[c] & prefix) | bit))
+        todo += [(a, m, c, k, same, at + 1, n), (m, b, k, d, same, at + 1, n)]
+        if n < budget:
+            todo.append((a, m, k, d, False, at + 1, n + 1))
+            if not same:
+                todo.append((m, b, c, k, False, at + 1, n + 1))
+
+
+def _first_block(x: np.ndarray, turn: int, bits: int, width: int) -> np.ndarray:
+    """Whether values that differ in x agree in none of the blocks before that of the turn."""
+    ok = np.ones(len(x), bool)
+    for k in range(turn):
+        low = np.uint64(BITS - (bits - turn * width + (k + 1) * width))
+        ok &= (x >> low) & np.uint64((1 << width) - 1) != 0
+    return ok
+
+
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the edges (i, j) among n nodes, some that connect what all of them connect; fewer than n."""
+    root, keep = list(range(n)), []
+    for e, (p, q) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        while root[p] != p:
+            root[p] = p = root[root[p]]
+        while root[q] != q:
+            root[q] = q = root[root[q]]
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            keep.append(e)
+    return i[keep], j[keep]
+
+
+def stars(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the edges (i, j) among n nodes at most one to each node, from the node of most edges that it has."""
+    degree = np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
+    a, b = np.concatenate([i, j]), np.concatenate([j, i])
+    best = np.lexsort((a, -degree[a], b))
+    a, b = a[best], b[best]
+    first = np.ones(len(b), bool)
+    first[1:] = b[1:] != b[:-1]
+    a, b = a[first], b[first]
+    up = (degree[a] > degree[b]) | ((degree[a] == degree[b]) & (a < b))
+    return a[up], b[up]
+
+
+def _walker(bits: int, budget: int, thin: Callable | None, ratio: float):
+    """Node pairs with their items to pairs (a, b) of ids. thin: forest or stars, of the links of a node with itself."""
+    width, turns = bits // (budget + 1), budget + 1
+
+    def lists(batch: pa.RecordBatch, side: str) -> Callable:
+        cols = [batch.column(f"{side}{c}") for c in ("v", "id", "comp", "size")]
+        ends, held = cols[0].offsets.to_numpy(), [c.values.to_numpy() for c in cols]
+
+        def get(k: int) -> list[np.ndarray]:
+            v, *rest = (h[ends[k] : ends[k + 1]] for h in held)
+            v = v.view(np.uint64)
+            order = np.argsort(v, kind="stable")
+            return [v[order], *(r[order] for r in rest)]
+
+        return get
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = lists(batch, "x"), lists(batch, "y")
+            turn, depth, diff, alone = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("turn", "depth", "diff", "alone"))
+            found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for k in range(batch.num_rows):
+                x = left(k)
+                y = x if alone[k] else right(k)
+                pieces = []
+                for i, j in walk_trie(x[0], None if alone[k] else y[0], int(depth[k]), int(diff[k]), bits, budget):
+                    small, large = np.minimum(x[3][i], y[3][j]), np.maximum(x[3][i], y[3][j])
+                    ok = (x[2][i] != y[2][j]) & (small >= ratio * large)
+                    if not (thin and alone[k]):
+                        ok &= _first_block(x[0][i] ^ y[0][j], int(turn[k]) % turns, bits, width)
+                    pieces.append((i[ok], j[ok]))
+                i, j = (np.concatenate([p[s] for p in pieces]) if pieces else np.zeros(0, np.int64) for s in (0, 1))
+                if thin and alone[k] and len(i):
+                    i, j = thin(i, j, len(x[0]))
+                found.append((x[1][i], y[1][j]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[s] for f in found])) for s in (0, 1)], ["a", "b"])
 
     return walk
 
 
-def hamming_pairs(fps: DataFrame, budget: int, unit: int = UNIT) -> DataFrame:
-    """Pairs (a, b) of the distinct longs `fp` that differ in at most `budget` bits, each pair once."""
-    if not 0 <= budget < 16:
-        raise ValueError("the budget must be 0 to 15 bits")
-    width = BITS // (budget + 1)
-    turns = F.explode(F.array(*[F.struct(F.lit(r).alias("turn"), _rotated(F.col("fp"), width * r).alias("v")) for r in range(budget + 1)]))
-    rows = fps.select(turns.alias("t")).select("t.turn", "t.v")
-    depth = width
-    nodes = rows.groupBy("turn", _prefix(F.col("v"), depth).alias("p")).agg(F.count("*").alias("n")).filter("n > 1")
+def trie_join(rows: DataFrame, bits: int, budget: int, unit: int = UNIT, thin: Callable | None = None, apart: bool = True, ratio: float = 0.0) -> DataFrame:
+    """Pairs (a, b) of ids of trie_rows() of unequal `comp` within the budget, some of them more than once.
+
+    ratio: least quotient of the sizes of a pair. thin: what to make of the links of a node with itself, all by default.
+    apart False: nodes are joined with themselves only, so that the work is in proportion to the rows.
+    """
+    depth, walk, out = bits // (budget + 1), _walker(bits, budget, thin, ratio), None
+    small = F.col("na") * F.col("nb") <= unit
+    held = [F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")]
+    nodes = rows.groupBy("turn", _prefix(F.col("v"), depth).alias("p")).agg(*held).filter("n > 1 and low <> high")
     front = written(nodes.select("turn", F.col("p").alias("a"), F.col("p").alias("b"), F.lit(0).alias("diff"), F.col("n").alias("na"), F.col("n").alias("nb")))
-    walk, out, small = _walker(width, budget), None, F.col("na") * F.col("nb") <= unit
     while True:
         ready = front if depth == BITS else front.filter(small)
         wanted = ready.select("turn", F.col("a").alias("p")).union(ready.select("turn", F.col("b"))).distinct()
-        under = rows.withColumn("p", _prefix(F.col("v"), depth)).join(wanted, ["turn", "p"]).groupBy("turn", "p").agg(F.collect_list("v").alias("vs"))
-        pairs = ready.join(under.select("turn", F.col("p").alias("a"), F.col("vs").alias("xs")), ["turn", "a"])
-        # A node with itself needs its values once.
-        other = under.select("turn", F.col("p").alias("b"), F.col("vs").alias("ys"))
-        same = pairs.filter("a = b").withColumn("ys", F.lit(None).cast("array<long>"))
-        apart = pairs.filter("a <> b").join(other, ["turn", "b"])
-        # The outer form keeps Spark from calling walk() beforehand, to see whether there is anything to explode.
-        found = same.unionByName(apart).select(F.explode_outer(walk("turn", F.lit(depth), "diff", "xs", "ys")).alias("e"))
-        found = written(found.select("e.a", "e.b")).filter("a is not null")
+        under = rows.withColumn("p", _prefix(F.col("v"), depth)).join(wanted, ["turn", "p"])
+        under = under.groupBy("turn", "p").agg(F.collect_list(F.struct("v", "id", "comp", "size")).alias("xs"))
+        side = lambda node, s: under.select("turn", F.col("p").alias(node), *[F.col(f"xs.{c}").alias(f"{s}{c}") for c in ("v", "id", "comp", "size")])
+        cols = ["turn", F.lit(depth).alias("depth"), "diff", (F.col("a") == F.col("b")).alias("alone")]
+        lists = lambda s: [f"{s}{c}" for c in ("v", "id", "comp", "size")]
+        # A node with itself needs its items once.
+        none = [F.array().cast(f"array<{'int' if c == 'size' else 'long'}>").alias(f"y{c}") for c in ("v", "id", "comp", "size")]
+        same = ready.filter("a = b").join(side("a", "x"), ["turn", "a"]).select(*cols, *lists("x"), *none)
+        whole = same
+        if apart:
+            other = ready.filter("a <> b").join(side("a", "x"), ["turn", "a"]).join(side("b", "y"), ["turn", "b"])
+            whole = same.unionByName(other.select(*cols, *lists("x"), *lists("y")))
+        found = written(whole.mapInArrow(walk, "a long, b long"))
         out = found if out is None else out.union(found)
         large = front.filter(~small)
         if depth == BITS or large.isEmpty():
@@ -166,312 +233,175 @@ def hamming_pairs(fps: DataFrame, budget: int, unit: int = UNIT) -> DataFrame:
         step = min(STEP, BITS - depth)
         split = large.select("turn", F.col("a").alias("p")).union(large.select("turn", F.col("b"))).distinct()
         below = rows.withColumn("p", _prefix(F.col("v"), depth)).join(split, ["turn", "p"], "left_semi")
-        kids = below.groupBy("turn", "p", _prefix(F.col("v"), depth + step).alias("c")).agg(F.count("*").alias("n"))
-        left = kids.select("turn", F.col("p").alias("a"), F.col("c").alias("ca"), F.col("n").alias("ma"))
-        right = kids.select("turn", F.col("p").alias("b"), F.col("c").alias("cb"), F.col("n").alias("mb"))
-        more = large.join(left, ["turn", "a"]).join(right, ["turn", "b"])
-        more = more.withColumn("diff", F.col("diff") + F.bit_count(F.col("ca").bitwiseXOR(F.col("cb")).bitwiseAND((1 << step) - 1)))
-        more = more.filter(F.col("diff") <= budget).filter("a <> b or ca < cb or (ca = cb and ma > 1)")
-        front = written(more.select("turn", F.col("ca").alias("a"), F.col("cb").alias("b"), "diff", F.col("ma").alias("na"), F.col("mb").alias("nb")))
+        kids = written(below.groupBy("turn", "p", _prefix(F.col("v"), depth + step).alias("c")).agg(*held))
+        kid = lambda node, c, k: kids.select("turn", F.col("p").alias(node), F.col("c").alias(c), *[F.col(n).alias(n + k) for n in ("n", "low", "high")])
+        more = large.join(kid("a", "ca", "1"), ["turn", "a"]).join(kid("b", "cb", "2"), ["turn", "b"])
+        # Of the fingerprint's bits only: those of the item's hash part items and don't count.
+        counted = max(0, min(step, bits - depth))
+        unlike = F.bit_count(F.shiftrightunsigned(F.col("ca").bitwiseXOR(F.col("cb")).bitwiseAND((1 << step) - 1), step - counted)) if counted else F.lit(0)
+        more = more.withColumn("diff", F.col("diff") + unlike).filter(F.col("diff") <= budget)
+        more = more.filter("a <> b or ca < cb or (ca = cb and n1 > 1)" if apart else "ca = cb and n1 > 1")
+        more = more.filter("least(low1, low2) <> greatest(high1, high2)")
+        front = written(more.select("turn", F.col("ca").alias("a"), F.col("cb").alias("b"), "diff", F.col("n1").alias("na"), F.col("n2").alias("nb")))
         depth += step
 
 
+def hamming_pairs(fps: DataFrame, budget: int, unit: int = UNIT, thin: Callable | None = None) -> DataFrame:
+    """Pairs (a, b) of the distinct longs `fp` that differ in at most `budget` bits, each pair once.
+
+    thin=forest: where many are close, only so many pairs as connect them.
+    """
+    if not 0 <= budget < 16:
+        raise ValueError("the budget must be 0 to 15 bits")
+    items = fps.select(F.col("fp").alias("id"), F.col("fp").alias("comp"), F.lit(1).alias("size"), F.lit(0).alias("table"), "fp")
+    return trie_join(written(trie_rows(items, BITS, budget)), BITS, budget, unit, thin)
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2) -> DataFrame:
     """One row per row of `docs`: id, fingerprint (long), component_id (smallest id that links reach).
 
     Fingerprints of at most `budget` differing bits are linked; equal ones are one node of the graph, so that copies
-    are never expanded into pairs. Texts without words, null ones too, have fingerprint zero and are linked like any
-    other. Null ids get the component of the others and are never its id, unless no other is there. Repeated rows
-    come out as often as they come in; an empty table gives an empty result; other columns are not read.
+    are never expanded into pairs, and where a trie node holds many close ones, a spanning forest of their links stands
+    for them. Texts without words, null ones too, have fingerprint zero and are linked like any other. Very long texts
+    are read whole; their hashes are counted in parts. Null ids get the component of the others and are never its id,
+    unless no other is there. Ids may be of any type that has an order. Repeated rows come out as often as they come
+    in; an empty table gives an empty result; other columns are not read, so that their names cannot clash.
     """
-    marks = written(docs.select(F.col(id_col).alias("id"), fingerprint(width)(text_or_empty(text_col)).alias("fp")))
+    marks = written(docs.select(F.col(f"`{id_col}`").alias("id"), fingerprint(width)(text_or_empty(text_col)).alias("fp")))
     groups = written(marks.groupBy("fp").agg(F.min("id").alias("least")))
-    labels = connected_components(hamming_pairs(groups.select("fp"), budget))
+    labels = connected_components(hamming_pairs(groups.select("fp"), budget, thin=forest))
     classes = groups.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
     found = classes.select("fp", "label").join(least, "label").select("fp", "component_id")
     return marks.join(found, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
 
 
-#: Fingerprints a document gets for similarity search, and shingles that each is made of.
-TABLES, SAMPLED = 8, 3
-#: Buckets up to this size are paired within; in larger ones every member is paired with the bucket's centre first.
-SMALL = 12
-#: Shingles by which samples grow for the members of buckets that their centre leaves open.
-DEEPER = 4
-#: Share of pairs at the very threshold that the first level, and a deeper one, may leave without a common sample.
-FIRST_MISSED, MISSED = 0.0036, 0.003
-#: Subsets of a short set that are listed, at most; longer sets are sampled.
-SUBSETS = 1200
-#: Tables of a level, at most. Members that would need more are paired in full with the rest of their bucket.
-MOST_TABLES = 2500
-
-
-def deletions(n: int, similarity: float) -> int:
-    """How many of its `n` shingles a set may have that a similar one lacks."""
-    return max(e for e in range(n + 1) if n - e >= similarity * n)
-
-
-def short_limit(similarity: float) -> int:
-    """The largest size up to which every set has at most SUBSETS subsets that a similar set can share with it."""
-    n = 0
-    while sum(math.comb(n + 1, e) for e in range(deletions(n + 1, similarity) + 1)) <= SUBSETS and n < 64:
-        n += 1
-    return n
-
-
-def tables_for(size: int, sampled: int, similarity: float, missed: float = MISSED) -> float:
-    """Tables after which two sets, the larger of `size` shingles, lack a common sample in a share `missed` of cases.
-
-    Samples are without replacement: c of u shingles shared make the same sample in C(c, s) / C(u, s) of the tables. That
-    grows with u, which is at least `size`, so a smaller set has more tables and two sets meet in those of the larger.
-    """
-    share = math.prod(max(0.0, (similarity * size - i) / (size - i)) if size > i else 0.0 for i in range(sampled))
-    return math.ceil(math.log(missed) / math.log1p(-share)) if 0 < share < 1 else (math.inf if share <= 0 else 1)
+#: Fingerprints of a text for similarity search, their bits, and the bits in which two may differ. Texts of similarity
+#: 0.8 differ in a bit with probability 0.1, so that a fingerprint pair is within the budget in half of the cases and one
+#: of seven in 99.3 %. Unrelated texts are in 2**-23 of the cases: with many billions of texts take more bits and tables.
+TABLES, SKEWED_BITS, SKEWED_BUDGET = 7, 36, 3
 
 
-def sampled_fingerprints(hashes: np.ndarray, tables: int = TABLES, sampled: int = SAMPLED) -> list[int]:
-    """One fingerprint a table, each of the `sampled` shingles that come first in the table's own order of hashes.
+def skewed_fingerprints(hashes: np.ndarray, tables: int = TABLES, bits: int = SKEWED_BITS) -> np.ndarray:
+    """SimHashes of skewed weights: `tables` numbers of `bits` bits, of the distinct shingle hashes of a text.
 
-    `hashes` are the distinct shingle hashes of a text. Texts of Jaccard similarity j have the same sample, and so
-    the same fingerprint, in a share j ** sampled of the tables. A text without words has none.
+    For each bit the shingles get weights of their own, so skewed that the largest outweighs all others together: the
+    weighted majority is then the bit of that shingle, which is the first in the order of a hash. Two texts of Jaccard
+    similarity j have the same first shingle with probability j, and differ in the bit with (1 - j) / 2, whatever their
+    sizes; with equal weights it would be more for the same j (0.15 instead of 0.1 at 0.8) and depend on the sizes.
     """
-    h = hashes.astype(np.uint64)
-    if not len(h):
-        return []
-    salt = [(0xD6E8FEB86659FD93 * (t + 1)) & MASK for t in range(tables)]
-    if len(h) <= sampled:
-        return [signed(majority_bits(h) ^ s) for s in salt]
-    turn = np.asarray([(2 * 0x9E3779B97F4A7C15 * (t + 1) + 1) & MASK for t in range(tables)], np.uint64)
-    out, step = [], max(8, (1 << 18) // len(h))  # bounded memory for many tables
-    for at in range(0, tables, step):
+    k = np.arange(1, tables * bits + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    k = (k ^ (k >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    turn = (k >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    h = (hashes >> np.uint64(32)).astype(np.uint32)
+    first = np.empty(len(turn), np.uint32)
+    step = max(1, (1 << 19) // max(1, len(h)))
+    for at in range(0, len(turn), step):
         order = h[None, :] * turn[at : at + step, None]
-        order ^= order >> np.uint64(29)
-        first = h[np.argpartition(order, sampled - 1, axis=1)[:, :sampled]]
-        out += [signed(majority_bits(x) ^ s) for x, s in zip(first, salt[at : at + step], strict=True)]
-    return out
-
-
-def shared_subsets(hashes: list[int], own: set[int], similarity: float) -> list[tuple[int, int, int]]:
-    """(sum of hashes, size, shingles left out) of each subset that the set can share with a similar one.
-
-    `own` shingles are held by no other set, and so by no subset.
-    """
-    most = deletions(len(hashes), similarity) - len(own)
-    rest = [h for h in hashes if h not in own]
-    total = sum(rest)
-    return [(signed((total - sum(out)) & MASK), len(rest) - k, len(own) + k) for k in range(most + 1) for out in combinations(rest, k)]
-
-
-def short_links(short: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that join all similar sets of (id, hs), hs being sorted shingle hashes of at most short_limit().
-
-    Sets x and y are similar if and only if they hold a common subset S, with |S| >= similarity * (|S| + what x has
-    besides + what y has besides). Of the sets that hold S, the one with the least besides it is similar to each that is
-    similar to any, so links to it are enough: no bucket is paired, and nothing is left to chance but hash collisions.
+        order ^= order >> np.uint32(15)
+        order *= np.uint32(0x2C1B3C6D)
+        first[at : at + step] = order.min(axis=1)
+    # Each bit takes another bit of its shingle's hash.
+    mixed = (first ^ turn) * np.uint32(0x297A2D39)
+    mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+    ones = (mixed >> np.uint32(31)).astype(np.int64).reshape(tables, bits)
+    return ones @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+
+
+def _set_keys(h: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set of hashes: sums of two hashes of each."""
+    mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    sums = [int(x.sum(dtype=np.uint64)) for x in (h, mixed ^ (mixed >> np.uint64(29)))]
+    return signed(sums[0]), signed(sums[1])
+
+
+def similar_sets(base: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """((id, node), (node, label)): the set of each row of (id, text) by number, and the components of similar sets.
+
+    Texts without words have no node. Equal sets are one node. Candidates are pairs within the budget in any of the
+    tables, found by two trie joins: the first joins nodes of the trie with themselves only and hands on a star for each
+    group of close fingerprints; the second finds all pairs that are not in one component by then. Each candidate is
+    verified on the whole sets of 64-bit hashes. Nodes without a link have no label.
     """
 
-    @F.pandas_udf("array<struct<s:long,size:int,e:int>>")
-    def subsets(hs: pd.Series, own: pd.Series) -> pd.Series:
-        own = [set() if o is None else set(map(int, o)) for o in own]
-        return pd.Series([[{"s": s, "size": n, "e": e} for s, n, e in shared_subsets([int(h) for h in x], o, similarity)] for x, o in zip(hs, own, strict=True)], dtype=object)
-
-    sets = written(short.groupBy("hs").agg(F.min("id").alias("node")))
-    equal = short.join(sets, "hs").filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    # Two sets of one id may differ; each has its own subsets.
-    held = sets.withColumn("k", F.xxhash64("hs")).select("k", F.explode("hs").alias("h"))
-    alone = held.groupBy("h").agg(F.count("*").alias("n"), F.min("k").alias("k")).filter("n = 1").groupBy("k").agg(F.collect_list("h").alias("own"))
-    open_ = sets.withColumn("k", F.xxhash64("hs")).join(alone, "k", "left")
-    most = F.element_at(F.array(*[F.lit(deletions(n, similarity)) for n in range(1, short_limit(similarity) + 1)]), F.size("hs"))
-    open_ = open_.filter(F.coalesce(F.size("own"), F.lit(0)) <= most)
-    marks = written(open_.select("node", F.explode_outer(subsets("hs", "own")).alias("m")).filter("m is not null").select("node", "m.s", "m.size", "m.e"))
-    best = marks.groupBy("s", "size").agg(F.count("*").alias("n"), F.min(F.struct("e", "node")).alias("least")).filter("n > 1")
-    best = best.select("s", "size", F.col("least.e").alias("low"), F.col("least.node").alias("b"))
-    linked = marks.join(best, ["s", "size"]).filter(F.col("node") != F.col("b"))
-    linked = linked.filter(F.col("size") >= similarity * (F.col("size") + F.col("e") + F.col("low")))
-    return written(equal.union(linked.select(F.col("node").alias("a"), "b")).distinct())
-
-
-def _spread(part: np.ndarray) -> np.ndarray:
-    """64-bit hashes of 32-bit ones (the finaliser of MurmurHash3)."""
-    h = part.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    for by in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
-        h = (h ^ (h >> np.uint64(33))) * np.uint64(by)
-    return h ^ (h >> np.uint64(33))
-
-
-def _bucketed(marks: DataFrame, lend: bool) -> DataFrame:
-    """(id, fp, n): members of buckets of two or more, n being the size.
-
-    lend: a fingerprint that the trie join finds one bit off lends its bucket to its neighbour.
-    """
-    sizes = marks.groupBy("fp").agg(F.count("*").alias("n"))
-    member = marks
-    if lend:
-        near = hamming_pairs(sizes.select("fp"), 1)
-        lent = near.select(F.col("a").alias("fp"), F.col("b").alias("to")).union(near.select(F.col("b"), F.col("a")))
-        lent = marks.join(lent, "fp").select("id", F.col("to").alias("fp"))
-        shared = sizes.filter("n > 1").select("fp").union(lent.select("fp")).distinct()
-        member = written(marks.join(shared, "fp").select("id", "fp").union(lent).distinct())
-        sizes = member.groupBy("fp").agg(F.count("*").alias("n"))
-    return member.join(sizes.filter("n > 1"), "fp").select("id", "fp", "n")
-
-
-def _candidates(placed: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b: all within small buckets; in large ones each member with the centre.
-
-    The centre is the member whose buckets are largest: copies of an original share more samples with it than with
-    each other, so the original stands in the centre.
-    """
-    weight = placed.groupBy("id").agg(F.sum("n").alias("w"))
-    centre = placed.join(weight, "id").groupBy("fp").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("other"))
-    starred = placed.select("id", "fp").join(centre, "fp").select("id", "other")
-    few = placed.filter(F.col("n") <= SMALL)
-    within = few.select("id", "fp").join(few.select(F.col("id").alias("other"), "fp"), "fp").filter("id < other").select("id", "other")
-    pairs = starred.filter("id <> other").union(within).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-    return pairs.distinct()
-
-
-def _labelled(rows: DataFrame, labels: DataFrame, id_col: str, name: str) -> DataFrame:
-    """`rows` with the component of `id_col`, which is its own where no link reaches it."""
-    known = labels.select(F.col("node").alias(id_col), F.col("label").alias(name))
-    return rows.join(known, id_col, "left").withColumn(name, F.coalesce(name, id_col))
-
-
-def _unsettled(placed: DataFrame, labels: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
-    """(id, fp, label, lead, others) of large buckets: members that may yet be linked to another component's.
-
-    lead: the component of most of them; others: how many are outside it. Texts x and y of similarity s share at least
-    s / (1 + s) * (|x| + |y|) shingles, of which neither holds more than its `common` ones. So x has partners of
-    at least s * |x| and at most `upto` shingles only, and those must admit |x| in turn. That is looked up by classes of
-    sizes, a twentieth wide, so that no bucket is sorted or paired.
-    """
-    large = _labelled(placed.filter(F.col("n") > SMALL).select("id", "fp"), labels, "id", "label").join(sizes, "id")
-    most = F.least(F.col("size") / similarity, F.col("common") * ((1 + similarity) / similarity) - F.col("size")) + 1e-6
-    large = large.withColumn("upto", most).withColumn("from", F.col("size") * similarity - 1e-6).filter(F.col("upto") >= F.col("from"))
-    step = lambda c: F.floor(F.log(F.col(c)) / math.log(1.05))
-    held = large.groupBy("fp", step("size").alias("c")).agg(
-        F.min("label").alias("l"), F.max("label").alias("m"), F.min("size").alias("low"), F.max("size").alias("high"), F.max("upto").alias("admits"))
-    asks = large.withColumn("c", F.explode(F.sequence(step("from"), step("upto"))))
-    fits = "(l <> label or m <> label) and low <= upto and high >= `from` and admits >= size"
-    going = asks.join(held, ["fp", "c"]).filter(fits).select("id", "fp", "label").distinct()
-    going = written(going)
-    parts = going.groupBy("fp", "label").agg(F.count("*").alias("k"))
-    parts = parts.groupBy("fp").agg(F.max_by("label", F.struct("k", -F.col("label"))).alias("lead"), (F.sum("k") - F.max("k")).alias("others"))
-    return written(going.join(parts.filter("others > 0"), "fp").select("id", "fp", "label", "lead", "others"))
-
-
-def _set_sizes(sets: DataFrame) -> DataFrame:
-    """(id, size, common) of (id, set): shingles, and those of them that another set holds too.
-
-    Counts are combined before the shuffle, so that a frequent shingle does no harm.
-    """
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, x in zip(batch.column("id"), batch.column("set"), strict=True):
-                h = np.frombuffer(x.as_buffer(), np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i.as_py(), np.int64)), pa.array(h)], ["id", "h"])
-
-    held = sets.select(F.col("id").cast("long"), "set").mapInArrow(shingles, "id long, h int").groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    own = held.filter("n = 1").groupBy("id").agg(F.count("*").alias("own"))
-    size = F.length("set") / 4
-    return sets.join(own, "id", "left").select("id", size.alias("size"), (size - F.coalesce("own", F.lit(0))).alias("common"))
-
-
-def similar_components(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """(node, label): the components of ids whose texts' shingle sets have a Jaccard similarity of `similarity` or more.
-
-    Short sets are linked exactly, by common subsets (short_links); sampling is for pairs of which one is longer.
-
-    Candidates are the members of a bucket, which is one sampled fingerprint, or two that a trie join finds one bit
-    apart. Small buckets are paired within, large ones with their centre, and every pair is verified on the whole
-    sets. What that leaves open in a large bucket are its members outside the leading component; those that can have
-    no partner by their sizes are set aside. If few are left, each is paired with all others of the bucket; else the
-    members get larger samples in more tables, whose buckets are smaller, until all are settled. Members for which those
-    would be over MOST_TABLES tables are paired with all others of the bucket, however many. Ids without a link are not
-    listed.
-    """
-    limit = short_limit(similarity)
-    tables = lambda n, sampled, missed: tables_for(max(n, limit + 1), sampled, similarity, missed)
-
-    @F.pandas_udf("struct<fps:array<long>,hs:array<long>>")
-    def marks_of(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            h = np.unique(shingle_hashes(t, width))
-            # Of sets that are too short to be similar to a set over the limit no samples are needed.
-            fps = [] if len(h) < similarity * (limit + 1) else sampled_fingerprints(h, tables(len(h), SAMPLED, FIRST_MISSED))
-            rows.append((fps, h.view(np.int64).tolist() if 0 < len(h) <= limit else None))
-        return pd.DataFrame(rows, columns=["fps", "hs"])
-
-    @F.pandas_udf("binary")
-    def set_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, width).astype(np.uint32)).tobytes() for t in texts], dtype=object)
-
-    def deeper_marks(sampled: int):
-        @F.pandas_udf("array<long>")
-        def f(sets: pd.Series) -> pd.Series:
-            return pd.Series([sampled_fingerprints(_spread(np.frombuffer(x, np.uint32)), tables(len(x) // 4, sampled, MISSED), sampled) for x in sets], dtype=object)
-
-        return f
+            fps, size, one, two = [], [], [], []
+            for t in batch.column("text").to_pylist():
+                h = np.unique(shingle_hashes(t, width))
+                fps.append(skewed_fingerprints(h) if len(h) else np.zeros(0, np.int64))
+                size.append(len(h))
+                a, b = _set_keys(h)
+                one.append(a)
+                two.append(b)
+            ends = np.concatenate([[0], np.cumsum([len(f) for f in fps])]).astype(np.int32)
+            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *fps]))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(ends, flat), pa.array(size, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["id", "fps", "size", "k1", "k2"])
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, held = [], []
+            for n, (t, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "k1", "k2")), strict=True)):
+                h = np.unique(shingle_hashes(t, width))
+                if _set_keys(h) == (a, b):  # rows that share an id may differ
+                    kept.append(n)
+                    held.append(h.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(kept, pa.int64())), pa.array(held, pa.binary())], ["node", "set"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):  # without copies of the sets
-                p, q = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-                both = 0
-                if min(len(p), len(q)) >= similarity * max(len(p), len(q)):
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= similarity * max(1, len(p) + len(q) - both))
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        return written(both.select("a", "b", "x", "y").mapInArrow(verify, pairs.schema))
-
-    base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    first = written(base.select("id", marks_of("text").alias("m")).select("id", "m.fps", "m.hs"))
-    short = short_links(first.filter("hs is not null").select(F.col("id").cast("long").alias("id"), "hs"), similarity)
-    marks = first.select("id", F.explode_outer("fps").alias("fp"))
-    placed = written(_bucketed(written(marks.filter("fp is not null").distinct()), lend=True))
-    pairs = written(_candidates(placed))
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = written(base.join(ids, "id", "left_semi").select("id", set_of("text").alias("set")).dropDuplicates(["id"]))
-    labels, sampled = connected_components(verified(pairs, sets).union(short)), SAMPLED
-    while True:
-        wide = placed.filter(F.col("n") > SMALL).select("id").distinct()
-        rest = _unsettled(placed, labels, _set_sizes(sets.join(wide, "id", "left_semi")), similarity)
-        if rest.isEmpty():
-            return labels
-        sampled += DEEPER
-        # The smallest size whose next level keeps to MOST_TABLES; members below it end here.
-        least = limit + 1
-        while tables(least, sampled, MISSED) > MOST_TABLES and similarity**sampled * MOST_TABLES > 2 * math.log(1 / MISSED):
-            least += 1
-        ends = F.lit(tables(least, sampled, MISSED) > MOST_TABLES) | ((F.col("size") < least) & F.lit(least > limit + 1))
-        rest = rest.join(sets.select("id", (F.length("set") / 4).alias("size")), "id").withColumn("ends", ends)
-        few, many = rest.filter(F.col("others") <= SMALL), rest.filter(F.col("others") > SMALL)
-        outside = few.filter("label <> lead").union(many.filter("ends")).select("fp", F.col("id").alias("x"), F.col("label").alias("lx"))
-        crossed = outside.join(rest.select("fp", "id", "label"), "fp").filter("label <> lx")
-        crossed = crossed.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-        many = many.filter("not ends").select("id").distinct()
-        deep = sets.join(many, "id", "left_semi").select("id", deeper_marks(sampled)("set").alias("fps")).select("id", F.explode_outer("fps").alias("fp"))
-        placed = written(_bucketed(written(deep.filter("fp is not null").distinct()), lend=False))
-        pairs = _labelled(_labelled(_candidates(placed), labels, "a", "la"), labels, "b", "lb").filter("la <> lb").select("a", "b")
-        links = verified(written(crossed.union(pairs).distinct()), sets)
-        if not links.isEmpty():
-            # The components found so far, as stars, stand for the links that made them.
-            labels = connected_components(links.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    kind = base.schema["id"].dataType.simpleString()
+    marks = written(base.mapInArrow(marks_of, f"id {kind}, fps array<long>, size int, k1 long, k2 long").filter("size > 0"))
+    sets = marks.groupBy("k1", "k2").agg(F.first("fps").alias("fps"), F.first("size").alias("size"), F.min("id").alias("id"))
+    sets = written(sets.withColumn("node", F.monotonically_increasing_id()))
+    placed = written(marks.select("id", "k1", "k2").join(sets.select("k1", "k2", "node"), ["k1", "k2"]).select("id", "node"))
+
+    def links(labels: DataFrame | None, apart: bool) -> DataFrame:
+        items = sets.select(F.col("node").alias("id"), "size", F.posexplode("fps").alias("table", "fp"))
+        if labels is None:
+            items = items.withColumn("comp", F.col("id"))
+        else:
+            items = items.join(labels.toDF("id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        rows = written(trie_rows(items, SKEWED_BITS, SKEWED_BUDGET))
+        pairs = trie_join(rows, SKEWED_BITS, SKEWED_BUDGET, thin=None if apart else stars, apart=apart, ratio=similarity - 1e-9)
+        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        some = sets.select("node", "id", "k1", "k2").join(some, "node", "left_semi")
+        texts = base.join(some, "id").select("node", "k1", "k2", "text")
+        held = written(texts.mapInArrow(sets_of, "node long, set binary").dropDuplicates(["node"]))
+        both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
+        return written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+
+    # Rows that share an id are one document, even if their texts differ.
+    one = placed.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("m")).filter("a <> m").select("id", "a")
+    same = placed.join(one, "id").filter("a <> node").select("a", F.col("node").alias("b"))
+    labels = connected_components(links(None, False).union(same))
+    more = links(labels, True)
+    if not more.isEmpty():
+        # The components found so far, as stars, stand for the links that made them.
+        labels = connected_components(more.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    return placed, labels
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """`docs` without near duplicates: of each component of similar texts the row with the smallest id stays.
 
-    Rows without an id and texts without words take no part and stay. Rows that share an id are one document, and
-    stay or go together. An empty table gives an empty result; the columns are those of `docs`.
+    Similar are texts whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more; A-Z count as
+    a-z. Rows without an id and texts without words, null ones too, take no part and stay. Rows that share an id are one
+    document, and stay or go together. Very long texts are read whole, as sets of all their shingles. Ids may be of any
+    type that has an order. An empty table gives an empty result; the columns are those of `docs`, whatever their names.
     """
-    labels = similar_components(docs, id_col, text_col, width, similarity)
-    gone = labels.filter("node <> label").select(F.col("node").alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    base = docs.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text"))
+    placed, labels = similar_sets(base, width, similarity)
+    found = written(placed.join(labels, "node", "left").select("id", F.coalesce("label", "node").alias("comp")))
+    least = found.groupBy("comp").agg(F.min("id").alias("least"))
+    name = spare(docs, "gone")
+    gone = found.join(least, "comp").filter("id <> least").select(F.col("id").alias(name)).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(f"`{name}`"), "left_anti")
