@@ -29,15 +29,17 @@ def spare(df: DataFrame, name: str) -> str:
 
 
 def numbered(df: DataFrame, group: str, part: Column, order: list[str], name: str) -> DataFrame:
-    """Adds `name`, a long gapless from 0 within each value of `group`; no task holds a group.
+    """`df` with `name`, a long gapless from 0 within each value of `group`; no task holds a group.
 
-    `part` deals each group over a fixed number of parts. The table of their sizes has at most as many rows as there
-    are values of `group` times parts, which callers keep bounded; so it is fit to be broadcast.
+    `part` deals each group over so many parts that a task can sort one. Their sizes are joined by group and part, by
+    which the rows are dealt already. `group` is not null. The columns of `df` may have any names but that of `name`.
     """
-    df = df.withColumn("_part", part.cast("int"))
-    sizes = df.groupBy(group, "_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy(group, "_part").orderBy(*[F.col(f"`{c}`") for c in order])
-    ranked = df.withColumn("_rank", F.row_number().over(within).cast("long") - 1)
-    return ranked.join(F.broadcast(sizes), [group, "_part"]).withColumn(name, F.col("_first") + F.col("_rank")).drop("_part", "_first", "_rank")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    rows = df.select(row, F.col(f"`{group}`").alias("g"), part.cast("int").alias("part"), *[F.col(f"`{c}`").alias(f"o{k}") for k, c in enumerate(order)])
+    before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("g", "part").agg(F.count("*").alias("n"))
+    sizes = sizes.select(F.col("g").alias("h"), F.col("part").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = Window.partitionBy("g", "part").orderBy(*[f"o{k}" for k in range(len(order))])
+    ranked = rows.withColumn("rank", F.row_number().over(within).cast("long") - 1)
+    out = ranked.join(sizes, (F.col("g") == F.col("h")) & (F.col("part") == F.col("of")))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns], (F.col("first") + F.col("rank")).alias(name))

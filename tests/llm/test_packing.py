@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
@@ -29,18 +29,60 @@ def test_plans_are_whole_and_tight(seed):
     counts = defaultdict(int)
     for _ in range([30, 500, 5000, 20000][seed % 4]):
         counts[max(1, min(1024, int(rnd.lognormvariate(5.5, 0.8)) if seed < 4 else rnd.randint(200, top)))] += 1
-    for groups in [(0,), (16,), packing.GROUPS]:
-        runs = packing.plan(counts, 1024, groups)
-        assert unroll(runs, 1024) == {s: list(range(n)) for s, n in counts.items()}
-    n = sum(r.n for r in runs)
-    assert n <= sum(r.n for r in packing.plan(counts, 1024, (0,)))
-    assert n >= -(-sum(s * c for s, c in counts.items()) // 1024)
+    for groups in [(16,), packing.GROUPS]:
+        found = packing.plan(counts, 1024, groups)
+        assert unroll(found.runs, 1024) == {s: list(range(n)) for s, n in counts.items()}
+        assert found.groups and found.configured
+    least = -(-sum(s * c for s, c in counts.items()) // 1024)
+    assert least <= found.sequences <= min(best_fit(counts, 1024) * 1.005 + 1, least * 1.5 + 1)
 
 
-def test_configurations_beat_best_fit():
-    # Halves and thirds: best fit, longest first, wastes room that the configurations fill.
+def best_fit(counts, capacity):
+    p = packing.Planner(counts, capacity)
+    p.best_fit()
+    return sum(r.n for rs in p.open.values() for r in rs)
+
+
+def test_grouping_beats_plain_best_fit():
+    rnd = random.Random(0)
+    counts = Counter(rnd.randint(260, 512) for _ in range(4000))
+    found = packing.plan(counts, 1024)
+    assert found.sequences < 0.96 * best_fit(counts, 1024) and found.configured > 0.9 * found.sequences
+    # Three pieces of 260 to 340 fit a sequence, and not two of the longest.
     counts = {520: 300, 350: 300, 154: 300, 342: 300, 341: 600}
-    assert sum(r.n for r in packing.plan(counts, 1024)) <= sum(r.n for r in packing.plan(counts, 1024, (0,)))
+    assert packing.plan(counts, 1024).sequences <= best_fit(counts, 1024)
+
+
+def optimum(sizes, capacity):
+    """Fewest sequences, by trying every way."""
+    best = [len(sizes)]
+
+    def go(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(rooms)
+            return
+        for r in set(rooms):
+            if r >= sizes[k]:
+                at = rooms.index(r)
+                go(k + 1, [*rooms[:at], r - sizes[k], *rooms[at + 1 :]])
+        go(k + 1, [*rooms, capacity - sizes[k]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_tiny_plans_against_the_optimum():
+    rnd = random.Random(1)
+    more = 0
+    for _ in range(60):
+        sizes = sorted((rnd.randint(2, 20) for _ in range(rnd.randint(1, 10))), reverse=True)
+        found = packing.plan(Counter(sizes), 20)
+        best = optimum(sizes, 20)
+        assert best <= found.sequences <= best + 1
+        more += found.sequences - best
+    assert more <= 3
 
 
 def test_cut():
@@ -70,3 +112,11 @@ def test_pack_round_trip(spark):
             at += length
         assert at <= 1024
     assert packing.pack(spark.createDataFrame([], DOCS), PATH).count() == 0
+
+
+def test_ids_of_any_type_and_long_texts(spark):
+    rows = [("a", "x " * 300_000, 1, 2), ("a", "x " * 300_000, 1, 2), (None, None, 0, 0), ("b", "", 0, 0)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id string, text string, piece int, PART int"), PATH).collect()
+    size = len(bpe.load(PATH).encode(rows[0][1], add_special_tokens=False).ids) + 1
+    assert sorted((r.doc_id or "", r.length) for r in out if r.doc_id != "a") == [("", 1), ("b", 1)]
+    assert sum(r.length for r in out if r.doc_id == "a") == 2 * size and len({(r.sequence_id, r.offset) for r in out}) == len(out)
