@@ -1,13 +1,13 @@
 """Exact top-k inner products over vectors sorted by length.
 
-Vectors are sorted by descending length and cut into blocks; queries are cut into blocks too. The longest vectors are
-tried first and give each query a floor, its k-th best score so far. A pair of blocks is dropped if the product of
-the largest lengths is below every floor of its queries. Within a pair, a query stops where the product of lengths
-falls below its floor; the rest is scored by the leading coordinates after rotation by the singular vectors of the
-corpus, and only where that partial sum plus the Cauchy-Schwarz bound of the remaining coordinates reaches the floor
-are the whole integer vectors multiplied.
-
-Spark deals the pairs of blocks by equi-joins on their numbers; a block has a bounded number of rows.
+All vectors are sorted by descending length over partitions. The longest of them are tried first and give each query a
+floor, its k-th best score so far. Then each task streams its vectors in blocks, longest first, against queries of a
+bounded number, which are broadcast: a query is done where the product of lengths falls below its floor, and the task is
+done when all are. The rest of a block is scored by the leading coordinates after rotation by the singular vectors of
+the corpus, and only where that partial sum plus the Cauchy-Schwarz bound of the remaining coordinates reaches the floor
+are the whole integer vectors multiplied. A task hands on at most k vectors a query, which are merged by query.
+
+More queries than fit the bound take several passes; vectors that are too short for all queries of a pass are not read.
 """
 
 from __future__ import annotations
@@ -16,30 +16,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from forumlens.llm.shared import written
 
-#: Vectors and queries of a block, and the step in which a block is walked.
-ROWS, QUERIES, STEP = 4096, 512, 512
+#: Vectors that give the first floors, vectors of a partition, and the step in which a block is walked.
+FIRST, ROWS, STEP = 4096, 1 << 13, 512
+#: Queries of a pass, and bytes that their vectors take, at most.
+QUERIES, QUERY_BYTES = 1 << 14, 32 << 20
+#: Vectors of more components are not rotated: the sums for it go through the driver.
+ROTATED = 1024
 SCALE = 256.0
 
 
-def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, norm, vec): floor(256 * x) of each component as 64-bit floats, of valid rows; one row an id."""
+def quantised(vectors: DataFrame, asks: Column, id_col: str, vector_col: str) -> DataFrame:
+    """(uid, id, asks, norm, vec): floor(256 * x) of each component as 64-bit floats, of valid rows."""
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ints = [np.floor(SCALE * np.asarray(v, np.float64)) for v in b.column("v").to_pylist()]
             with np.errstate(over="ignore"):
                 norms = [float(np.linalg.norm(x)) for x in ints]
-            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "norm": pa.array(norms, pa.float64()), "vec": pa.array([x.tobytes() for x in ints], pa.binary())})
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("asks"), pa.array(norms, pa.float64()), pa.array([x.tobytes() for x in ints], pa.binary())], ["id", "asks", "norm", "vec"])
 
-    df = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    df = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(asks, F.lit(False)).alias("asks"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return df.filter("id is not null and v is not null").filter(fine).mapInArrow(prepare, "id long, norm double, vec binary").dropDuplicates(["id"])
+    found = df.filter("id is not null and v is not null").filter(fine).mapInArrow(prepare, "id long, asks boolean, norm double, vec binary")
+    return found.withColumn("uid", F.monotonically_increasing_id())
 
 
 def _matrix(vecs: list[bytes], dim: int) -> np.ndarray:
@@ -51,7 +55,12 @@ def _matrix(vecs: list[bytes], dim: int) -> np.ndarray:
 
 
 def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
-    """The right singular vectors of all rows, strongest first, from sums of dim * dim products."""
+    """The right singular vectors of all rows, strongest first, from sums of dim * dim products.
+
+    Of vectors of over ROTATED components, no rotation.
+    """
+    if dim > ROTATED:
+        return np.eye(dim)
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram = np.zeros((dim, dim))
@@ -69,28 +78,6 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
     return v[:, ::-1]
 
 
-def blocks_of(vectors: DataFrame, dim: int, rows: int, count: int, name: str) -> DataFrame:
-    """Blocks (name, part, longest, ids, matrix) by descending length; a partition gives one part of >= 1 blocks."""
-    n = max(1, -(-count // rows))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vecs, norms, part = [], [], [], 0
-        for b in batches:
-            ids += b.column("id").to_pylist()
-            vecs += b.column("vec").to_pylist()
-            norms += b.column("norm").to_pylist()
-            part = b.column("part")[0].as_py() if b.num_rows else part
-        order = sorted(range(len(ids)), key=lambda k: (-norms[k], ids[k]))
-        for k, at in enumerate(range(0, len(order), rows)):
-            some = order[at : at + rows]
-            yield pa.RecordBatch.from_pydict(
-                {name: [(part << 20) + k], "part": [part], "longest": [norms[some[0]]], "ids": [np.asarray([ids[i] for i in some], np.int64).tobytes()], "matrix": [_matrix([vecs[i] for i in some], dim).tobytes()]}
-            )
-
-    dealt = vectors.repartitionByRange(n, F.desc("norm"), "id").withColumn("part", F.spark_partition_id().cast("long"))
-    return dealt.mapInArrow(pack, f"{name} long, part long, longest double, ids binary, matrix binary")
-
-
 def exact_products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Inner products of integer rows: by floats where those are exact, else by whole numbers of any size."""
     if q.size and v.size and q.shape[-1] * float(np.abs(q).max()) * float(np.abs(v).max()) >= 2.0**53:
@@ -104,96 +91,123 @@ def at_most(score: int) -> float:
     return float(score) - (abs(score) * 2.0**-52 if abs(score) >= 2**53 else 0.0)
 
 
-def best_of(q: np.ndarray, q_ids: np.ndarray, floors: np.ndarray, v: np.ndarray, v_ids: np.ndarray, turn: np.ndarray, k: int, lead: int) -> list[list[tuple[int, int]]]:
-    """For each query its best (score, id) among the block, at most k; those below its floor may be missing."""
-    best: list[list[tuple[int, int]]] = [[] for _ in q]
-    floors = floors.astype(float).copy()
-    q_len, v_len = np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)
-    qr, vr = q @ turn, v @ turn
-    q_rest, v_rest = np.linalg.norm(qr[:, lead:], axis=1), np.linalg.norm(vr[:, lead:], axis=1)
-    for at in range(0, len(v), STEP):
-        s = slice(at, at + STEP)
-        slack = 1e-6 * (1 + q_len * (v_len[at] if at < len(v_len) else 0))
-        live = np.nonzero(q_len * v_len[at] + slack >= floors)[0]
-        if not len(live):
-            break  # the vectors that follow are no longer
-        bound = qr[live, :lead] @ vr[s, :lead].T + np.outer(q_rest[live], v_rest[s]) + slack[live, None]
-        may = (bound >= floors[live, None]) & (v_ids[s][None, :] != q_ids[live, None])
-        some = np.nonzero(may.any(1))[0]
-        if not len(some):
-            continue
-        cols = np.nonzero(may[some].any(0))[0]
-        scores = exact_products(q[live[some]], v[s][cols])
-        ids = v_ids[s][cols]
-        for i, row in zip(some, scores, strict=True):
-            n = live[i]
-            ok = np.nonzero(may[i][cols] & (row >= floors[n]))[0]
-            if not len(ok):
+class Search:
+    """The best k so far of each of some queries; blocks are tried longest first."""
+
+    def __init__(self, q: np.ndarray, uids: np.ndarray, floors: np.ndarray, turn: np.ndarray, k: int):
+        self.q, self.uids, self.floors, self.turn, self.k = q, uids, floors.astype(float).copy(), turn, k
+        self.lead = max(1, q.shape[1] // 4)
+        self.length = np.linalg.norm(q, axis=1)
+        self.turned = self._rotate(q)
+        self.best: dict[int, list[tuple[int, int, int]]] = {}
+
+    def _rotate(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        y = x @ self.turn
+        return y[:, : self.lead], np.linalg.norm(y[:, self.lead :], axis=1)
+
+    def add(self, v: np.ndarray, ids: np.ndarray, uids: np.ndarray, lengths: np.ndarray) -> bool:
+        """Tries a block whose lengths descend; False if the floors leave nothing to what comes after it."""
+        front, rest = self._rotate(v)
+        for at in range(0, len(v), STEP):
+            s = slice(at, at + STEP)
+            slack = 1e-6 * (1 + self.length * lengths[at])
+            live = np.nonzero(self.length * lengths[at] + slack >= self.floors)[0]
+            if not len(live):
+                return False
+            bound = self.turned[0][live] @ front[s].T + np.outer(self.turned[1][live], rest[s]) + slack[live, None]
+            may = (bound >= self.floors[live, None]) & (uids[s][None, :] != self.uids[live, None])
+            some = np.nonzero(may.any(1))[0]
+            if not len(some):
                 continue
-            if len(ok) > k:  # only what ties with the k-th best can stay
-                ok = ok[row[ok] >= np.sort(row[ok])[-k]]
-            best[n] = sorted(best[n] + [(int(row[j]), int(ids[j])) for j in ok], key=lambda x: (-x[0], x[1]))[:k]
-            if len(best[n]) == k:
-                floors[n] = max(floors[n], at_most(best[n][-1][0]))
-    return best
-
-
-FOUND = T.StructType([T.StructField(n, T.LongType()) for n in ("query_id", "vec_id", "score")])
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", rows: int = ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query the k other vectors of highest score, all if there are fewer.
-
-    Ties go to the smaller id. Vectors that are null or hold null or non-finite components take no part, nor do null
-    ids; of rows that share an id one takes part. Vectors of unequal dimension count as padded with zeros. An empty
-    table gives an empty result; other columns are not read.
+            cols = np.nonzero(may[some].any(0))[0]
+            scores = exact_products(self.q[live[some]], v[s][cols])
+            for i, row in zip(some, scores, strict=True):
+                n = int(live[i])
+                ok = np.nonzero(may[i][cols] & (row >= self.floors[n]))[0]
+                if not len(ok):
+                    continue
+                if len(ok) > self.k:  # only what ties with the k-th best can stay
+                    ok = ok[row[ok] >= np.sort(row[ok])[-self.k]]
+                new = [(int(row[j]), int(ids[s][cols[j]]), int(uids[s][cols[j]])) for j in ok]
+                best = self.best[n] = sorted(self.best.get(n, []) + new, key=lambda x: (-x[0], x[1], x[2]))[: self.k]
+                if len(best) == self.k:
+                    self.floors[n] = max(self.floors[n], at_most(best[-1][0]))
+        return True
+
+
+def _columns(b: pa.RecordBatch, dim: int) -> tuple[np.ndarray, ...]:
+    """The matrix, ids, uids and lengths of a batch, longest first."""
+    lengths = b.column("norm").to_numpy()
+    order = np.argsort(-lengths, kind="stable")
+    return _matrix(b.column("vec").to_pylist(), dim)[order], b.column("id").to_numpy()[order], b.column("uid").to_numpy()[order], lengths[order]
+
+
+def top_k(vectors: DataFrame, asks: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", queries: int = QUERIES, rows: int = ROWS) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row where `asks` holds, the k other rows of highest score, or all.
+
+    The score is the inner product of the quantised vectors. Ties go to the smaller id. Vectors that are null or hold
+    null or non-finite components take no part, nor do null ids. Rows that share an id are rows of their own: each is
+    asked for and found by itself, and a row's copy is another row. Vectors of unequal dimension count as padded with
+    zeros; very long ones (over ROTATED) are searched without rotation. An empty table gives an empty result. Other
+    columns are not read, so that their names cannot clash.
     """
     spark = vectors.sparkSession
-    every = written(quantised(vectors, id_col, vector_col))
-    asked = written(quantised(queries, id_col, vector_col))
-    n, dim = every.agg(F.count("*"), F.coalesce(F.max(F.octet_length("vec")), F.lit(0)) / 8).first()
-    n_asked, dim_asked = asked.agg(F.count("*"), F.coalesce(F.max(F.octet_length("vec")), F.lit(0)) / 8).first()
-    dim = max(1, int(dim), int(dim_asked))
-    lead = max(1, dim // 4)
+    base = written(quantised(vectors, asks, id_col, vector_col))
+    n, dim = base.agg(F.count("*"), F.coalesce(F.max(F.octet_length("vec")), F.lit(0)) / 8).first()
+    dim, parts = max(1, int(dim)), max(1, -(-n // rows))
+    every = written(base.repartitionByRange(parts, F.desc("norm"), "uid").sortWithinPartitions(F.desc("norm")))
     turn = spark.sparkContext.broadcast(rotation(every, dim))  # dim * dim numbers
-    blocks = written(blocks_of(every, dim, rows, n, "block"))
-    asks = written(blocks_of(asked, dim, QUERIES, n_asked, "ask").withColumnsRenamed({"part": "ask_part", "longest": "ask_longest", "ids": "ask_ids", "matrix": "ask_matrix"}))
-    if not n or not n_asked:
-        return spark.createDataFrame([], FOUND).selectExpr("query_id", "1 as rank", "vec_id", "score")
 
-    def arrays(b: pa.RecordBatch, i: int) -> tuple:
-        get = lambda c, t=np.float64: np.frombuffer(b.column(c)[i].as_py(), t)
-        return get("ask_matrix").reshape(-1, dim), get("ask_ids", np.int64), get("matrix").reshape(-1, dim), get("ids", np.int64)
+    # The longest vectors, of a bounded number, give the floors of all queries.
+    longest = every.orderBy(F.desc("norm"), "uid").limit(max(1, min(FIRST, QUERY_BYTES // (8 * dim)))).toArrow()
+    batches = longest.combine_chunks().to_batches()
+    first = spark.sparkContext.broadcast(_columns(batches[0], dim) if batches else None)
 
     def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for i in range(b.num_rows):
-                q, q_ids, v, v_ids = arrays(b, i)
-                got = best_of(q, q_ids, np.full(len(q), -np.inf), v, v_ids, turn.value, k, lead)
-                out.append(np.asarray([at_most(x[-1][0]) if len(x) == k else -np.inf for x in got], float))
-            yield pa.RecordBatch.from_pydict({"ask": b.column("ask"), "least": pa.array([float(x.min()) for x in out], pa.float64()), "floors": pa.array([x.tobytes() for x in out], pa.binary())})
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for i in range(b.num_rows):
-                q, q_ids, v, v_ids = arrays(b, i)
-                got = best_of(q, q_ids, np.frombuffer(b.column("floors")[i].as_py()), v, v_ids, turn.value, k, lead)
-                rows += [(int(a), v_id, s) for a, found in zip(q_ids, got, strict=True) for s, v_id in found]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
-
-    first = blocks.orderBy(F.desc("longest"), "block").limit(1)  # one block: the longest vectors
-    at = first.select("block").first()[0]
-    tried = asks.withColumn("block", F.lit(at)).join(F.broadcast(first), "block")
-    known = written(tried.mapInArrow(floors, "ask long, least double, floors binary"))
-    # Numbers and lengths of the blocks are paired first, and matrices only for the pairs that stay.
-    last = blocks.agg(F.max("part")).first()[0]
-    pairs = asks.select("ask", "ask_longest").join(known.select("ask", "least"), "ask")
-    pairs = pairs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last)))).join(blocks.select("part", "block", "longest"), "part")
-    near = F.col("ask_longest") * F.col("longest")
-    pairs = pairs.filter(near + 1e-6 * (1 + near) >= F.col("least")).select("ask", "block")
-    whole = pairs.join(asks.join(known.select("ask", "floors"), "ask"), "ask").join(blocks.select("block", "ids", "matrix"), "block")
-    found = whole.select("ask_ids", "ask_matrix", "floors", "ids", "matrix").mapInArrow(walk, FOUND)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            q, _, uids, lengths = _columns(b, dim)
+            order = np.argsort(-b.column("norm").to_numpy(), kind="stable")
+            search = Search(q, uids, np.full(len(q), -np.inf), turn.value, k)
+            if len(q):
+                search.add(*first.value)
+            sorted_ = b.take(pa.array(order))
+            yield pa.RecordBatch.from_arrays([sorted_.column("uid"), sorted_.column("id"), sorted_.column("norm"), sorted_.column("vec"), pa.array(search.floors)], ["uid", "id", "norm", "vec", "least"])
+
+    some = max(1, min(queries, QUERY_BYTES // (8 * dim)))
+    asked = every.filter("asks").select("uid", "id", "norm", "vec").mapInArrow(floors, "uid long, id long, norm double, vec binary, least double")
+    # Queries of a pass are of like length; ordinals come from the sorted partitions.
+    asked = written(asked.repartitionByRange(max(1, -(-n // rows)), F.desc("norm"), "uid").withColumn("part", F.spark_partition_id()))
+    sizes = asked.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("part").orderBy(F.desc("norm"), "uid")
+    asked = asked.withColumn("n", F.row_number().over(within)).join(sizes, "part")
+    asked = written(asked.withColumn("pass", F.floor((F.col("before") + F.col("n") - 1) / some)).drop("part", "n", "before"))
+
+    found = None
+    for p in [r["pass"] for r in asked.select("pass").distinct().orderBy("pass").collect()]:
+        own = asked.filter(F.col("pass") == p).select("uid", "id", "norm", "vec", "least").toArrow().combine_chunks().to_batches()[0]
+        q, q_ids, q_uids, q_len = _columns(own, dim)
+        least = own.column("least").to_numpy()[np.argsort(-own.column("norm").to_numpy(), kind="stable")]
+        held = spark.sparkContext.broadcast((q, q_ids, q_uids, least))
+        # Below this length no vector reaches any query's floor.
+        with np.errstate(divide="ignore", invalid="ignore"):
+            short = np.where(q_len > 0, (least - 1e-6) / q_len, np.where(least <= 1e-6, -np.inf, np.inf)).min()
+
+        def walk(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            q, q_ids, q_uids, least = held.value
+            search = Search(q, q_uids, least, turn.value, k)
+            for b in batches:
+                if not search.add(*_columns(b, dim)):
+                    break
+            rows = [(int(q_uids[i]), int(q_ids[i]), u, v, s) for i, best in search.best.items() for s, v, u in best]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(5)], ["q", "query_id", "uid", "vec_id", "score"])
+
+        near = every if not np.isfinite(short) or short <= 0 else every.filter(F.col("norm") >= float(short * (1 - 1e-6)))
+        got = written(near.select("uid", "id", "norm", "vec").mapInArrow(walk, "q long, query_id long, uid long, vec_id long, score long"))
+        found = got if found is None else found.union(got)
+        held.unpersist()
+    if found is None:
+        found = spark.createDataFrame([], "q long, query_id long, uid long, vec_id long, score long")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id", "uid")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

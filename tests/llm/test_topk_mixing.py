@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forumlens.llm import mixing, topk
@@ -11,16 +12,22 @@ VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("em
 
 
 def brute(rows, k):
-    ok = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    out = set()
-    for q in (i for i in ok if i % 50 == 0):
-        got = sorted((-sum(a * b for a, b in zip(ok[q], ok[c])), c) for c in ok if c != q)[:k]
-        out |= {(q, n + 1, c, -s) for n, (s, c) in enumerate(got)}
+    ok = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = Counter()
+    for n, (q, x) in enumerate(ok):
+        if q % 50 == 0:
+            got = sorted((-sum(a * b for a, b in zip(x, y)), c) for m, (c, y) in enumerate(ok) if m != n)[:k]
+            out.update((q, r + 1, c, -s) for r, (s, c) in enumerate(got))
     return out
 
 
+def search(df, **kw):
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, 5, **kw).select("query_id", "rank", "vec_id", "score")
+    return Counter(tuple(r) for r in got.collect())
+
+
 @pytest.mark.parametrize("kind", ["unit", "scaled", "ties", "huge", "few"])
-def test_top_k_is_exact(spark, kind, monkeypatch):
+def test_top_k_is_exact(spark, kind):
     rnd = np.random.default_rng(13)
     n = 4 if kind == "few" else 900
     x = rnd.normal(size=(n, 12))
@@ -35,13 +42,20 @@ def test_top_k_is_exact(spark, kind, monkeypatch):
     rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
     rows += [(2000, None), (2050, [None] + [1.0] * 11), (2100, [float("nan")] * 12), (2150, [float("inf")] * 12), (2200, [0.0] * 12), (2250, []), (None, [1.0] * 12), (2300, [0.5, -0.5])]
     df = spark.createDataFrame([(i, v, "clash") for i, v in rows], VECTORS)
-    got = topk.top_k(df, df.filter("vec_id % 50 = 0"), 5, rows=128)
-    assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == brute(rows, 5)
+    assert search(df, rows=128, queries=7 if kind == "scaled" else 1000) == brute(rows, 5)
+
+
+def test_rows_that_share_an_id_are_rows_of_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [5.0, 0.0]), (1, [5.0, 0.0]), (2, [2.0, 3.0]), (0, [1.0, 0.0]), (50, [0.5, 0.25])]
+    df = spark.createDataFrame([(i, v, "clash") for i, v in rows], VECTORS)
+    got = search(df, queries=2)
+    assert got == brute(rows, 5)
+    assert got[0, 1, 1, 327680] == got[0, 2, 1, 327680] == 2
 
 
 def test_top_k_of_nothing(spark):
     empty = spark.createDataFrame([], VECTORS)
-    assert topk.top_k(empty, empty, 5).count() == 0
+    assert search(empty) == Counter()
 
 
 def test_pruning_leaves_most_products_out():
@@ -53,7 +67,8 @@ def test_pruning_leaves_most_products_out():
     try:
         topk.exact_products = lambda q, w: seen.append(q.shape[0] * w.shape[0]) or whole(q, w)
         _, _, turn = np.linalg.svd(v, full_matrices=False)
-        topk.best_of(v[:50], np.arange(50), np.full(50, -np.inf), v, np.arange(2000), turn.T, 5, 4)
+        found = topk.Search(v[:50], np.arange(50), np.full(50, -np.inf), turn.T, 5)
+        found.add(v, np.arange(2000), np.arange(2000), np.linalg.norm(v, axis=1))
     finally:
         topk.exact_products = whole
     assert sum(seen) < 0.5 * 50 * 2000
