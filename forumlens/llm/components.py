@@ -11,18 +11,20 @@ from forumlens.llm.shared import written
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edge list (a, b), label being the component's smallest node.
 
-    Each round takes the smallest label among a node's neighbours and then the label of that label, so that
-    distances halve; it ends when nothing changes. Edges and labels stay in tables in the shared folder; the
-    driver sees one count a round. An empty edge list gives an empty result; loops and repeated edges do no harm.
+    Each round hangs every node below its smallest neighbour, and below what that hangs below in turn, and then
+    contracts the graph: edges are carried over to where their ends hang, and those within one node go. So distances
+    halve and edges fade from round to round, until none is left. Edges and labels stay in tables in the shared folder; the
+    driver sees whether there are edges. An empty edge list gives an empty result; loops and repeated edges do no harm.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a is not null and b is not null")
-    first = both.groupBy("a").agg(F.min("b").alias("m"))
-    labels = written(first.select(F.col("a").alias("node"), F.least("a", "m").alias("label"), F.lit(True).alias("moved")))
-    while not labels.filter("moved").isEmpty():
-        old = labels.select("node", "label")
-        seen = both.join(old.withColumnsRenamed({"node": "b", "label": "l"}), "b").groupBy("a").agg(F.min("l").alias("m"))
-        near = old.join(seen.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "m").alias("next"))
-        # A label is a node of the same component, and its own label may be smaller still.
-        jumped = near.join(old.select(F.col("node").alias("next"), F.col("label").alias("far")), "next")
-        labels = written(jumped.select("node", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")))
-    return labels.select("node", "label")
+    known = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a is not null and b is not null").distinct())
+    labels = known.select(F.col("a").alias("node")).union(known.select("b")).distinct().withColumn("label", F.col("node"))
+    labels, rest = written(labels), known.filter("a < b")
+    while not rest.isEmpty():
+        least = rest.select("a", "b").union(rest.select(F.col("b"), F.col("a"))).groupBy("a").agg(F.min("b").alias("m"))
+        up = least.select(F.col("a").alias("x"), F.least("a", "m").alias("y"))
+        # The smallest node of a component hangs below itself.
+        far = written(up.join(up.toDF("y", "z"), "y").select("x", F.col("z").alias("y")))
+        moved = rest.join(far.toDF("a", "p"), "a").join(far.toDF("b", "q"), "b")
+        labels = written(labels.join(far.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        rest = written(moved.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).filter("a < b").distinct())
+    return labels

@@ -82,12 +82,16 @@ def _turned(fp: Column, bits: int, by: int) -> Column:
     return F.shiftleft(top, by).bitwiseOR(F.shiftleft(low, BITS - bits))
 
 
+#: What is known of an item: its component, its size, and how much of that it has in common with any other.
+ITEM = {"v": "long", "id": "long", "comp": "long", "size": "int", "common": "int"}
+
+
 def trie_rows(items: DataFrame, bits: int, budget: int) -> DataFrame:
-    """(turn, v, id, comp, size): each fingerprint of (id, comp, size, table, fp) with each of its blocks in front."""
+    """(turn, v, id, comp, size, common): each fingerprint of (id, comp, size, common, table, fp), with each of its blocks in front."""
     width, turns = bits // (budget + 1), budget + 1
     tail = F.shiftrightunsigned(F.xxhash64("id"), bits) if bits < BITS else F.lit(0).cast("long")
     each = [F.struct((F.col("table") * turns + r).cast("int").alias("turn"), _turned(F.col("fp"), bits, width * r).bitwiseOR(tail).alias("v")) for r in range(turns)]
-    return items.select(F.explode(F.array(*each)).alias("t"), "id", "comp", "size").select("t.turn", "t.v", "id", "comp", "size")
+    return items.select(F.explode(F.array(*each)).alias("t"), "id", "comp", "size", "common").select("t.turn", *[f"t.{c}" if c == "v" else c for c in ITEM])
 
 
 def walk_trie(x: np.ndarray, y: np.ndarray | None, depth: int, diff: int, bits: int, budget: int, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -147,24 +151,22 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
 
 
 def stars(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the edges (i, j) among n nodes at most one to each node, from the node of most edges that it has."""
+    """Of the edges (i, j) among n nodes one for each node that has any: to its neighbour of most edges."""
     degree = np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
     a, b = np.concatenate([i, j]), np.concatenate([j, i])
     best = np.lexsort((a, -degree[a], b))
     a, b = a[best], b[best]
     first = np.ones(len(b), bool)
     first[1:] = b[1:] != b[:-1]
-    a, b = a[first], b[first]
-    up = (degree[a] > degree[b]) | ((degree[a] == degree[b]) & (a < b))
-    return a[up], b[up]
+    return a[first], b[first]
 
 
-def _walker(bits: int, budget: int, thin: Callable | None, ratio: float):
-    """Node pairs with their items to pairs (a, b) of ids. thin: forest or stars, of the links of a node with itself."""
+def _walker(bits: int, budget: int, thin: Callable | None, similarity: float):
+    """Node pairs with their items to pairs (a, b) of ids."""
     width, turns = bits // (budget + 1), budget + 1
 
     def lists(batch: pa.RecordBatch, side: str) -> Callable:
-        cols = [batch.column(f"{side}{c}") for c in ("v", "id", "comp", "size")]
+        cols = [batch.column(f"{side}{c}") for c in ITEM]
         ends, held = cols[0].offsets.to_numpy(), [c.values.to_numpy() for c in cols]
 
         def get(k: int) -> list[np.ndarray]:
@@ -185,27 +187,35 @@ def _walker(bits: int, budget: int, thin: Callable | None, ratio: float):
                 y = x if alone[k] else right(k)
                 pieces = []
                 for i, j in walk_trie(x[0], None if alone[k] else y[0], int(depth[k]), int(diff[k]), bits, budget):
-                    small, large = np.minimum(x[3][i], y[3][j]), np.maximum(x[3][i], y[3][j])
-                    ok = (x[2][i] != y[2][j]) & (small >= ratio * large)
-                    if not (thin and alone[k]):
-                        ok &= _first_block(x[0][i] ^ y[0][j], int(turn[k]) % turns, bits, width)
+                    ok = x[2][i] != y[2][j]
+                    if similarity:
+                        # Similar sets have so much in common, of which neither has more than its own.
+                        ok &= np.minimum(x[4][i], y[4][j]) >= similarity / (1 + similarity) * (x[3][i] + y[3][j]) - 1e-6
+                    i, j = i[ok], j[ok]
+                    ok = _first_block(x[0][i] ^ y[0][j], int(turn[k]) % turns, bits, width)
                     pieces.append((i[ok], j[ok]))
                 i, j = (np.concatenate([p[s] for p in pieces]) if pieces else np.zeros(0, np.int64) for s in (0, 1))
-                if thin and alone[k] and len(i):
-                    i, j = thin(i, j, len(x[0]))
-                found.append((x[1][i], y[1][j]))
+                a, b = x[1], y[1]
+                if thin and len(i):
+                    if alone[k]:
+                        i, j = thin(i, j, len(a))
+                    else:
+                        a = b = np.concatenate([x[1], y[1]])
+                        i, j = thin(i, j + len(x[1]), len(a))
+                found.append((a[i], b[j]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[s] for f in found])) for s in (0, 1)], ["a", "b"])
 
     return walk
 
 
-def trie_join(rows: DataFrame, bits: int, budget: int, unit: int = UNIT, thin: Callable | None = None, apart: bool = True, ratio: float = 0.0) -> DataFrame:
+def trie_join(rows: DataFrame, bits: int, budget: int, unit: int = UNIT, thin: Callable | None = None, apart: bool = True, similarity: float = 0.0) -> DataFrame:
     """Pairs (a, b) of ids of trie_rows() of unequal `comp` within the budget, some of them more than once.
 
-    ratio: least quotient of the sizes of a pair. thin: what to make of the links of a node with itself, all by default.
-    apart False: nodes are joined with themselves only, so that the work is in proportion to the rows.
+    thin: what to hand on of the links found in one task, all by default. apart False: nodes are joined with themselves
+    only, so that the work is in proportion to the rows. similarity: least Jaccard similarity that sets of the items'
+    sizes, and of what they have in common with any, must be able to have.
     """
-    depth, walk, out = bits // (budget + 1), _walker(bits, budget, thin, ratio), None
+    depth, walk, out = bits // (budget + 1), _walker(bits, budget, thin, similarity), None
     small = F.col("na") * F.col("nb") <= unit
     held = [F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")]
     nodes = rows.groupBy("turn", _prefix(F.col("v"), depth).alias("p")).agg(*held).filter("n > 1 and low <> high")
@@ -214,12 +224,12 @@ def trie_join(rows: DataFrame, bits: int, budget: int, unit: int = UNIT, thin: C
         ready = front if depth == BITS else front.filter(small)
         wanted = ready.select("turn", F.col("a").alias("p")).union(ready.select("turn", F.col("b"))).distinct()
         under = rows.withColumn("p", _prefix(F.col("v"), depth)).join(wanted, ["turn", "p"])
-        under = under.groupBy("turn", "p").agg(F.collect_list(F.struct("v", "id", "comp", "size")).alias("xs"))
-        side = lambda node, s: under.select("turn", F.col("p").alias(node), *[F.col(f"xs.{c}").alias(f"{s}{c}") for c in ("v", "id", "comp", "size")])
+        under = under.groupBy("turn", "p").agg(F.collect_list(F.struct(*ITEM)).alias("xs"))
+        side = lambda node, s: under.select("turn", F.col("p").alias(node), *[F.col(f"xs.{c}").alias(f"{s}{c}") for c in ITEM])
         cols = ["turn", F.lit(depth).alias("depth"), "diff", (F.col("a") == F.col("b")).alias("alone")]
-        lists = lambda s: [f"{s}{c}" for c in ("v", "id", "comp", "size")]
+        lists = lambda s: [f"{s}{c}" for c in ITEM]
         # A node with itself needs its items once.
-        none = [F.array().cast(f"array<{'int' if c == 'size' else 'long'}>").alias(f"y{c}") for c in ("v", "id", "comp", "size")]
+        none = [F.array().cast(f"array<{kind}>").alias(f"y{c}") for c, kind in ITEM.items()]
         same = ready.filter("a = b").join(side("a", "x"), ["turn", "a"]).select(*cols, *lists("x"), *none)
         whole = same
         if apart:
@@ -253,7 +263,7 @@ def hamming_pairs(fps: DataFrame, budget: int, unit: int = UNIT, thin: Callable
     """
     if not 0 <= budget < 16:
         raise ValueError("the budget must be 0 to 15 bits")
-    items = fps.select(F.col("fp").alias("id"), F.col("fp").alias("comp"), F.lit(1).alias("size"), F.lit(0).alias("table"), "fp")
+    items = fps.select(F.col("fp").alias("id"), F.col("fp").alias("comp"), F.lit(1).alias("size"), F.lit(1).alias("common"), F.lit(0).alias("table"), "fp")
     return trie_join(written(trie_rows(items, BITS, budget)), BITS, budget, unit, thin)
 
 
@@ -319,9 +329,13 @@ def similar_sets(base: DataFrame, width: int, similarity: float) -> tuple[DataFr
     """((id, node), (node, label)): the set of each row of (id, text) by number, and the components of similar sets.
 
     Texts without words have no node. Equal sets are one node. Candidates are pairs within the budget in any of the
-    tables, found by two trie joins: the first joins nodes of the trie with themselves only and hands on a star for each
-    group of close fingerprints; the second finds all pairs that are not in one component by then. Each candidate is
-    verified on the whole sets of 64-bit hashes. Nodes without a link have no label.
+    tables, found by three trie joins, each of which leaves out what is in one component by then:
+
+    1. nodes of the trie with themselves only, of one turn a table, hand on a link for each item;
+    2. all nodes hand on a link for each item that has any, of which one an item is tried; items without are done;
+    3. among the items of these links all pairs are found whose sets have enough in common with any other of them.
+
+    Each candidate is verified on the whole sets of 64-bit hashes. Nodes without a link have no label.
     """
 
     def marks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,31 +377,58 @@ def similar_sets(base: DataFrame, width: int, similarity: float) -> tuple[DataFr
     sets = written(sets.withColumn("node", F.monotonically_increasing_id()))
     placed = written(marks.select("id", "k1", "k2").join(sets.select("k1", "k2", "node"), ["k1", "k2"]).select("id", "node"))
 
-    def links(labels: DataFrame | None, apart: bool) -> DataFrame:
-        items = sets.select(F.col("node").alias("id"), "size", F.posexplode("fps").alias("table", "fp"))
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x in zip(batch.column("node").to_pylist(), batch.column("set"), strict=True):
+                h = np.frombuffer(x.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i, np.int64)), pa.array(h)], ["node", "h"])
+
+    def rows_of(some: DataFrame, labels: DataFrame | None) -> DataFrame:
+        items = some.select(F.col("node").alias("id"), "size", "common", F.posexplode("fps").alias("table", "fp"))
         if labels is None:
             items = items.withColumn("comp", F.col("id"))
         else:
             items = items.join(labels.toDF("id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        rows = written(trie_rows(items, SKEWED_BITS, SKEWED_BUDGET))
-        pairs = trie_join(rows, SKEWED_BITS, SKEWED_BUDGET, thin=None if apart else stars, apart=apart, ratio=similarity - 1e-9)
-        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        return trie_rows(items, SKEWED_BITS, SKEWED_BUDGET)
+
+    def pairs_of(rows: DataFrame, **how) -> DataFrame:
+        pairs = trie_join(written(rows), SKEWED_BITS, SKEWED_BUDGET, similarity=similarity, **how)
+        return written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    def sets_for(pairs: DataFrame) -> DataFrame:
         some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         some = sets.select("node", "id", "k1", "k2").join(some, "node", "left_semi")
         texts = base.join(some, "id").select("node", "k1", "k2", "text")
-        held = written(texts.mapInArrow(sets_of, "node long, set binary").dropDuplicates(["node"]))
+        return written(texts.mapInArrow(sets_of, "node long, set binary").dropDuplicates(["node"]))
+
+    def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
         both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
         return written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
 
+    def joined(more: DataFrame, labels: DataFrame) -> DataFrame:
+        # The components found so far, as stars, stand for the links that made them.
+        return connected_components(more.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+
     # Rows that share an id are one document, even if their texts differ.
     one = placed.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("m")).filter("a <> m").select("id", "a")
     same = placed.join(one, "id").filter("a <> node").select("a", F.col("node").alias("b"))
-    labels = connected_components(links(None, False).union(same))
-    more = links(labels, True)
-    if not more.isEmpty():
-        # The components found so far, as stars, stand for the links that made them.
-        labels = connected_components(more.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
-    return placed, labels
+    every = sets.withColumn("common", F.col("size"))
+    pairs = pairs_of(rows_of(every, None).filter(F.col("turn") % (SKEWED_BUDGET + 1) == 0), thin=stars, apart=False)
+    labels = connected_components(verified(pairs, sets_for(pairs)).union(same))
+    some = written(trie_join(written(rows_of(every, labels)), SKEWED_BITS, SKEWED_BUDGET, thin=stars, similarity=similarity).groupBy("a", "b").agg(F.count("*").alias("n")))
+    some = some.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
+    pairs = written(some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if pairs.isEmpty():
+        return placed, labels
+    held = sets_for(pairs)
+    labels = joined(verified(pairs, held), labels)
+    # Counts are combined before the shuffle, so that a frequent shingle does no harm.
+    alone = held.mapInArrow(shingles, "node long, h long").groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    alone = alone.filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+    some = sets.join(held.select("node"), "node", "left_semi").join(alone, "node", "left")
+    some = some.withColumn("common", (F.col("size") - F.coalesce("own", F.lit(0))).cast("int"))
+    pairs = pairs_of(rows_of(some.filter(F.col("common") >= similarity * F.col("size") - 1e-6), labels))
+    return placed, joined(verified(pairs, held), labels)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
