@@ -1,10 +1,15 @@
 """Quality classifier: a weak-label model and a hashed linear scorer trained on its posteriors.
 
-Overlapping heuristic labellers vote bad, good or nothing on each document, and a human label, where there is one, is
-a labeller among them. Expectation-maximisation on the counts of vote patterns, taken over all documents, estimates
-how each labeller votes on bad and on good documents; the posterior of a pattern is the soft label of its documents.
-The scorer is a logistic regression over hashed words, word starts and shape features. It is fitted to the posteriors
-of a bounded sample of labelled rows, and its score decides. There are two heads: junk and toxicity.
+Overlapping heuristic labellers vote bad, good or nothing on each document. Expectation-maximisation on the counts of vote
+patterns, taken over all documents, estimates how each labeller votes on bad and on good documents; the posterior of a
+pattern is the soft label of its documents. The scorer is a logistic regression over hashed words, word starts and shape
+features. It is fitted to the posteriors of a bounded sample of all rows, and its score decides. There are two heads: junk
+and toxicity. Junk is of two kinds, noise and repetition, whose labellers tell nothing of the other kind, so that each kind
+has a model of its own.
+
+Human labels never vote and are no target. Two of the three toxicity labellers look for word starts that tell of toxic
+documents, each mined from one fold of a bounded sample of labelled rows (see keywords); rows of the last fold are used for
+nothing, so that accuracy can be measured on them.
 
 Shares of distinct words and numbers of distinct features depend on the length of a text. Long texts are therefore cut
 into windows of about WINDOW characters, which cover them whole. Shapes are averaged over them, and so is the junk score;
@@ -21,24 +26,34 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forumlens.llm.shared import text_or_empty
+from forumlens.llm.shared import spare, text_or_empty
 
 BAD, GOOD, NONE = "b", "g", "-"
-#: Rows of the sample that the scorer is fitted to, at most (in expectation; see labelled_sample).
-SAMPLE = 6000
+#: Rows of the sample that the scorer is fitted to, and labelled rows of a fold that keywords are mined from, at most.
+SAMPLE, MINED = 6000, 3000
+#: Folds of the labelled rows by a hash of the id: 0 and 1 are mined from, 2 is held out.
+FOLDS = 3
+#: A word start is a keyword if this many toxic rows hold it and toxic rows hold it so many deviations too often.
+KEY_ROWS, KEY_Z, KEY_SIZES = 4, 6.0, (4, 5, 6, 7)
+#: Share of keywords among a window's words from which it is taken for toxic, and up to which for clean.
+KEY_BAD, KEY_GOOD = 0.006, 0.002
 #: Characters of a window; a text of up to one and a half is one window.
 WINDOW = 8000
 #: Words of a run that ordinary prose of any length does not repeat.
 RUN = 8
 #: A feature takes part if this many rows hold it and its share of bad rows is this many deviations too high.
 LEAST_ROWS, LEAST_Z = 4, 4.0
+#: What the belief that a labeller is right counts, as a share of its votes.
+BELIEF = 0.03
 #: Rejected from this score on.
 THRESHOLD = 0.5
 WORD = re.compile(r"\w+")
+SYMBOLS = "#$%&*|~^=<>{}[]\\@+_"
+MARKS = re.compile(f"[{re.escape(SYMBOLS)}]")
 BREAKS = tuple(map(re.compile, ("\n", r"\s", r"\W")))
 #: Common English insults of the toxicity labellers.
 INSULTS = frozenset("clown disgusting dumb idiot imbecile jerk loser moron pathetic scum stupid trash worthless".split())
@@ -54,9 +69,10 @@ def shape(text: str, words: list[str]) -> dict[str, float]:
     if not n:
         return {}
     lines = [x for x in text.split("\n") if x.strip()]
-    symbols = sum(map(text.count, "#$%&*|~^=<>{}[]\\@+_"))
+    symbols = sum(map(text.count, SYMBOLS))
     return {
         "symbols": symbols / len(text),
+        "marked": sum(c for r, c in Counter(runs).items() if not r.isalnum() and MARKS.search(r)) / n,
         "bare": sum(c for r, c in Counter(r for r in runs if len(r) < 4).items() if not any(map(str.isalnum, r))) / n,
         "repeats": 1 - len(set(zip(runs, runs[1:]))) / (n - 1) if n > 1 else 0.0,
         "same": 1 - len(set(words)) / len(words) if words else 1.0,
@@ -105,26 +121,32 @@ def parse(text: str) -> list[tuple[list[str], dict[str, float]]]:
     return parts
 
 
-def votes(text: str, parsed: list[tuple[list[str], dict[str, float]]]) -> dict[str, str]:
-    """The votes of the heuristic labellers of each head, one letter a labeller. An empty text gets none."""
+Keywords = tuple[frozenset[str], ...]
+
+
+def key_words(words: list[str], keys: frozenset[str]) -> int:
+    """How many of the words begin with a keyword, if two at least do."""
+    found = [w for w in words if any(w[:k] in keys for k in KEY_SIZES if len(w) >= k)]
+    return len(found) if len(found) > 1 else 0
+
+
+def votes(text: str, parsed: list[tuple[list[str], dict[str, float]]], keys: Keywords = ()) -> dict[str, str]:
+    """The votes of the labellers of each fault, one letter a labeller. An empty text gets none."""
     s = {name: sum(x[name] for _, x in parsed) / len(parsed) for name in parsed[0][1]} if parsed else {}
-    words = parsed[0][0] if len(parsed) == 1 else list(chain.from_iterable(x for x, _ in parsed))
-    n = len(words)
-    insults = sum(map(INSULTS.__contains__, words))
-    junk = NONE * 5
+    n = sum(len(words) for words, _ in parsed)
+    insults = sum(sum(map(INSULTS.__contains__, words)) for words, _ in parsed)
+    noise = again = NONE * 3
     if s:
-        junk = "".join(
-            [
-                _by(s["symbols"], 0.05, 0.01) if n >= 5 else NONE,
-                _by(s["bare"], 0.1, 0.01) if n >= 20 else NONE,
-                _by(s["repeats"], 0.35, 0.15) if n >= 20 else NONE,
-                _by(s["same"], 0.75, 0.45) if n >= 50 else NONE,
-                _by(s["lines"], 0.5, 0.25) if text.count("\n") >= 2 else NONE,
-            ]
-        )
+        noise = (_by(s["symbols"], 0.05, 0.01) if n >= 5 else NONE) + (_by(s["marked"], 0.3, 0.1) if n >= 5 else NONE) + (_by(s["bare"], 0.1, 0.01) if n >= 20 else NONE)
+        lines = _by(s["lines"], 0.5, 0.25) if text.count("\n") >= 2 else NONE
+        again = (_by(s["repeats"], 0.35, 0.15) if n >= 20 else NONE) + (_by(s["same"], 0.75, 0.45) if n >= 50 else NONE) + lines
     # The list is English: it says nothing on a text in another language that holds none of it.
-    clear = GOOD if n >= 20 and sum(map(ENGLISH.__contains__, words)) >= 0.05 * n else NONE
-    return {"junk": junk, "toxic": (BAD if insults else clear) + (BAD if insults > 1 else NONE if insults else clear)}
+    english = n >= 20 and sum(sum(map(ENGLISH.__contains__, words)) for words, _ in parsed) >= 0.05 * n
+    toxic = BAD if insults else GOOD if english else NONE
+    for k in keys:
+        share = max((key_words(words, k) / len(words) for words, _ in parsed if words), default=0.0)
+        toxic += NONE if not k or n < 10 else _by(share, KEY_BAD, KEY_GOOD)
+    return {"noise": noise, "again": again, "toxic": toxic + NONE * (FOLDS - 1 - len(keys))}
 
 
 def _number(name: str) -> int:
@@ -152,30 +174,26 @@ def features(part: tuple[list[str], dict[str, float]], hasher: Hasher) -> np.nda
     return np.fromiter(found, np.int32, len(found))
 
 
-#: The last labeller, the human one, is taken to vote against the truth in at most this share of its votes.
-HUMAN_ERROR = 0.002
-
-
 def posteriors(counts: dict[str, float], rounds: int = 100) -> tuple[dict[str, float], float, list[dict]]:
     """For each pattern the probability of bad; the share of bad; how often each labeller's votes are bad, by class.
 
-    Starts from the majority of votes, the last labeller's counting most, and fits for each labeller and class, with
-    a small prior, how often its votes are bad. A missing vote is no evidence.
+    Starts from the votes: a pattern with a bad vote that not too many good ones speak against. Then fits for each
+    labeller and class, with a small prior, how often its votes are bad. A missing vote is no evidence.
     """
     if not counts:
         return {}, 0.5, []
     patterns = list(counts)
     n = np.asarray([counts[p] for p in patterns], float)
     bad, good = (np.asarray([[v == x for v in p] for p in patterns], float) for x in (BAD, GOOD))
-    lead = bad.sum(1) - 0.4 * good.sum(1)
-    post = np.where(bad[:, -1] > 0, 0.95, np.where(good[:, -1] > 0, 0.02, np.where(lead > 0, 0.9, 0.05)))
+    post = np.where(bad.sum(1) - 0.4 * good.sum(1) > 0, 0.9, 0.05)
     rates: list[dict] = []
     for _ in range(rounds):
         share = (n @ post + 1) / (n.sum() + 2)
         # How often a vote on a document of the class is bad: of labellers that vote at random, as often in both.
-        on_bad = ((n * post) @ bad + 1) / ((n * post) @ (bad + good) + 2)
-        on_good = ((n * (1 - post)) @ bad + 1) / ((n * (1 - post)) @ (bad + good) + 2)
-        on_bad[-1], on_good[-1] = max(on_bad[-1], 1 - HUMAN_ERROR), min(on_good[-1], HUMAN_ERROR)
+        # A prior belief, worth a share of its votes, is that it is right: a lone labeller can't be told from its error.
+        belief = 2 + BELIEF * (n @ (bad + good))
+        on_bad = ((n * post) @ bad + belief * 0.9) / ((n * post) @ (bad + good) + belief)
+        on_good = ((n * (1 - post)) @ bad + belief * 0.02) / ((n * (1 - post)) @ (bad + good) + belief)
         rates = [{"bad": float(x), "good": float(y)} for x, y in zip(on_bad, on_good, strict=True)]
         logit = np.log(share / (1 - share)) + bad @ np.log(on_bad / on_good) + good @ np.log((1 - on_bad) / (1 - on_good))
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
@@ -214,20 +232,18 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray |
     bad = np.bincount(cols, (weight * target)[of], minlength=len(names))
     z = (bad - held * share) / np.sqrt(np.maximum(held, 1) * share * (1 - share))
     chosen = np.nonzero((held >= LEAST_ROWS) & (z >= LEAST_Z))[0]
-    chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")][:2000])
     if not len(chosen):
         return none
     place = np.full(len(names), -1)
     place[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(rows), len(chosen)), np.float32)
     keep = place[cols] >= 0
-    x[of[keep], place[cols[keep]]] = 1
+    of, cols = of[keep], place[cols[keep]]
     w, m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     w[-1] = bias
     for t in range(1, rounds + 1):
-        err = 1 / (1 + np.exp(-(x @ w[:-1].astype(np.float32) + w[-1]))) - target
+        err = 1 / (1 + np.exp(-(np.bincount(of, w[cols], minlength=len(rows)) + w[-1]))) - target
         err *= weight
-        g = np.append(x.T @ err.astype(np.float32), err.sum()) / weight.sum()
+        g = np.append(np.bincount(cols, err[of], minlength=len(chosen)), err.sum()) / weight.sum()
         g[:-1] += 1e-4 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -235,99 +251,135 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray |
     return names[chosen], w[:-1], float(w[-1])
 
 
-HEADS = ("junk", "toxic")
-VOTES = T.StructType([T.StructField(h, T.StringType()) for h in HEADS])
+#: Faults have labellers of their own, and each head tells of one or more faults.
+FAULTS = ("noise", "again", "toxic")
+HEADS = {"junk": ("noise", "again"), "toxic": ("toxic",)}
+VOTES = T.StructType([T.StructField(f, T.StringType()) for f in FAULTS])
 
 
-@F.pandas_udf(VOTES)
-def votes_of(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([votes(t, parse(t)) for t in texts], columns=list(HEADS))
+def fold_of(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(f"`{id_col}`", F.lit("fold")), F.lit(FOLDS)).cast("int")
 
 
-@F.pandas_udf(T.StructType([*VOTES.fields, T.StructField("f", T.ArrayType(T.BinaryType()))]))
-def votes_and_features_of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    hasher = Hasher()
-    for batch in texts:
-        rows = []
-        for t in batch:
-            parsed = parse(t)
-            v = votes(t, parsed)
-            rows.append((v["junk"], v["toxic"], [features(part, hasher).tobytes() for part in parsed]))
-        yield pd.DataFrame(rows, columns=[*HEADS, "f"])
+def _share(id_col: str, most: int, n: int) -> Column:
+    """Holds for at most `most` of `n` rows in expectation, by a hash of the id."""
+    return F.pmod(F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))), F.lit(1 << 30)) < int((1 << 30) * min(1, most / max(n, 1)))
 
 
-def human_votes(labels: DataFrame) -> DataFrame:
-    """One row an id: the human labellers' letters. Null labels are no votes; of repeated rows the worst counts."""
-    one = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
-    letter = lambda bad, good: F.when(bad, BAD).when(good, GOOD).otherwise(NONE)
-    return one.select(F.col("doc_id").alias("_id"), letter(F.col("q") == 0, F.col("q") == 1).alias("h_junk"), letter(F.col("t") == 1, F.col("t") == 0).alias("h_toxic"))
+def mined(rows: list[tuple[list[str], int]]) -> frozenset[str]:
+    """Word starts by which the toxic rows of (words, toxic) are told from the others."""
+    total, bad = Counter(), Counter()
+    for words, toxic in rows:
+        starts = {w[:k] for w in set(words) for k in KEY_SIZES if len(w) >= k}
+        total.update(starts)
+        if toxic:
+            bad.update(starts)
+    share = sum(t for _, t in rows) / max(1, len(rows))
+    if not 0 < share < 1:
+        return frozenset()
+    z = lambda s: (bad[s] - total[s] * share) / (total[s] * share * (1 - share)) ** 0.5
+    return frozenset(s for s, n in bad.items() if n >= KEY_ROWS and n >= 0.4 * total[s] and z(s) >= KEY_Z)
 
 
-def labelled_sample(docs: DataFrame, human: DataFrame, n_docs: int, most: int) -> DataFrame:
-    """At most `most` rows of `docs` (_id, _text) that have a human label, chosen by a hash of the id.
+def keywords(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int = MINED) -> Keywords:
+    """The keywords of the folds that are mined, each from at most `most` labelled rows; none without toxic ones.
 
-    Where there are no human labels, the heuristic ones must do, and the rows come from all of `docs`.
+    Null labels are none; of repeated rows the worst counts.
     """
-    n = human.count()
-    part = lambda n: F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * min(1, most / max(n, 1)))
-    if not n:
-        return docs.filter(part(n_docs)).limit(most).join(human, "_id", "left")
-    return docs.join(F.broadcast(human.filter(part(n)).limit(most)), "_id").limit(most)
+    one = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    one = one.select(F.col("doc_id").alias("i"), "toxic", fold_of("doc_id").alias("fold")).filter(F.col("fold") < FOLDS - 1)
+    n = dict(one.groupBy("fold").count().collect())
+    some = one.filter(F.greatest(*[F.when(F.col("fold") == k, _share("i", most, n.get(k, 0))).otherwise(False) for k in range(FOLDS - 1)]))
+    # A bounded number of rows, so fit to be broadcast.
+    joined = docs.select(F.col(f"`{id_col}`").alias("i"), text_or_empty(text_col).alias("t")).join(F.broadcast(some), "i").select("t", "toxic", "fold")
+    rows: list[list] = [[] for _ in range(FOLDS - 1)]
+    for r in joined.limit(most * FOLDS).toLocalIterator():
+        # Words of each window once: what tells of a toxic row is no matter of its length.
+        rows[r.fold].append((WORD.findall(r.t.lower()), int(r.toxic > 0)))
+    return tuple(map(mined, rows))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> dict:
-    """The model: for each head (feature numbers, weights, bias), and what the labellers were found to be worth."""
-    base = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
-    human = human_votes(labels)
-    joined = lambda v: [F.concat(f"{v}.{h}", F.coalesce(f"h_{h}", F.lit(NONE))).alias(h) for h in HEADS]
-    voted = base.select("_id", votes_of("_text").alias("v")).join(human, "_id", "left").select(*joined("v"))
-    # At most 3 ** 6 times 3 ** 3 patterns, whatever the corpus.
-    counts = voted.groupBy(*HEADS).agg(F.count("*").alias("n")).collect()
-    some = labelled_sample(base, human, sum(r.n for r in counts), sample).select(votes_and_features_of("_text").alias("v"), *[f"h_{h}" for h in HEADS])
-    some = some.select("v.f", *joined("v")).toPandas()
-    # A long document counts as one, in parts.
+    """The model: for each head (feature numbers, weights, bias); keywords; what each fault's labellers are worth.
+
+    A text is junk if it has one of the faults of that head, so that their posteriors are combined.
+
+    The scorer's rows are `sample` of all rows at most, chosen by a hash of the id; each counts as one, in parts.
+    """
+    keys = keywords(docs, labels, id_col, text_col)
+    known = docs.sparkSession.sparkContext.broadcast(keys)
+    base = docs.select(F.col(f"`{id_col}`").alias("i"), text_or_empty(text_col).alias("t"))
+
+    @F.pandas_udf(VOTES)
+    def votes_of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([votes(t, parse(t), known.value) for t in texts], columns=list(FAULTS))
+
+    @F.pandas_udf(T.StructType([*VOTES.fields, T.StructField("f", T.ArrayType(T.BinaryType()))]))
+    def votes_and_features_of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        hasher = Hasher()
+        for batch in texts:
+            rows = []
+            for t in batch:
+                parsed = parse(t)
+                v = votes(t, parsed, known.value)
+                rows.append((*(v[f] for f in FAULTS), [features(part, hasher).tobytes() for part in parsed]))
+            yield pd.DataFrame(rows, columns=[*FAULTS, "f"])
+
+    # At most 3 ** 9 patterns, whatever the corpus.
+    counts = base.select(votes_of("t").alias("v")).select("v.*").groupBy(*FAULTS).agg(F.count("*").alias("n")).collect()
+    some = base.filter(_share("i", sample, sum(r.n for r in counts))).limit(2 * sample)
+    some = some.select(votes_and_features_of("t").alias("v")).select("v.*").toPandas()
     parts = [len(f) for f in some["f"]]
     weight = np.repeat(1 / np.maximum(parts, 1), parts)
     rows = [np.frombuffer(x, np.int32) for f in some["f"] for x in f]
-    model = {}
-    for head in HEADS:
+    model: dict = {"keywords": keys, "faults": {}}
+    for fault in FAULTS:
         by_pattern: Counter = Counter()
         for r in counts:
-            by_pattern[r[head]] += r.n
-        post, share, tables = posteriors(by_pattern)
-        target = np.asarray([post[p] for p in some[head]], float)
-        model[head] = {"linear": fit_linear(rows, np.repeat(target, parts), weight), "share": share, "labellers": tables, "posteriors": post}
+            by_pattern[r[fault]] += r.n
+        post, share, rates = posteriors(by_pattern)
+        model["faults"][fault] = {"posteriors": post, "share": share, "labellers": rates}
+    for head, faults in HEADS.items():
+        clean = [1 - np.asarray([model["faults"][f]["posteriors"][p] for p in some[f]], float) for f in faults]
+        model[head] = fit_linear(rows, np.repeat(1 - np.prod(clean, axis=0), parts), weight)
     return model
 
 
+OUT = ("quality_votes", "junk_score", "toxic_score", "quality_kept")
+
+
 def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """All rows and columns of `docs` plus quality_votes, junk_score, toxic_score (0 to 1) and quality_kept."""
-    linear = docs.sparkSession.sparkContext.broadcast({h: model[h]["linear"] for h in HEADS})
+    held = docs.sparkSession.sparkContext.broadcast((*[model[h] for h in HEADS], model["keywords"]))
 
     @F.pandas_udf("struct<votes:string,junk:double,toxic:double>")
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hasher, (junk, toxic) = Hasher(), [linear.value[h] for h in HEADS]
+        hasher, (junk, toxic, keys) = Hasher(), held.value
         total = lambda head, f: head[1][_at(head[0], f)].sum() + head[2]
         for batch in texts:
             rows = []
             for t in batch:
                 parsed = parse(t)
-                fs, v = [features(part, hasher) for part in parsed] or [np.zeros(0, np.int32)], votes(t, parsed)
+                fs, v = [features(part, hasher) for part in parsed] or [np.zeros(0, np.int32)], votes(t, parsed, keys)
                 z = sum(total(junk, f) for f in fs) / len(fs), max(total(toxic, f) for f in fs)
-                rows.append((f"{v['junk']}/{v['toxic']}", *(1 / (1 + np.exp(-float(np.clip(x, -30, 30)))) for x in z)))
+                rows.append(("/".join(v.values()), *(1 / (1 + np.exp(-float(np.clip(x, -30, 30)))) for x in z)))
             yield pd.DataFrame(rows, columns=["votes", *HEADS])
 
-    out = docs.drop("quality_votes", "junk_score", "toxic_score", "quality_kept").withColumn("_q", judge(text_or_empty(text_col)))
-    out = out.withColumns({"quality_votes": F.col("_q.votes"), "junk_score": F.col("_q.junk"), "toxic_score": F.col("_q.toxic")}).drop("_q")
-    return out.withColumn("quality_kept", (F.col("junk_score") < THRESHOLD) & (F.col("toxic_score") < THRESHOLD))
+    name = spare(docs, "judged")
+    out = docs.withColumn(name, judge(text_or_empty(text_col)))
+    got = F.col(f"`{name}`")
+    kept = (got["junk"] < THRESHOLD) & (got["toxic"] < THRESHOLD)
+    cols = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in OUT]
+    return out.select(*cols, got["votes"].alias(OUT[0]), got["junk"].alias(OUT[1]), got["toxic"].alias(OUT[2]), kept.alias(OUT[3]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """fit() on `docs`, then score() of every row.
 
     Null texts count as empty; an empty text has no votes and no features, and is kept, as weights are not negative
-    and the bias alone stays below the threshold unless most labelled rows are bad. Without labels the heuristic
-    votes alone make the posteriors, and the sample is of all rows. Repeated rows are scored alike. Input columns
-    with the names of ours are replaced. An empty table gives an empty result.
+    and the bias alone stays below the threshold unless most rows are bad. Very long texts are read whole, in windows.
+    Without labels no keywords are mined, and the other labellers alone make the posteriors. Repeated rows are scored
+    alike. Ids may be of any type that the ids of `labels` can be joined to. Of the input columns only those with the
+    names of the four new ones are replaced. An empty table gives an empty result.
     """
     return score(docs, fit(docs, labels, id_col, text_col, sample), text_col)
