@@ -18,6 +18,8 @@ import hashlib
 import lzma
 import re
 import zlib
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import chain
 
@@ -37,6 +39,9 @@ URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 UNIT = re.compile(r"\\[uUx]\{?([0-9A-Fa-f]+)\}?|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+GLUE = re.compile(r"[/+_-]")
+#: How compressed data (gzip, bz2, xz, zstd, zlib) begins in base64, after a mark.
+PACKED = re.compile(r"[/+_-](?=H4sI|Qlpo|/Td6WFoA|_Td6WFoA|KLUv[/_]|e[AFJN])")
 LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 #: What parts the lines of a wrapped blob: a line end, real or written as an escape, with quotes and comment marks.
 BETWEEN = r"""["']?[\x20\t]*+(?:[+\\][\x20\t]*+(?=[\r\n]))?(?:\r?\n|\r|\\r\\n|\\n)[\x20\t]*+(?:[>#*|]|//(?=[\x20\t]))?[\x20\t]*+["']?"""
@@ -61,20 +66,53 @@ def scan_layer(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def _unescaped(text: str, pattern: re.Pattern, decode) -> tuple[str, list[int]] | None:
-    """The text with escapes decoded, and for each of its characters (and its end) the place in `text`."""
-    parts, places, at = [], [], 0
+class Places:
+    """Where the characters of a layer stand in the text, in runs: from at[k] on, they are from to[k] on one by one."""
+
+    def __init__(self):
+        self.at, self.to = array("q"), array("q")
+
+    def add(self, at: int, to: int) -> None:
+        self.at.append(at)
+        self.to.append(to)
+
+    def __getitem__(self, k: int) -> int:
+        run = bisect_right(self.at, k) - 1
+        return self.to[run] + k - self.at[run]
+
+    def within(self, outer: Places) -> Places:
+        """These places, which are in a layer, as places in the text that the layer's are in."""
+        out = Places()
+        for k, (at, to) in enumerate(zip(self.at, self.to, strict=True)):
+            out.add(at, outer[to])
+            if k + 1 < len(self.at):
+                end = to + self.at[k + 1] - at
+                for r in range(bisect_right(outer.at, to), bisect_left(outer.at, end)):
+                    out.add(at + outer.at[r] - to, outer.to[r])
+        return out
+
+    def key(self) -> bytes:
+        return hashlib.sha256(self.at.tobytes() + b"/" + self.to.tobytes()).digest()
+
+
+def _unescaped(text: str, pattern: re.Pattern, decode) -> tuple[str, Places] | None:
+    """The text with escapes decoded, and the places of its characters (and of its end) in `text`."""
+    parts, places, at, size = [], Places(), 0, 0
     for m in pattern.finditer(text):
-        parts.append(text[at : m.start()])
-        places += range(at, m.start())
+        if m.start() > at:
+            places.add(size, at)
+            parts.append(text[at : m.start()])
+            size += m.start() - at
         chars, starts = decode(m)
+        for k, start in enumerate(starts):
+            places.add(size + k, start)
         parts.append(chars)
-        places += starts
+        size += len(chars)
         at = m.end()
     if not at:
         return None
     parts.append(text[at:])
-    places += range(at, len(text) + 1)
+    places.add(size, at)
     return "".join(parts), places
 
 
@@ -218,16 +256,25 @@ def _texts(data: bytes) -> Iterator[str]:
 
 
 def _blob(token: str, most: int, lost: list) -> Iterator[str]:
-    """The texts that a run of base64 decodes to."""
+    """The texts that a run of base64 decodes to.
+
+    Letters of other text can be glued to its front by a mark that base64 has too, as in a path. Text is then found in
+    one of the four ways to start, and compressed data from the mark on.
+    """
     body = token.rstrip("=")
-    if len(body) % 4 == 1:
-        return
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), b"-_" if "-" in body or "_" in body else None)
-    except (binascii.Error, ValueError):
-        return
-    for part in _unfolded(data, most, lost):
-        yield from _texts(part)
+    starts = [(0, False)]
+    if GLUE.search(body):
+        starts += [(1, False), (2, False), (3, False), *((m.end(), True) for m in PACKED.finditer(body))]
+    for start, packed in starts:
+        part = body[start : len(body) - ((len(body) - start) % 4 == 1)]
+        try:
+            data = base64.b64decode(part + "=" * (-len(part) % 4), b"-_" if "-" in part or "_" in part else None)
+        except (binascii.Error, ValueError):
+            continue
+        if packed and not _packed(data):
+            continue
+        for out in _unfolded(data, most, lost) if packed or not start else (data,):
+            yield from _texts(out)
 
 
 def _wrapped(layer: str) -> Iterator[tuple[str, int, int]]:
@@ -275,7 +322,7 @@ def find_secrets(text: str, most: int = LAYER_BYTES) -> tuple[list, list, int]:
         for mark, pattern, decode in (("%", URL, _url), ("\\", UNICODE, _unicode), ("&#", UNICODE, _unicode)):
             if mark in layer and (got := _unescaped(layer, pattern, decode)):
                 new, at = got
-                yield new, places if isinstance(places, tuple) else at if places is None else [places[k] for k in at]
+                yield new, places if isinstance(places, tuple) else at if places is None else at.within(places)
         blobs = ((m.group(), m.start(), m.end()) for m in BASE64.finditer(layer))
         for token, s, e in chain(blobs, _wrapped(layer)):
             lost: list = []
@@ -292,7 +339,7 @@ def find_secrets(text: str, most: int = LAYER_BYTES) -> tuple[list, list, int]:
             todo.pop()
             continue
         if places is not None:
-            here = (hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest(), places if isinstance(places, tuple) else hash(tuple(places)))
+            here = (hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest(), places if isinstance(places, tuple) else places.key())
             if here in seen:
                 continue
             seen.add(here)
@@ -307,8 +354,11 @@ FOUND = "struct<base:array<struct<kind:string,start:long,end:long>>,every:array<
 def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All rows and columns of `docs` plus `secrets`: base finds, all finds, and the number of unread layers.
 
-    Null and empty texts have no finds. Texts are scanned whole. Places count code points, ends are exclusive. An
-    input column named secrets is replaced; an empty table gives an empty result.
+    Null and empty texts have no finds. Very long texts are scanned whole; what is decoded from them is held in parts of
+    LAYER_BYTES, and `unread` counts the layers of which a part could not be decoded. Finds are ordered by start, then
+    kind, then end, so that ties are in a fixed order. Repeated rows come out as often as they come in, each with its
+    finds. Places count code points, ends are exclusive. An input column named secrets is replaced, whatever its case;
+    an empty table gives an empty result.
     """
     as_rows = lambda fs: [{"kind": k, "start": s, "end": e} for k, s, e in fs]
 

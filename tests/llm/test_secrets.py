@@ -127,3 +127,38 @@ def test_large_layers_are_read_in_chunks():
         data = (b". " * 200_000)[:at] + b" " + INNER.encode() + b" " + b64("x" * 50 + INNER.replace("password", "passwd")).encode() + b" " + (b". " * 200_000)[at:]
         base, every, unread = secrets.find_secrets(b64(gzip.compress(zlib.compress(data))), most=100_000)
         assert not base and [f[0] for f in every] == ["assign"] and not unread
+
+
+@pytest.mark.parametrize("glue", ["path/", "a/b/", "x-", "some_name_", "p+"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_base64_glued_to_other_text(glue, pack):
+    for pad in ("", "a", "ab"):
+        text = f"see {glue}{b64(pack((pad + INNER).encode()))} there"
+        base, every, _ = secrets.find_secrets(text)
+        assert not base and [f[0] for f in every].count("assign") == 1, text
+
+
+def test_random_nestings_are_found_at_their_place():
+    """A secret within random layers is found, and its span covers what stands for it in the text."""
+    rnd = random.Random(3)
+    url = lambda s: "".join(f"%{b:02X}" if rnd.random() < 0.5 or c == "%" else c for c in s for b in c.encode())
+    escaped = lambda s: "".join(f"\\u{ord(c):04x}" if rnd.random() < 0.5 or c in "\\&" else c for c in s)
+    entities = lambda s: "".join(f"&#{ord(c)};" if rnd.random() < 0.5 or c in "\\&" else c for c in s)
+    packed = lambda s: b64(rnd.choice([gzip.compress, zlib.compress, bz2.compress, lzma.compress])(s.encode()))
+    for n in range(300):
+        secret = "password=" + "".join(rnd.choices("ghijklmnop", k=rnd.randint(6, 20)))
+        s = secret
+        chosen = [rnd.choice([url, escaped, entities, b64, packed]) for _ in range(rnd.randint(1, 4))]
+        for f in chosen:
+            s = f(s)
+        before, after = "".join(rnd.choices("é x.\n", k=rnd.randint(0, 20))) + " ", " " + "".join(rnd.choices("ü y.", k=5))
+        base, every, unread = secrets.find_secrets(before + s + after)
+        hits = [(a, b) for kind, a, b in every if kind == "assign"]
+        assert not unread and any(len(before) <= a < b <= len(before) + len(s) and b - a >= 0.5 * len(s) for a, b in hits), (chosen, s)
+
+
+def test_places_of_a_long_text_are_few():
+    text = "x" * 1_000_000 + "%41" + "y" * 1_000_000
+    new, places = secrets._unescaped(text, secrets.URL, secrets._url)
+    assert len(new) == 2_000_001 and len(places.at) == 3
+    assert [places[k] for k in (0, 999_999, 1_000_000, 1_000_001, 2_000_001)] == [0, 999_999, 1_000_000, 1_000_003, 2_000_003]
