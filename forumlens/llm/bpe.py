@@ -1,10 +1,9 @@
 """Byte-level BPE of whole texts through worker caches, with the ids that the tokenizers library gives.
 
-Byte-level BPE never merges across pre-tokens, and a pre-token never holds white space but for one leading space. In
-a text whose white-space characters stand alone, the pieces between spaces and line feeds are therefore encoded
-independently of each other: a piece is looked up with the space before it, or without one at the start of a line.
-Other texts, and those with characters outside the set below or with the string of an added token, go to the library
-as a whole.
+Byte-level BPE never merges across pre-tokens, so that a text's ids are those of its pre-tokens in order. Texts of printable
+ASCII, white space and Latin letters are split by the public pattern; there its classes are beyond doubt in every version of
+Unicode. Texts with other characters are split by the library's own pre-tokenizer, and looked up likewise. Only texts with
+the string of an added token, which the library treats apart, go to it as a whole.
 """
 
 from __future__ import annotations
@@ -17,11 +16,13 @@ import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
-#: Characters whose class is beyond doubt in every version of Unicode: printable ASCII, line feed, Latin letters.
-PLAIN = re.compile(r"[^\n\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-ſ]")
-DOUBLE = re.compile(r"[ \n][ \n]")
+#: Characters of other texts than plain ones, and the public pattern for plain ones.
+OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-ſ]")
+PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xc0-ſ]+| ?[0-9]+| ?[^\sA-Za-z0-9\xc0-ſ]+|\s+(?!\S)|\s+")
 #: Entries of a worker's cache; when it is full it starts anew.
 CACHE = 150_000
+#: Characters of a piece that is kept, at most.
+KEPT = 48
 
 
 def load(path: str) -> Tokenizer:
@@ -65,10 +66,12 @@ class PieceCache(dict):
         self.encode, self.value, self.known = encode, value, known or {}
 
     def __missing__(self, piece: str):
-        if len(self) - len(self.known) >= CACHE:
-            self.clear()
-            self.update(self.known)
-        out = self[piece] = self.value(self.encode(piece))
+        out = self.value(self.encode(piece))
+        if len(piece) <= KEPT:
+            if len(self) - len(self.known) >= CACHE:
+                self.clear()
+                self.update(self.known)
+            self[piece] = out
         return out
 
 
@@ -81,11 +84,14 @@ class Encoder:
 
     def __init__(self, path: str, value, known: dict | None = None):
         self.path, self.value = path, value
-        fast = ranked(path)
-        self.pieces = PieceCache(fast.encode_ordinary if fast else self.whole, value, known)
-        self.feed = self.pieces["\n"]
+        self.fast = ranked(path)
+        self.pieces = PieceCache(self.piece, value, known)
         with open(path, encoding="utf-8") as f:
-            self.added = [t["content"] for t in json.load(f).get("added_tokens", [])]
+            config = json.load(f)
+        self.added = [t["content"] for t in config.get("added_tokens", [])]
+        pre = config.get("pre_tokenizer") or {}
+        #: Whether pieces are what the pattern makes, and are looked at by themselves.
+        self.apart = not config.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
 
     @cached_property
     def tokenizer(self) -> Tokenizer:
@@ -95,41 +101,24 @@ class Encoder:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def simple(self, text: str) -> bool:
-        return not (PLAIN.search(text) or DOUBLE.search(text) or any(a in text for a in self.added))
-
-    def parts(self, text: str) -> list:
-        """The values of the text's pieces in order."""
-        if not text:
-            return []
-        if not self.simple(text):
-            return [self.value(self.whole(text))]
-        get, out = self.pieces.__getitem__, []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append(self.feed)
-            head, *rest = line.split(" ")
-            if head:
-                out.append(get(head))
-            out += map(get, [f" {x}" for x in rest])
-        return out
+    def piece(self, piece: str) -> list[int]:
+        return self.whole(piece) if self.fast is None or OTHER.search(piece) else self.fast.encode_ordinary(piece)
+
+    def split(self, text: str) -> list[str] | None:
+        """The pre-tokens of the text; None if it goes to the library as a whole."""
+        if not self.apart or any(a in text for a in self.added):
+            return None
+        if not OTHER.search(text):
+            return PLAIN.findall(text)
+        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
     def count(self, text: str) -> int:
-        return sum(self.parts(text))
+        pieces = self.split(text)
+        return len(self.whole(text)) if pieces is None else sum(map(self.pieces.__getitem__, pieces))
 
     def ids(self, text: str) -> bytes:
-        return b"".join(self.parts(text))
-
-
-def pieces_of(text: str) -> list[str]:
-    """The pieces of a text as parts() looks them up, but for line feeds."""
-    out = []
-    for line in text.split("\n"):
-        head, *rest = line.split(" ")
-        if head:
-            out.append(head)
-        out += [f" {x}" for x in rest]
-    return out
+        pieces = self.split(text)
+        return ids_bytes(self.whole(text)) if pieces is None else b"".join(map(self.pieces.__getitem__, pieces))
 
 
 @lru_cache(maxsize=4)

@@ -1,9 +1,9 @@
 """Token counts of whole texts by a map-side two-tier lookup.
 
-Tier one is a compact table piece -> number of tokens of the pieces that are frequent in the corpus, broadcast to all
-workers; tier two is each worker's own cache, filled by the library. Pieces are never shuffled: a first pass over all
-texts keeps a summary of bounded size in each task (Misra-Gries counters), and only those summaries are merged. The
-table decides how fast a count is found and never what it is.
+Tier one is a compact table pre-token -> number of tokens of those that are frequent in the corpus, broadcast to all
+workers; tier two is each worker's own cache, filled by the library. Pre-tokens are never shuffled: a first pass over all
+texts keeps a summary of bounded size in each task (Misra-Gries counters), and the summaries, one row a task, are merged
+in a tree. The table decides how fast a count is found and never what it is.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forumlens.llm import bpe
-from forumlens.llm.shared import text_or_empty
+from forumlens.llm.shared import text_or_empty, written
 
 #: Entries of the broadcast table: below 4 MB whatever the corpus is.
 FREQUENT = 30_000
@@ -25,38 +25,59 @@ FREQUENT = 30_000
 PER_TASK = 8_000
 #: Counters that a task holds before it prunes.
 HELD = 400_000
+#: Summaries that one task merges, at most.
+MERGED = 64
 
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(p for p in bpe.pieces_of(text) if len(p) <= 40)
-            if len(counts) > HELD:
-                # Misra-Gries: what all counters can lose is taken from each, and empty ones go.
-                least = sorted(counts.values(), reverse=True)[HELD // 2]
-                counts = Counter({p: n - least for p, n in counts.items() if n > least})
-    top = counts.most_common(PER_TASK)
-    yield pa.RecordBatch.from_pydict({"piece": pa.array([p for p, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
+def _row(counts: Counter, most: int) -> pa.RecordBatch:
+    top = counts.most_common(most)
+    return pa.RecordBatch.from_pydict({"pieces": pa.array([[p for p, _ in top]], pa.list_(pa.string())), "n": pa.array([[n for _, n in top]], pa.list_(pa.int64()))})
 
 
-def frequent_pieces(texts: DataFrame, most: int = FREQUENT) -> list[str]:
-    """The most frequent pieces of the column `text`, at most `most`; from summaries of every text."""
-    merged = texts.select("text").mapInArrow(_summaries, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [r.piece for r in merged.orderBy(F.desc("n"), "piece").limit(most).select("piece").collect()]
+def frequent_pieces(texts: DataFrame, tokenizer_path: str, most: int = FREQUENT) -> list[str]:
+    """The most frequent pre-tokens of the column `text`, at most `most`; from summaries of every text."""
+
+    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, counts = bpe.worker_encoder(tokenizer_path, "len"), Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                counts.update(enc.split(text) or ())
+                if len(counts) > HELD:
+                    # Misra-Gries: what all counters can lose is taken from each, and empty ones go.
+                    least = sorted(counts.values(), reverse=True)[HELD // 2]
+                    counts = Counter({p: n - least for p, n in counts.items() if n > least})
+        yield _row(Counter({p: n for p, n in counts.items() if len(p) <= bpe.KEPT}), PER_TASK)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for pieces, n in zip(batch.column("pieces").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                for p, k in zip(pieces, n, strict=True):
+                    counts[p] += k
+        yield _row(counts, most)
+
+    kind = "pieces array<string>, n array<long>"
+    found = written(texts.select("text").mapInArrow(summary, kind))
+    n = found.count()
+    while n > 1:
+        n = -(-n // MERGED)
+        found = written(found.repartition(n).mapInArrow(merge, kind))
+    one = found.first()
+    return list(one.pieces) if one else []
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int, text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """All rows and columns of `docs` plus n_bytes, n_tokens and over_limit (n_tokens > limit).
 
-    Null texts count as empty and have no bytes or tokens. Texts are taken whole, of any length. Special strings in
-    a text are treated as the library does by default. Columns of these names in the input are replaced. An empty
-    table gives an empty result.
+    Null texts count as empty and have no bytes or tokens. Texts are taken whole, of any length; of very long ones only
+    short pre-tokens are kept in a cache. Special strings in a text are treated as the library does by default. Repeated
+    rows come out as often as they come in. Columns of these names in the input are replaced, whatever their case. An
+    empty table gives an empty result.
     """
     text = text_or_empty(text_col)
-    head = frequent_pieces(docs.select(text.alias("text")), frequent)
+    head = frequent_pieces(docs.select(text.alias("text")), tokenizer_path, frequent)
     own = bpe.Encoder(tokenizer_path, len)
-    table = docs.sparkSession.sparkContext.broadcast({p: own.count(p) for p in head if own.simple(p)})
+    table = docs.sparkSession.sparkContext.broadcast({p: len(own.piece(p)) for p in head})
 
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -30,6 +30,22 @@ def test_encoder_is_the_library(kind):
             assert enc.ids(x) == bpe.ids_bytes(ids), x
 
 
+def test_other_scripts_are_looked_up_by_pieces(monkeypatch):
+    rnd = random.Random(5)
+    scripts = ["привет", "мир", "漢字", "かな", "שלום", "مرحبا", "ไทย", "हिन्दी", "naïve", "—", "“quote”", "…", "😀", "e\u0301", "½", "Ⅷ", "\u3000", "\xa0", "\x1c"]
+    t = bpe.load(PATH)
+    enc = bpe.Encoder(PATH, len)
+    want = {}
+    for _ in range(300):
+        x = "".join(rnd.choices([*scripts, " ", "  ", "\n\n", "\t", "\r\n", "a", "'s", "1"], k=rnd.randint(1, 40)))
+        want[x] = len(t.encode(x, add_special_tokens=False).ids)
+    seen = []
+    whole = bpe.Encoder.whole
+    monkeypatch.setattr(bpe.Encoder, "whole", lambda self, x: seen.append(x) or whole(self, x))
+    assert all(enc.count(x) == n for x, n in want.items())
+    assert not set(seen) & {x for x in want if len(enc.split(x)) > 1}
+
+
 def test_a_full_cache_starts_anew(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 3)
     enc = bpe.Encoder(PATH, len, {" of": 1})
