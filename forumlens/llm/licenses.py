@@ -78,13 +78,15 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of `docs`: id, n_words, spans, and what is derived from the spans.
 
     spans: (label, whole, start, end, cover) in words; n_base, first_word, last_word and base_labels are of phrases,
-    labels are of all spans, score is the best cover of any span, or 0. Null and empty texts have no words. Rows that
-    repeat come out as often as they come in. Other columns are not read. An empty table gives an empty result.
+    labels are of all spans, score is the best cover of any span, or 0. Null and empty texts have no words; very long
+    texts are scanned whole. Spans are ordered by label and then by place, and equal covers all count, so that ties need
+    no choice. Rows that repeat come out as often as they come in, and ids may be of any type. Other columns are not
+    read, so that their names cannot clash. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     runs = spark.createDataFrame(template_rows(phrases, texts), RUNS)
     runs = runs.withColumn("h", F.xxhash64(*[F.get("run", F.lit(j)) for j in range(LONG)]))
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words_of(text_or_empty(text_col)).alias("words"))
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), words_of(text_or_empty(text_col)).alias("words"))
     # The first element stands for the text itself, which must not be lost if nothing matches. The outer form keeps
     # Spark from testing beforehand that there are elements, by making them twice.
     keys = F.concat(F.array(F.lit(0).cast("long")), _rolling(F.col("words"), SHORT), _rolling(F.col("words"), LONG))

@@ -66,26 +66,32 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, alpha: float
     return written(sized.select("source_key", rate.alias("rate")).mapInPandas(steps, "source_key string, rate double, first long, steps array<double>"))
 
 
+OUT = ("mix_rate", "mix_copies", "mix_copy", "mix_order")
+
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, epochs: float = 1.0, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """All columns of `docs`, each row as often as its draw says, plus mix_rate, mix_copies, mix_copy and mix_order.
 
-    mix_copy counts from 0; rows are sorted by mix_order, a hash of seed, id and copy, across partitions. Null sources
-    are a source of their own. Rows of one id draw alike. Input columns named like ours are replaced. An empty
-    table gives an empty result.
+    mix_copy counts from 0; rows are dealt over all partitions by mix_order, a hash of seed, id and copy, and sorted by it
+    within each, so that their order tells nothing of where they came from. Null sources are a source of their own. Rows
+    of one id draw alike, repeated ones too; null ids are one id. Empty texts have size 1, and very long ones count
+    whole. Of the input columns only those with the names of the four new ones, in any case, are replaced. An empty table
+    gives an empty result.
     """
     rates = source_rates(docs, weights, alpha, epochs, source_col, text_col)
     few = rates.count() <= FEW
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(NULL))
-    cols = [c for c in docs.columns if c not in ("mix_rate", "mix_copies", "mix_copy", "mix_order")]
-    rates = rates.select("source_key", "rate", "first", "steps").toDF("_mix_key", "mix_rate", "_mix_first", "_mix_steps")
-    key = F.coalesce(F.col(source_col).cast("string"), F.lit(NULL))
-    base = docs.select(*[F.col(f"`{c}`") for c in cols], key.alias("_mix_key"))
-    drawn = base.join(F.broadcast(rates) if few else rates, "_mix_key")
-    u = uniform(F.lit(seed), ident)
-    copies = F.when(F.col("mix_rate") > 0, F.col("_mix_first") + F.size(F.filter("_mix_steps", lambda p: p <= u))).otherwise(0)
-    drawn = drawn.withColumn("mix_copies", copies.cast("long")).filter("mix_copies > 0")
-    out = drawn.withColumn("mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_copies") - 1)))
-    order = F.md5(F.concat_ws("\x1f", F.lit(f"{seed} order"), ident, F.col("mix_copy")))
-    out = out.withColumn("mix_order", F.conv(F.substring(order, 1, 15), 16, 10).cast("long"))
-    return out.select(*[F.col(f"`{c}`") for c in cols], "mix_rate", "mix_copies", "mix_copy", "mix_order").orderBy("mix_order")
+    cols = [c for c in docs.columns if c.lower() not in OUT]
+    ident = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(NULL))
+    key = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(NULL))
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), key.alias("source_key"), ident.alias("ident"))
+    drawn = base.join(F.broadcast(rates) if few else rates, "source_key")
+    u = uniform(F.lit(seed), F.col("ident"))
+    copies = F.when(F.col("rate") > 0, F.col("first") + F.size(F.filter("steps", lambda p: p <= u))).otherwise(0)
+    drawn = drawn.withColumn("copies", copies.cast("long")).filter("copies > 0")
+    out = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    order = F.md5(F.concat_ws("\x1f", F.lit(f"{seed} order"), "ident", "copy"))
+    out = out.withColumn("order", F.conv(F.substring(order, 1, 15), 16, 10).cast("long"))
+    # Dealing by a hash shuffles as well as sorting by it does, and needs no sample of the rows beforehand.
+    out = out.repartition("order").sortWithinPartitions("order")
+    made = dict(zip(OUT, ("rate", "copies", "copy", "order"), strict=True))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in cols], *[F.col(c).alias(name) for name, c in made.items()])

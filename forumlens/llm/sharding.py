@@ -13,14 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forumlens.llm.shared import numbered, text_or_empty
+from forumlens.llm.shared import numbered, spare, text_or_empty
 
 #: The multiplier 2862933555777941757 of the published algorithm, in halves of 32 bits.
 MULT_HI, MULT_LO = divmod(2862933555777941757, 1 << 32)
 MASK = (1 << 32) - 1
 SHORT = 48
-#: Parts by which a shard is numbered; the table of their sizes has at most shards * PARTS rows.
-PARTS = 64
+#: Parts by which a shard is numbered at least, and rows of a part at most, in the mean.
+PARTS, PART_ROWS = 64, 1 << 20
 
 
 def _mul_low(a: Column, b: int) -> Column:
@@ -71,12 +71,15 @@ def jump_shards(hi: Column, lo: Column, n_shards: int) -> Column:
 def assign_shards(df: DataFrame, keys: list[str], n_shards: int) -> DataFrame:
     """All rows and columns of `df` plus `shard` and `grown_shard` (with one more shard); no shuffle.
 
-    Equal keys get equal shards, also null ones; an input column named shard or grown_shard is replaced.
+    Equal keys get equal shards, also null ones. Of the input columns only those named shard or grown_shard, in any
+    case, are replaced.
     """
-    hi, lo = key_halves(*keys)
-    out = df.drop("shard", "grown_shard").withColumns({"_jump_hi": hi, "_jump_lo": lo})
-    out = out.withColumn("_jump", jump_shards(F.col("_jump_hi"), F.col("_jump_lo"), n_shards))
-    return out.withColumns({"shard": F.col("_jump.shard"), "grown_shard": F.col("_jump.grown")}).drop("_jump", "_jump_hi", "_jump_lo")
+    name = spare(df, "jump")
+    halves = F.struct(*[h.alias(n) for h, n in zip(key_halves(*keys), ("hi", "lo"), strict=True)])
+    out = df.withColumn(name, halves)
+    cols = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("shard", "grown_shard")]
+    out = out.select(*cols, jump_shards(F.col(f"`{name}`.hi"), F.col(f"`{name}`.lo"), n_shards).alias(name))
+    return out.select(*cols, F.col(f"`{name}`.shard").alias("shard"), F.col(f"`{name}`.grown").alias("grown_shard"))
 
 
 def number_slots(df: DataFrame, order: list[str], parts: int = PARTS) -> DataFrame:
@@ -85,14 +88,20 @@ def number_slots(df: DataFrame, order: list[str], parts: int = PARTS) -> DataFra
 
 
 def shard_documents(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with shard, grown_shard, slot, size (UTF-8 bytes of the text plus 16) and text_crc32 (unsigned).
+    """`docs` with shard, grown_shard, size (UTF-8 bytes of the text plus 16), text_crc32 (unsigned) and slot.
 
-    A null text has size 16 and the checksum 0 of the empty text. Rows of one id share a shard and get slots of
-    their own in any order. An empty table gives an empty result.
+    A null text has size 16 and the checksum 0 of the empty text; very long texts are read whole. Rows of one id share a
+    shard and get slots of their own, in the order of checksum and size and, where they repeat, in any order. Null ids are
+    one key. Ids may be of any type. Of the input columns only those with the names of the five new ones, in any case,
+    are replaced. An empty table gives an empty result.
     """
     text = text_or_empty(text_col)
-    sized = docs.withColumns({"size": F.octet_length(text).cast("long") + 16, "text_crc32": F.crc32(text)})
-    return number_slots(assign_shards(sized, [id_col], n_shards), [id_col, "text_crc32", "size"])
+    made = ("shard", "grown_shard", "size", "text_crc32", "slot")
+    cols = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in made]
+    sized = docs.select(*cols, (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).alias("text_crc32"))
+    # So many parts that one is sorted by a task; the number of rows is in the tables' footers.
+    parts = max(PARTS, -(-docs.count() // (n_shards * PART_ROWS)))
+    return number_slots(assign_shards(sized, [id_col], n_shards), [id_col, "text_crc32", "size"], parts)
 
 
 def write_shards(docs: DataFrame, n_shards: int, path: str, id_col: str = "doc_id") -> None:
