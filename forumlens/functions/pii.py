@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forumlens.functions.text import col
+from forumlens.functions.text import col, first_non_empty
 
-#: Patterns in the order in which they are replaced: an address must go before what looks like a handle in it.
+#: Patterns in the order in which they are replaced: an address must go before what looks like a handle in it. Letters
+#: of any script and either case count.
 PATTERNS = (
-    ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("PHONE", r"(?:\+61[ -]?|\b0)[2-478](?:[ -]?[0-9]){8}\b"),
-    ("HANDLE", r"(?<![A-Za-z0-9_])@[A-Za-z0-9_.-]{2,}"),
-    ("URL", r"https?://[^\s<>\"]+"),
+    ("EMAIL", r"(?i)(?<![\p{L}\p{N}_])[A-Z0-9_][A-Z0-9._%+-]*@[A-Z0-9.-]+\.[A-Z]{2,}(?![\p{L}\p{N}_])"),
+    ("PHONE", r"(?<![0-9])(?:\+?61|0)[2-478](?:[ -]?[0-9]){8}(?![0-9])"),
+    ("HANDLE", r"(?<![\p{L}\p{N}_])@[A-Za-z0-9_.-]+"),
+    ("URL", r"(?i)https?://[^\s]+"),
 )
 
 
@@ -35,6 +36,13 @@ def audit(df: DataFrame, id_col: str, text_col: str, rules: tuple[tuple[str, str
     return df.select(id_col, F.explode(F.filter(hits, lambda h: h["n"] > 0)).alias("hit")).select(id_col, "hit.rule", "hit.n")
 
 
-def public_record(df: DataFrame, id_col: str, salt: str, columns: dict[str, int]) -> DataFrame:
-    """A salted id and the allowed columns only, redacted and cut to their lengths."""
-    return df.select(stable_id(id_col, salt).alias("public_id"), *[F.substring(redact(c), 1, n).alias(c) for c, n in columns.items()])
+def public_record(df: DataFrame, salt: str, id_col: str, text_col: str, title_col: str | None = None, platform_col: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A salted id, platform, redacted title and text, and the columns to keep: nothing else leaves.
+
+    The text falls back to the title and the id to the text; lengths are cut to 64, 500 and 10000 characters.
+    """
+    title = F.coalesce(F.col(title_col) if title_col else F.lit(None), F.lit(""))
+    text = redact(first_non_empty(text_col, title))
+    ident = stable_id(F.coalesce(first_non_empty(F.col(id_col).cast("string")), text, F.lit("")), salt)
+    platform = F.coalesce(first_non_empty(platform_col) if platform_col else F.lit(None), F.lit("unknown"))
+    return df.select(ident.alias("public_id"), F.substring(platform, 1, 64).alias("platform"), F.substring(redact(title), 1, 500).alias("title"), F.substring(F.coalesce(text, F.lit("")), 1, 10000).alias("text"), *keep)

@@ -80,7 +80,8 @@ def source_group(c: Column | str) -> Column:
 def relevant(c: Column | str, words: list[str], phrases: list[str]) -> Column:
     """Any word as a whole word, or any phrase anywhere, in the lower-cased text."""
     s = F.lower(F.coalesce(col(c), F.lit("")))
-    out = s.rlike(rf"\b(?:{'|'.join(words)})\b") if words else F.lit(False)
+    # Borders are written out: letters of any script are part of a word.
+    out = s.rlike(rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(words)})(?![\p{{L}}\p{{N}}_])") if words else F.lit(False)
     for p in phrases:
         out = out | s.contains(p)
     return out

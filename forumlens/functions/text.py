@@ -83,10 +83,10 @@ def stable_hash(fields: dict[str, Column | str]) -> Column:
 
 
 def clean_social(c: Column | str) -> Column:
-    """Without links and mentions, hash signs dropped, other characters than letters, digits and .,!?'- as spaces."""
+    """Without links and mentions, hash signs dropped, other characters than letters, digits and .,!?$%'- as spaces."""
     s = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"https?://[^ \t\n\r\f\x0B]+|www\.[^ \t\n\r\f\x0B]+", " ")
-    s = F.regexp_replace(F.regexp_replace(s, r"@[A-Za-z0-9_.]+", " "), "#", "")
-    return squeeze(F.regexp_replace(s, r"[^A-Za-z0-9 .,!?'\-]", " "))
+    s = F.regexp_replace(F.regexp_replace(s, r"@[\p{L}\p{N}_]+", " "), "#", "")
+    return squeeze(F.regexp_replace(s, r"[^A-Za-z0-9 .,!?$%'\-]", " "))
 
 
 def cloud_words(c: Column | str, stopwords: list[str]) -> Column:

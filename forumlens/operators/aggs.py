@@ -101,16 +101,21 @@ def rollup_labels(df: DataFrame, raw: str, label: Column, first: int = 500, size
 
 
 def multi_terms(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(panel, key, count) of several fields and of all rows, in one scan by grouping sets."""
+    """(panel, key, count) of several fields and of all rows, in one scan by grouping sets.
+
+    The total is the sum over the first field's values, null among them, and so 0 for an empty table.
+    """
     keys = list(dict.fromkeys(keys))
     typed = df.select(*[F.col(k).cast("string").alias(k) for k in keys])
-    out = typed.groupingSets([[], *[[k] for k in keys]], *keys).agg(F.count("*").alias("count"), F.grouping_id().alias("_g"))
+    out = typed.groupingSets([[k] for k in keys], *keys).agg(F.count("*").alias("count"), F.grouping_id().alias("_g"))
     n = len(keys)
-    panel, key = F.lit("total"), F.lit(None).cast("string")
+    panel, key = F.lit(None).cast("string"), F.lit(None).cast("string")
     for i, k in enumerate(keys):
         here = F.col("_g") == (1 << n) - 1 - (1 << (n - 1 - i))
         panel, key = F.when(here, k).otherwise(panel), F.when(here, F.col(k)).otherwise(key)
-    return out.select(panel.alias("panel"), key.alias("key"), "count").filter("panel = 'total' or key is not null")
+    counts = out.select(panel.alias("panel"), key.alias("key"), "count")
+    total = counts.filter(F.col("panel") == keys[0]).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count"))
+    return counts.filter("key is not null").union(total.select(F.lit("total"), F.lit(None).cast("string"), "count"))
 
 
 def coverage(df: DataFrame, by: str, source: str, period: str) -> DataFrame:

@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def first_per_group(df: DataFrame, keys: list[str], order: list[Column | str], most: int) -> DataFrame:
+    """The first `most` rows of each key in the given order. Spark cuts each task's rows of a key before it shuffles."""
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_r") <= most).drop("_r")
+
+
 def keep_one(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key in the given order; rows whose key is null are dropped, as they have no identity."""
-    known = df.dropna(subset=keys)
-    return known.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")
+    return first_per_group(df.dropna(subset=keys), keys, order, 1)
 
 
 def first_wins(df: DataFrame, keys: list[str], position: list[str]) -> DataFrame:

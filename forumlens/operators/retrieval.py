@@ -24,8 +24,8 @@ def tokens_of(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.lower())
 
 
-def important_terms(query: str) -> list[str]:
-    return sorted({t for t in tokens_of(query) if t not in STOPWORDS and len(t) > 2})
+def important_terms(query: str, stopwords: frozenset[str] = STOPWORDS) -> list[str]:
+    return sorted({t for t in tokens_of(query) if t not in stopwords and len(t) > 2})
 
 
 def corpus_df(df: DataFrame, corpus: str, text: str) -> DataFrame:
@@ -38,13 +38,13 @@ def with_tokens(df: DataFrame, text: Column | str) -> DataFrame:
     return df.withColumn("_tokens", tokenize(text))
 
 
-def gate(df: DataFrame, query: str) -> DataFrame:
-    """Documents that share an important term with the query.
+def gate(df: DataFrame, query: str, stopwords: frozenset[str] = STOPWORDS) -> DataFrame:
+    """Documents that share an important term with the query: one of over two letters that is no stopword.
 
     Without important terms all pass; if no document shares any, all pass when there is one important term, and none
     when there are more.
     """
-    need = important_terms(query)
+    need = important_terms(query, stopwords)
     if not need:
         return df
     hit = F.arrays_overlap("_tokens", F.array(*map(F.lit, need)))
@@ -128,10 +128,13 @@ def rerank_score(base: Column, title: Column | None, text: Column, query: str) -
     return base + 0.12 * share(title) + 0.05 * share(text) + 0.03 * phrase
 
 
-def search(df: DataFrame, query: str, id_col: str, text: str, title: str | None = None, where: Column | None = None, k: int = 5) -> DataFrame:
-    """(id, rank, score, snippet): filter, gate, BM25 and dense, cut, fuse, cut, rerank, rank."""
+def search(df: DataFrame, query: str, id_col: str, text: str, title: str | None = None, where: Column | None = None, k: int = 5, stopwords: frozenset[str] = STOPWORDS) -> DataFrame:
+    """(id, rank, score, snippet): filter, gate, BM25 and dense, cut, fuse, cut, rerank, rank.
+
+    Stopwords are general ones by default; a domain adds the words that all of its documents hold.
+    """
     corpus = with_tokens(df, F.concat_ws(" ", *[F.col(c) for c in (title, text) if c]))
-    docs = gate(corpus.filter(where) if where is not None else corpus, query)
+    docs = gate(corpus.filter(where) if where is not None else corpus, query, stopwords)
     wide = max(4 * k, 20)
     lists = [ranked(bm25(corpus, docs, query, id_col), "bm25", id_col, wide), ranked(dense(docs, query, id_col), "dense", id_col, wide)]
     fused = rrf(lists, id_col).orderBy(F.desc("fused"), id_col).limit(max(2 * k, 10))
@@ -176,3 +179,23 @@ def match_latest(df: DataFrame, query: str, fields: list[str], stamp: str, id_co
     terms = F.array(*map(F.lit, sorted(set(tokens_of(query)))))
     hit = F.arrays_overlap(tokenize(F.concat_ws(" ", *fields)), terms)
     return df.filter(hit).orderBy(F.col(stamp).desc_nulls_last(), id_col).limit(k)
+
+
+#: Platforms of discussion; every other is official.
+PLATFORMS = ("bluesky", "mastodon", "youtube", "gdelt")
+
+
+def coerce_hits(hits: DataFrame, regions: list[str], national: str = "AU") -> DataFrame:
+    """Evidence of raw search hits: missing columns from the next best, values outside their lists to defaults.
+
+    A region that is not listed is the national one, a date that is none is null, a platform that is not listed official.
+    """
+    has = {c.lower() for c in hits.columns}
+    first = lambda *cs: F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in cs if c in has], F.lit(None))
+    region, platform = first("city_context", "state"), first("platform")
+    return hits.select(
+        first("doc_id", "_id").alias("doc_id"), F.coalesce(first("title", "row_label"), F.lit("Untitled evidence")).alias("title"), F.coalesce(first("text"), F.lit("")).alias("text"),
+        F.coalesce(first("source", "source_group"), F.lit("indexed-source")).alias("source"), F.when(region.isin(*regions), region).otherwise(national).alias("region"),
+        F.try_to_date(F.substring(first("created_at", "period"), 1, 10), "yyyy-MM-dd").alias("period"), F.coalesce(first("topic", "row_label"), F.lit("housing")).alias("topic"),
+        F.when(platform.isin(*PLATFORMS), platform).otherwise("official").alias("platform"),
+    )

@@ -30,14 +30,19 @@ HOUSING = Lexicon(
 )
 
 
-def domain_score(text: Column | str, lex: Lexicon) -> Column:
+def words_of(text: Column | str) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(col(text), F.lit(""))), F.lit("[a-zA-Z']+"), F.lit(0))
+
+
+def domain_score(text: Column | str, lex: Lexicon, words: Column | None = None) -> Column:
     """-1 to 1. A phrase counts once, wherever it stands; a word as often as it comes.
 
     Distinct context words push down by 0.06, 0.10 (three or more) or 0.15 (five or more). The sum is divided by the
-    logarithm of the number of words; no words make 0.
+    logarithm of the number of words; no words make 0. words: the text's words, where a column of `df` has them already,
+    so that they are not looked for at each use.
     """
     s = F.lower(F.coalesce(col(text), F.lit("")))
-    words = F.regexp_extract_all(s, F.lit("[a-zA-Z']+"), F.lit(0))
+    words = words_of(text) if words is None else words
     phrases = [F.when(s.contains(p), F.lit(float(w))).otherwise(0.0) for p, w in {**lex.negative_phrases, **lex.positive_phrases}.items()]
     weights = {**lex.positive_words, **lex.negative_words}
     table = F.create_map(*[F.lit(x) for w, v in weights.items() for x in (w, float(v))]) if weights else F.create_map(F.lit(""), F.lit(0.0))
@@ -60,11 +65,10 @@ def label(score: Column | str) -> Column:
     return F.when(s >= 0.04, "positive").when(s <= -0.04, "negative").otherwise("neutral")
 
 
-def attach(df: DataFrame, text: Column | str, lex: Lexicon = HOUSING) -> DataFrame:
-    """Adds sentiment, sentiment_label and subjectivity, rounded to four digits."""
-    d = domain_score(text, lex)
-    out = df.withColumn("_d", d).withColumn("sentiment", F.round(blend(F.col("_d")), 4))
-    return out.withColumns({"sentiment_label": label("sentiment"), "subjectivity": F.round(F.least(F.lit(1.0), F.abs(F.col("_d")) + 0.15), 4)}).drop("_d")
+def attach(df: DataFrame, text: Column | str, lex: Lexicon = HOUSING, general: Column | None = None) -> DataFrame:
+    """Adds sentiment, sentiment_label and subjectivity, rounded to four digits. general: a general polarity to blend in."""
+    out = df.withColumn("_w", words_of(text)).withColumn("_d", domain_score(text, lex, F.col("_w"))).withColumn("sentiment", F.round(blend(F.col("_d"), general), 4))
+    return out.withColumns({"sentiment_label": label("sentiment"), "subjectivity": F.round(F.least(F.lit(1.0), F.abs(F.col("_d")) + 0.15), 4)}).drop("_d", "_w")
 
 
 def live_text(text: Column | str, strip_links: bool = True) -> Column:
@@ -78,8 +82,7 @@ def live_text(text: Column | str, strip_links: bool = True) -> Column:
 def attach_live(df: DataFrame, text: Column | str, lex: Lexicon = HOUSING, strip_links: bool = True) -> DataFrame:
     """The live variant: the domain score alone; subjectivity is 0.15 at least where there are words."""
     clean = live_text(text, strip_links)
-    score = domain_score(clean, lex)
-    words = F.size(F.regexp_extract_all(clean, F.lit("[a-zA-Z']+"), F.lit(0)))
-    out = df.withColumn("_d", score).withColumn("_n", words).withColumn("sentiment", F.round("_d", 4))
+    out = df.withColumn("_c", clean).withColumn("_w", words_of("_c"))
+    out = out.withColumn("_d", domain_score("_c", lex, F.col("_w"))).withColumn("_n", F.size("_w")).withColumn("sentiment", F.round("_d", 4))
     subjectivity = F.when(F.col("_n") > 0, F.least(F.lit(1.0), F.abs("_d") + 0.15)).otherwise(0.0)
-    return out.withColumns({"sentiment_label": label("sentiment"), "subjectivity": F.round(subjectivity, 4)}).drop("_d", "_n")
+    return out.withColumns({"sentiment_label": label("sentiment"), "subjectivity": F.round(subjectivity, 4)}).drop("_d", "_n", "_c", "_w")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from forumlens.functions import dates, pii, rules, text
 from forumlens.operators import filters, normalise, sentiment
+from forumlens.plans.records import redacted_sql
 from forumlens.plans.registry import query
 from forumlens.session import table
 from forumlens.sources import readers
@@ -34,10 +35,16 @@ def strip_html(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.strip_html("html").alias("text"))
 
 
-@query("html_entities", "SELECT page_id, (length(html) - length(replace(html, '&amp;', '&')))::BIGINT // 4 AS n_amp FROM pages")
+_PLAIN = "html"
+for _n, _c in text.ENTITIES:
+    _PLAIN = f"replace({_PLAIN}, '{_n}', '{_c if _c != chr(39) else chr(39) * 2}')"
+
+
+@query("html_entities", f"SELECT page_id, length(html) - length({_PLAIN}) AS shorter, sha256({_PLAIN}) AS digest FROM pages")
 def html_entities(spark, sf):
-    n = ((F.length("html") - F.length(F.replace("html", F.lit("&amp;"), F.lit("&")))) / 4).cast("bigint")
-    return table(spark, sf, "pages").select("page_id", n.alias("n_amp"))
+    """Entities decoded by the whole standard table; the pages hold none but the eight common ones."""
+    plain = table(spark, sf, "pages").select("page_id", "html", text.decode_all("html").alias("plain"))
+    return plain.select("page_id", (F.length("html") - F.length("plain")).cast("bigint").alias("shorter"), F.sha2("plain", 256).alias("digest"))
 
 
 @query(
@@ -57,8 +64,8 @@ def stable_hash(spark, sf):
 
 @query(
     "clean_social",
-    rf"""SELECT doc_id, trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(text, 'https?://[^ \t\n\r\f\x0B]+|www\.[^ \t\n\r\f\x0B]+', ' ', 'g'), '@[A-Za-z0-9_.]+', ' ', 'g'), '#', ''),
-'[^A-Za-z0-9 .,!?''\-]', ' ', 'g'), '{_SP}', ' ', 'g')) AS clean FROM documents""",
+    rf"""SELECT doc_id, trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(text, 'https?://[^ \t\n\r\f\x0B]+|www\.[^ \t\n\r\f\x0B]+', ' ', 'g'), '@[\pL\pN_]+', ' ', 'g'), '#', ''),
+'[^A-Za-z0-9 .,!?$%''\-]', ' ', 'g'), '{_SP}', ' ', 'g')) AS clean FROM documents""",
 )
 def clean_social(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.clean_social("text").alias("clean"))
@@ -95,29 +102,23 @@ def humanise_code(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", text.humanise_code("n_name").alias("label"))
 
 
-SUBTOPICS = [("legal", r"\b(license|copyright)\b"), ("letters", r"\b(thing|tion)\b"), ("common", r"\b(of|de|der)\b")]
+#: Borders are written out: engines differ on what a word is beside letters beyond ASCII.
+_EDGE = "(^|[^a-z0-9_]){0}([^a-z0-9_]|$)"
+SUBTOPICS = [("legal", _EDGE.format("(license|copyright)")), ("letters", _EDGE.format("(thing|tion)")), ("common", _EDGE.format("(of|de|der)"))]
 _CASE = "CASE " + " ".join(f"WHEN regexp_matches({{0}}, '{p}') THEN '{n}'" for n, p in SUBTOPICS) + " END"
 
 
-@query("subtopic_cascade", f"SELECT doc_id, coalesce({_CASE.format('lower(source)')}, {_CASE.format('lower(text)')}, 'general') AS subtopic FROM documents WHERE lang = 'en'")
+@query("subtopic_cascade", f"SELECT doc_id, coalesce({_CASE.format('lower(source)')}, {_CASE.format('lower(text)')}, 'general') AS subtopic FROM documents")
 def subtopic_cascade(spark, sf):
-    english = table(spark, sf, "documents").filter("lang = 'en'")
-    return english.select("doc_id", rules.infer_subtopic("source", "text", SUBTOPICS).alias("subtopic"))
+    return table(spark, sf, "documents").select("doc_id", rules.infer_subtopic("source", "text", SUBTOPICS).alias("subtopic"))
 
 
-@query("relevance_word_or_phrase", r"SELECT doc_id, regexp_matches(lower(text), '\b(?:license|thing)\b') OR contains(lower(text), 'is and') AS relevant FROM documents WHERE lang = 'en'")
+@query("relevance_word_or_phrase", r"SELECT doc_id, regexp_matches(lower(text), '(^|[^\pL\pN_])(?:license|thing)([^\pL\pN_]|$)') OR contains(lower(text), 'is and') AS relevant FROM documents")
 def relevance_word_or_phrase(spark, sf):
-    return table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", rules.relevant("text", ["license", "thing"], ["is and"]).alias("relevant"))
+    return table(spark, sf, "documents").select("doc_id", rules.relevant("text", ["license", "thing"], ["is and"]).alias("relevant"))
 
 
-_PII = dict(pii.PATTERNS)
-
-
-@query(
-    "redact_pii",
-    rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{_PII["EMAIL"]}', '[EMAIL]', 'g'), '{_PII["PHONE"]}', '[PHONE]', 'g'),
-'(^|[^A-Za-z0-9_])@[A-Za-z0-9_.-]{{2,}}', '\1[HANDLE]', 'g'), '{_PII["URL"]}', '[URL]', 'g') AS text FROM documents""",
-)
+@query("redact_pii", f"SELECT doc_id, {redacted_sql('text')} AS text FROM documents")
 def redact_pii(spark, sf):
     return table(spark, sf, "documents").select("doc_id", pii.redact("text").alias("text"))
 
@@ -127,17 +128,22 @@ def stable_id(spark, sf):
     return table(spark, sf, "documents").select("doc_id", pii.stable_id("doc_id", "pepper").alias("public_id"))
 
 
-@query(
-    "pii_audit",
-    " UNION ALL ".join(rf"SELECT doc_id, '{n}' AS rule, len(regexp_extract_all(text, '{_PII[n]}'))::BIGINT AS n FROM documents WHERE regexp_matches(text, '{_PII[n]}')" for n in ("EMAIL", "PHONE", "URL")),
-)
+#: What the rules are defined to find, with what stands before it, as this engine can't look around.
+_AUDIT = {
+    "EMAIL": r"(?i)(?:^|[^\pL\pN_])[A-Z0-9_][A-Z0-9._%+-]*@[A-Z0-9.-]+\.[A-Z]{2,}\b", "PHONE": r"(?:^|[^0-9])(?:\+?61|0)[2-478](?:[ -]?[0-9]){8}(?:$|[^0-9])",
+    "HANDLE": r"(?:^|[^\pL\pN_])@[A-Za-z0-9_.-]+", "URL": r"(?i)https?://[^ \t\n\r\f\x0B]+",
+}
+
+
+@query("pii_audit", " UNION ALL ".join(rf"SELECT doc_id, '{n}' AS rule, len(regexp_extract_all(text, '{p}'))::BIGINT AS n FROM documents WHERE regexp_matches(text, '{p}')" for n, p in _AUDIT.items()))
 def pii_audit(spark, sf):
-    return pii.audit(table(spark, sf, "documents"), "doc_id", "text", tuple(r for r in pii.PATTERNS if r[0] != "HANDLE"))
+    return pii.audit(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query("public_record", rf"SELECT sha256('pepper:' || doc_id)[1:24] AS public_id, source[1:64] AS source, regexp_replace(lang, '{_PII['EMAIL']}', '[EMAIL]', 'g')[1:2] AS lang FROM documents")
+@query("public_record", f"SELECT sha256('pepper:' || doc_id)[1:24] AS public_id, lang[1:64] AS platform, {redacted_sql('source')}[1:500] AS title, {redacted_sql('text')}[1:10000] AS text, n_chars FROM documents WHERE length(text) > 0")
 def public_record(spark, sf):
-    return pii.public_record(table(spark, sf, "documents"), "doc_id", "pepper", {"source": 64, "lang": 2})
+    docs = table(spark, sf, "documents").filter(F.length("text") > 0)
+    return pii.public_record(docs, "pepper", "doc_id", "text", "source", "lang", ("n_chars",))
 
 
 @query("json_props_extract", "SELECT event_id, coalesce(try_cast(props->>'$.k' AS BIGINT), 0) AS k FROM events")
@@ -193,9 +199,9 @@ def sentiment_label_dist(spark, sf):
     return out.groupBy("role", "sentiment_label").agg(F.count("*").alias("count"), F.round(F.avg("sentiment"), 4).alias("avg_sentiment"))
 
 
-@query("conversation_fold", r"SELECT conv_id, array_to_string((array_agg(text ORDER BY turn))[1:4], chr(10)) AS text FROM conversations GROUP BY 1")
+@query("conversation_fold", r"SELECT conv_id, array_to_string((array_agg(text ORDER BY turn))[1:21], chr(10)) AS text FROM conversations GROUP BY 1")
 def conversation_fold(spark, sf):
-    return normalise.fold_thread(table(spark, sf, "conversations"), "conv_id", "turn", "text", most=3)
+    return normalise.fold_thread(table(spark, sf, "conversations"), "conv_id", "turn", "text")
 
 
 @query(

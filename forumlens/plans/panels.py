@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forumlens.operators import aggs, retrieval
-from forumlens.operators.dedup import best_wins
+from forumlens.functions import text
+from forumlens.operators import aggs, dedup, filters, retrieval
+from forumlens.plans import search
 from forumlens.plans.registry import query
 from forumlens.session import table
 
@@ -49,28 +51,18 @@ def volume_anomaly(spark, sf):
     return aggs.day_over_day(events.crossJoin(F.broadcast(last)), "ts", "user_id", F.col("_day"))  # one row
 
 
-@query(
-    "compare_two_corpora",
-    """WITH d AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents WHERE lang IN ('de', 'en')),
-s AS (SELECT lang, doc_id, len(list_filter(t, lambda x: x IN ('license', 'mit', 'apache')))::INT AS hits FROM d)
-SELECT lang, doc_id, hits, (row_number() OVER (PARTITION BY lang ORDER BY hits DESC, doc_id))::INT AS rank FROM s WHERE hits > 0 QUALIFY rank <= 3""",
-)
-def compare_two_corpora(spark, sf):
-    """The best documents of each of two corpora, by a window within each."""
-    docs = retrieval.with_tokens(table(spark, sf, "documents").filter(F.col("lang").isin("de", "en")), "text")
-    hits = F.size(F.filter("_tokens", lambda x: x.isin("license", "mit", "apache"))).alias("hits")
-    w = Window.partitionBy("lang").orderBy(F.desc("hits"), "doc_id")
-    scored = docs.select("lang", "doc_id", hits).filter("hits > 0")
-    return scored.withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
-
-
 @dataclass(frozen=True)
 class SearchRequest:
-    """A validated search: text of 2 to 500 characters, 1 to 20 results."""
+    """A validated search: text of 2 to 500 characters, 1 to 20 results, dates in order."""
 
     query: str
     top_k: int = 5
     corpus: str | None = None
+    region: str | None = None
+    start: date | None = None
+    end: date | None = None
+    platform: str | None = None
+    source_group: str | None = None
 
     def __post_init__(self):
         object.__setattr__(self, "query", " ".join(self.query.split()))
@@ -78,62 +70,256 @@ class SearchRequest:
             raise ValueError("a query has 2 to 500 characters")
         if not 1 <= self.top_k <= 20:
             raise ValueError("top_k is 1 to 20")
+        if self.start and self.end and self.start > self.end:
+            raise ValueError("the start is after the end")
+
+
+@dataclass(frozen=True)
+class Answer:
+    """What a tool found: its figures, and the evidence behind them; both are lazy tables."""
+
+    data: DataFrame
+    evidence: DataFrame
+
+
+#: Columns of a corpus that tools ask for, by what they are to them.
+ROLES = ("id", "text", "title", "topic", "corpus", "region", "period", "platform", "source", "sentiment")
 
 
 class Tools:
-    """Read-only questions over a table of documents; every answer is a lazy DataFrame."""
+    """Read-only questions over a table of documents of two kinds; every answer is a table of figures and one of evidence.
 
-    NAMES = ("search", "count_topic", "compare", "trend", "coverage")
+    columns: the name of each role's column; a role without a column filters nothing and is null. A region asked for
+    also admits national documents; a period that is null is within every range.
+    """
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text", corpus: str = "lang", source: str = "source", period: str = "n_chars"):
-        self.docs, self.id, self.text, self.corpus, self.source, self.period = docs, id_col, text, corpus, source, period
+    NAMES = ("search_discussion", "search_official", "aggregate_topic", "compare_regions", "sentiment_trend", "coverage")
 
-    def call(self, name: str, **arguments) -> DataFrame:
+    def __init__(self, docs: DataFrame, columns: dict[str, str], discussion: str = "discussion", official: str = "official", national: str = "AU", stopwords: frozenset[str] = retrieval.STOPWORDS):
+        kinds = {"period": "date", "sentiment": "double"}
+        cols = [(F.col(columns[r]) if r in columns else F.lit(None).cast(kinds.get(r, "string"))).alias(r) for r in ROLES]
+        self.docs, self.discussion, self.official, self.national, self.stopwords = docs.select(*cols), discussion, official, national, stopwords
+
+    def call(self, name: str, **arguments) -> Answer:
         if name not in self.NAMES:
             raise ValueError(f"no tool {name!r}")
         return getattr(self, name)(**arguments)
 
-    def search(self, query: str, top_k: int = 5, corpus: str | None = None) -> DataFrame:
-        r = SearchRequest(query, top_k, corpus)
-        where = F.col(self.corpus) == r.corpus if r.corpus else None
-        return retrieval.search(self.docs, r.query, self.id, self.text, where=where, k=r.top_k)
+    def _where(self, r: SearchRequest) -> Column:
+        out = filters.exact(corpus=r.corpus, platform=r.platform, source=r.source_group) & filters.region_or_national("region", r.region, self.national)
+        day = lambda d: F.lit(d) if d else None
+        return out & filters.null_tolerant_range("period", day(r.start), day(r.end))
+
+    def _search(self, corpus: str, query: str, top_k: int = 5, **more) -> DataFrame:
+        r = SearchRequest(query, top_k, corpus, **more)
+        return retrieval.search(self.docs, r.query, "id", "text", where=self._where(r), k=r.top_k, stopwords=self.stopwords)
+
+    def _about(self, topic: str, *fields: str, **more) -> DataFrame:
+        """Discussion that shares any word with the topic, in any of the fields."""
+        r = SearchRequest(topic, corpus=self.discussion, **more)
+        words = F.array(*map(F.lit, retrieval.tokens_of(r.query))) if retrieval.tokens_of(r.query) else F.array().cast("array<string>")
+        return self.docs.filter(self._where(r)).filter(F.arrays_overlap(text.tokenize(F.concat_ws(" ", *fields)), words))
+
+    def search_discussion(self, query: str, **more) -> Answer:
+        found = self._search(self.discussion, query, **more)
+        return Answer(found.agg(F.count("*").alias("result_count")), found)
+
+    def search_official(self, query: str, **more) -> Answer:
+        found = self._search(self.official, query, **more)
+        return Answer(found.agg(F.count("*").alias("result_count")), found)
+
+    def aggregate_topic(self, topic: str, region: str | None = None, platform: str | None = None) -> Answer:
+        """Counts in all, by platform and by region, in long form, and the three best documents."""
+        found = self._about(topic, "topic", "title", "text", region=region, platform=platform)
+        return Answer(aggs.multi_terms(found, ["platform", "region"]), self._search(self.discussion, topic, 3, region=region, platform=platform))
 
-    def count_topic(self, topic: str) -> DataFrame:
-        hit = F.arrays_overlap("_tokens", F.array(*map(F.lit, retrieval.tokens_of(topic[:100]))))
-        return aggs.multi_terms(retrieval.with_tokens(self.docs, self.text).filter(hit), [self.corpus, self.source])
+    def compare_regions(self, query: str, regions: list[str], start: date | None = None, end: date | None = None) -> Answer:
+        """For each of two to four regions how many of the best two documents of each corpus there are."""
+        if not 2 <= len(dict.fromkeys(regions)) <= 4:
+            raise ValueError("2 to 4 regions can be compared")
+        parts = [self._search(c, query, 2, region=r, start=start, end=end).withColumns({"region": F.lit(r), "corpus": F.lit(c)}) for r in dict.fromkeys(regions) for c in (self.discussion, self.official)]
+        found = dedup.union_all(*parts)
+        every = found.sparkSession.createDataFrame([(r,) for r in dict.fromkeys(regions)], "region string")
+        hits = lambda c: F.count(F.when(F.col("corpus") == c, 1))
+        counts = found.groupBy("region").agg(hits(self.discussion).alias("discussion_hits"), hits(self.official).alias("official_hits"))
+        return Answer(every.join(counts, "region", "left").na.fill(0), found)
 
-    def compare(self, query: str, corpora: list[str], top_k: int = 2) -> DataFrame:
-        if not 2 <= len(corpora) <= 4:
-            raise ValueError("2 to 4 corpora can be compared")
-        parts = [self.search(query, top_k, c).withColumn(self.corpus, F.lit(c)) for c in corpora]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+    def sentiment_trend(self, topic: str, region: str | None = None, start: date | None = None, end: date | None = None) -> Answer:
+        """A point for each document with a sentiment, by period and id; points without a period come first."""
+        found = self._about(topic, "topic", "text", region=region, start=start, end=end).filter("sentiment is not null")
+        points = found.select("id", "period", F.col("sentiment").alias("mean_sentiment"), F.lit(1).cast("long").alias("count"))
+        return Answer(points.orderBy(F.col("period").asc_nulls_first(), "id"), self._search(self.discussion, topic, 3, region=region, start=start, end=end))
 
-    def trend(self, topic: str) -> DataFrame:
-        hit = F.arrays_overlap("_tokens", F.array(*map(F.lit, retrieval.tokens_of(topic[:100]))))
-        found = retrieval.with_tokens(self.docs, self.text).filter(hit)
-        return found.select(self.id, self.period).orderBy(F.col(self.period).asc_nulls_first(), self.id)
+    def coverage(self, corpus: str = "both", region: str | None = None, about: str = "housing") -> Answer:
+        """Documents, sources and first and last period; the best document of each corpus."""
+        corpora = (self.discussion, self.official) if corpus == "both" else (corpus,)
+        docs = self.docs.filter(F.col("corpus").isin(*corpora) & filters.region_or_national("region", region, self.national))
+        data = docs.agg(F.count("*").alias("document_count"), F.array_sort(F.collect_set("source")).alias("sources"), F.min("period").alias("date_min"), F.max("period").alias("date_max"))
+        return Answer(data, dedup.union_all(*[self._search(c, about, 1, region=region) for c in corpora]))
 
-    def coverage(self) -> DataFrame:
-        return aggs.coverage(self.docs, self.corpus, self.source, self.period)
 
+def tools_over(spark, sf) -> Tools:
+    """The tools over `documents`: English is discussion and German official, sources are regions."""
+    docs = table(spark, sf, "documents").withColumns({
+        "period": F.when(F.col("n_chars") % 9 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("n_chars") % 100).cast("int"))),
+        "mood": F.when(F.col("n_chars") % 4 != 0, (F.col("n_chars") % 201 - 100) / 100.0),
+    })
+    return Tools(docs, {"id": "doc_id", "text": "text", "corpus": "lang", "region": "source", "platform": "source", "source": "source", "period": "period", "sentiment": "mood"}, "en", "de", "src0")
 
-@query("tool_search", None)
+
+_DAY = "CASE WHEN n_chars % 9 <> 0 THEN DATE '2024-01-01' + (n_chars % 100)::INT END"
+_MOOD = "CASE WHEN n_chars % 4 <> 0 THEN (n_chars % 201 - 100) / 100.0::DOUBLE END"
+_ABOUT = "lang = 'en' AND list_has_any(regexp_extract_all(lower(text), '[a-z0-9]+'), ['mit', 'license'])"
+
+
+def hits_sql(asked: str, where: str, k: int) -> str:
+    """A CTE list whose last, `hits`, has (doc_id, rank, score) of a search."""
+    wide, cut = max(4 * k, 20), max(2 * k, 10)
+    return search.base_sql(where, asked, wide, cut) + f"hits AS (SELECT doc_id, (row_number() OVER (ORDER BY score DESC, doc_id))::INT AS rank, score FROM re QUALIFY rank <= {k})"
+
+
+@query("tool_search", hits_sql("apache license", "lang = 'en'", 5) + " SELECT doc_id AS id, rank, score FROM hits")
 def tool_search(spark, sf):
-    return Tools(table(spark, sf, "documents")).call("search", query="apache license", top_k=5, corpus="en")
+    return tools_over(spark, sf).call("search_discussion", query="apache license", top_k=5).evidence.select("id", "rank", "score")
+
+
+@query(
+    "tool_search_filtered",
+    hits_sql("the mit license", f"lang = 'de' AND source IN ('src1', 'src0') AND source = 'src1' AND coalesce({_DAY} BETWEEN DATE '2024-01-10' AND DATE '2024-03-20', true)", 4) + " SELECT doc_id AS id, rank, score FROM hits",
+)
+def tool_search_filtered(spark, sf):
+    return tools_over(spark, sf).call("search_official", query="the mit license", top_k=4, region="src1", source_group="src1", start=date(2024, 1, 10), end=date(2024, 3, 20)).evidence.select("id", "rank", "score")
+
+
+@query(
+    "tool_aggregate_topic",
+    f"""WITH d AS (SELECT source FROM documents WHERE {_ABOUT} AND source IN ('src1', 'src0'))
+SELECT 'platform' AS panel, source AS key, count(*) AS count FROM d GROUP BY 2 UNION ALL SELECT 'region', source, count(*) FROM d GROUP BY 2 UNION ALL SELECT 'total', NULL, count(*) FROM d""",
+)
+def tool_aggregate_topic(spark, sf):
+    return tools_over(spark, sf).call("aggregate_topic", topic="MIT license", region="src1").data.select("panel", "key", "count")
+
+
+def _compared(region: str, lang: str) -> str:
+    where = f"lang = '{lang}' AND source IN ('{region}', 'src0') AND coalesce({_DAY} >= DATE '2024-01-15', true)"
+    return f"SELECT '{region}' AS region, '{lang}' AS lang, count(*) AS n FROM ({hits_sql('mit license', where, 2)} SELECT * FROM hits)"
+
+
+@query(
+    "compare_two_corpora",
+    f"""WITH h AS ({' UNION ALL '.join(_compared(r, c) for r in ('src1', 'src2', 'nowhere') for c in ('en', 'de'))})
+SELECT region, (sum(n) FILTER (lang = 'en'))::BIGINT AS discussion_hits, (sum(n) FILTER (lang = 'de'))::BIGINT AS official_hits FROM h GROUP BY 1""",
+)
+def compare_two_corpora(spark, sf):
+    return tools_over(spark, sf).call("compare_regions", query="mit license", regions=["src1", "src2", "nowhere"], start=date(2024, 1, 15)).data
+
+
+@query(
+    "tool_sentiment_trend",
+    f"""SELECT doc_id AS id, {_DAY} AS period, {_MOOD} AS mean_sentiment, 1::BIGINT AS count FROM documents
+WHERE {_ABOUT} AND {_MOOD} IS NOT NULL AND coalesce({_DAY} <= DATE '2024-03-01', true)""",
+)
+def tool_sentiment_trend(spark, sf):
+    return tools_over(spark, sf).call("sentiment_trend", topic="mit license", end=date(2024, 3, 1)).data
+
+
+@query(
+    "tool_coverage",
+    f"""SELECT count(*) AS document_count, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, min({_DAY}) AS date_min, max({_DAY}) AS date_max FROM documents WHERE lang IN ('en', 'de') AND source IN ('src2', 'src0')""",
+)
+def tool_coverage(spark, sf):
+    return tools_over(spark, sf).call("coverage", region="src2").data.withColumn("sources", F.array_join("sources", ","))
 
 
 @query(
     "evidence_merge",
-    """WITH h AS (SELECT doc_id, n_chars % 97 AS score, 1 AS arrival FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, n_chars % 89, 2 FROM documents WHERE doc_id % 3 = 0),
+    search.base_sql() + """h AS (SELECT doc_id, bm25 AS score, 1 AS arrival FROM bm UNION ALL SELECT doc_id, dense, 2 FROM de),
 b AS (SELECT doc_id, score FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, arrival) = 1)
 SELECT doc_id, score, (row_number() OVER (ORDER BY score DESC, doc_id))::INT AS rank FROM b ORDER BY rank LIMIT 8""",
 )
 def evidence_merge(spark, sf):
-    """The best score of each document over several result lists, then the best eight."""
-    docs = table(spark, sf, "documents")
-    part = lambda m, d, a: docs.filter(F.col("doc_id") % m == 0).select("doc_id", (F.col("n_chars") % d).alias("score"), F.lit(a).alias("arrival"))
-    best = best_wins(part(2, 97, 1).union(part(3, 89, 2)), ["doc_id"], "score", "arrival")
-    return retrieval.ranked(best.drop("arrival"), "score", "doc_id", 8)
+    """The best score of each document over the lists of two retrievers, then the best eight."""
+    corpus, docs = search.gated(spark, sf)
+    lists = (retrieval.bm25(corpus, docs, search.QUERY, "doc_id"), retrieval.dense(docs, search.QUERY, "doc_id"))
+    both = dedup.union_all(*[x.toDF("doc_id", "score").withColumn("arrival", F.lit(n)) for n, x in enumerate(lists, 1)])
+    return retrieval.ranked(dedup.best_wins(both, ["doc_id"], "score", "arrival").drop("arrival"), "score", "doc_id", 8)
+
+
+def _long(panels: dict[str, DataFrame]) -> DataFrame:
+    """Panels of (key, value) one below the other, with their names."""
+    return dedup.union_all(*[df.toDF("key", "value").select(F.lit(name).alias("panel"), F.col("key").cast("string").alias("key"), F.col("value").cast("double").alias("value")) for name, df in panels.items()])
+
+
+def _counted(df: DataFrame, c: str) -> DataFrame:
+    return aggs.terms(df, c, 20).select(c, "count")
+
+
+def discourse_and_official(posts: DataFrame, official: DataFrame) -> dict[str, DataFrame]:
+    """Panels of public posts and of official rows side by side, without a join; each a lazy table of its own.
+
+    posts: platform, query_keyword, subtopic, region, sentiment, created_at; official: source_group, state, row_type, period.
+    """
+    out = {"posts": posts.agg(F.lit("all"), F.count("*"))}
+    out |= {f"posts by {c}": _counted(posts, c) for c in ("platform", "query_keyword", "subtopic")}
+    out["posts by region"] = _counted(posts.filter("region <> 'Other'"), "region")
+    out["mean sentiment"] = posts.agg(F.lit("all"), F.round(F.avg("sentiment"), 6))
+    out["sentiment by month"] = posts.groupBy(F.date_format("created_at", "yyyy-MM")).agg(F.round(F.avg("sentiment"), 6))
+    return out | official_overview(official) | {"official periods": official.groupBy(F.concat_ws(" ", "source_group", "period")).agg(F.count("*"))}
+
+
+def official_overview(official: DataFrame) -> dict[str, DataFrame]:
+    return {"official rows": official.agg(F.lit("all"), F.count("*"))} | {f"official by {c}": _counted(official, c) for c in ("source_group", "row_type", "state")}
+
+
+def video_panels(videos: DataFrame, least: int = 5, most: int = 15) -> dict[str, DataFrame]:
+    """Channels with enough videos, years, likes, the most liked videos, and labels of channels' sentiment.
+
+    videos: channel, created_at, likes, title, comments, sentiment_label.
+    """
+    channels = videos.groupBy("channel").agg(F.count("*").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "channel").limit(most)
+    few = channels.orderBy(F.desc("n"), "channel").limit(10).select("channel")  # at most ten rows
+    labels = videos.join(F.broadcast(few), "channel").groupBy(F.concat_ws(" ", "channel", "sentiment_label")).agg(F.count("*"))
+    one = lambda c: videos.agg(F.lit("all"), c)
+    return {
+        "channels": channels, "years": videos.groupBy(F.year("created_at")).agg(F.count("*")), "likes": one(F.sum("likes")), "mean likes": one(F.round(F.avg("likes"), 6)), "most likes": one(F.max("likes")),
+        "top videos": videos.select("title", "likes").orderBy(F.desc("likes"), "title").limit(10), "channel sentiment": labels, "units": one(F.count("*") + F.sum("comments")),
+    }
+
+
+_TOP = "SELECT {0}, {1}::VARCHAR, count(*)::DOUBLE FROM {2} GROUP BY {1}"
+
+
+@query(
+    "discourse_vs_official",
+    """WITH p AS (SELECT event_type AS platform, event_type AS query_keyword, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS subtopic, CASE WHEN user_id % 3 = 0 THEN 'Other' ELSE 'R' || user_id % 3 END AS region, value / 100 AS sentiment, ts FROM events),
+o AS (SELECT o_orderpriority AS source_group, o_orderstatus AS state, 'data' AS row_type, strftime(o_orderdate, '%Y') AS period FROM orders)
+SELECT 'posts' AS panel, 'all' AS key, count(*)::DOUBLE AS value FROM p UNION ALL """
+    + " UNION ALL ".join(_TOP.format(f"'posts by {c}'", c, "p") for c in ("platform", "query_keyword", "subtopic"))
+    + " UNION ALL " + _TOP.format("'posts by region'", "region", "(SELECT * FROM p WHERE region <> 'Other')")
+    + " UNION ALL SELECT 'mean sentiment', 'all', round(avg(sentiment), 6) FROM p UNION ALL SELECT 'sentiment by month', strftime(ts, '%Y-%m'), round(avg(sentiment), 6) FROM p GROUP BY 2 UNION ALL SELECT 'official rows', 'all', count(*) FROM o UNION ALL "
+    + " UNION ALL ".join(_TOP.format(f"'official by {c}'", c, "o") for c in ("source_group", "row_type", "state"))
+    + " UNION ALL SELECT 'official periods', source_group || ' ' || period, count(*) FROM o GROUP BY 2",
+)
+def discourse_vs_official(spark, sf):
+    events, orders = table(spark, sf, "events"), table(spark, sf, "orders")
+    third = F.col("user_id") % 3
+    posts = events.select(F.col("event_type").alias("platform"), F.col("event_type").alias("query_keyword"), F.when(F.col("value") > 50, "high").otherwise("low").alias("subtopic"), F.when(third == 0, "Other").otherwise(F.concat(F.lit("R"), third)).alias("region"), (F.col("value") / 100).alias("sentiment"), F.col("ts").alias("created_at"))
+    official = orders.select(F.col("o_orderpriority").alias("source_group"), F.col("o_orderstatus").alias("state"), F.lit("data").alias("row_type"), F.date_format("o_orderdate", "yyyy").alias("period"))
+    return _long(discourse_and_official(posts, official))
+
+
+@query(
+    "video_dashboard",
+    """WITH v AS (SELECT c_name AS title, 'C' || c_nationkey AS channel, DATE '2020-01-01' + (c_custkey % 1500)::INT AS created_at, c_custkey * 7 % 1000 AS likes, c_custkey % 4 AS comments, CASE WHEN c_acctbal > 0 THEN 'positive' ELSE 'negative' END AS l FROM customer),
+c AS (SELECT channel, count(*) AS n FROM v GROUP BY 1 HAVING count(*) >= 5 ORDER BY 2 DESC, 1 LIMIT 15)
+SELECT 'channels' AS panel, channel AS key, n::DOUBLE AS value FROM c UNION ALL SELECT 'years', year(created_at)::VARCHAR, count(*) FROM v GROUP BY 2 UNION ALL SELECT 'likes', 'all', sum(likes) FROM v
+UNION ALL SELECT 'mean likes', 'all', round(avg(likes), 6) FROM v UNION ALL SELECT 'most likes', 'all', max(likes) FROM v UNION ALL (SELECT 'top videos', title, likes FROM v ORDER BY likes DESC, title LIMIT 10)
+UNION ALL SELECT 'channel sentiment', channel || ' ' || l, count(*) FROM v WHERE channel IN (SELECT channel FROM c ORDER BY n DESC, channel LIMIT 10) GROUP BY 2 UNION ALL SELECT 'units', 'all', count(*) + sum(comments) FROM v""",
+)
+def video_dashboard(spark, sf):
+    k = F.col("c_custkey")
+    videos = table(spark, sf, "customer").select(
+        F.col("c_name").alias("title"), F.concat(F.lit("C"), "c_nationkey").alias("channel"), F.date_add(F.lit("2020-01-01").cast("date"), (k % 1500).cast("int")).alias("created_at"),
+        (k * 7 % 1000).alias("likes"), (k % 4).alias("comments"), F.when(F.col("c_acctbal") > 0, "positive").otherwise("negative").alias("sentiment_label"),
+    )
+    return _long(video_panels(videos))

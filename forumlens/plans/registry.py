@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
 
 
 # The modules below register their queries when they are imported.
-from forumlens.plans import aggregations, enrichment, panels, search, streams  # noqa: E402, F401
+from forumlens.plans import aggregations, enrichment, panels, records, search, streams  # noqa: E402, F401

@@ -21,12 +21,12 @@ def corpus_df(spark, sf):
     return retrieval.corpus_df(table(spark, sf, "documents"), "lang", "text")
 
 
-def _base_sql(where: str = "lang = 'en'") -> str:
-    need = ", ".join(f"'{t}'" for t in retrieval.important_terms(QUERY))
-    terms = ", ".join(f"'{t}'" for t in retrieval.tokens_of(QUERY))
-    return rf"""WITH c AS (SELECT doc_id, lang, text, {_TOKENS.format('text')} AS t FROM documents),
+def base_sql(where: str = "lang = 'en'", asked: str = QUERY, wide: int = 40, cut: int = 20) -> str:
+    need = ", ".join(f"'{t}'" for t in retrieval.important_terms(asked))
+    terms = ", ".join(f"'{t}'" for t in retrieval.tokens_of(asked))
+    return rf"""WITH c AS (SELECT *, {_TOKENS.format('text')} AS t FROM documents),
 d AS (SELECT * FROM c WHERE {where} AND list_has_any(t, [{need}])),
-q AS (SELECT unnest([{terms}]) AS term, unnest(range({len(retrieval.tokens_of(QUERY))})) AS i),
+q AS (SELECT unnest([{terms}]) AS term, unnest(range({len(retrieval.tokens_of(asked))})) AS i),
 n AS (SELECT greatest(count(*), 1) AS n FROM c), a AS (SELECT greatest(coalesce(avg(len(t)), 1), 1) AS a FROM d),
 f AS (SELECT term, i, (SELECT count(*) FROM c WHERE list_contains(t, term)) AS df FROM q),
 bm AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * len(t) / a))), 6) AS bm25
@@ -36,47 +36,47 @@ cells AS (SELECT doc_id, ('0x' || sha256(term)[1:8])::BIGINT % 128 AS slot, sum(
 qc AS (SELECT ('0x' || sha256(term)[1:8])::BIGINT % 128 AS slot, sum(CASE WHEN ('0x' || sha256(term)[9:10])::BIGINT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS v FROM q GROUP BY 1),
 qn AS (SELECT slot, v / (SELECT sqrt(sum(v * v)) FROM qc) AS v FROM qc),
 de AS (SELECT doc_id, round(sum(coalesce(qn.v, 0) * cells.v) / sqrt(sum(cells.v * cells.v)), 6) AS dense FROM cells LEFT JOIN qn USING (slot) GROUP BY 1),
-rb AS (SELECT doc_id, bm25, row_number() OVER (ORDER BY bm25 DESC, doc_id) AS rank FROM bm ORDER BY 3 LIMIT 40),
-rd AS (SELECT doc_id, dense, row_number() OVER (ORDER BY dense DESC, doc_id) AS rank FROM de ORDER BY 3 LIMIT 40),
-fu AS (SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS fused FROM (SELECT doc_id, rank FROM rb UNION ALL SELECT doc_id, rank FROM rd) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20),
-re AS (SELECT doc_id, text, round(fused + 0.05 * (len(list_intersect(list_distinct(t), [{', '.join(f"'{x}'" for x in sorted(set(retrieval.tokens_of(QUERY))))}])) / {len(set(retrieval.tokens_of(QUERY)))})
-       + 0.03 * contains(lower(text), '{QUERY}')::INT, 6) AS score FROM fu JOIN c USING (doc_id)),
+rb AS (SELECT doc_id, bm25, row_number() OVER (ORDER BY bm25 DESC, doc_id) AS rank FROM bm ORDER BY 3 LIMIT {wide}),
+rd AS (SELECT doc_id, dense, row_number() OVER (ORDER BY dense DESC, doc_id) AS rank FROM de ORDER BY 3 LIMIT {wide}),
+fu AS (SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS fused FROM (SELECT doc_id, rank FROM rb UNION ALL SELECT doc_id, rank FROM rd) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {cut}),
+re AS (SELECT doc_id, text, round(fused + 0.05 * (len(list_intersect(list_distinct(t), [{', '.join(f"'{x}'" for x in sorted(set(retrieval.tokens_of(asked))))}])) / {len(set(retrieval.tokens_of(asked)))})
+       + 0.03 * contains(lower(text), '{asked}')::INT, 6) AS score FROM fu JOIN c USING (doc_id)),
 """
 
 
 _SQUEEZED = r"trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'))"
 
 
-def _docs(spark, sf):
+def gated(spark, sf):
     corpus = retrieval.with_tokens(table(spark, sf, "documents"), "text")
     return corpus, retrieval.gate(corpus.filter("lang = 'en'"), QUERY)
 
 
-@query("gate_overlap", _base_sql() + "z AS (SELECT 1) SELECT doc_id FROM d")
+@query("gate_overlap", base_sql() + "z AS (SELECT 1) SELECT doc_id FROM d")
 def gate_overlap(spark, sf):
-    return _docs(spark, sf)[1].select("doc_id")
+    return gated(spark, sf)[1].select("doc_id")
 
 
-@query("bm25_topk", _base_sql() + "z AS (SELECT 1) SELECT doc_id, bm25, rank::INT AS rank FROM rb")
+@query("bm25_topk", base_sql() + "z AS (SELECT 1) SELECT doc_id, bm25, rank::INT AS rank FROM rb")
 def bm25_topk(spark, sf):
-    return retrieval.ranked(retrieval.bm25(*_docs(spark, sf), QUERY, "doc_id"), "bm25", "doc_id", 40)
+    return retrieval.ranked(retrieval.bm25(*gated(spark, sf), QUERY, "doc_id"), "bm25", "doc_id", 40)
 
 
-@query("hashed_dense_topk", _base_sql() + "z AS (SELECT 1) SELECT doc_id, dense, rank::INT AS rank FROM rd")
+@query("hashed_dense_topk", base_sql() + "z AS (SELECT 1) SELECT doc_id, dense, rank::INT AS rank FROM rd")
 def hashed_dense_topk(spark, sf):
-    return retrieval.ranked(retrieval.dense(_docs(spark, sf)[1], QUERY, "doc_id"), "dense", "doc_id", 40)
+    return retrieval.ranked(retrieval.dense(gated(spark, sf)[1], QUERY, "doc_id"), "dense", "doc_id", 40)
 
 
-@query("rrf_fusion", _base_sql() + "z AS (SELECT 1) SELECT doc_id, fused FROM fu")
+@query("rrf_fusion", base_sql() + "z AS (SELECT 1) SELECT doc_id, fused FROM fu")
 def rrf_fusion(spark, sf):
-    corpus, docs = _docs(spark, sf)
+    corpus, docs = gated(spark, sf)
     lists = [retrieval.ranked(retrieval.bm25(corpus, docs, QUERY, "doc_id"), "bm25", "doc_id", 40), retrieval.ranked(retrieval.dense(docs, QUERY, "doc_id"), "dense", "doc_id", 40)]
     return retrieval.rrf(lists, "doc_id").orderBy(F.desc("fused"), "doc_id").limit(20)
 
 
 @query(
     "hybrid_search",
-    _base_sql()
+    base_sql()
     + rf"""z AS (SELECT doc_id, (row_number() OVER (ORDER BY score DESC, doc_id))::INT AS rank, score, {_SQUEEZED} AS s FROM re)
 SELECT doc_id, rank, score, CASE WHEN length(s) <= 240 THEN s ELSE rtrim(s[1:239]) || '…' END AS snippet FROM z WHERE rank <= 10""",
 )
@@ -121,7 +121,7 @@ def field_boost_match(spark, sf):
 
 @query(
     "adapter_fusion",
-    _base_sql("true").replace("LIMIT 40", "LIMIT 10").replace("n AS (SELECT greatest(count(*), 1) AS n FROM c)", "n AS (SELECT greatest(count(*), 1) AS n FROM d)").replace("(SELECT count(*) FROM c WHERE", "(SELECT count(*) FROM d WHERE")
+    base_sql("true").replace("LIMIT 40", "LIMIT 10").replace("n AS (SELECT greatest(count(*), 1) AS n FROM c)", "n AS (SELECT greatest(count(*), 1) AS n FROM d)").replace("(SELECT count(*) FROM c WHERE", "(SELECT count(*) FROM d WHERE")
     + "z AS (SELECT 1) SELECT doc_id, (row_number() OVER (ORDER BY score DESC, doc_id))::INT AS rank, score FROM re",
 )
 def adapter_fusion(spark, sf):

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import io
+import warnings
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,40 +21,70 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType
     return spark.read.schema(schema).option("mode", mode).json(path)
 
 
-def read_objects(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, line, record) of lines that are JSON objects, as VARIANT; other JSON and blank lines are dropped.
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line, value): the lines of text files, counted from 1, however the files are split.
 
-    `line` orders the lines of a file: files are read line by line, and splits of a file keep its order.
+    Lines are ranked within their split; the splits before it say how many lines came before. So no task holds a file.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), F.trim("value").alias("value"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    ranked = lines.withColumn("r", F.row_number().over(Window.partitionBy("file", "block").orderBy("at")))
+    return ranked.join(sizes, ["file", "block"]).select("file", (F.col("before") + F.col("r")).alias("line"), "value")
+
+
+def read_objects(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line, record) of lines that are JSON objects, as VARIANT; other JSON and blank lines are dropped."""
+    lines = numbered_lines(spark, path).select("file", "line", F.trim("value").alias("value"))
     parsed = lines.filter("value <> ''").withColumn("record", F.try_parse_json("value"))
     return parsed.filter(F.schema_of_variant("record").startswith("OBJECT")).select("file", "line", "record")
 
 
 def count_bad_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, read, usable, skipped) a file."""
+    """(file, read, usable, skipped, not_json, not_object) a file; blank lines are not counted."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value")).filter("value <> ''")
-    ok = F.count(F.when(F.try_parse_json("value").isNotNull(), 1))
-    return lines.groupBy("file").agg(F.count("*").alias("read"), ok.alias("usable"), (F.count("*") - ok).alias("skipped"))
+    v = F.try_parse_json("value")
+    none, other = F.count(F.when(v.isNull(), 1)), F.count(F.when(~F.schema_of_variant(v).startswith("OBJECT"), 1))
+    by = lines.groupBy("file").agg(F.count("*").alias("read"), none.alias("not_json"), other.alias("not_object"))
+    return by.select("file", "read", (F.col("read") - F.col("not_json")).alias("usable"), F.col("not_json").alias("skipped"), "not_json", "not_object")
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def list_files(spark: SparkSession, path: str, pattern: str = "*", start: str | None = None, end: str | None = None) -> DataFrame:
-    """(file, stamp) below a folder in order of names; `start` and `end` (yyyyMMdd) prune by the day in the name.
+def list_files(spark: SparkSession, path: str | list[str], pattern: str = "*", start: str | None = None, end: str | None = None, without: tuple[str, ...] = ()) -> DataFrame:
+    """(file, stamp, root) below one or several folders, in order of folders and names; each file once.
 
-    The end day counts whole: days are compared, not stamps.
+    `start` and `end` (yyyyMMdd) prune by the day in the name; the end day counts whole, as days are compared and not stamps.
+    without: names that match any of these expressions are left out. A folder that is not there is passed over.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select(F.col("path").alias("file"))
-    files = files.withColumn("stamp", F.nullif(F.regexp_extract("file", "([0-9]{14})", 1), F.lit("")))
+    roots = [path] if isinstance(path, str) else list(path)
+    out = None
+    for k, root in enumerate(roots):
+        at = spark._jvm.org.apache.hadoop.fs.Path(root)
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            warnings.warn(f"no folder {root}", stacklevel=2)
+            continue
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select(F.col("path").alias("file"), F.lit(k).alias("root"))
+        out = found if out is None else out.union(found)
+    if out is None:
+        raise FileNotFoundError(", ".join(roots))
+    files = out.groupBy("file").agg(F.min("root").alias("root"))
+    for shape in without:
+        files = files.filter(~F.element_at(F.split("file", "/"), -1).rlike(shape))
+    files = files.withColumn("stamp", F.nullif(F.regexp_extract("file", "(?:^|[^0-9a-f])([0-9]{14})(?:[^0-9a-f]|$)", 1), F.lit("")))
     day = F.substring("stamp", 1, 8)
     if start:
         files = files.filter(day >= start)
     if end:
         files = files.filter(day <= end)
-    return files.distinct().orderBy("file")
+    return files.select("file", "stamp", "root").orderBy("root", "file")
+
+
+def official_files(spark: SparkSession, path: str) -> DataFrame:
+    """Official files of the newer release's folder before those of the older one."""
+    return list_files(spark, [f"{path}/official_sources_json_v3", f"{path}/official_sources_json_v2"], "*.jsonl")
 
 
 def latest_file(files: DataFrame) -> DataFrame:

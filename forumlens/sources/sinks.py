@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forumlens.operators.dedup import upsert
+from forumlens.session import remove
 
 
 class KeyedTable:
@@ -34,17 +35,26 @@ class KeyedTable:
         v = self.versions()
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v[-1]}") if v else self.spark.createDataFrame([], self.schema)
 
-    def merge(self, batch: DataFrame) -> None:
-        """Rows without a key are left out; of a key the row of the latest stamp stays."""
+    def merge(self, batch: DataFrame, keep: int = 2) -> None:
+        """Rows without a key are left out; of a key the row of the latest stamp stays.
+
+        The last `keep` versions stay, so that readers of the one before can finish.
+        """
         v = self.versions()
         rows = upsert(self.read(), batch.select(*self.schema.names).filter(F.col(self.key).isNotNull()), self.key, self.stamp)
         rows.write.mode("overwrite").parquet(f"{self.path}/v{v[-1] + 1 if v else 1}")
+        for old in v[: -keep + 1] if keep > 1 else v:
+            remove(self.spark, f"{self.path}/v{old}")
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    """JSON lines; NaN, which is no JSON, becomes null."""
+def write_jsonl(df: DataFrame, path: str, order: list[str] | None = None) -> int:
+    """JSON lines, and how many; NaN, which is no JSON, becomes null. order: sorted over the files, by their names."""
     fix = {f.name: F.when(~F.isnan(f.name), F.col(f.name)) for f in df.schema if isinstance(f.dataType, T.DoubleType | T.FloatType)}
-    df.withColumns(fix).write.json(path)
+    seen = Observation()
+    out = df.withColumns(fix) if fix else df
+    out = out.orderBy(*order) if order else out
+    out.observe(seen, F.count(F.lit(1)).alias("n")).write.json(path)
+    return seen.get["n"]
 
 
 def refresh_panels(panels: dict[str, DataFrame], path: str) -> None:
@@ -53,5 +63,9 @@ def refresh_panels(panels: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def read_panel(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}")
+def read_panel(spark: SparkSession, path: str, name: str, **key) -> DataFrame:
+    """A panel, or its rows of a key, which is pushed down to the scan."""
+    out = spark.read.parquet(f"{path}/{name}")
+    for c, v in key.items():
+        out = out.filter(F.col(c) == v)
+    return out

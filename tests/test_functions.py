@@ -46,7 +46,7 @@ def test_cloud_words(spark):
 
 
 def test_social_and_codes(spark):
-    assert values(spark, ["See https://a.b/c @me #Rent now… ok"], text.clean_social) == ["See Rent now ok"]
+    assert values(spark, ["See https://a.b/c @me #Rent now… ok, $5 is 3%"], text.clean_social) == ["See Rent now ok, $5 is 3%"]
     assert values(spark, ["ECON_HOUSING_PRICES", "WB_123_ab", "Plain text", "X_Y"], text.humanise_code) == ["econ housing prices", "WB_123_ab", "Plain text", "X_Y"]
     assert values(spark, ["ABC"], lambda c: text.humanise_code(c, {"ABC": "alphabet"})) == ["alphabet"]
     assert values(spark, ["12", "x", None, "-3"], text.to_int) == [12, 0, 0, -3]
@@ -87,5 +87,15 @@ def test_official_values(spark):
 def test_redaction_order(spark):
     xs = ["mail jo.b@x.org or call 0412 345 678, @jo at https://x.org/a?b=c end", "a@b", None]
     assert values(spark, xs, pii.redact) == ["mail [EMAIL] or call [PHONE], [HANDLE] at [URL] end", "a@b", None]
+    xs = ["HTTPS://Ex.org/A?x=é end", "61 412 345 678 and +61-412-345-678 not 1610412345678", "@a, é@b and x@y", "JO@X.ORG", "Email user@example.org or call 0412 345 678; see https://example.org/x and @handle"]
+    want = ["[URL] end", "[PHONE] and [PHONE] not 1610412345678", "[HANDLE], é@b and x@y", "[EMAIL]", "Email [EMAIL] or call [PHONE]; see [URL] and [HANDLE]"]
+    assert values(spark, xs, pii.redact) == want
     with pytest.raises(ValueError):
         pii.stable_id("x", "")
+
+
+def test_public_records_hold_nothing_else(spark):
+    df = spark.createDataFrame([("private-id", "hello @person", None, "test", "s"), (None, None, "A title", None, "s")], "id string, text string, title string, platform string, secret string")
+    out = pii.public_record(df, "salt", "id", "text", "title", "platform").collect()
+    assert [(r.platform, r.title, r.text) for r in out] == [("test", "", "hello [HANDLE]"), ("unknown", "A title", "A title")]
+    assert len({r.public_id for r in out}) == 2 and set(out[0].asDict()) == {"public_id", "platform", "title", "text"}

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import zipfile
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,14 +74,21 @@ def test_search_gate_and_isolation(spark, corpus):
 
 
 def test_tools_check_their_arguments(spark, corpus):
-    tools = Tools(corpus, "id", "text", "corpus", "corpus", "id")
-    assert tools.call("search", query="rents", corpus="x").count() == 2
-    assert tools.call("compare", query="rents", corpora=["x", "y"]).count() == 3
-    assert rows(tools.call("count_topic", topic="rents"))[-1] == ("total", None, 3)
-    assert tools.call("coverage").count() == 2 and [r.id for r in tools.call("trend", topic="fine").collect()] == ["d3"]
-    for bad in (lambda: tools.call("drop"), lambda: SearchRequest("x"), lambda: SearchRequest("fine", 21), lambda: tools.call("compare", query="rents", corpora=["x"])):
+    docs = corpus.withColumns({"region": F.when(F.col("id") == "d1", "NSW").when(F.col("id") == "d3", "VIC").otherwise("AU"), "mood": F.lit(0.5)})
+    tools = Tools(docs, {"id": "id", "text": "text", "corpus": "corpus", "region": "region", "sentiment": "mood"}, "x", "y")
+    found = lambda name, **a: sorted(r.id for r in tools.call(name, **a).evidence.collect())
+    assert found("search_discussion", query="rents") == ["d1", "d2"] and found("search_official", query="rents") == ["o1"]
+    assert found("search_discussion", query="rents", region="VIC") == ["d2"]  # national documents stand for each region
+    assert rows(tools.call("aggregate_topic", topic="rents").data)[-1] == ("total", None, 2)
+    compared = {r.region: (r.discussion_hits, r.official_hits) for r in tools.call("compare_regions", query="rents", regions=["NSW", "VIC", "QLD"]).data.collect()}
+    assert compared == {"NSW": (2, 1), "VIC": (1, 1), "QLD": (1, 1)}
+    assert [(r.id, r.mean_sentiment, r["count"]) for r in tools.call("sentiment_trend", topic="fine").data.collect()] == [("d3", 0.5, 1)]
+    assert tools.call("coverage").data.first().document_count == 4 and tools.call("coverage", corpus="y").data.first().document_count == 1
+    bad = [lambda: tools.call("drop"), lambda: SearchRequest("x"), lambda: SearchRequest("fine", 21), lambda: tools.call("compare_regions", query="rents", regions=["NSW", "NSW"])]
+    bad.append(lambda: SearchRequest("fine", start=date(2024, 2, 1), end=date(2024, 1, 1)))
+    for f in bad:
         with pytest.raises(ValueError):
-            bad()
+            f()
 
 
 def test_sentiment_thresholds(spark):
@@ -110,18 +118,48 @@ def test_raw_posts_to_canonical(spark, tmp_path):
     raw = readers.read_objects(spark, str(tmp_path))
     assert raw.count() == len(RAW)
     got = {r.doc_id: r for r in normalise.normalise_posts(raw).collect()}
-    assert set(got) == {"bluesky_at___x_1", "mastodon_9", "gdelt_https___n_1", "gdelt_https___n_2", "youtube_v1", "post_z"}
+    assert set(got) == {"bluesky_at___x_1", "mastodon_9", "gdelt_doc_https___n_1", "gdelt_doc_https___n_2", "youtube_v1", "post_z"}
     assert got["mastodon_9"].text == "Cannot afford & worse" and got["mastodon_9"].created_at == "2024-03-01T00:00:00Z"
-    assert got["youtube_v1"].text == "Tour\nTags: a, b\nComments: one | two"
-    assert got["gdelt_https___n_1"].text == "Housing relief Source: n.com"
+    assert got["youtube_v1"].text == "Tour\nTags: a b\nComments: one two"
+    assert got["gdelt_doc_https___n_1"].text == "Housing relief"
     out = normalise.enrich(normalise.normalise_posts(raw), [("cost", "rent|afford")], [("AU", "australia")])
     tags = {r.doc_id: (r.subtopic, r.region, r.sentiment_label) for r in out.collect()}
     assert tags["mastodon_9"] == ("cost", "AU", "negative")
-    assert tags["bluesky_at___x_1"] == ("cost", "AU", "neutral") and tags["gdelt_https___n_1"][2] == "positive"
+    assert tags["bluesky_at___x_1"] == ("cost", "AU", "neutral") and tags["gdelt_doc_https___n_1"][2] == "positive"
+    assert (got["bluesky_at___x_1"].topic, got["bluesky_at___x_1"].australia_connection, got["bluesky_at___x_1"].content_type) == ("housing", "unknown", "bluesky_post")
+    assert json.loads(got["gdelt_doc_https___n_2"].raw_metadata)["title"] == "By keys" and got["gdelt_doc_https___n_2"].query_keyword == "gdelt"
+    assert got["youtube_v1"].query_keyword == "youtube" and got["youtube_v1"].city_context == "australia"
     (counts,) = readers.count_bad_lines(spark, str(tmp_path)).collect()
     assert (counts.read, counts.usable, counts.skipped) == (len(RAW) + 2, len(RAW) + 1, 1)
 
 
+def test_lines_are_numbered_however_files_are_split(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{k}\n" if k % 5 else "\n" for k in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        got = readers.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 6000 and all(r.value in ("", f"{r.value[:1]}{r.line - 1}") for r in got)
+    assert {(r.file[-5], r.line) for r in got} == {(n, k + 1) for n in "ab" for k in range(3000)}
+
+
+def test_official_files_and_caps(spark, tmp_path):
+    for name in ("official_sources_json_v2/a.jsonl", "official_sources_json_v3/z.jsonl", "official_sources_json_v3/normalised_1.jsonl"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("{}")
+    names = lambda df: [r.file.rsplit("/", 1)[1] for r in df.collect()]
+    assert names(readers.official_files(spark, str(tmp_path))) == ["normalised_1.jsonl", "z.jsonl", "a.jsonl"]
+    with pytest.warns(UserWarning, match="no folder"):
+        assert names(readers.list_files(spark, [str(tmp_path / "none"), str(tmp_path)], "*.jsonl", without=("^normalised_",))) == ["a.jsonl", "z.jsonl"]
+    with pytest.raises(FileNotFoundError):
+        readers.official_files(spark, str(tmp_path / "none"))
+    rows_ = spark.createDataFrame([("x/a.csv", k, {"v": "same"}) for k in range(5)], "source_file string, record_index int, data map<string,string>")
+    assert [normalise.official_rows(rows_, most=m, unique=u).count() for m, u in ((None, False), (2, False), (None, True))] == [5, 2, 1]
+
+
 def test_modes_of_json_lines(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text('{"a": 1}\n{oops\n')
     ok = readers.read_jsonl(spark, str(tmp_path), "a int", "PERMISSIVE").cache()
