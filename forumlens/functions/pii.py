@@ -11,7 +11,7 @@ from forumlens.functions.text import col, first_non_empty
 #: of any script and either case count.
 PATTERNS = (
     ("EMAIL", r"(?i)(?<![\p{L}\p{N}_])[A-Z0-9_][A-Z0-9._%+-]*@[A-Z0-9.-]+\.[A-Z]{2,}(?![\p{L}\p{N}_])"),
-    ("PHONE", r"(?<![0-9])(?:\+?61|0)[2-478](?:[ -]?[0-9]){8}(?![0-9])"),
+    ("PHONE", r"(?<![0-9])(?:\+?61[ -]?|0)[2-478](?:[ -]?[0-9]){8}(?![0-9])"),
     ("HANDLE", r"(?<![\p{L}\p{N}_])@[A-Za-z0-9_.-]+"),
     ("URL", r"(?i)https?://[^\s]+"),
 )

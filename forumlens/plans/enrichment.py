@@ -130,7 +130,7 @@ def stable_id(spark, sf):
 
 #: What the rules are defined to find, with what stands before it, as this engine can't look around.
 _AUDIT = {
-    "EMAIL": r"(?i)(?:^|[^\pL\pN_])[A-Z0-9_][A-Z0-9._%+-]*@[A-Z0-9.-]+\.[A-Z]{2,}\b", "PHONE": r"(?:^|[^0-9])(?:\+?61|0)[2-478](?:[ -]?[0-9]){8}(?:$|[^0-9])",
+    "EMAIL": r"(?i)(?:^|[^\pL\pN_])[A-Z0-9_][A-Z0-9._%+-]*@[A-Z0-9.-]+\.[A-Z]{2,}\b", "PHONE": r"(?:^|[^0-9])(?:\+?61[ -]?|0)[2-478](?:[ -]?[0-9]){8}(?:$|[^0-9])",
     "HANDLE": r"(?:^|[^\pL\pN_])@[A-Za-z0-9_.-]+", "URL": r"(?i)https?://[^ \t\n\r\f\x0B]+",
 }
 

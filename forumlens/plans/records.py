@@ -40,7 +40,7 @@ def redacted_sql(c: str) -> str:
     """What pii.redact() is defined to do, without looking around: what stands before and after is captured."""
     before = r"(^|[^\pL\pN_])"
     c = rf"regexp_replace({c}, '(?i){before}([A-Z0-9_][A-Z0-9._%+-]*@[A-Z0-9.-]+\.[A-Z]{{2,}})\b', '\1[EMAIL]', 'g')"
-    c = rf"regexp_replace({c}, '(^|[^0-9])(?:\+?61|0)[2-478](?:[ -]?[0-9]){{8}}($|[^0-9])', '\1[PHONE]\2', 'g')"
+    c = rf"regexp_replace({c}, '(^|[^0-9])(?:\+?61[ -]?|0)[2-478](?:[ -]?[0-9]){{8}}($|[^0-9])', '\1[PHONE]\2', 'g')"
     c = rf"regexp_replace({c}, '{before}@[A-Za-z0-9_.-]+', '\1[HANDLE]', 'g')"
     return rf"regexp_replace({c}, '(?i)https?://[^ \t\n\r\f\x0B]+', '[URL]', 'g')"
 
