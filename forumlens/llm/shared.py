@@ -2,20 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from forumlens.session import fresh_dir
+from forumlens.session import fresh_dir, remove
 
+#: The folder that tables are written to within scratch().
+_folder: ContextVar[str | None] = ContextVar("folder", default=None)
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read again: lineage is cut, and lost executors lose nothing."""
+
+def _write(df: DataFrame, folder: str | None) -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, "table")
+    path = f"{folder}/{path.rsplit('/', 1)[1]}" if folder else path
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet in the shared folder and read again: lineage is cut, and lost executors lose nothing."""
+    return _write(df, _folder.get())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written within go at its end, but for those that the function it gives has written."""
+    outer, mine = _folder.get(), fresh_dir(spark, "scratch")
+    token = _folder.set(mine)
+    try:
+        yield lambda df: _write(df, outer)
+    finally:
+        _folder.reset(token)
+        remove(spark, mine)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forumlens.llm.components import connected_components
-from forumlens.llm.shared import spare, text_or_empty, written
+from forumlens.llm.shared import scratch, spare, text_or_empty, written
 
 BITS = 64
 MASK = (1 << BITS) - 1
@@ -278,8 +278,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     in; an empty table gives an empty result; other columns are not read, so that their names cannot clash.
     """
     marks = written(docs.select(F.col(f"`{id_col}`").alias("id"), fingerprint(width)(text_or_empty(text_col)).alias("fp")))
-    groups = written(marks.groupBy("fp").agg(F.min("id").alias("least")))
-    labels = connected_components(hamming_pairs(groups.select("fp"), budget, thin=forest))
+    with scratch(docs.sparkSession) as keep:
+        groups = keep(marks.groupBy("fp").agg(F.min("id").alias("least")))
+        labels = keep(connected_components(hamming_pairs(groups.select("fp"), budget, thin=forest)))
     classes = groups.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
     found = classes.select("fp", "label").join(least, "label").select("fp", "component_id")
@@ -440,9 +441,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     type that has an order. An empty table gives an empty result; the columns are those of `docs`, whatever their names.
     """
     base = docs.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text"))
-    placed, labels = similar_sets(base, width, similarity)
-    found = written(placed.join(labels, "node", "left").select("id", F.coalesce("label", "node").alias("comp")))
-    least = found.groupBy("comp").agg(F.min("id").alias("least"))
     name = spare(docs, "gone")
-    gone = found.join(least, "comp").filter("id <> least").select(F.col("id").alias(name)).distinct()
+    with scratch(docs.sparkSession) as keep:
+        placed, labels = similar_sets(base, width, similarity)
+        found = written(placed.join(labels, "node", "left").select("id", F.coalesce("label", "node").alias("comp")))
+        least = found.groupBy("comp").agg(F.min("id").alias("least"))
+        gone = keep(found.join(least, "comp").filter("id <> least").select(F.col("id").alias(name)).distinct())
     return docs.join(gone, F.col(f"`{id_col}`") == F.col(f"`{name}`"), "left_anti")

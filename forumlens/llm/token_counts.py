@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forumlens.llm import bpe
-from forumlens.llm.shared import text_or_empty, written
+from forumlens.llm.shared import scratch, text_or_empty, written
 
 #: Entries of the broadcast table: below 4 MB whatever the corpus is.
 FREQUENT = 30_000
@@ -57,12 +57,13 @@ def frequent_pieces(texts: DataFrame, tokenizer_path: str, most: int = FREQUENT)
         yield _row(counts, most)
 
     kind = "pieces array<string>, n array<long>"
-    found = written(texts.select("text").mapInArrow(summary, kind))
-    n = found.count()
-    while n > 1:
-        n = -(-n // MERGED)
-        found = written(found.repartition(n).mapInArrow(merge, kind))
-    one = found.first()
+    with scratch(texts.sparkSession):
+        found = written(texts.select("text").mapInArrow(summary, kind))
+        n = found.count()
+        while n > 1:
+            n = -(-n // MERGED)
+            found = written(found.repartition(n).mapInArrow(merge, kind))
+        one = found.first()
     return list(one.pieces) if one else []
 
 

@@ -2,8 +2,7 @@
 
 All vectors are sorted by descending length over partitions. The longest of them are tried first and give each query a
 floor, its k-th best score so far. Then each task streams its vectors in blocks, longest first, against queries of a
-bounded number, which are broadcast: a query is done where the product of lengths falls below its floor, and the task is
-done when all are. The rest of a block is scored by the leading coordinates after rotation by the singular vectors of
+bounded number, which are broadcast: of a block, a query is done where the product of lengths falls below its floor. The rest of a block is scored by the leading coordinates after rotation by the singular vectors of
 the corpus, and only where that partial sum plus the Cauchy-Schwarz bound of the remaining coordinates reaches the floor
 are the whole integer vectors multiplied. A task hands on at most k vectors a query, which are merged by query.
 
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from forumlens.llm.shared import written
+from forumlens.llm.shared import scratch, written
 
 #: Vectors that give the first floors, vectors of a partition, and the step in which a block is walked.
 FIRST, ROWS, STEP = 4096, 1 << 13, 512
@@ -105,15 +104,19 @@ class Search:
         y = x @ self.turn
         return y[:, : self.lead], np.linalg.norm(y[:, self.lead :], axis=1)
 
-    def add(self, v: np.ndarray, ids: np.ndarray, uids: np.ndarray, lengths: np.ndarray) -> bool:
-        """Tries a block whose lengths descend; False if the floors leave nothing to what comes after it."""
+    def reaches(self, length: float) -> bool:
+        """Whether a vector of this length can reach the floor of any query."""
+        return bool((self.length * length + 1e-6 * (1 + self.length * length) >= self.floors).any())
+
+    def add(self, v: np.ndarray, ids: np.ndarray, uids: np.ndarray, lengths: np.ndarray) -> None:
+        """Tries a block whose lengths descend."""
         front, rest = self._rotate(v)
         for at in range(0, len(v), STEP):
             s = slice(at, at + STEP)
             slack = 1e-6 * (1 + self.length * lengths[at])
             live = np.nonzero(self.length * lengths[at] + slack >= self.floors)[0]
             if not len(live):
-                return False
+                return  # what follows is no longer
             bound = self.turned[0][live] @ front[s].T + np.outer(self.turned[1][live], rest[s]) + slack[live, None]
             may = (bound >= self.floors[live, None]) & (uids[s][None, :] != self.uids[live, None])
             some = np.nonzero(may.any(1))[0]
@@ -132,7 +135,6 @@ class Search:
                 best = self.best[n] = sorted(self.best.get(n, []) + new, key=lambda x: (-x[0], x[1], x[2]))[: self.k]
                 if len(best) == self.k:
                     self.floors[n] = max(self.floors[n], at_most(best[-1][0]))
-        return True
 
 
 def _columns(b: pa.RecordBatch, dim: int) -> tuple[np.ndarray, ...]:
@@ -152,62 +154,63 @@ def top_k(vectors: DataFrame, asks: Column, k: int, id_col: str = "vec_id", vect
     columns are not read, so that their names cannot clash.
     """
     spark = vectors.sparkSession
-    base = written(quantised(vectors, asks, id_col, vector_col))
-    n, dim = base.agg(F.count("*"), F.coalesce(F.max(F.octet_length("vec")), F.lit(0)) / 8).first()
-    dim, parts = max(1, int(dim)), max(1, -(-n // rows))
-    every = written(base.repartitionByRange(parts, F.desc("norm"), "uid").sortWithinPartitions(F.desc("norm")))
-    turn = spark.sparkContext.broadcast(rotation(every, dim))  # dim * dim numbers
-
-    # The longest vectors, of a bounded number, give the floors of all queries.
-    longest = every.orderBy(F.desc("norm"), "uid").limit(max(1, min(FIRST, QUERY_BYTES // (8 * dim)))).toArrow()
-    batches = longest.combine_chunks().to_batches()
-    first = spark.sparkContext.broadcast(_columns(batches[0], dim) if batches else None)
-
-    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            q, _, uids, lengths = _columns(b, dim)
-            order = np.argsort(-b.column("norm").to_numpy(), kind="stable")
-            search = Search(q, uids, np.full(len(q), -np.inf), turn.value, k)
-            if len(q):
-                search.add(*first.value)
-            sorted_ = b.take(pa.array(order))
-            yield pa.RecordBatch.from_arrays([sorted_.column("uid"), sorted_.column("id"), sorted_.column("norm"), sorted_.column("vec"), pa.array(search.floors)], ["uid", "id", "norm", "vec", "least"])
-
-    some = max(1, min(queries, QUERY_BYTES // (8 * dim)))
-    asked = every.filter("asks").select("uid", "id", "norm", "vec").mapInArrow(floors, "uid long, id long, norm double, vec binary, least double")
-    # Queries of a pass are of like length; ordinals come from the sorted partitions.
-    asked = written(asked.repartitionByRange(max(1, -(-n // rows)), F.desc("norm"), "uid").withColumn("part", F.spark_partition_id()))
-    sizes = asked.groupBy("part").agg(F.count("*").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("part").orderBy(F.desc("norm"), "uid")
-    asked = asked.withColumn("n", F.row_number().over(within)).join(sizes, "part")
-    asked = written(asked.withColumn("pass", F.floor((F.col("before") + F.col("n") - 1) / some)).drop("part", "n", "before"))
-
-    found = None
-    for p in [r["pass"] for r in asked.select("pass").distinct().orderBy("pass").collect()]:
-        own = asked.filter(F.col("pass") == p).select("uid", "id", "norm", "vec", "least").toArrow().combine_chunks().to_batches()[0]
-        q, q_ids, q_uids, q_len = _columns(own, dim)
-        least = own.column("least").to_numpy()[np.argsort(-own.column("norm").to_numpy(), kind="stable")]
-        held = spark.sparkContext.broadcast((q, q_ids, q_uids, least))
-        # Below this length no vector reaches any query's floor.
-        with np.errstate(divide="ignore", invalid="ignore"):
-            short = np.where(q_len > 0, (least - 1e-6) / q_len, np.where(least <= 1e-6, -np.inf, np.inf)).min()
-
-        def walk(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            q, q_ids, q_uids, least = held.value
-            search = Search(q, q_uids, least, turn.value, k)
+    with scratch(spark) as keep:
+        base = written(quantised(vectors, asks, id_col, vector_col))
+        n, dim = base.agg(F.count("*"), F.coalesce(F.max(F.octet_length("vec")), F.lit(0)) / 8).first()
+        dim, parts = max(1, int(dim)), max(1, -(-n // rows))
+        every = written(base.repartitionByRange(parts, F.desc("norm"), "uid").sortWithinPartitions(F.desc("norm")))
+        turn = spark.sparkContext.broadcast(rotation(every, dim))  # dim * dim numbers
+
+        # The longest vectors, of a bounded number, give the floors of all queries.
+        longest = every.orderBy(F.desc("norm"), "uid").limit(max(1, min(FIRST, QUERY_BYTES // (8 * dim)))).toArrow()
+        batches = longest.combine_chunks().to_batches()
+        first = spark.sparkContext.broadcast(_columns(batches[0], dim) if batches else None)
+
+        def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if not search.add(*_columns(b, dim)):
-                    break
-            rows = [(int(q_uids[i]), int(q_ids[i]), u, v, s) for i, best in search.best.items() for s, v, u in best]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(5)], ["q", "query_id", "uid", "vec_id", "score"])
-
-        near = every if not np.isfinite(short) or short <= 0 else every.filter(F.col("norm") >= float(short * (1 - 1e-6)))
-        got = written(near.select("uid", "id", "norm", "vec").mapInArrow(walk, "q long, query_id long, uid long, vec_id long, score long"))
-        found = got if found is None else found.union(got)
-        held.unpersist()
-    if found is None:
-        found = spark.createDataFrame([], "q long, query_id long, uid long, vec_id long, score long")
+                q, _, uids, lengths = _columns(b, dim)
+                order = np.argsort(-b.column("norm").to_numpy(), kind="stable")
+                search = Search(q, uids, np.full(len(q), -np.inf), turn.value, k)
+                if len(q):
+                    search.add(*first.value)
+                sorted_ = b.take(pa.array(order))
+                yield pa.RecordBatch.from_arrays([sorted_.column("uid"), sorted_.column("id"), sorted_.column("norm"), sorted_.column("vec"), pa.array(search.floors)], ["uid", "id", "norm", "vec", "least"])
+
+        some = max(1, min(queries, QUERY_BYTES // (8 * dim)))
+        asked = every.filter("asks").select("uid", "id", "norm", "vec").mapInArrow(floors, "uid long, id long, norm double, vec binary, least double")
+        # Queries of a pass are of like length; ordinals come from the sorted partitions.
+        asked = written(asked.repartitionByRange(max(1, -(-n // rows)), F.desc("norm"), "uid").withColumn("part", F.spark_partition_id()))
+        sizes = asked.groupBy("part").agg(F.count("*").alias("n"))
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+        within = Window.partitionBy("part").orderBy(F.desc("norm"), "uid")
+        asked = asked.withColumn("n", F.row_number().over(within)).join(sizes, "part")
+        asked = written(asked.withColumn("pass", F.floor((F.col("before") + F.col("n") - 1) / some)).drop("part", "n", "before"))
+
+        found = None
+        for p in [r["pass"] for r in asked.select("pass").distinct().orderBy("pass").collect()]:
+            own = asked.filter(F.col("pass") == p).select("uid", "id", "norm", "vec", "least").toArrow().combine_chunks().to_batches()[0]
+            q, q_ids, q_uids, q_len = _columns(own, dim)
+            least = own.column("least").to_numpy()[np.argsort(-own.column("norm").to_numpy(), kind="stable")]
+            held = spark.sparkContext.broadcast((q, q_ids, q_uids, least))
+            # Below this length no vector reaches any query's floor.
+            with np.errstate(divide="ignore", invalid="ignore"):
+                short = np.where(q_len > 0, (least - 1e-6) / q_len, np.where(least <= 1e-6, -np.inf, np.inf)).min()
+
+            def walk(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+                q, q_ids, q_uids, least = held.value
+                search = Search(q, q_uids, least, turn.value, k)
+                for b in batches:  # of several files, so that longer vectors can follow
+                    if search.reaches(max(b.column("norm").to_pylist(), default=0.0)):
+                        search.add(*_columns(b, dim))
+                rows = [(int(q_uids[i]), int(q_ids[i]), u, v, s) for i, best in search.best.items() for s, v, u in best]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(5)], ["q", "query_id", "uid", "vec_id", "score"])
+
+            near = every if not np.isfinite(short) or short <= 0 else every.filter(F.col("norm") >= float(short * (1 - 1e-6)))
+            got = keep(near.select("uid", "id", "norm", "vec").mapInArrow(walk, "q long, query_id long, uid long, vec_id long, score long"))
+            found = got if found is None else found.union(got)
+            held.unpersist()
+        if found is None:
+            found = spark.createDataFrame([], "q long, query_id long, uid long, vec_id long, score long")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id", "uid")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
