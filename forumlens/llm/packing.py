@@ -9,7 +9,8 @@ Lengths are whole numbers up to the capacity, so that the corpus is known to the
    has what rounding left over besides its own, the longest large piece of any group that fits;
 4. large pieces that are left, and then the small ones, go by best fit into the gaps, longest first.
 
-Several numbers of groups are planned and the plan of fewest sequences is taken. Spark cuts and counts the pieces, numbers
+Several numbers of groups are planned until a plan is close to what the tokens need, and the one of fewest sequences is
+taken. Spark cuts and counts the pieces, numbers
 those of each length, and finds each piece's run by its length and number.
 """
 
@@ -34,7 +35,7 @@ from forumlens.llm.shared import numbered, text_or_empty, written
 GROUPS = (8, 16, 32, 64, 128)
 #: Lengths up to these shares of the capacity count as small; each is planned with.
 SMALL = (1 / 8, 3 / 8)
-#: A plan is good enough if it has this share of sequences more than the tokens need, at most.
+#: A plan is good enough if it has this share of sequences, and one, more than the tokens need, at most.
 CLOSE = 1e-4
 #: Pieces of a length that a task numbers, and parts that a length is dealt over at least.
 PART_ROWS, LEAST_PARTS = 1 << 20, 64
@@ -216,7 +217,7 @@ def plan(counts: dict[int, int], capacity: int, groups: tuple[int, ...] = GROUPS
             found = Plan([r for rs in p.open.values() for r in rs], min(g, len(large)), done)
             if not best.runs or found.sequences < best.sequences:
                 best = found
-            if best.sequences <= least * (1 + CLOSE):
+            if best.sequences <= least * (1 + CLOSE) + 1:
                 return best
             if g >= len(large):
                 break
