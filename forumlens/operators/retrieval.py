@@ -58,17 +58,11 @@ def count_of(tokens: str, term: str) -> Column:
     return F.size(F.filter(tokens, lambda x: x == term))
 
 
-def bm25(corpus: DataFrame, docs: DataFrame, query: str, id_col: str, k1: float = K1) -> DataFrame:
-    """(id, bm25) of `docs`; size and document frequencies are those of `corpus`, the average length that of `docs`.
-
-    Repeated query terms count repeatedly; documents without any score 0 and stay.
-    """
+def _score(base: DataFrame, query: str, id_col: str, k1: float) -> DataFrame:
+    """(id, bm25) of rows with their tokens and the one row of statistics: _n, _avg, and document frequencies by term."""
     terms = tokens_of(query)
     names = {t: f"_t{i}" for i, t in enumerate(dict.fromkeys(terms))}
-    whole = corpus.agg(F.greatest(F.count("*"), F.lit(1)).alias("_n"), *[F.count(F.when(F.array_contains("_tokens", t), 1)).alias(f"{n}d") for t, n in names.items()])
-    mean = docs.agg(F.greatest(F.coalesce(F.avg(F.size("_tokens")), F.lit(1.0)), F.lit(1.0)).alias("_avg"))
-    tf = {n: count_of("_tokens", t).alias(n) for t, n in names.items()}
-    base = docs.select(id_col, F.size("_tokens").alias("_len"), *tf.values()).crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(mean))  # one row each
+    base = base.select(id_col, "_n", "_avg", F.size("_tokens").alias("_len"), *[count_of("_tokens", t).alias(n) for t, n in names.items()], *[f"{n}d" for n in names.values()])
     score = F.lit(0.0)
     for t in terms:
         f, d = F.col(names[t]), F.col(f"{names[t]}d")
@@ -77,6 +71,38 @@ def bm25(corpus: DataFrame, docs: DataFrame, query: str, id_col: str, k1: float
     return base.select(id_col, F.round(score, 6).alias("bm25"))
 
 
+def _frequencies(query: str) -> list[Column]:
+    """The number of rows, and of those that hold each term of the query."""
+    held = [F.count(F.when(F.array_contains("_tokens", t), 1)).alias(f"_t{i}d") for i, t in enumerate(dict.fromkeys(tokens_of(query)))]
+    return [F.greatest(F.count("*"), F.lit(1)).alias("_n"), *held]
+
+
+def _mean_length(when: Column) -> Column:
+    return F.greatest(F.coalesce(F.avg(F.when(when, F.size("_tokens"))), F.lit(1.0)), F.lit(1.0))
+
+
+def bm25(corpus: DataFrame, docs: DataFrame, query: str, id_col: str, k1: float = K1) -> DataFrame:
+    """(id, bm25) of `docs`; size and document frequencies are those of `corpus`, the average length that of `docs`.
+
+    Repeated query terms count repeatedly; documents without any score 0 and stay.
+    """
+    whole, mean = corpus.agg(*_frequencies(query)), docs.agg(_mean_length(F.lit(True)).alias("_avg"))
+    return _score(docs.select(id_col, "_tokens").crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(mean)), query, id_col, k1)  # one row each
+
+
+def gated_bm25(corpus: DataFrame, query: str, id_col: str, where: Column | None, stopwords: frozenset[str] = STOPWORDS) -> tuple[DataFrame, DataFrame]:
+    """(gated documents, their bm25): gate() and bm25() of one scan for all statistics and one for the scores."""
+    need = important_terms(query, stopwords)
+    own = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    hit = own & F.arrays_overlap("_tokens", F.array(*map(F.lit, need))) if need else own
+    stats = corpus.agg(*_frequencies(query), F.coalesce(F.bool_or(hit), F.lit(False)).alias("_any"), _mean_length(hit).alias("_hit"), _mean_length(own).alias("_own"))
+    # One term that nothing shares opens the gate; no document shares several.
+    opens = ~F.col("_any") if len(need) == 1 else F.lit(False)
+    stats = stats.withColumn("_avg", F.when(opens, F.col("_own")).otherwise(F.col("_hit")))
+    inside = corpus.crossJoin(F.broadcast(stats)).filter(hit | (own & opens))  # one row
+    return inside.select(id_col, "_tokens"), _score(inside, query, id_col, K1)
+
+
 def hash_slot(term: Column) -> tuple[Column, Column]:
     """(dimension, sign) of a term, from its SHA-256."""
     digest = F.sha2(term, 256)
@@ -98,10 +124,11 @@ def dense(docs: DataFrame, query: str, id_col: str) -> DataFrame:
     """(id, dense): cosine of signed feature hashes; documents without tokens score 0 and stay."""
     q = query_vector(query)
     at, sign = hash_slot(F.col("_term"))
-    cells = docs.select(id_col, F.explode("_tokens").alias("_term")).groupBy(id_col, at.alias("_at")).agg(F.sum(sign).alias("_v"))
+    # The outer form keeps documents without tokens, as one cell that weighs nothing.
+    cells = docs.select(id_col, F.explode_outer("_tokens").alias("_term")).groupBy(id_col, at.alias("_at")).agg(F.sum(F.when(F.col("_term").isNotNull(), sign).otherwise(0.0)).alias("_v"))
     weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in q.items() for x in kv]), F.col("_at")), F.lit(0.0)) if q else F.lit(0.0)
-    scored = cells.groupBy(id_col).agg((F.sum(weight * F.col("_v")) / F.greatest(F.sqrt(F.sum(F.col("_v") * F.col("_v"))), F.lit(1e-300))).alias("_s"))
-    return docs.select(id_col).join(scored, id_col, "left").select(id_col, F.round(F.coalesce("_s", F.lit(0.0)), 6).alias("dense"))
+    score = F.sum(weight * F.col("_v")) / F.greatest(F.sqrt(F.sum(F.col("_v") * F.col("_v"))), F.lit(1e-300))
+    return cells.groupBy(id_col).agg(F.round(F.coalesce(score, F.lit(0.0)), 6).alias("dense"))
 
 
 def ranked(scores: DataFrame, score: str, id_col: str, limit: int) -> DataFrame:
@@ -134,9 +161,9 @@ def search(df: DataFrame, query: str, id_col: str, text: str, title: str | None
     Stopwords are general ones by default; a domain adds the words that all of its documents hold.
     """
     corpus = with_tokens(df, F.concat_ws(" ", *[F.col(c) for c in (title, text) if c]))
-    docs = gate(corpus.filter(where) if where is not None else corpus, query, stopwords)
+    docs, scores = gated_bm25(corpus, query, id_col, where, stopwords)
     wide = max(4 * k, 20)
-    lists = [ranked(bm25(corpus, docs, query, id_col), "bm25", id_col, wide), ranked(dense(docs, query, id_col), "dense", id_col, wide)]
+    lists = [ranked(scores, "bm25", id_col, wide), ranked(dense(docs, query, id_col), "dense", id_col, wide)]
     fused = rrf(lists, id_col).orderBy(F.desc("fused"), id_col).limit(max(2 * k, 10))
     texts = df.select(id_col, F.col(text).alias("_text"), *([F.col(title).alias("_title")] if title else []))
     hits = F.broadcast(fused).join(texts, id_col)  # at most max(2k, 10) rows
