@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from forumlens.operators import normalise
 from forumlens.plans.registry import query
 from forumlens.session import fresh_dir, table
 from forumlens.sources.sinks import KeyedTable
@@ -42,3 +43,23 @@ def stream_streak(spark, sf):
     target = KeyedTable(spark, f"{out}/table", schema, "user_id", "days")
     jobs.run_to_end(jobs.gap_alerts(_events(spark, sf), "user_id", "ts", alert=3), "update", f"{out}/checkpoint", jobs.upsert_into(target))
     return target.read().select("user_id", "longest", "alert")
+
+
+@query(
+    "stream_enriched",
+    """SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN 'legal' ELSE 'general' END AS subtopic, CASE WHEN source = 'src1' THEN 'one' ELSE 'Other' END AS region, true AS processed, 0 AS unfinished FROM documents""",
+)
+def stream_enriched(spark, sf):
+    """Documents enriched in the stream, with the time of their processing, and a log of batches of which none is open."""
+    out, docs = fresh_dir(spark, "enriched"), table(spark, sf, "documents")
+    names = {"doc_id": "long", "subtopic": "string", "region": "string", "processed_at": "timestamp"}
+    target = KeyedTable(spark, f"{out}/table", T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in names.items())), "doc_id", "processed_at")
+
+    def enrich(batch):
+        posts = batch.select("doc_id", F.lit("bluesky").alias("platform"), F.lit("").alias("query_keyword"), F.lit(None).cast("string").alias("title"), "text", F.col("source").alias("city_context"))
+        return normalise.enrich(posts, [("legal", "license")], [("one", "^src1$")])
+
+    stream = jobs.read_files(spark, f"{sf}/documents.parquet", docs.schema)
+    jobs.run_to_end(stream, "append", f"{out}/checkpoint", jobs.logged(jobs.enriched_into(target, enrich), f"{out}/log"))
+    open_ = jobs.unfinished(spark.read.parquet(f"{out}/log")).agg(F.count("*").cast("int").alias("unfinished"))
+    return target.read().select("doc_id", "subtopic", "region", F.col("processed_at").isNotNull().alias("processed")).crossJoin(open_)  # one row

@@ -51,6 +51,37 @@ def upsert_into(target: KeyedTable) -> Callable[[DataFrame, int], None]:
     return lambda batch, _: target.merge(batch)
 
 
+def enriched_into(target: KeyedTable, enrich: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A batch's rows, enriched and stamped with the time of their processing, go to `target`."""
+    return lambda batch, _: target.merge(enrich(batch).withColumn("processed_at", F.current_timestamp()))
+
+
+def logged(each: Callable[[DataFrame, int], None], log: str) -> Callable[[DataFrame, int], None]:
+    """`each`, with a line in the table `log` when a batch starts, and when it is done or has failed, and why."""
+
+    def note(batch: DataFrame, n: int, status: str, message: str | None = None) -> None:
+        row = batch.sparkSession.createDataFrame([(n, status, message)], "batch long, status string, message string")
+        row.withColumn("at", F.current_timestamp()).write.mode("append").parquet(log)
+
+    def run(batch: DataFrame, n: int) -> None:
+        note(batch, n, "started")
+        try:
+            each(batch, n)
+        except Exception as e:
+            note(batch, n, "failed", str(e)[:500])
+            raise
+        note(batch, n, "done")
+
+    return run
+
+
+def unfinished(log: DataFrame) -> DataFrame:
+    """(batch, status, message) of batches that started and were never done: the job crashed in them, or they failed."""
+    last = log.filter("status <> 'started'").groupBy("batch").agg(F.bool_or(F.col("status") == "done").alias("done"), F.max_by("message", "at").alias("message"))
+    out = log.select("batch").distinct().join(last, "batch", "left").filter("done is null or not done")
+    return out.select("batch", F.when(F.col("done").isNull(), "crashed").otherwise("failed").alias("status"), "message")
+
+
 def count_bad_json(value: str, good: KeyedTable, schema: str, errors: str) -> Callable[[DataFrame, int], None]:
     """A batch's parsable records go to `good`, and a line with the number of others to `errors`."""
 

@@ -211,7 +211,21 @@ def test_bad_messages_are_counted(spark, tmp_path):
     assert [r.bad for r in spark.read.parquet(f"{tmp_path}/errors").collect()] == [1]
 
 
+def test_failed_batches_are_logged(spark, tmp_path):
+    df = spark.range(3)
+
+    def broken(batch, n):
+        raise RuntimeError("no luck")
+
+    log = f"{tmp_path}/log"
+    jobs.logged(lambda b, n: None, log)(df, 0)
+    with pytest.raises(RuntimeError):
+        jobs.logged(broken, log)(df, 1)
+    assert rows(jobs.unfinished(spark.read.parquet(log))) == [(1, "failed", "no luck")]
+
+
 def test_jsonl_sink_has_no_nan(spark, tmp_path):
     sinks.write_jsonl(spark.createDataFrame([(1, float("nan")), (2, 0.5)], "k int, x double"), f"{tmp_path}/out")
     lines = [json.loads(x) for p in (tmp_path / "out").glob("part-*") for x in p.read_text().splitlines()]
     assert sorted(lines, key=lambda r: r["k"]) == [{"k": 1}, {"k": 2, "x": 0.5}]
+    assert sinks.write_jsonl(spark.range(7), f"{tmp_path}/more", ["id"]) == 7
