@@ -1,8 +1,6 @@
 """Exact deduplication by skew-safe combining, with DataFrame operations only.
 
-Digests are counted first, and only contents whose digest is seen more than once go on: an equal content would have an
-equal digest, so that the unique majority is never shuffled. Then three merges, each of which compares the full normalised
-content and not only its digest:
+Three merges, each of which compares the full normalised content and not only its digest:
 
 1. local: Spark's map-side partial aggregation merges the copies that one task sees;
 2. salted: what is left is merged by (digest, salt, content), so that a content with very many copies is
@@ -33,11 +31,9 @@ def sha256_of(text: Column) -> Column:
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest=sha256_of) -> DataFrame:
-    """One row a distinct content whose digest is seen more than once: digest, content, keep_id (smallest id), group_size."""
+    """One row a distinct content: digest, content, keep_id (smallest id), group_size."""
     base = docs.select(F.col(f"`{id_col}`").alias("id"), normalised(text_or_empty(text_col)).alias("content"))
     base = base.select("id", "content", digest(F.col("content")).alias("digest"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
-    several = written(base.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"))
-    base = base.join(several, "digest", "left_semi")
     salted = base.groupBy("digest", "salt", "content").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     return salted.groupBy("digest", "content").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"))
 
@@ -81,9 +77,7 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = _groups(docs, id_col, text_col, salts, digest)
     rows = _prepared(docs, id_col, text_col, digest)
     content = normalised(F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit("")))
-    out = _found_by(rows, *parts, content, lambda r, g, on: r.join(g.select(*on, "keep_id", "group_size"), on, "left"))
-    # What is not among the groups is alone.
-    out = out.withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
+    out = _found_by(rows, *parts, content, lambda r, g, on: r.join(g.select(*on, "keep_id", "group_size"), on))
     # Rows that repeat an id are told apart in a window by id and not by digest, so that Spark can split the join
     # above where a group is large. Rows without an id are dealt by digest.
     spread = Window.partitionBy(F.when(F.col("id").isNull(), F.concat("key", "digest")).otherwise(F.col("key"))).orderBy("digest", "keep_id", "group_size")
@@ -96,10 +90,9 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest=sha256_of) -> DataFrame:
     """The rows that mark_duplicates() marks as kept, with the columns of `docs`.
 
-    Rows of repeated contents are joined to the groups by digest and kept id together, so no group, however large, meets
-    in one task.
+    Rows are joined to the groups by digest and kept id together, so no group, however large, meets in one task.
     """
-    groups, found, collided = _groups(docs, id_col, text_col, salts, digest)
+    parts = _groups(docs, id_col, text_col, salts, digest)
     rows, cols = _prepared(docs, id_col, text_col, digest), docs.columns
     content = normalised(F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit("")))
 
@@ -108,6 +101,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         one = Window.partitionBy("key", *on).orderBy("key")
         return r.join(first, ["key", *on]).withColumn("n", F.row_number().over(one)).filter("n = 1").drop("n")
 
-    alone = rows.join(found.select("digest").distinct(), "digest", "left_anti")
-    repeated = _found_by(rows, groups, found, collided, content, join)
-    return alone.select("row").union(repeated.select("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in cols])
+    return _found_by(rows, *parts, content, join).select(*[F.col(f"row.`{c}`").alias(c) for c in cols])

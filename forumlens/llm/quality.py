@@ -72,7 +72,7 @@ def shape(text: str, words: list[str]) -> dict[str, float]:
     symbols = sum(map(text.count, SYMBOLS))
     return {
         "symbols": symbols / len(text),
-        "marked": sum(c for r, c in Counter(runs).items() if not r.isalnum() and MARKS.search(r)) / n,
+        "marked": sum(c for r, c in Counter(runs).items() if MARKS.search(r)) / n if symbols else 0.0,
         "bare": sum(c for r, c in Counter(r for r in runs if len(r) < 4).items() if not any(map(str.isalnum, r))) / n,
         "repeats": 1 - len(set(zip(runs, runs[1:]))) / (n - 1) if n > 1 else 0.0,
         "same": 1 - len(set(words)) / len(words) if words else 1.0,
@@ -124,13 +124,30 @@ def parse(text: str) -> list[tuple[list[str], dict[str, float]]]:
 Keywords = tuple[frozenset[str], ...]
 
 
-def key_words(words: list[str], keys: frozenset[str]) -> int:
-    """How many of the words begin with a keyword, if two at least do."""
-    found = [w for w in words if any(w[:k] in keys for k in KEY_SIZES if len(w) >= k)]
-    return len(found) if len(found) > 1 else 0
+class KeyMarks(dict):
+    """word -> in which of the keyword sets one of its starts is, as bits; kept for a worker's life."""
 
+    def __init__(self, keys: Keywords):
+        super().__init__()
+        self.keys = keys
 
-def votes(text: str, parsed: list[tuple[list[str], dict[str, float]]], keys: Keywords = ()) -> dict[str, str]:
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        starts = [word[:k] for k in KEY_SIZES if len(word) >= k]
+        out = self[word] = sum(1 << n for n, keys in enumerate(self.keys) if any(s in keys for s in starts))
+        return out
+
+    def shares(self, words: list[str]) -> list[float]:
+        """For each set the share of the words that begin with a keyword, if two at least do."""
+        if not words:
+            return [0.0] * len(self.keys)
+        marks = Counter(bytes(map(self.__getitem__, words)).translate(None, b"\0"))
+        found = [sum(c for m, c in marks.items() if m >> n & 1) for n in range(len(self.keys))]
+        return [c / len(words) if c > 1 else 0.0 for c in found]
+
+
+def votes(text: str, parsed: list[tuple[list[str], dict[str, float]]], marks: KeyMarks | None = None) -> dict[str, str]:
     """The votes of the labellers of each fault, one letter a labeller. An empty text gets none."""
     s = {name: sum(x[name] for _, x in parsed) / len(parsed) for name in parsed[0][1]} if parsed else {}
     n = sum(len(words) for words, _ in parsed)
@@ -143,8 +160,9 @@ def votes(text: str, parsed: list[tuple[list[str], dict[str, float]]], keys: Key
     # The list is English: it says nothing on a text in another language that holds none of it.
     english = n >= 20 and sum(sum(map(ENGLISH.__contains__, words)) for words, _ in parsed) >= 0.05 * n
     toxic = BAD if insults else GOOD if english else NONE
-    for k in keys:
-        share = max((key_words(words, k) / len(words) for words, _ in parsed if words), default=0.0)
+    keys = marks.keys if marks else ()
+    worst = [max(x) for x in zip(*(marks.shares(words) for words, _ in parsed))] if keys and parsed else [0.0] * len(keys)
+    for k, share in zip(keys, worst, strict=True):
         toxic += NONE if not k or n < 10 else _by(share, KEY_BAD, KEY_GOOD)
     return {"noise": noise, "again": again, "toxic": toxic + NONE * (FOLDS - 1 - len(keys))}
 
@@ -311,17 +329,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     base = docs.select(F.col(f"`{id_col}`").alias("i"), text_or_empty(text_col).alias("t"))
 
     @F.pandas_udf(VOTES)
-    def votes_of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([votes(t, parse(t), known.value) for t in texts], columns=list(FAULTS))
+    def votes_of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        marks = KeyMarks(known.value)
+        for batch in texts:
+            yield pd.DataFrame([votes(t, parse(t), marks) for t in batch], columns=list(FAULTS))
 
     @F.pandas_udf(T.StructType([*VOTES.fields, T.StructField("f", T.ArrayType(T.BinaryType()))]))
     def votes_and_features_of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hasher = Hasher()
+        hasher, marks = Hasher(), KeyMarks(known.value)
         for batch in texts:
             rows = []
             for t in batch:
                 parsed = parse(t)
-                v = votes(t, parsed, known.value)
+                v = votes(t, parsed, marks)
                 rows.append((*(v[f] for f in FAULTS), [features(part, hasher).tobytes() for part in parsed]))
             yield pd.DataFrame(rows, columns=[*FAULTS, "f"])
 
@@ -355,12 +375,13 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     @F.pandas_udf("struct<votes:string,junk:double,toxic:double>")
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hasher, (junk, toxic, keys) = Hasher(), held.value
+        marks = KeyMarks(keys)
         total = lambda head, f: head[1][_at(head[0], f)].sum() + head[2]
         for batch in texts:
             rows = []
             for t in batch:
                 parsed = parse(t)
-                fs, v = [features(part, hasher) for part in parsed] or [np.zeros(0, np.int32)], votes(t, parsed, keys)
+                fs, v = [features(part, hasher) for part in parsed] or [np.zeros(0, np.int32)], votes(t, parsed, marks)
                 z = sum(total(junk, f) for f in fs) / len(fs), max(total(toxic, f) for f in fs)
                 rows.append(("/".join(v.values()), *(1 / (1 + np.exp(-float(np.clip(x, -30, 30)))) for x in z)))
             yield pd.DataFrame(rows, columns=["votes", *HEADS])

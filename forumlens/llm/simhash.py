@@ -82,16 +82,18 @@ def _turned(fp: Column, bits: int, by: int) -> Column:
     return F.shiftleft(top, by).bitwiseOR(F.shiftleft(low, BITS - bits))
 
 
-#: What is known of an item: its component, its size, and how much of that it has in common with any other.
-ITEM = {"v": "long", "id": "long", "comp": "long", "size": "int", "common": "int"}
+#: What is known of an item: its component, its size, how much of that it has in common with any other, and whether it
+#: still looks for a link. Further columns f0, f1 and so on are its fingerprints by table.
+ITEM = {"v": "long", "id": "long", "comp": "long", "size": "int", "common": "int", "open": "boolean"}
 
 
 def trie_rows(items: DataFrame, bits: int, budget: int) -> DataFrame:
-    """(turn, v, id, comp, size, common): each fingerprint of (id, comp, size, common, table, fp), with each of its blocks in front."""
+    """(turn, v, ...): each fingerprint `fp` of an item and `table`, with each of its blocks in front."""
     width, turns = bits // (budget + 1), budget + 1
     tail = F.shiftrightunsigned(F.xxhash64("id"), bits) if bits < BITS else F.lit(0).cast("long")
     each = [F.struct((F.col("table") * turns + r).cast("int").alias("turn"), _turned(F.col("fp"), bits, width * r).bitwiseOR(tail).alias("v")) for r in range(turns)]
-    return items.select(F.explode(F.array(*each)).alias("t"), "id", "comp", "size", "common").select("t.turn", *[f"t.{c}" if c == "v" else c for c in ITEM])
+    rest = [c for c in items.columns if c not in ("table", "fp")]
+    return items.select(F.explode(F.array(*each)).alias("t"), *rest).select("t.turn", "t.v", *rest)
 
 
 def walk_trie(x: np.ndarray, y: np.ndarray | None, depth: int, diff: int, bits: int, budget: int, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -161,13 +163,14 @@ def stars(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]
     return a[first], b[first]
 
 
-def _walker(bits: int, budget: int, thin: Callable | None, similarity: float):
+def _walker(bits: int, budget: int, thin: Callable | None, similarity: float, names: list[str]):
     """Node pairs with their items to pairs (a, b) of ids."""
     width, turns = bits // (budget + 1), budget + 1
+    n_tables = sum(c not in ITEM for c in names)
 
     def lists(batch: pa.RecordBatch, side: str) -> Callable:
-        cols = [batch.column(f"{side}{c}") for c in ITEM]
-        ends, held = cols[0].offsets.to_numpy(), [c.values.to_numpy() for c in cols]
+        cols = [batch.column(f"{side}{c}") for c in names]
+        ends, held = cols[0].offsets.to_numpy(), [c.values.to_numpy(zero_copy_only=False) for c in cols]
 
         def get(k: int) -> list[np.ndarray]:
             v, *rest = (h[ends[k] : ends[k + 1]] for h in held)
@@ -193,15 +196,18 @@ def _walker(bits: int, budget: int, thin: Callable | None, similarity: float):
                         ok &= np.minimum(x[4][i], y[4][j]) >= similarity / (1 + similarity) * (x[3][i] + y[3][j]) - 1e-6
                     i, j = i[ok], j[ok]
                     ok = _first_block(x[0][i] ^ y[0][j], int(turn[k]) % turns, bits, width)
+                    for f in range(min(n_tables, int(turn[k]) // turns)):  # a pair is reported by its first table
+                        ok &= np.bitwise_count(x[len(ITEM) + f][i] ^ y[len(ITEM) + f][j]) > budget
                     pieces.append((i[ok], j[ok]))
                 i, j = (np.concatenate([p[s] for p in pieces]) if pieces else np.zeros(0, np.int64) for s in (0, 1))
                 a, b = x[1], y[1]
                 if thin and len(i):
-                    if alone[k]:
-                        i, j = thin(i, j, len(a))
-                    else:
+                    looks = x[5]
+                    if not alone[k]:
                         a = b = np.concatenate([x[1], y[1]])
-                        i, j = thin(i, j + len(x[1]), len(a))
+                        looks, j = np.concatenate([x[5], y[5]]), j + len(x[1])
+                    i, j = thin(i, j, len(a))
+                    i, j = i[looks[j]], j[looks[j]]
                 found.append((a[i], b[j]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[s] for f in found])) for s in (0, 1)], ["a", "b"])
 
@@ -215,7 +221,9 @@ def trie_join(rows: DataFrame, bits: int, budget: int, unit: int = UNIT, thin: C
     only, so that the work is in proportion to the rows. similarity: least Jaccard similarity that sets of the items'
     sizes, and of what they have in common with any, must be able to have.
     """
-    depth, walk, out = bits // (budget + 1), _walker(bits, budget, thin, similarity), None
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields if f.name != "turn"}
+    names = [*ITEM, *(c for c in kinds if c not in ITEM)]
+    depth, walk, out = bits // (budget + 1), _walker(bits, budget, thin, similarity, names), None
     small = F.col("na") * F.col("nb") <= unit
     held = [F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")]
     nodes = rows.groupBy("turn", _prefix(F.col("v"), depth).alias("p")).agg(*held).filter("n > 1 and low <> high")
@@ -224,12 +232,12 @@ def trie_join(rows: DataFrame, bits: int, budget: int, unit: int = UNIT, thin: C
         ready = front if depth == BITS else front.filter(small)
         wanted = ready.select("turn", F.col("a").alias("p")).union(ready.select("turn", F.col("b"))).distinct()
         under = rows.withColumn("p", _prefix(F.col("v"), depth)).join(wanted, ["turn", "p"])
-        under = under.groupBy("turn", "p").agg(F.collect_list(F.struct(*ITEM)).alias("xs"))
-        side = lambda node, s: under.select("turn", F.col("p").alias(node), *[F.col(f"xs.{c}").alias(f"{s}{c}") for c in ITEM])
+        under = under.groupBy("turn", "p").agg(F.collect_list(F.struct(*names)).alias("xs"))
+        side = lambda node, s: under.select("turn", F.col("p").alias(node), *[F.col(f"xs.{c}").alias(f"{s}{c}") for c in names])
         cols = ["turn", F.lit(depth).alias("depth"), "diff", (F.col("a") == F.col("b")).alias("alone")]
-        lists = lambda s: [f"{s}{c}" for c in ITEM]
+        lists = lambda s: [f"{s}{c}" for c in names]
         # A node with itself needs its items once.
-        none = [F.array().cast(f"array<{kind}>").alias(f"y{c}") for c, kind in ITEM.items()]
+        none = [F.array().cast(f"array<{kinds[c]}>").alias(f"y{c}") for c in names]
         same = ready.filter("a = b").join(side("a", "x"), ["turn", "a"]).select(*cols, *lists("x"), *none)
         whole = same
         if apart:
@@ -263,7 +271,7 @@ def hamming_pairs(fps: DataFrame, budget: int, unit: int = UNIT, thin: Callable
     """
     if not 0 <= budget < 16:
         raise ValueError("the budget must be 0 to 15 bits")
-    items = fps.select(F.col("fp").alias("id"), F.col("fp").alias("comp"), F.lit(1).alias("size"), F.lit(1).alias("common"), F.lit(0).alias("table"), "fp")
+    items = fps.select(F.col("fp").alias("id"), F.col("fp").alias("comp"), F.lit(1).alias("size"), F.lit(1).alias("common"), F.lit(True).alias("open"), F.lit(0).alias("table"), "fp")
     return trie_join(written(trie_rows(items, BITS, budget)), BITS, budget, unit, thin)
 
 
@@ -291,6 +299,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 #: 0.8 differ in a bit with probability 0.1, so that a fingerprint pair is within the budget in half of the cases and one
 #: of seven in 99.3 %. Unrelated texts are in 2**-23 of the cases: with many billions of texts take more bits and tables.
 TABLES, SKEWED_BITS, SKEWED_BUDGET = 7, 36, 3
+#: Tables in the order in which items look for their first link.
+SEARCHED = ((0,), (1, 2), (3, 4, 5, 6))
 
 
 def skewed_fingerprints(hashes: np.ndarray, tables: int = TABLES, bits: int = SKEWED_BITS) -> np.ndarray:
@@ -330,11 +340,13 @@ def similar_sets(base: DataFrame, width: int, similarity: float) -> tuple[DataFr
     """((id, node), (node, label)): the set of each row of (id, text) by number, and the components of similar sets.
 
     Texts without words have no node. Equal sets are one node. Candidates are pairs within the budget in any of the
-    tables, found by three trie joins, each of which leaves out what is in one component by then:
+    tables, found by trie joins, each of which leaves out what is in one component by then:
 
     1. nodes of the trie with themselves only, of one turn a table, hand on a link for each item;
-    2. all nodes hand on a link for each item that has any, of which one an item is tried; items without are done;
-    3. among the items of these links all pairs are found whose sets have enough in common with any other of them.
+    2. all nodes hand on a link for each item that has any, a few tables after the other, until it has one, which is
+       tried; items without any are done;
+    3. of the items of these links those whose sets have enough in common with any other of them go on: first those
+       without a component try a link in each place of the trie, and then all pairs are found that are left.
 
     Each candidate is verified on the whole sets of 64-bit hashes. Nodes without a link have no label.
     """
@@ -385,7 +397,8 @@ def similar_sets(base: DataFrame, width: int, similarity: float) -> tuple[DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i, np.int64)), pa.array(h)], ["node", "h"])
 
     def rows_of(some: DataFrame, labels: DataFrame | None) -> DataFrame:
-        items = some.select(F.col("node").alias("id"), "size", "common", F.posexplode("fps").alias("table", "fp"))
+        more = [c for c in some.columns if c not in sets.columns and c not in ITEM]
+        items = some.select(F.col("node").alias("id"), "size", "common", F.col("open") if "open" in some.columns else F.lit(True).alias("open"), *more, F.posexplode("fps").alias("table", "fp"))
         if labels is None:
             items = items.withColumn("comp", F.col("id"))
         else:
@@ -396,6 +409,11 @@ def similar_sets(base: DataFrame, width: int, similarity: float) -> tuple[DataFr
         pairs = trie_join(written(rows), SKEWED_BITS, SKEWED_BUDGET, similarity=similarity, **how)
         return written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
+    def tried(rows: DataFrame) -> DataFrame:
+        """(b, a): for each item that is open the one that most of its links in the trie are to."""
+        links = trie_join(written(rows), SKEWED_BITS, SKEWED_BUDGET, thin=stars, similarity=similarity).groupBy("a", "b").agg(F.count("*").alias("n"))
+        return written(links.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")))
+
     def sets_for(pairs: DataFrame) -> DataFrame:
         some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         some = sets.select("node", "id", "k1", "k2").join(some, "node", "left_semi")
@@ -416,9 +434,14 @@ def similar_sets(base: DataFrame, width: int, similarity: float) -> tuple[DataFr
     every = sets.withColumn("common", F.col("size"))
     pairs = pairs_of(rows_of(every, None).filter(F.col("turn") % (SKEWED_BUDGET + 1) == 0), thin=stars, apart=False)
     labels = connected_components(verified(pairs, sets_for(pairs)).union(same))
-    some = written(trie_join(written(rows_of(every, labels)), SKEWED_BITS, SKEWED_BUDGET, thin=stars, similarity=similarity).groupBy("a", "b").agg(F.count("*").alias("n")))
-    some = some.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
-    pairs = written(some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # By tables, so that an item that has found a link looks for no other; it can still be another's.
+    found = None
+    for tables in SEARCHED:
+        done = None if found is None else found.select(F.col("b").alias("node"), F.lit(False).alias("open"))
+        some = every if done is None else every.join(done, "node", "left").withColumn("open", F.coalesce("open", F.lit(True)))
+        new = tried(rows_of(some, labels).filter((F.col("turn") / (SKEWED_BUDGET + 1)).cast("int").isin(*tables)))
+        found = new if found is None else found.union(new)
+    pairs = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if pairs.isEmpty():
         return placed, labels
     held = sets_for(pairs)
@@ -428,7 +451,11 @@ def similar_sets(base: DataFrame, width: int, similarity: float) -> tuple[DataFr
     alone = alone.filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
     some = sets.join(held.select("node"), "node", "left_semi").join(alone, "node", "left")
     some = some.withColumn("common", (F.col("size") - F.coalesce("own", F.lit(0))).cast("int"))
-    pairs = pairs_of(rows_of(some.filter(F.col("common") >= similarity * F.col("size") - 1e-6), labels))
+    some = written(some.filter(F.col("common") >= similarity * F.col("size") - 1e-6).drop("own"))
+    linked = labels.select("node", F.lit(False).alias("open"))
+    looking = some.join(linked, "node", "left").withColumn("open", F.coalesce("open", F.lit(True)))
+    labels = joined(verified(pairs_of(rows_of(looking, labels), thin=stars), held), labels)
+    pairs = pairs_of(rows_of(some.select("*", *[F.get("fps", F.lit(k)).alias(f"f{k}") for k in range(TABLES)]), labels))
     return placed, joined(verified(pairs, held), labels)
 
 

@@ -194,7 +194,7 @@ def test_nulls_repeats_long_texts_and_clashing_names(spark):
 
 def test_large_nodes_are_parted(spark):
     """Equal fingerprints beyond a task's unit are parted by the hashes of the items."""
-    items = spark.range(300).selectExpr("id", "id as comp", "1 as size", "1 as common", "0 as table", "id % 3 as fp")
+    items = spark.range(300).selectExpr("id", "id as comp", "1 as size", "1 as common", "true as open", "0 as table", "id % 3 as fp")
     rows = simhash.trie_rows(items, 36, 3)
     for apart, least in ((True, 300 * 299 // 2), (False, 20)):
         got = {(min(r), max(r)) for r in simhash.trie_join(rows, 36, 3, unit=64, apart=apart, thin=None if apart else simhash.stars).collect()}
