@@ -47,7 +47,7 @@ WINDOW = 8000
 RUN = 8
 #: A feature takes part if this many rows hold it and its share of bad rows is this many deviations too high.
 LEAST_ROWS, LEAST_Z = 4, 4.0
-#: What the belief that a labeller is right counts, as a share of its votes.
+#: What the belief that a lone labeller is right counts, as a share of its votes.
 BELIEF = 0.03
 #: Rejected from this score on.
 THRESHOLD = 0.5
@@ -160,7 +160,7 @@ def votes(text: str, parsed: list[tuple[list[str], dict[str, float]]], marks: Ke
     # The list is English: it says nothing on a text in another language that holds none of it.
     english = n >= 20 and sum(sum(map(ENGLISH.__contains__, words)) for words, _ in parsed) >= 0.05 * n
     toxic = BAD if insults else GOOD if english else NONE
-    keys = marks.keys if marks else ()
+    keys = () if marks is None else marks.keys
     worst = [max(x) for x in zip(*(marks.shares(words) for words, _ in parsed))] if keys and parsed else [0.0] * len(keys)
     for k, share in zip(keys, worst, strict=True):
         toxic += NONE if not k or n < 10 else _by(share, KEY_BAD, KEY_GOOD)
@@ -203,15 +203,16 @@ def posteriors(counts: dict[str, float], rounds: int = 100) -> tuple[dict[str, f
     patterns = list(counts)
     n = np.asarray([counts[p] for p in patterns], float)
     bad, good = (np.asarray([[v == x for v in p] for p in patterns], float) for x in (BAD, GOOD))
+    cast = n @ (bad + good)
+    # A lone labeller can't be told from its error, and is believed; of several, the votes tell.
+    belief, right, wrong = (2 + BELIEF * cast, 0.9, 0.02) if (cast > 0).sum() < 2 else (2, 0.5, 0.5)
     post = np.where(bad.sum(1) - 0.4 * good.sum(1) > 0, 0.9, 0.05)
     rates: list[dict] = []
     for _ in range(rounds):
         share = (n @ post + 1) / (n.sum() + 2)
         # How often a vote on a document of the class is bad: of labellers that vote at random, as often in both.
-        # A prior belief, worth a share of its votes, is that it is right: a lone labeller can't be told from its error.
-        belief = 2 + BELIEF * (n @ (bad + good))
-        on_bad = ((n * post) @ bad + belief * 0.9) / ((n * post) @ (bad + good) + belief)
-        on_good = ((n * (1 - post)) @ bad + belief * 0.02) / ((n * (1 - post)) @ (bad + good) + belief)
+        on_bad = ((n * post) @ bad + belief * right) / ((n * post) @ (bad + good) + belief)
+        on_good = ((n * (1 - post)) @ bad + belief * wrong) / ((n * (1 - post)) @ (bad + good) + belief)
         rates = [{"bad": float(x), "good": float(y)} for x, y in zip(on_bad, on_good, strict=True)]
         logit = np.log(share / (1 - share)) + bad @ np.log(on_bad / on_good) + good @ np.log((1 - on_bad) / (1 - on_good))
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))

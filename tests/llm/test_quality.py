@@ -93,23 +93,18 @@ def test_labels_never_vote(spark):
     assert fits[0]["faults"] == fits[1]["faults"] and fits[0]["faults"]["noise"]["posteriors"]["bbg"] > 0.9
 
 
-def test_faults_of_several_kinds():
-    """Labellers of a kind agree, and one that votes by chance is found out."""
-    rnd = random.Random(9)
-    counts = {}
-    for _ in range(4000):
-        bad = rnd.random() < 0.2
-        vote = lambda p, bad=bad: "bg"[(rnd.random() > p) == bad]
-        p = vote(0.97) + vote(0.95) + rnd.choice("bg")
-        counts[p] = counts.get(p, 0) + 1
-    post, share, rates = quality.posteriors(counts)
-    assert abs(share - 0.2) < 0.03 and post["bbg"] > 0.9 and post["ggb"] < 0.1
-    assert abs(rates[2]["bad"] - rates[2]["good"]) < 0.1
-
-
 def test_clashing_names(spark):
     rows, truth = corpus(80)
     df = spark.createDataFrame([(str(k), t, 1, 2, 3) for k, t, _ in rows], "doc_id string, text string, judged int, I int, Junk_Score int")
     labels = spark.createDataFrame([(str(k), *truth[k]) for k in truth], "doc_id string, quality int, toxic int")
     out = quality.classify(df, labels)
     assert out.columns == ["doc_id", "text", "judged", "I", *quality.OUT] and out.count() == 80
+
+
+def test_keywords_vote():
+    marks = quality.KeyMarks((frozenset({"rubb"}), frozenset()))
+    text = "what rubbish and more rubbish of the " * 10
+    for _ in range(2):  # with an empty cache, and with a filled one
+        assert quality.votes(text, quality.parse(text), marks)["toxic"] == "gb-"
+    clean = "what a day and more of the same to come " * 10
+    assert quality.votes(clean, quality.parse(clean), marks)["toxic"] == "gg-"
