@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from forumlens.llm import exact_dedup, licenses, mixing, packing, quality, secrets, sharding, simhash, token_counts, topk
+from forumlens.llm import divergence, exact_dedup, language, licenses, mixing, packing, quality, secrets, sharding, simhash, spelling, token_counts, topk
 from forumlens.session import table
 
 QUERIES = {}
@@ -172,3 +172,86 @@ FROM (SELECT *, unnest(range(copies)) AS copy FROM drawn)
 def op9_mixing(spark, sf_dir):
     out = mixing.mix(table(spark, sf_dir, "documents"), alpha=0.7, epochs=1.0, seed="mix")
     return out.select("doc_id", "source", F.round("mix_rate", 6).alias("rate"), F.col("mix_copies").alias("copies"), F.col("mix_copy").alias("copy"), F.col("mix_order").alias("shuffle_key"))
+
+
+#: CRC-32 of the expression in braces byte by byte, with the table `crc_table` of _CRC_TABLE.
+_CRC_TABLE = """crc_table AS (
+  SELECT list(c ORDER BY n) AS t FROM (
+    SELECT n, list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, n) AS c
+    FROM range(0, 256) r(n))
+)"""
+_CRC = """xor(list_reduce(list_transform(regexp_extract_all(hex(encode({})), '..'), lambda h: ('0x' || h)::BIGINT),
+            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"""
+
+_OP11 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{licenses.UPPER}', '{licenses.LOWER}') AS run FROM documents),
+counted AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (SELECT run, n, {_CRC.format("id || ':' || run")} AS h FROM counted, crc_table),
+words AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+          FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+less AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT a.word, b.word AS near FROM less a JOIN less b USING (i, d) WHERE a.word <> b.word
+         UNION SELECT less.word, d FROM less JOIN words w ON w.word = d
+         UNION SELECT d, less.word FROM less JOIN words w ON w.word = d),
+best AS (SELECT near.word, count(*) AS n_near, first(near ORDER BY w.n DESC, near) AS top, max(w.n) AS top_n FROM near JOIN words w ON w.word = near GROUP BY near.word),
+named AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 5 * n THEN top END AS form, CASE WHEN top_n >= 5 * n THEN top_n END AS form_n FROM words LEFT JOIN best USING (word)),
+up AS (SELECT word, form AS root FROM named WHERE form IS NOT NULL UNION ALL SELECT up.word, named.form FROM up JOIN named ON named.word = up.root WHERE named.form IS NOT NULL),
+ends AS (SELECT up.word, root FROM up JOIN named ON named.word = up.root WHERE named.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM named LEFT JOIN ends USING (word)
+"""
+
+
+@query("op11_spelling_variants", _OP11)
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+_OP12 = rf"""
+WITH {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, lang, {_CRC.format("coalesce(doc_id::VARCHAR, '')")} % 3 = 1 AS held_out,
+             CASE WHEN regexp_matches(text, '\pL') THEN ' ' || trim(regexp_replace(lower(text), '[^\pL]+', ' ', 'g')) || ' ' END AS t FROM documents, crc_table),
+letters AS (SELECT r, lang, held_out, unnest(string_split(t, '')) AS c, unnest(range(1, length(t) + 1)) AS i FROM d WHERE t IS NOT NULL),
+runs AS (SELECT r, lang, held_out, c, lead(c, 1) OVER w AS c2, lead(c, 2) OVER w AS c3 FROM letters WINDOW w AS (PARTITION BY r ORDER BY i)),
+grams AS (SELECT r, any_value(lang) AS lang, any_value(held_out) AS held_out, g, count(*) AS n
+          FROM (SELECT r, lang, held_out, unnest([c, c || c2, c || c2 || c3]) AS g FROM runs) WHERE g <> ' ' GROUP BY r, g),
+own AS (SELECT r, g, row_number() OVER (PARTITION BY r ORDER BY n DESC, length(g), g) - 1 AS place FROM grams QUALIFY place < {language.RANKS}),
+profile AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, length(g), g) - 1 AS place FROM grams
+            WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, g QUALIFY place < {language.RANKS}),
+met AS (SELECT r, p.lang, count(*) AS n, sum(abs(own.place - p.place)) AS off FROM own JOIN profile p USING (g) GROUP BY ALL),
+sizes AS (SELECT r, count(*) AS m FROM own GROUP BY r),
+far AS (SELECT r, l.lang, m, coalesce(off, 0) + (m - coalesce(n, 0)) * {language.RANKS} AS off FROM sizes CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN met USING (r, lang)),
+best AS (SELECT r, first(lang ORDER BY off, lang) AS lang, min(off) AS off, any_value(m) AS m FROM far GROUP BY r)
+SELECT doc_id, held_out, coalesce(best.lang, '{language.UNDETERMINED}') AS lang_pred, coalesce(1.0::DOUBLE - off::DOUBLE / (m * {language.RANKS})::DOUBLE, 0) AS score FROM d LEFT JOIN best USING (r)
+"""
+
+
+@query("op12_language_id", _OP12)
+def op12_language_id(spark, sf_dir):
+    out = language.identify_held_out(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+_OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+words AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY ALL HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
+sizes AS (SELECT lang, count(kept.term) AS v, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL),
+dense AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, kept.n AS lang_n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS own
+          FROM groups g JOIN kept USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+cells AS (SELECT lang, source, term, n, (1 + ({divergence.WHOLE}::HUGEINT * (n + {divergence.SMOOTHING})) // (own + {divergence.SMOOTHING} * v))::BIGINT AS p,
+                 (1 + ({divergence.WHOLE}::HUGEINT * (lang_n + {divergence.SMOOTHING})) // (total + {divergence.SMOOTHING} * v))::BIGINT AS q FROM dense JOIN sizes USING (lang)),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM cells a JOIN cells b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+          FROM groups a JOIN groups b USING (lang) LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source WHERE a.source <> b.source
+          UNION ALL SELECT lang, source, 'term', term, p - q FROM cells WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM parts QUALIFY part = 'pair' OR rank <= {divergence.TOP}
+"""
+
+
+@query("op13_source_divergence", _OP13)
+def op13_source_divergence(spark, sf_dir):
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -44,6 +45,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
+def lower_ascii(text: Column) -> Column:
+    """A-Z in lower case and all else as it is; the slower translate() is for text beyond ASCII, of which lower() changes more."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+
+
 def spare(df: DataFrame, name: str) -> str:
     """A column name that `df` does not have; case does not tell names apart."""
     taken = {c.lower() for c in df.columns}

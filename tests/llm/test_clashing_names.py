@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from forumlens.llm import exact_dedup, licenses, mixing, packing, quality, secrets, sharding, simhash, token_counts, topk
+from forumlens.llm import divergence, exact_dedup, language, licenses, mixing, packing, quality, secrets, sharding, simhash, spelling, token_counts, topk
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 NAMES = ["_first", "_part", "part", "rank", "_gone", "gone", "_mix_key", "_mix_first", "_q", "judged", "jump", "_Jump", "dedup_source", "ident", "rate", "n", "g", "h", "of", "Row", "Key", "DIGEST", "content", "salt", "id", "fp", "node", "label", "comp", "words", "secrets_", "piece", "vec", "a.b"]
@@ -22,6 +22,9 @@ CALLS = {
     "first": (exact_dedup.keep_first, True),
     "packing": (lambda d: packing.pack(d, PATH), False),
     "mixing": (lambda d: mixing.mix(d, epochs=3.0), True),
+    "spelling": (lambda d: spelling.spelling_variants(d, min_count=1), False),
+    "language": (lambda d: language.identify_held_out(d, lang_col="source"), True),
+    "divergence": (lambda d: divergence.source_divergence(d, lang_col="source", source_col="part", min_docs=1), False),
     "quality": (lambda d: quality.classify(d, d.sparkSession.createDataFrame([], "doc_id string, quality int, toxic int")), True),
 }
 
