@@ -1,4 +1,6 @@
-"""Hybrid retrieval: BM25, hashed dense vectors, rank fusion and lexical reranking, in one plan.
+"""The parts of hybrid retrieval: gate, BM25, hashed dense vectors, rank fusion and lexical reranking.
+
+operators.inverted puts them together for many questions at once; here each is by itself, for one question.
 
 A query has few terms, so nothing is exploded to count them: term frequencies are conditional counts inside each row,
 and corpus size, document frequencies and average length are one aggregation. Only the documents that pass the gate
@@ -14,7 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from forumlens.functions.text import snippet, tokenize
+from forumlens.functions.text import tokenize
 
 K1, B, RRF_K, DIMENSIONS = 1.5, 0.75, 60, 128
 STOPWORDS = frozenset("a an and are as at be by for from how in is it of on or the to was what with".split())
@@ -90,19 +92,6 @@ def bm25(corpus: DataFrame, docs: DataFrame, query: str, id_col: str, k1: float
     return _score(docs.select(id_col, "_tokens").crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(mean)), query, id_col, k1)  # one row each
 
 
-def gated_bm25(corpus: DataFrame, query: str, id_col: str, where: Column | None, stopwords: frozenset[str] = STOPWORDS) -> tuple[DataFrame, DataFrame]:
-    """(gated documents, their bm25): gate() and bm25() of one scan for all statistics and one for the scores."""
-    need = important_terms(query, stopwords)
-    own = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    hit = own & F.arrays_overlap("_tokens", F.array(*map(F.lit, need))) if need else own
-    stats = corpus.agg(*_frequencies(query), F.coalesce(F.bool_or(hit), F.lit(False)).alias("_any"), _mean_length(hit).alias("_hit"), _mean_length(own).alias("_own"))
-    # One term that nothing shares opens the gate; no document shares several.
-    opens = ~F.col("_any") if len(need) == 1 else F.lit(False)
-    stats = stats.withColumn("_avg", F.when(opens, F.col("_own")).otherwise(F.col("_hit")))
-    inside = corpus.crossJoin(F.broadcast(stats)).filter(hit | (own & opens))  # one row
-    return inside.select(id_col, "_tokens"), _score(inside, query, id_col, K1)
-
-
 def hash_slot(term: Column) -> tuple[Column, Column]:
     """(dimension, sign) of a term, from its SHA-256."""
     digest = F.sha2(term, 256)
@@ -155,23 +144,6 @@ def rerank_score(base: Column, title: Column | None, text: Column, query: str) -
     return base + 0.12 * share(title) + 0.05 * share(text) + 0.03 * phrase
 
 
-def search(df: DataFrame, query: str, id_col: str, text: str, title: str | None = None, where: Column | None = None, k: int = 5, stopwords: frozenset[str] = STOPWORDS) -> DataFrame:
-    """(id, rank, score, snippet): filter, gate, BM25 and dense, cut, fuse, cut, rerank, rank.
-
-    Stopwords are general ones by default; a domain adds the words that all of its documents hold.
-    """
-    corpus = with_tokens(df, F.concat_ws(" ", *[F.col(c) for c in (title, text) if c]))
-    docs, scores = gated_bm25(corpus, query, id_col, where, stopwords)
-    wide = max(4 * k, 20)
-    lists = [ranked(scores, "bm25", id_col, wide), ranked(dense(docs, query, id_col), "dense", id_col, wide)]
-    fused = rrf(lists, id_col).orderBy(F.desc("fused"), id_col).limit(max(2 * k, 10))
-    texts = df.select(id_col, F.col(text).alias("_text"), *([F.col(title).alias("_title")] if title else []))
-    hits = F.broadcast(fused).join(texts, id_col)  # at most max(2k, 10) rows
-    score = F.round(rerank_score(F.col("fused"), F.col("_title") if title else None, F.col("_text"), query), 6)
-    hits = hits.withColumn("score", score)
-    return ranked(hits, "score", id_col, k).select(id_col, "rank", "score", snippet("_text").alias("snippet"))
-
-
 def knn_cosine(vectors: DataFrame, target: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
     """(id, score): the k rows nearest to the one vector of `target` by cosine, exact."""
     one = target.select(F.col(vector).cast("array<double>").alias("_q")).limit(1)

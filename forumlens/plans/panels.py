@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forumlens.functions import text
-from forumlens.operators import aggs, dedup, filters, retrieval
+from forumlens.operators import aggs, dedup, filters, inverted, retrieval
 from forumlens.plans import search
 from forumlens.plans.registry import query
 from forumlens.session import table
@@ -84,21 +84,24 @@ class Answer:
 
 #: Columns of a corpus that tools ask for, by what they are to them.
 ROLES = ("id", "text", "title", "topic", "corpus", "region", "period", "platform", "source", "sentiment")
+#: Those that a search can be limited by.
+FACETS = ("corpus", "region", "platform", "source", "period")
 
 
 class Tools:
     """Read-only questions over a table of documents of two kinds; every answer is a table of figures and one of evidence.
 
     columns: the name of each role's column; a role without a column filters nothing and is null. A region asked for
-    also admits national documents; a period that is null is within every range.
+    also admits national documents; a period that is null is within every range. index: of the same documents, with the
+    facets FACETS; without one each answer reads the texts once, however many questions it asks.
     """
 
     NAMES = ("search_discussion", "search_official", "aggregate_topic", "compare_regions", "sentiment_trend", "coverage")
 
-    def __init__(self, docs: DataFrame, columns: dict[str, str], discussion: str = "discussion", official: str = "official", national: str = "AU", stopwords: frozenset[str] = retrieval.STOPWORDS):
+    def __init__(self, docs: DataFrame, columns: dict[str, str], discussion: str = "discussion", official: str = "official", national: str = "AU", stopwords: frozenset[str] = retrieval.STOPWORDS, index: inverted.InvertedIndex | None = None):
         kinds = {"period": "date", "sentiment": "double"}
         cols = [(F.col(columns[r]) if r in columns else F.lit(None).cast(kinds.get(r, "string"))).alias(r) for r in ROLES]
-        self.docs, self.discussion, self.official, self.national, self.stopwords = docs.select(*cols), discussion, official, national, stopwords
+        self.docs, self.discussion, self.official, self.national, self.stopwords, self.index = docs.select(*cols), discussion, official, national, stopwords, index
 
     def call(self, name: str, **arguments) -> Answer:
         if name not in self.NAMES:
@@ -110,9 +113,16 @@ class Tools:
         day = lambda d: F.lit(d) if d else None
         return out & filters.null_tolerant_range("period", day(r.start), day(r.end))
 
+    def _ask(self, requests: list[SearchRequest], top_k: int) -> DataFrame:
+        """(question, id, rank, score, snippet): one plan for all requests, numbered in order; all are cut to `top_k`."""
+        source = self.index or inverted.Corpus(self.docs, "id", F.concat_ws(" ", "title", "text"), {f: f for f in FACETS})
+        regions = lambda r: {"region": (r.region, self.national)} if r.region else {}
+        only = lambda r: {f: (v,) for f, v in (("corpus", r.corpus), ("platform", r.platform), ("source", r.source_group)) if v}
+        asked = [inverted.Question(r.query, only(r) | regions(r), {"period": (r.start, r.end)} if r.start or r.end else {}) for r in requests]
+        return inverted.ask(source, self.docs.select("id", "title", "text"), asked, top_k, "title", self.stopwords)
+
     def _search(self, corpus: str, query: str, top_k: int = 5, **more) -> DataFrame:
-        r = SearchRequest(query, top_k, corpus, **more)
-        return retrieval.search(self.docs, r.query, "id", "text", where=self._where(r), k=r.top_k, stopwords=self.stopwords)
+        return self._ask([SearchRequest(query, top_k, corpus, **more)], top_k).drop("question")
 
     def _about(self, topic: str, *fields: str, **more) -> DataFrame:
         """Discussion that shares any word with the topic, in any of the fields."""
@@ -137,9 +147,12 @@ class Tools:
         """For each of two to four regions how many of the best two documents of each corpus there are."""
         if not 2 <= len(dict.fromkeys(regions)) <= 4:
             raise ValueError("2 to 4 regions can be compared")
-        parts = [self._search(c, query, 2, region=r, start=start, end=end).withColumns({"region": F.lit(r), "corpus": F.lit(c)}) for r in dict.fromkeys(regions) for c in (self.discussion, self.official)]
-        found = dedup.union_all(*parts)
-        every = found.sparkSession.createDataFrame([(r,) for r in dict.fromkeys(regions)], "region string")
+        asked = [(r, c) for r in dict.fromkeys(regions) for c in (self.discussion, self.official)]
+        found = self._ask([SearchRequest(query, 2, c, region=r, start=start, end=end) for r, c in asked], 2)
+        spark = found.sparkSession
+        named = spark.createDataFrame([(n, *a) for n, a in enumerate(asked)], "question int, region string, corpus string")
+        found = found.join(F.broadcast(named), "question").drop("question")
+        every = spark.createDataFrame([(r,) for r in dict.fromkeys(regions)], "region string")
         hits = lambda c: F.count(F.when(F.col("corpus") == c, 1))
         counts = found.groupBy("region").agg(hits(self.discussion).alias("discussion_hits"), hits(self.official).alias("official_hits"))
         return Answer(every.join(counts, "region", "left").na.fill(0), found)
@@ -155,7 +168,7 @@ class Tools:
         corpora = (self.discussion, self.official) if corpus == "both" else (corpus,)
         docs = self.docs.filter(F.col("corpus").isin(*corpora) & filters.region_or_national("region", region, self.national))
         data = docs.agg(F.count("*").alias("document_count"), F.array_sort(F.collect_set("source")).alias("sources"), F.min("period").alias("date_min"), F.max("period").alias("date_max"))
-        return Answer(data, dedup.union_all(*[self._search(c, about, 1, region=region) for c in corpora]))
+        return Answer(data, self._ask([SearchRequest(about, 1, c, region=region) for c in corpora], 1).drop("question"))
 
 
 def tools_over(spark, sf) -> Tools:

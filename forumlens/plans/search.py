@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from forumlens.operators import retrieval
+from forumlens.operators import inverted, retrieval
+from forumlens.operators.inverted import Question
 from forumlens.plans.registry import query
-from forumlens.session import table
+from forumlens.session import fresh_dir, table
 
 QUERY = "the mit license of thing"
 
@@ -81,7 +82,7 @@ def rrf_fusion(spark, sf):
 SELECT doc_id, rank, score, CASE WHEN length(s) <= 240 THEN s ELSE rtrim(s[1:239]) || '…' END AS snippet FROM z WHERE rank <= 10""",
 )
 def hybrid_search(spark, sf):
-    return retrieval.search(table(spark, sf, "documents"), QUERY, "doc_id", "text", where=F.col("lang") == "en", k=10)
+    return inverted.search(table(spark, sf, "documents"), QUERY, "doc_id", "text", where=F.col("lang") == "en", k=10)
 
 
 @query(
@@ -134,3 +135,72 @@ def adapter_fusion(spark, sf):
 )
 def match_latest(spark, sf):
     return retrieval.match_latest(table(spark, sf, "documents"), "MIT Apache", ["source", "text"], "n_chars", "doc_id", 25).select("doc_id", "n_chars")
+
+
+FACETS = {"corpus": "lang", "region": "source"}
+
+
+def indexed(spark, sf):
+    """An inverted index of `documents`, below the shared folder."""
+    return inverted.InvertedIndex.build(table(spark, sf, "documents"), "doc_id", F.col("text"), fresh_dir(spark, "index"), FACETS)
+
+
+@query("index_bm25_topk", base_sql() + "z AS (SELECT 1) SELECT doc_id, bm25, rank::INT AS rank FROM rb")
+def index_bm25_topk(spark, sf):
+    """bm25_topk from the index alone."""
+    index = indexed(spark, sf)
+    asked = inverted.Asked(spark, [Question(QUERY, {"corpus": ("en",)})], index.kinds)
+    return index.top_bm25(asked, 40)[1].select(F.col("id").alias("doc_id"), "bm25", "rank")
+
+
+#: Fifty questions: five texts about twenty regions, of which some are of one corpus. Each has two important terms or more, so
+#: that no gate stands open.
+ASKED = [
+    Question(text, {"region": (f"src{n}", "src0")} | ({"corpus": ("en", "fr")} if n % 3 else {}))
+    for text in ("mit license", "the apache license version", "general public license of the", "password secret token", "this worthless document") for n in range(1, 11)
+]
+
+
+def many_sql(questions: list[Question], k: int) -> str:
+    """The answers to questions whose gates are shut, by one statement over tables of questions and of their terms."""
+    quoted = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]" if xs else "NULL"
+    rows = ", ".join(f"({n}, {quoted(q.only.get('corpus'))}, {quoted(q.only.get('region'))}, '{q.text}', {quoted(sorted(set(retrieval.tokens_of(q.text))))})" for n, q in enumerate(questions))
+    terms = ", ".join(f"({n}, '{t}', {t in retrieval.important_terms(q.text)})" for n, q in enumerate(questions) for t in retrieval.tokens_of(q.text))
+    wide, cut = max(4 * k, 20), max(2 * k, 10)
+    slot = "('0x' || sha256(term)[1:8])::BIGINT % 128 AS slot, sum(CASE WHEN ('0x' || sha256(term)[9:10])::BIGINT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS v"
+    return rf"""WITH qs(question, corpora, regions, phrase, words) AS (VALUES {rows}), qt(question, term, important) AS (VALUES {terms}),
+c AS (SELECT *, {_TOKENS.format('text')} AS t FROM documents), n AS (SELECT greatest(count(*), 1) AS n FROM c),
+p AS (SELECT doc_id, lang, source, len(t) AS len, term, len(list_filter(t, lambda x: x = term)) AS tf FROM c, (SELECT DISTINCT term FROM qt) WHERE list_contains(t, term)),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+d AS (SELECT DISTINCT question, doc_id, len FROM p JOIN qt USING (term) JOIN qs USING (question) WHERE important AND coalesce(list_contains(corpora, lang), corpora IS NULL) AND coalesce(list_contains(regions, source), regions IS NULL)),
+a AS (SELECT question, greatest(avg(len), 1) AS a FROM d GROUP BY 1),
+bm AS (SELECT question, d.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * d.len / a))), 6) AS bm25
+       FROM d JOIN qt USING (question) JOIN p USING (doc_id, term) JOIN f USING (term) JOIN a USING (question), n GROUP BY ALL),
+cells AS (SELECT doc_id, {slot} FROM (SELECT doc_id, unnest(t) AS term FROM c WHERE doc_id IN (SELECT doc_id FROM d)) GROUP BY ALL),
+norms AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM cells GROUP BY 1),
+qc AS (SELECT question, {slot} FROM qt GROUP BY ALL), qn AS (SELECT question, slot, v / sqrt(sum(v * v) OVER (PARTITION BY question)) AS v FROM qc),
+dots AS (SELECT question, doc_id, sum(qn.v * cells.v) AS dot FROM d JOIN cells USING (doc_id) JOIN qn USING (question, slot) GROUP BY ALL),
+de AS (SELECT question, doc_id, round(coalesce(dot, 0) / norm, 6) AS dense FROM d JOIN norms USING (doc_id) LEFT JOIN dots USING (question, doc_id)),
+rb AS (SELECT question, doc_id, row_number() OVER (PARTITION BY question ORDER BY bm25 DESC, doc_id) AS rank FROM bm QUALIFY rank <= {wide}),
+rd AS (SELECT question, doc_id, row_number() OVER (PARTITION BY question ORDER BY dense DESC, doc_id) AS rank FROM de QUALIFY rank <= {wide}),
+fu AS (SELECT question, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS fused FROM (SELECT * FROM rb UNION ALL SELECT * FROM rd) GROUP BY question, doc_id),
+fc AS (SELECT * FROM fu QUALIFY row_number() OVER (PARTITION BY question ORDER BY fused DESC, doc_id) <= {cut}),
+re AS (SELECT question, doc_id, round(fused + 0.05 * (len(list_intersect(list_distinct(t), words)) / len(words)) + 0.03 * contains(lower(text), phrase)::INT, 6) AS score FROM fc JOIN c USING (doc_id) JOIN qs USING (question))
+SELECT question, doc_id, (row_number() OVER (PARTITION BY question ORDER BY score DESC, doc_id))::INT AS rank, score FROM re QUALIFY rank <= {k}"""
+
+
+def _asked(source, spark, sf, k):
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return inverted.ask(source, texts, ASKED, k).select("question", F.col("id").alias("doc_id"), "rank", "score")
+
+
+@query("many_questions", many_sql(ASKED, 5))
+def many_questions(spark, sf):
+    """Fifty questions in one plan, whose tokens are cut once."""
+    return _asked(inverted.Corpus(table(spark, sf, "documents"), "doc_id", F.col("text"), FACETS), spark, sf, 5)
+
+
+@query("index_many_questions", many_sql(ASKED, 3))
+def index_many_questions(spark, sf):
+    """Fifty questions to the index."""
+    return _asked(indexed(spark, sf), spark, sf, 3)

@@ -55,4 +55,17 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that is not taken; what is written there goes when the application ends, at the latest."""
+    own = f"{shared_dir(spark)}/forumlens-{spark.sparkContext.applicationId}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(own)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet in the shared folder and read again: it is computed once, and lost executors lose nothing."""
+    path = fresh_dir(df.sparkSession, "saved")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forumlens.operators import aggs, dedup, filters, normalise, retrieval, sentiment
+from forumlens.operators import aggs, dedup, filters, inverted, normalise, retrieval, sentiment
 from forumlens.plans.panels import SearchRequest, Tools
 from forumlens.sources import readers, sinks
 from forumlens.streaming import jobs
@@ -65,12 +65,12 @@ def corpus(spark):
 
 
 def test_search_gate_and_isolation(spark, corpus):
-    hit = lambda q, c="x", **k: [r.id for r in retrieval.search(corpus, q, "id", "text", where=F.col("corpus") == c, **k).collect()]
+    hit = lambda q, c="x", **k: [r.id for r in inverted.search(corpus, q, "id", "text", where=F.col("corpus") == c, **k).collect()]
     assert hit("rents sydney") == ["d1", "d2"]
     assert hit("quantum chromodynamics") == []  # several important terms and none there
     assert len(hit("quantum")) == 3  # one important term: the gate opens
     assert hit("rents", "y") == ["o1"]
-    assert [r["rank"] for r in retrieval.search(corpus, "rents", "id", "text", k=2).collect()] == [1, 2]
+    assert [r["rank"] for r in inverted.search(corpus, "rents", "id", "text", k=2).collect()] == [1, 2]
 
 
 def test_tools_check_their_arguments(spark, corpus):
