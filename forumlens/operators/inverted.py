@@ -25,13 +25,15 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from forumlens.functions.text import snippet, tokenize
-from forumlens.operators.retrieval import B, DIMENSIONS, K1, RRF_K, STOPWORDS, hash_slot, important_terms, query_vector, tokens_of
+from forumlens.operators.retrieval import B, K1, RRF_K, STOPWORDS, count_of, hash_slot, important_terms, query_vector, tokens_of
 from forumlens.session import fresh_dir, saved
 
 #: Bound of the table of questions, which is broadcast.
 MAX_QUESTIONS = 10_000
 #: Folders of an index, files that a folder's postings are dealt over, and documents of a range.
 BUCKETS, SPLITS, RANGE = 64, 4, 128
+#: Terms that are counted within a row, at most.
+FEW = 12
 #: Scores are rounded before they rank; a range is left out only if it stays below the floor by more than that.
 SLACK = 1e-5
 #: So many surviving ranges, at most, are handed to the scan as a filter.
@@ -89,10 +91,10 @@ def _about(facets: dict[str, str]) -> Column:
     return F.struct(F.lit(True).alias("given"), *[F.col(f"`{c}`").alias(f) for f, c in facets.items()]).alias("about")
 
 
-def _cells(tokens: DataFrame, weight: Column) -> DataFrame:
-    """(id, cells, norm) of (id, term): the signed feature hashes of a document as a sparse vector."""
+def _cells(postings: DataFrame) -> DataFrame:
+    """(id, cells, norm) of (id, term, tf): the signed feature hashes of a document as a sparse vector."""
     at, sign = hash_slot(F.col("term"))
-    cells = tokens.groupBy("id", at.alias("at")).agg(F.sum(sign * weight).alias("v"))
+    cells = postings.groupBy("id", at.alias("at")).agg(F.sum(sign * F.col("tf")).alias("v"))
     return cells.groupBy("id").agg(F.collect_list(F.struct("at", "v")).alias("cells"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
 
 
@@ -110,17 +112,24 @@ class Corpus:
         return self.df.select("id", "about", F.size(tokenize("text")).alias("len"))
 
     def postings(self, terms: list[str] | None) -> DataFrame:
-        """(id, len, about, term, tf), of the given terms or of all."""
-        tokens = self.df.select("id", "about", tokenize("text").alias("tokens"))
-        each = tokens.select("id", F.size("tokens").alias("len"), "about", F.explode("tokens").alias("term"))
+        """(id, len, about, term, tf), of the given terms or of all.
+
+        Few terms are counted within each row, which needs no shuffle; more are met by a join.
+        """
+        tokens = self.df.select("id", "about", tokenize("text").alias("tokens")).withColumn("len", F.size("tokens"))
+        if terms is not None and len(terms) <= FEW:
+            counts = F.array(*[F.struct(F.lit(t).alias("term"), count_of("tokens", t).alias("tf")) for t in terms]) if terms else F.array().cast("array<struct<term: string, tf: int>>")
+            return tokens.select("id", "len", "about", F.inline(F.filter(counts, lambda c: c["tf"] > 0)))
+        each = tokens.select("id", "len", "about", F.explode("tokens").alias("term"))
         if terms is not None:
             # Terms are those of at most MAX_QUESTIONS questions.
             each = each.join(F.broadcast(_terms(self.spark, terms)), "term")
         return each.groupBy("id", "len", "about", "term").agg(F.count("*").cast("int").alias("tf"))
 
     def cells(self, ids: DataFrame) -> DataFrame:
-        """Texts are cut into tokens for these ids only."""
-        return _cells(self.df.join(ids, "id").select("id", F.explode(tokenize("text")).alias("term")), F.lit(1.0))
+        """Texts are cut into tokens for these ids only, after one shuffle by id that serves all sums."""
+        each = self.df.join(ids, "id").repartition("id").select("id", F.explode(tokenize("text")).alias("term"))
+        return _cells(each.groupBy("id", "term").agg(F.count("*").alias("tf")))
 
     def top_bm25(self, asked: Asked, k: int, k1: float = K1) -> tuple[DataFrame, DataFrame]:
         """(candidates (question, id, len), the best k of each question (question, id, bm25, rank))."""
@@ -194,7 +203,7 @@ class InvertedIndex:
         postings = spark.read.parquet(f"{path}/postings")
         blocks = postings.groupBy("bucket", "term", "range").agg(F.count("*").alias("n"), F.max("tf").alias("tf"), F.min("len").alias("len"))
         blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/blocks")
-        docs = corpus.docs().join(_cells(postings.select("id", "term", "tf"), F.col("tf").cast("double")), "id", "left")
+        docs = corpus.docs().join(_cells(postings.select("id", "term", "tf")), "id", "left")
         docs.write.parquet(f"{path}/docs")
         spark.createDataFrame([(max(1, n), buckets)], "n long, buckets int").coalesce(1).write.parquet(f"{path}/size")
         return InvertedIndex(spark, path)
