@@ -14,6 +14,7 @@ The result is that of scoring all.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
@@ -181,8 +182,10 @@ class InvertedIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.kinds = {f.name: f.dataType for f in self._read("docs").schema["about"].dataType.fields if f.name != "given"}
-        self.buckets = int(self._read("size").first().buckets)
+        meta = spark.read.parquet(f"{self.path}/meta").first()
+        self.schemas = {name: T.StructType.fromJson(json.loads(kind)) for name, kind in meta.schemas.items()}
+        self.n, self.buckets = meta.n, meta.buckets
+        self.kinds = {f.name: f.dataType for f in self.schemas["docs"]["about"].dataType.fields if f.name != "given"}
 
     @staticmethod
     def build(df: DataFrame, id_col: str, text: Column, path: str, facets: dict[str, str] | None = None, buckets: int = BUCKETS, splits: int = SPLITS, per_range: int = RANGE) -> InvertedIndex:
@@ -200,19 +203,20 @@ class InvertedIndex:
         all_ = all_.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
         dealt = all_.repartition(buckets * splits, "bucket", F.pmod(F.xxhash64("range"), F.lit(splits)))
         dealt.sortWithinPartitions("bucket", "term", "range", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
-        postings = spark.read.parquet(f"{path}/postings")
+        postings = spark.read.schema(all_.schema).parquet(f"{path}/postings")
         blocks = postings.groupBy("bucket", "term", "range").agg(F.count("*").alias("n"), F.max("tf").alias("tf"), F.min("len").alias("len"))
         blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/blocks")
         docs = corpus.docs().join(_cells(postings.select("id", "term", "tf")), "id", "left")
         docs.write.parquet(f"{path}/docs")
-        spark.createDataFrame([(max(1, n), buckets)], "n long, buckets int").coalesce(1).write.parquet(f"{path}/size")
+        schemas = {name: df.schema.json() for name, df in (("postings", all_), ("blocks", blocks), ("docs", docs))}
+        spark.createDataFrame([(max(1, n), buckets, schemas)], "n long, buckets int, schemas map<string, string>").coalesce(1).write.parquet(f"{path}/meta")
         return InvertedIndex(spark, path)
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{name}")
 
     def size(self) -> DataFrame:
-        return self._read("size").select("n")
+        return self.spark.range(1).select(F.lit(self.n).alias("n"))
 
     def docs(self) -> DataFrame:
         return self._read("docs").select("id", "about", "len")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from forumlens.operators import inverted, retrieval
+from forumlens.operators import inverted, nearest, retrieval
 from forumlens.operators.inverted import Question
 from forumlens.plans.registry import query
 from forumlens.session import fresh_dir, table
@@ -204,3 +204,35 @@ def many_questions(spark, sf):
 def index_many_questions(spark, sf):
     """Fifty questions to the index."""
     return _asked(indexed(spark, sf), spark, sf, 3)
+
+
+_COSINE = "round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6)"
+
+
+def vector_index(spark, sf):
+    return nearest.VectorIndex.build(table(spark, sf, "embeddings"), "vec_id", "embedding", fresh_dir(spark, "vectors"), {"label": "label"})
+
+
+def asked_vectors(spark, sf):
+    return table(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+
+
+@query(
+    "knn_filtered",
+    f"""SELECT q.vec_id AS query, v.vec_id AS id, (row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE} DESC, v.vec_id))::INT AS rank, {_COSINE} AS score
+FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND v.label IN (1, 2) QUALIFY rank <= 10""",
+)
+def knn_filtered(spark, sf):
+    """The nearest rows of two labels, with all cells looked into, so that the answer is exact."""
+    index = vector_index(spark, sf)
+    return index.nearest(asked_vectors(spark, sf), 10, where=F.col("about.label").isin(1, 2), probes=len(index.centres))
+
+
+@query("knn_cells_recall", "SELECT count(*) FILTER (vec_id % 50 = 0) AS queries, count(*) AS rows, true AS recalled FROM embeddings")
+def knn_cells_recall(spark, sf):
+    """Whether the cells that the index has measured to be enough find nine in ten of the ten nearest rows of every query."""
+    index, asked = vector_index(spark, sf), asked_vectors(spark, sf)
+    found = [index.nearest(asked, 10, probes=n).select("query", "id") for n in (None, len(index.centres))]
+    both = found[0].join(found[1], ["query", "id"]).agg(F.count("*").alias("both"))
+    counts = index.rows().agg(F.count(F.when(F.col("id") % 50 == 0, 1)).alias("queries"), F.count("*").alias("rows"))
+    return counts.crossJoin(both).crossJoin(found[1].agg(F.count("*").alias("all"))).select("queries", "rows", (F.col("both") >= 0.9 * F.col("all")).alias("recalled"))  # one row each
