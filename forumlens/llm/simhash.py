@@ -14,6 +14,7 @@ skewed_fingerprints), whose distance follows the Jaccard similarity, and verify
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -163,7 +164,7 @@ def stars(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]
     return a[first], b[first]
 
 
-def _walker(bits: int, budget: int, thin: Callable | None, similarity: float, names: list[str]):
+def _walker(bits: int, budget: int, thin: Callable | None, similarity: float, far: int | None, names: list[str]):
     """Node pairs with their items to pairs (a, b) of ids."""
     width, turns = bits // (budget + 1), budget + 1
     n_tables = sum(c not in ITEM for c in names)
@@ -198,6 +199,8 @@ def _walker(bits: int, budget: int, thin: Callable | None, similarity: float, na
                     ok = _first_block(x[0][i] ^ y[0][j], int(turn[k]) % turns, bits, width)
                     for f in range(min(n_tables, int(turn[k]) // turns)):  # a pair is reported by its first table
                         ok &= np.bitwise_count(x[len(ITEM) + f][i] ^ y[len(ITEM) + f][j]) > budget
+                    if far is not None:
+                        ok &= sum(np.bitwise_count(x[c][i] ^ y[c][j]).astype(np.int32) for c in range(len(ITEM), len(names))) <= far
                     pieces.append((i[ok], j[ok]))
                 i, j = (np.concatenate([p[s] for p in pieces]) if pieces else np.zeros(0, np.int64) for s in (0, 1))
                 a, b = x[1], y[1]
@@ -214,16 +217,17 @@ def _walker(bits: int, budget: int, thin: Callable | None, similarity: float, na
     return walk
 
 
-def trie_join(rows: DataFrame, bits: int, budget: int, unit: int = UNIT, thin: Callable | None = None, apart: bool = True, similarity: float = 0.0) -> DataFrame:
+def trie_join(rows: DataFrame, bits: int, budget: int, unit: int = UNIT, thin: Callable | None = None, apart: bool = True, similarity: float = 0.0, far: int | None = None) -> DataFrame:
     """Pairs (a, b) of ids of trie_rows() of unequal `comp` within the budget, some of them more than once.
 
     thin: what to hand on of the links found in one task, all by default. apart False: nodes are joined with themselves
     only, so that the work is in proportion to the rows. similarity: least Jaccard similarity that sets of the items'
-    sizes, and of what they have in common with any, must be able to have.
+    sizes, and of what they have in common with any, must be able to have. far: bits in which the fingerprints of all
+    tables together may differ, where items carry them.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields if f.name != "turn"}
     names = [*ITEM, *(c for c in kinds if c not in ITEM)]
-    depth, walk, out = bits // (budget + 1), _walker(bits, budget, thin, similarity, names), None
+    depth, walk, out = bits // (budget + 1), _walker(bits, budget, thin, similarity, far, names), None
     small = F.col("na") * F.col("nb") <= unit
     held = [F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")]
     nodes = rows.groupBy("turn", _prefix(F.col("v"), depth).alias("p")).agg(*held).filter("n > 1 and low <> high")
@@ -303,6 +307,20 @@ TABLES, SKEWED_BITS, SKEWED_BUDGET = 7, 36, 3
 SEARCHED = ((0,), (1, 2), (3, 4, 5, 6))
 
 
+#: Share of pairs at the least similarity that the distance over all tables may leave out.
+MISSED = 1e-3
+
+
+def farthest(bits: int, differs: float, missed: float = MISSED) -> int:
+    """The number of differing bits that is exceeded with a probability of at most `missed`, each differing by itself."""
+    seen = 0.0
+    for d in range(bits + 1):
+        seen += math.comb(bits, d) * differs**d * (1 - differs) ** (bits - d)
+        if seen >= 1 - missed:
+            return d
+    return bits
+
+
 def skewed_fingerprints(hashes: np.ndarray, tables: int = TABLES, bits: int = SKEWED_BITS) -> np.ndarray:
     """SimHashes of skewed weights: `tables` numbers of `bits` bits, of the distinct shingle hashes of a text.
 
@@ -346,7 +364,9 @@ def similar_sets(base: DataFrame, width: int, similarity: float) -> tuple[DataFr
     2. all nodes hand on a link for each item that has any, a few tables after the other, until it has one, which is
        tried; items without any are done;
     3. of the items of these links those whose sets have enough in common with any other of them go on: first those
-       without a component try a link in each place of the trie, and then all pairs are found that are left.
+       without a component try a link in each place of the trie, and then all pairs are found that are left. These
+       carry all fingerprints, and pairs that differ in more of all bits than similar ones do but for one in a thousand
+       (41 of 252 at 0.8) are no candidates: a family just below the similarity has many pairs within one table's budget.
 
     Each candidate is verified on the whole sets of 64-bit hashes. Nodes without a link have no label.
     """
@@ -455,7 +475,8 @@ def similar_sets(base: DataFrame, width: int, similarity: float) -> tuple[DataFr
     linked = labels.select("node", F.lit(False).alias("open"))
     looking = some.join(linked, "node", "left").withColumn("open", F.coalesce("open", F.lit(True)))
     labels = joined(verified(pairs_of(rows_of(looking, labels), thin=stars), held), labels)
-    pairs = pairs_of(rows_of(some.select("*", *[F.get("fps", F.lit(k)).alias(f"f{k}") for k in range(TABLES)]), labels))
+    far = farthest(TABLES * SKEWED_BITS, (1 - similarity) / 2)
+    pairs = pairs_of(rows_of(some.select("*", *[F.get("fps", F.lit(k)).alias(f"f{k}") for k in range(TABLES)]), labels), far=far)
     return placed, joined(verified(pairs, held), labels)
 
 

@@ -202,3 +202,11 @@ def test_large_nodes_are_parted(spark):
     # Nothing is left to pair within one component.
     one = simhash.trie_rows(items.withColumn("comp", F.lit(0).cast("long")), 36, 3)
     assert simhash.trie_join(one, 36, 3, unit=64).count() == 0
+
+
+def test_farthest_is_a_quantile_of_the_binomial():
+    rnd = np.random.default_rng(1)
+    far = simhash.farthest(252, 0.1)
+    drawn = rnd.binomial(252, 0.1, 1_000_000)
+    assert (drawn > far).mean() <= 1.2e-3 < (drawn > far - 1).mean() * 1.2
+    assert simhash.farthest(252, 0.0) == 0 and simhash.farthest(10, 0.5, 0.0) == 10
