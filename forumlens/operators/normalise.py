@@ -118,19 +118,21 @@ def normalise_posts(raw: DataFrame) -> DataFrame:
 
 
 def live_news(rows: DataFrame, theme: str, place: Callable[[Column], Column], domain: str = ".au") -> DataFrame:
-    """Posts of a news feed's live rows (source, stamp, url, themes, locations), and why each was taken.
+    """Posts of a news feed's live rows (source, stamp, url, themes, v2_themes, locations), and why each was taken.
 
-    Taken are rows with a theme that matches the pattern, a place, or a domain. Ten themes stand for the text.
+    Taken are rows with a theme that matches the pattern, a place, or a domain. Both columns of themes count, and the first
+    ten themes stand for the text; the feed has no titles, for which the address stands.
     """
     host, link = F.lower(F.coalesce("source", F.lit(""))), F.lower(F.coalesce("url", F.lit("")))
     own = host.endswith(domain) | link.contains(f"{domain}/") | link.contains(f"://{domain[1:]}.")
-    themes = F.filter(F.transform(F.split(F.coalesce("themes", F.lit("")), ";"), lambda t: F.trim(t)), lambda t: t != "")
+    themes = F.filter(F.transform(F.split(F.concat_ws(";", "themes", "v2_themes"), ";"), lambda t: F.trim(t)), lambda t: t != "")
     keep, why = filters.any_reason({"theme": F.exists(themes, lambda t: t.rlike(theme)), "location": place(F.coalesce("locations", F.lit(""))), "domain": own})
     few = F.array_join(F.slice(themes, 1, 10), ";")
-    body = F.concat(F.lit("News: "), F.lit(". Themes: "), few)
+    title = F.coalesce("url", F.lit(""))
+    body = F.concat(F.lit("News: "), title, F.lit(". Themes: "), few)
     out = rows.filter(keep).select(
         text.safe_doc_id("url", "gdelt_doc").alias("doc_id"), F.lit("gdelt_doc").alias("platform"), "source", F.coalesce(F.lower(F.get(themes, F.lit(0))), F.lit("gdelt")).alias("query_keyword"),
-        body.alias("text"), dates.stamp_or_text("stamp").alias("created_at"), "url", F.lit(REGION).alias("city_context"), F.lit(TOPIC).alias("topic"), F.lit(COUNTRY).alias("australia_connection"),
+        title.alias("title"), body.alias("text"), dates.stamp_or_text("stamp").alias("created_at"), "url", F.lit(REGION).alias("city_context"), F.lit(TOPIC).alias("topic"), F.lit(COUNTRY).alias("australia_connection"),
         F.lit(True).alias("housing_relevant"), F.lit(0).cast("long").alias("like_count"), why.alias("filter_reason"),
     )
     return mood.attach_live(out, "text")

@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forumlens.functions import text
-from forumlens.operators import aggs, dedup, filters, inverted, retrieval
+from forumlens.operators import aggs, dedup, deltas, filters, inverted, retrieval, sketches
+from forumlens.operators.deltas import Panel
 from forumlens.plans import search
 from forumlens.plans.registry import query
-from forumlens.session import table
+from forumlens.session import fresh_dir, saved, table
+from forumlens.sources.sinks import KeyedTable
 
 
 def overview(orders: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
@@ -336,3 +338,77 @@ def video_dashboard(spark, sf):
         (k * 7 % 1000).alias("likes"), (k % 4).alias("comments"), F.when(F.col("c_acctbal") > 0, "positive").otherwise("negative").alias("sentiment_label"),
     )
     return _long(video_panels(videos))
+
+
+def followed_panels() -> dict[str, dict[str, Panel]]:
+    """The six panels that are kept up to date, by the table that they follow."""
+    c, mood = F.col, {"sentiment": F.col("sentiment")}
+    return {
+        "posts": {
+            "overview": Panel([c("platform"), c("label")], mood), "timeline": Panel([F.to_date("created_at")], mood),
+            "cities": Panel([c("region")], mood, c("region") != "Other"), "keywords": Panel([c("keyword")]),
+        },
+        "official": {"official": Panel([c("source_group"), c("state")], {"value": c("value")})},
+        "videos": {"videos": Panel([c("channel"), c("label")], {"likes": c("likes"), "comments": c("comments")})},
+    }
+
+
+def _followed(spark, sf):
+    """The rows of the three tables with a key `id` and a stamp `t`, and in which of two batches each comes.
+
+    Every fifth row comes in both batches, and with other values in the second.
+    """
+    twice = lambda k: F.explode(F.when(k % 5 == 0, F.array(F.lit(1), F.lit(2))).when(k % 5 < 3, F.array(F.lit(1))).otherwise(F.array(F.lit(2)))).alias("t")
+    k, again = F.col("id"), (F.col("t") == 2) & (F.col("id") % 5 == 0)
+    events = table(spark, sf, "events").select(F.col("event_id").alias("id"), twice(F.col("event_id")), "user_id", "event_type", "value", "ts")
+    sentiment = F.round(F.when(again, -F.col("value")).otherwise(F.col("value")) / 100, 4)
+    posts = events.select("id", "t", F.col("event_type").alias("platform"), F.when(F.col("user_id") % 3 == 0, "Other").otherwise(F.concat(F.lit("R"), F.col("user_id") % 3 + again.cast("int"))).alias("region"), F.concat(F.lit("w"), k % 7).alias("keyword"), F.col("ts").alias("created_at"), sentiment.alias("sentiment"), F.when(sentiment > 0.5, "high").otherwise("low").alias("label"))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), twice(F.col("o_orderkey")), "o_orderpriority", "o_orderstatus", "o_totalprice")
+    official = orders.select("id", "t", F.col("o_orderpriority").alias("source_group"), F.when(again, "corrected").otherwise(F.col("o_orderstatus")).alias("state"), F.col("o_totalprice").cast("decimal(18, 2)").alias("value"))
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), twice(F.col("c_custkey")), "c_nationkey", "c_acctbal")
+    videos = customers.select("id", "t", F.concat(F.lit("C"), "c_nationkey").alias("channel"), F.when(F.col("c_acctbal") > 0, "positive").otherwise("negative").alias("label"), (k * 7 % 1000 + again.cast("int")).alias("likes"), (k % 4).alias("comments"))
+    return {"posts": posts, "official": official, "videos": videos}
+
+
+_PANEL = "SELECT '{0}' AS panel, {1} AS keys, count(*) AS n, {2}::DOUBLE AS total FROM {3} GROUP BY ALL"
+
+
+@query(
+    "panels_by_deltas",
+    """WITH p AS (SELECT event_type AS platform, CASE WHEN user_id % 3 = 0 THEN 'Other' ELSE 'R' || (user_id % 3 + (event_id % 5 = 0)::INT) END AS region, 'w' || event_id % 7 AS keyword, ts, round(CASE WHEN event_id % 5 = 0 THEN -value ELSE value END / 100, 4) AS s FROM events),
+o AS (SELECT o_orderpriority AS g, CASE WHEN o_orderkey % 5 = 0 THEN 'corrected' ELSE o_orderstatus END AS state, o_totalprice AS value FROM orders),
+v AS (SELECT 'C' || c_nationkey AS channel, CASE WHEN c_acctbal > 0 THEN 'positive' ELSE 'negative' END AS label, c_custkey * 7 % 1000 + (c_custkey % 5 = 0)::INT AS likes FROM customer)
+"""
+    + " UNION ALL ".join([
+        _PANEL.format("overview", "platform || '|' || CASE WHEN s > 0.5 THEN 'high' ELSE 'low' END", "round(sum(s), 4)", "p"), _PANEL.format("timeline", "ts::DATE::VARCHAR", "round(sum(s), 4)", "p"),
+        _PANEL.format("cities", "region", "round(sum(s), 4)", "p WHERE region <> 'Other'"), _PANEL.format("keywords", "keyword", "0", "p"),
+        _PANEL.format("official", "g || '|' || state", "round(sum(value), 4)", "o"), _PANEL.format("videos", "channel || '|' || label", "round(sum(likes), 4)", "v"),
+    ]),
+)
+def panels_by_deltas(spark, sf):
+    """Six panels after two batches, of which the second also corrects rows of the first."""
+    parts, panels = [], followed_panels()
+    for name, rows in _followed(spark, sf).items():
+        out, rows = fresh_dir(spark, name), saved(rows)
+        target, store = KeyedTable(spark, f"{out}/table", rows.schema, "id", "t"), deltas.PanelStore(spark, f"{out}/panels", panels[name])
+        for batch in (1, 2):
+            deltas.follow(target, store, rows.filter(F.col("t") == batch))
+        parts.append(store.state())
+    total = F.coalesce(F.element_at("sums", F.when(F.col("panel") == "official", "value").when(F.col("panel") == "videos", "likes").otherwise("sentiment")), F.lit(0))
+    return dedup.union_all(*parts).select("panel", F.array_join("keys", "|").alias("keys"), "n", F.round(total, 4).cast("double").alias("total"))
+
+
+@query(
+    "sketches_over_days",
+    """SELECT event_type, count(*) AS n, true AS members_near, true AS quantiles_near FROM events WHERE ts::DATE BETWEEN DATE '2024-01-03' AND DATE '2024-01-20' GROUP BY 1""",
+)
+def sketches_over_days(spark, sf):
+    """Whether the merged sketches of eighteen days are as near to the exact answers as they promise."""
+    events, start, end, points = table(spark, sf, "events"), date(2024, 1, 3), date(2024, 1, 20), [0.5, 0.95]
+    days = saved(sketches.daily(events, "ts", ["event_type"], "user_id", "value"))
+    merged = sketches.over(days, ["event_type"], points, start, end)
+    inside = events.filter(filters.date_range("ts", start, end)).join(F.broadcast(merged), "event_type")  # a row an event type
+    below = lambda i: F.avg((F.col("value") <= F.col("quantiles")[i]).cast("double"))
+    exact = inside.groupBy("event_type").agg(F.first("n").alias("n"), F.first("members").alias("members"), F.countDistinct("user_id").alias("users"), below(0).alias("b0"), below(1).alias("b1"))
+    near = [F.abs(F.col(f"b{i}") - q) <= 2 * sketches.RANK_ERROR for i, q in enumerate(points)]
+    return exact.select("event_type", "n", (F.abs(F.col("members") - F.col("users")) <= F.greatest(F.lit(1.0), F.col("users") * sketches.distinct_error())).alias("members_near"), (near[0] & near[1]).alias("quantiles_near"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forumlens.functions import pii, text
 from forumlens.operators import dedup, evaluation, filters, normalise, retrieval, sentiment
 from forumlens.plans.registry import query
-from forumlens.session import fresh_dir, table
+from forumlens.session import fresh_dir, saved, table
 from forumlens.sources import readers, sinks
 
 
@@ -128,19 +132,48 @@ def posts_enriched(spark, sf):
 @query(
     "live_news_rows",
     """WITH p AS (SELECT page_id, page_id % 2 = 0 AS place, page_id % 5 = 0 AS own FROM pages)
-SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'econ_housing' ELSE 'wb_1' END AS query_keyword, 'News: . Themes: ' || CASE WHEN page_id % 3 = 0 THEN 'ECON_HOUSING;T2' ELSE 'WB_1' END AS text, '2024-03-01T00:00:00Z' AS created_at,
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'econ_housing' ELSE 'wb_1' END AS query_keyword, 'News: https://x.org/' || page_id || '. Themes: ' || CASE WHEN page_id % 3 = 0 THEN 'ECON_HOUSING;T2' ELSE 'WB_1' END AS text, '2024-03-01T00:00:00Z' AS created_at,
 concat_ws(', ', CASE WHEN page_id % 3 = 0 THEN 'theme' END, CASE WHEN place THEN 'location' END, CASE WHEN own THEN 'domain' END) AS filter_reason FROM p WHERE page_id % 3 = 0 OR place OR own""",
 )
 def live_news_rows(spark, sf):
     k = F.col("page_id")
     rows = table(spark, sf, "pages").select(
         F.when(k % 5 == 0, "news.com.au").otherwise("news.com").alias("source"), F.lit("20240301000000").alias("stamp"), F.concat(F.lit("https://x.org/"), k).alias("url"),
-        F.when(k % 3 == 0, "ECON_HOUSING; T2 ;").otherwise("WB_1").alias("themes"), F.when(k % 2 == 0, "1#Australia#AS").otherwise("1#Peru#PE").alias("locations"),
+        F.when(k % 3 == 0, "ECON_HOUSING; T2 ;").otherwise("WB_1").alias("themes"), F.lit(None).cast("string").alias("v2_themes"), F.when(k % 2 == 0, "1#Australia#AS").otherwise("1#Peru#PE").alias("locations"),
     )
     out = normalise.live_news(rows, "HOUSING", lambda c: c.contains("#Australia#"))
     return out.select(F.split_part("url", F.lit("/"), F.lit(4)).cast("bigint").alias("page_id"), "query_keyword", "text", "created_at", "filter_reason")
 
 
+@query(
+    "news_from_zips",
+    r"""WITH p AS (SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS host, 'https://' || regexp_extract(url, '://([^/]+)', 1) || '/n' || page_id AS link, page_id % 11 <> 0 AS whole, page_id % 3 = 0 AS hit FROM pages WHERE page_id % 7 <> 0),
+t AS (SELECT *, CASE WHEN page_id % 4 = 0 THEN '' ELSE 'WB_' || page_id % 5 END AS one, CASE WHEN whole AND hit THEN 'ECON_HOUSING_PRICES' END AS two, whole AND page_id % 5 = 0 AS near FROM p)
+SELECT page_id, host AS source, link AS title, 'News: ' || link || '. Themes: ' || concat_ws(';', nullif(one, ''), two) AS text, lower(coalesce(nullif(one, ''), two, 'gdelt')) AS query_keyword, '2024-02-01T10:00:00Z' AS created_at,
+concat_ws(', ', CASE WHEN two IS NOT NULL THEN 'theme' END, CASE WHEN near THEN 'location' END, CASE WHEN host LIKE '%.net' THEN 'domain' END) AS filter_reason
+FROM t WHERE two IS NOT NULL OR near OR host LIKE '%.net'""",
+)
+def news_from_zips(spark, sf):
+    """Pages as rows of a feed in zips, a zip a batch: some with too few columns, some without the last two."""
+    k, host = F.col("page_id"), F.regexp_extract("url", "://([^/]+)", 1)
+    cells = [F.concat(F.lit("r"), k), F.lit("20240201100000"), F.lit("1"), host, F.concat(F.lit("https://"), host, F.lit("/n"), k), F.lit(""), F.lit(""), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("WB_"), k % 5))]
+    last = [F.when(k % 3 == 0, "ECON_HOUSING_PRICES").otherwise(""), F.when(k % 5 == 0, "1#Australia#AS").otherwise("1#Peru#PE")]
+    short, whole = F.array_join(F.array(*cells), "\t"), F.array_join(F.array(*cells, *last), "\t")
+    lines = table(spark, sf, "pages").select(F.when(k % 7 == 0, F.concat(F.lit("r"), k, F.lit("\tshort"))).when(k % 11 == 0, short).otherwise(whole).alias("line"))
+
+    def pack(batches):
+        for b in batches:
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w") as z:
+                z.writestr("rows.csv", "\n".join(b["line"]))
+            yield pd.DataFrame({"path": ["rows.zip"], "content": [held.getvalue()]})
+
+    rows = readers.unzipped_rows(saved(lines.mapInPandas(pack, "path string, content binary")))
+    out = normalise.live_news(rows, "HOUSING", lambda c: c.contains("#Australia#"), ".net")
+    number = F.regexp_extract("url", "/n([0-9]+)$", 1).cast("bigint").alias("page_id")
+    return out.select(number, "source", "title", "text", "query_keyword", "created_at", "filter_reason")
+
+
 @query(
     "evidence_of_hits",
     """SELECT doc_id::VARCHAR AS doc_id, 'Untitled evidence' AS title, text, source, CASE WHEN lang IN ('en', 'de') THEN lang ELSE 'AU' END AS region, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE DATE '2024-01-01' + (doc_id % 300)::INT END AS period,

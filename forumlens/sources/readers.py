@@ -91,13 +91,13 @@ def latest_file(files: DataFrame) -> DataFrame:
     return files.agg(F.max_by("file", "stamp").alias("file"), F.max("stamp").alias("stamp"))
 
 
-GKG = T.StructType([T.StructField(n, T.StringType()) for n in ("file", "stamp", "source", "url", "themes", "locations", "persons")])
-#: Positions of the columns in the feed's rows.
-GKG_AT = (1, 3, 4, 7, 8, 9)
+#: The columns that are taken of the feed's rows, and their positions there.
+GKG_AT = {"stamp": 1, "source": 3, "url": 4, "themes": 7, "v2_themes": 8, "locations": 9}
+GKG = T.StructType([T.StructField(n, T.StringType()) for n in ("file", *GKG_AT)])
 
 
-def read_zipped_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """The first member of each zip below `path`, tab-separated, UTF-8 with replacement; rows under 8 columns go.
+def unzipped_rows(zips: DataFrame) -> DataFrame:
+    """The rows of the first member of each zip of (path, content): tab-separated, UTF-8 with replacement; those under 8 columns go.
 
     A zip cannot be split, so each is one row of work and is read as a stream of lines.
     """
@@ -114,16 +114,20 @@ def read_zipped_tsv(spark: SparkSession, path: str) -> DataFrame:
                         for line in lines:
                             cells = line.rstrip("\r\n").split("\t")
                             if len(cells) >= 8:
-                                rows.append((file, *(cells[i] if i < len(cells) else None for i in GKG_AT)))
+                                rows.append((file, *(cells[i] if i < len(cells) else None for i in GKG_AT.values())))
                             if len(rows) >= 10_000:
                                 yield pd.DataFrame(rows, columns=GKG.names)
                                 rows = []
                 yield pd.DataFrame(rows, columns=GKG.names)
 
-    zips = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path)
     return zips.select("path", "content").mapInPandas(unzip, GKG)
 
 
+def read_zipped_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """unzipped_rows() of each zip below `path`."""
+    return unzipped_rows(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path))
+
+
 def profile_threads(df: DataFrame, key: str, order: str) -> DataFrame:
     """(threads, with_items, items): threads, those with items after their head, and how many such items there are."""
     per = df.groupBy(key).agg(F.count(order).alias("n"))

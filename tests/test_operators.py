@@ -174,7 +174,7 @@ def test_zipped_tsv_and_file_lists(spark, tmp_path):
             z.writestr("x.csv", "\t".join("abcdefghijk") + "\nshort\trow\n" + "\t".join(["1"] * 8) + "\n")
     assert readers.read_zipped_tsv(spark, str(tmp_path)).count() == 6
     row = readers.read_zipped_tsv(spark, str(tmp_path)).filter("stamp = 'b'").first()
-    assert tuple(row)[1:] == ("b", "d", "e", "h", "i", "j")
+    assert tuple(row)[1:] == ("b", "d", "e", "h", "i", "j") and row.v2_themes == "i" and row.locations == "j"
     files = readers.list_files(spark, str(tmp_path), "*.zip", "20240301", "20240302")
     assert files.count() == 2 and readers.latest_file(files).first().stamp == "20240302234500"
 
