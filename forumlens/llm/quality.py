@@ -26,11 +26,12 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forumlens.llm.shared import spare, text_or_empty
+from forumlens.llm.shared import scratch, spare, text_or_empty, written
 
 BAD, GOOD, NONE = "b", "g", "-"
 #: Rows of the sample that the scorer is fitted to, and labelled rows of a fold that keywords are mined from, at most.
@@ -280,42 +281,48 @@ def fold_of(id_col: str) -> Column:
     return F.pmod(F.xxhash64(f"`{id_col}`", F.lit("fold")), F.lit(FOLDS)).cast("int")
 
 
-def _share(id_col: str, most: int, n: int) -> Column:
-    """Holds for at most `most` of `n` rows in expectation, by a hash of the id."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))), F.lit(1 << 30)) < int((1 << 30) * min(1, most / max(n, 1)))
+def _share(cols: list[str], most: int, n: int) -> Column:
+    """Holds for at most `most` of `n` rows in expectation, by a hash of the columns."""
+    return F.pmod(F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in cols]), F.lit(1 << 30)) < int((1 << 30) * min(1, most / max(n, 1)))
 
 
-def mined(rows: list[tuple[list[str], int]]) -> frozenset[str]:
-    """Word starts by which the toxic rows of (words, toxic) are told from the others."""
-    total, bad = Counter(), Counter()
-    for words, toxic in rows:
-        starts = {w[:k] for w in set(words) for k in KEY_SIZES if len(w) >= k}
-        total.update(starts)
-        if toxic:
-            bad.update(starts)
-    share = sum(t for _, t in rows) / max(1, len(rows))
-    if not 0 < share < 1:
-        return frozenset()
-    z = lambda s: (bad[s] - total[s] * share) / (total[s] * share * (1 - share)) ** 0.5
-    return frozenset(s for s, n in bad.items() if n >= KEY_ROWS and n >= 0.4 * total[s] and z(s) >= KEY_Z)
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fold, start, n, bad) of (t, toxic, fold): rows that hold a word start, and toxic ones of these; the empty start is in all."""
+    for batch in batches:
+        total, bad = Counter(), Counter()
+        for t, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("t", "toxic", "fold")), strict=True):
+            # Starts of each text once: what tells of a toxic row is no matter of its length.
+            starts = {(fold, w[:k]) for w in set(WORD.findall(t.lower())) for k in KEY_SIZES if len(w) >= k} | {(fold, "")}
+            total.update(starts)
+            if toxic > 0:
+                bad.update(starts)
+        folds, starts = zip(*total, strict=True) if total else ((), ())
+        yield pa.RecordBatch.from_pydict({"fold": pa.array(folds, pa.int32()), "start": pa.array(starts, pa.string()), "n": pa.array(total.values(), pa.int64()), "bad": pa.array([bad[k] for k in total], pa.int64())})
 
 
 def keywords(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int = MINED) -> Keywords:
     """The keywords of the folds that are mined, each from at most `most` labelled rows; none without toxic ones.
 
-    Null labels are none; of repeated rows the worst counts.
+    Keywords are word starts by which a fold's toxic rows are told from its others. They are counted where the texts are, and
+    only they come to the driver. Null labels are none; of repeated rows the worst counts.
     """
     one = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    one = one.select(F.col("doc_id").alias("i"), "toxic", fold_of("doc_id").alias("fold")).filter(F.col("fold") < FOLDS - 1)
+    one = one.select(F.col("doc_id").alias("i"), F.col("toxic").cast("int").alias("toxic"), fold_of("doc_id").alias("fold")).filter(F.col("fold") < FOLDS - 1)
     n = dict(one.groupBy("fold").count().collect())
-    some = one.filter(F.greatest(*[F.when(F.col("fold") == k, _share("i", most, n.get(k, 0))).otherwise(False) for k in range(FOLDS - 1)]))
+    some = one.filter(F.greatest(*[F.when(F.col("fold") == k, _share(["i"], most, n.get(k, 0))).otherwise(False) for k in range(FOLDS - 1)]))
     # A bounded number of rows, so fit to be broadcast.
     joined = docs.select(F.col(f"`{id_col}`").alias("i"), text_or_empty(text_col).alias("t")).join(F.broadcast(some), "i").select("t", "toxic", "fold")
-    rows: list[list] = [[] for _ in range(FOLDS - 1)]
-    for r in joined.limit(most * FOLDS).toLocalIterator():
-        # Words of each window once: what tells of a toxic row is no matter of its length.
-        rows[r.fold].append((WORD.findall(r.t.lower()), int(r.toxic > 0)))
-    return tuple(map(mined, rows))
+    counted = joined.mapInArrow(_starts, "fold int, start string, n long, bad long").groupBy("fold", "start").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    with scratch(docs.sparkSession):
+        counted = written(counted)
+        shares = {r.fold: r.bad / r.n for r in counted.filter("start = ''").collect()}
+        found: list[set[str]] = [set() for _ in range(FOLDS - 1)]
+        for fold, share in shares.items():
+            if 0 < share < 1:
+                z = (F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
+                told = counted.filter((F.col("fold") == fold) & (F.col("start") != "") & (F.col("bad") >= KEY_ROWS) & (F.col("bad") >= 0.4 * F.col("n")) & (z >= KEY_Z))
+                found[fold] = {r.start for r in told.select("start").collect()}
+    return tuple(map(frozenset, found))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> dict:
@@ -323,7 +330,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     A text is junk if it has one of the faults of that head, so that their posteriors are combined.
 
-    The scorer's rows are `sample` of all rows at most, chosen by a hash of the id; each counts as one, in parts.
+    The scorer's rows are `sample` of all rows at most, chosen by a hash of id and text, so
+    that rows without an id, or with one id, are chosen like others; each counts as one, in parts.
     """
     keys = keywords(docs, labels, id_col, text_col)
     known = docs.sparkSession.sparkContext.broadcast(keys)
@@ -348,7 +356,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     # At most 3 ** 9 patterns, whatever the corpus.
     counts = base.select(votes_of("t").alias("v")).select("v.*").groupBy(*FAULTS).agg(F.count("*").alias("n")).collect()
-    some = base.filter(_share("i", sample, sum(r.n for r in counts))).limit(2 * sample)
+    some = base.filter(_share(["i", "t"], sample, sum(r.n for r in counts))).limit(2 * sample)
     some = some.select(votes_and_features_of("t").alias("v")).select("v.*").toPandas()
     parts = [len(f) for f in some["f"]]
     weight = np.repeat(1 / np.maximum(parts, 1), parts)

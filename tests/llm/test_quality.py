@@ -108,3 +108,15 @@ def test_keywords_vote():
         assert quality.votes(text, quality.parse(text), marks)["toxic"] == "gb-"
     clean = "what a day and more of the same to come " * 10
     assert quality.votes(clean, quality.parse(clean), marks)["toxic"] == "gg-"
+
+
+def test_rows_without_ids_are_sampled_like_others(spark):
+    """More rows than the sample, none of which has an id: what is rejected does not depend on ids."""
+    rows, truth = corpus(3000)
+    labels = spark.createDataFrame([], LABELS)
+    rejected = []
+    for given in (rows, [(None, t, c) for _, t, c in rows]):
+        out = quality.classify(spark.createDataFrame(given, DOCS), labels, sample=400).filter("not quality_kept")
+        rejected.append({r.text for r in out.collect()})
+    bad = {t for k, t, _ in rows if truth[k] != (1, 0)}
+    assert all(len(r & bad) > 0.85 * len(bad) and len(r - bad) < 0.02 * len(rows) for r in rejected)
