@@ -46,7 +46,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, alpha: float
     weights of the sources that are there (0 if it has none); else it is its size to the power `alpha`, likewise.
     """
     size = F.octet_length(text_or_empty(text_col)).cast("long") + 1
-    sizes = written(docs.select(F.coalesce(F.col(source_col).cast("string"), F.lit(NULL)).alias("source_key"), size.alias("size")).groupBy("source_key").agg(F.sum("size").alias("size")))
+    sizes = written(docs.select(F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(NULL)).alias("source_key"), size.alias("size")).groupBy("source_key").agg(F.sum("size").alias("size")))
     if weights is None:
         target = F.pow(F.col("size").cast("double"), F.lit(float(alpha)))
     else:

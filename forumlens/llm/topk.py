@@ -26,6 +26,8 @@ FIRST, ROWS, STEP = 4096, 1 << 13, 512
 QUERIES, QUERY_BYTES = 1 << 14, 32 << 20
 #: Vectors of more components are not rotated: the sums for it go through the driver.
 ROTATED = 1024
+#: Vectors that the rotation is fitted on, at most in expectation, and tasks that sum them.
+SPUN, SPINNERS = 1 << 18, 16
 SCALE = 256.0
 
 
@@ -40,7 +42,8 @@ def quantised(vectors: DataFrame, asks: Column, id_col: str, vector_col: str) ->
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("asks"), pa.array(norms, pa.float64()), pa.array([x.tobytes() for x in ints], pa.binary())], ["id", "asks", "norm", "vec"])
 
     df = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(asks, F.lit(False)).alias("asks"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    # What is too large to be scaled is no number either.
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) * SCALE < float("inf")))
     found = df.filter("id is not null and v is not null").filter(fine).mapInArrow(prepare, "id long, asks boolean, norm double, vec binary")
     return found.withColumn("uid", F.monotonically_increasing_id())
 
@@ -53,10 +56,11 @@ def _matrix(vecs: list[bytes], dim: int) -> np.ndarray:
     return out
 
 
-def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
-    """The right singular vectors of all rows, strongest first, from sums of dim * dim products.
+def rotation(vectors: DataFrame, dim: int, n: int) -> np.ndarray:
+    """The right singular vectors, strongest first, of SPUN of the `n` rows at most, from sums of dim * dim products.
 
-    Of vectors of over ROTATED components, no rotation.
+    The rows are chosen by a hash and summed by SPINNERS tasks, as the rotation decides speed and never a result. Of vectors
+    of over ROTATED components, no rotation.
     """
     if dim > ROTATED:
         return np.eye(dim)
@@ -69,7 +73,8 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
             gram += x.T @ x
         yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(dim * dim), pa.int64()), "x": pa.array(gram.ravel(), pa.float64())})
 
-    sums = vectors.select("vec").mapInArrow(products, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
+    some = vectors.filter(F.pmod(F.xxhash64("uid"), F.lit(1 << 30)) < int((1 << 30) * min(1, SPUN / max(n, 1))))
+    sums = some.select("vec").repartition(min(SPINNERS, 1 + n // ROWS)).mapInArrow(products, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
     gram = np.zeros(dim * dim)
     for r in sums:  # dim * dim rows
         gram[r["at"]] = r["x"]
@@ -148,7 +153,7 @@ def top_k(vectors: DataFrame, asks: Column, k: int, id_col: str = "vec_id", vect
     """(query_id, rank, vec_id, score): for each row where `asks` holds, the k other rows of highest score, or all.
 
     The score is the inner product of the quantised vectors. Ties go to the smaller id. Vectors that are null or hold
-    null or non-finite components take no part, nor do null ids. Rows that share an id are rows of their own: each is
+    null or non-finite components, or finite ones that 256 times are not, take no part, nor do null ids. Rows that share an id are rows of their own: each is
     asked for and found by itself, and a row's copy is another row. Vectors of unequal dimension count as padded with
     zeros; very long ones (over ROTATED) are searched without rotation. An empty table gives an empty result. Other
     columns are not read, so that their names cannot clash.
@@ -159,7 +164,7 @@ def top_k(vectors: DataFrame, asks: Column, k: int, id_col: str = "vec_id", vect
         n, dim = base.agg(F.count("*"), F.coalesce(F.max(F.octet_length("vec")), F.lit(0)) / 8).first()
         dim, parts = max(1, int(dim)), max(1, -(-n // rows))
         every = written(base.repartitionByRange(parts, F.desc("norm"), "uid").sortWithinPartitions(F.desc("norm")))
-        turn = spark.sparkContext.broadcast(rotation(every, dim))  # dim * dim numbers
+        turn = spark.sparkContext.broadcast(rotation(every, dim, n))  # dim * dim numbers
 
         # The longest vectors, of a bounded number, give the floors of all queries.
         longest = every.orderBy(F.desc("norm"), "uid").limit(max(1, min(FIRST, QUERY_BYTES // (8 * dim)))).toArrow()

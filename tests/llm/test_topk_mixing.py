@@ -131,3 +131,15 @@ def test_many_sources_and_nothing(spark, monkeypatch):
     monkeypatch.setattr(mixing, "FEW", 1)
     assert Counter((r.doc_id, r.mix_copy) for r in mixing.mix(spark.createDataFrame(rows, DOCS)).collect()) == few
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_a_component_too_large_to_scale_takes_no_part(spark):
+    rows = [(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [1e307, 0.0]), (3, [-1e307, 1.0]), (4, [0.5, 0.5])]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id int, embedding array<double>"), F.col("vec_id") < 4, 5).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out) == [(0, 1, 1, 4 * 65536), (0, 2, 4, 98304), (1, 1, 0, 4 * 65536), (1, 2, 4, 98304)]
+
+
+def test_a_source_column_with_a_dot(spark):
+    df = spark.createDataFrame([(k, "some text", f"s{k % 2}") for k in range(50)], "doc_id int, text string, `my.source` string")
+    out = mixing.mix(df, source_col="my.source", epochs=2.0)
+    assert out.columns[:3] == df.columns and out.count() > 50
