@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,10 @@ HOUSING = Lexicon(
 )
 
 
+#: Phrases and words of a lexicon up to which each is an expression of the plan; a larger one is an automaton in the workers.
+INLINE = 64
+
+
 def words_of(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(col(text), F.lit(""))), F.lit("[a-zA-Z']+"), F.lit(0))
 
@@ -39,8 +45,11 @@ def domain_score(text: Column | str, lex: Lexicon, words: Column | None = None)
 
     Distinct context words push down by 0.06, 0.10 (three or more) or 0.15 (five or more). The sum is divided by the
     logarithm of the number of words; no words make 0. words: the text's words, where a column of `df` has them already,
-    so that they are not looked for at each use.
+    so that they are not looked for at each use. The score does not depend on the lexicon's size, but the plan of a small
+    lexicon does (INLINE).
     """
+    if len(lex.negative_phrases) + len(lex.positive_phrases) + len(lex.negative_words) + len(lex.positive_words) > INLINE:
+        return by_automaton(text, lex, words)
     s = F.lower(F.coalesce(col(text), F.lit("")))
     words = words_of(text) if words is None else words
     phrases = [F.when(s.contains(p), F.lit(float(w))).otherwise(0.0) for p, w in {**lex.negative_phrases, **lex.positive_phrases}.items()]
@@ -54,6 +63,73 @@ def domain_score(text: Column | str, lex: Lexicon, words: Column | None = None)
     return F.when(n == 0, F.lit(0.0)).otherwise(clamp(raw / F.greatest(F.lit(1.0), F.ln(n + 1.0)), -1.0, 1.0))
 
 
+class Automaton:
+    """One walk over a text for all phrases (Aho-Corasick), one look-up a word: the work does not grow with the lexicon."""
+
+    def __init__(self, lex: Lexicon):
+        self.phrases = list({**lex.negative_phrases, **lex.positive_phrases}.items())
+        self.words, self.context = {**lex.positive_words, **lex.negative_words}, frozenset(lex.context)
+        # States of a trie over the phrases: where each letter leads to, the phrases that end there, and where to fall back.
+        self.next: list[dict[str, int]] = [{}]
+        self.ends: list[list[int]] = [[]]
+        for n, (phrase, _) in enumerate(self.phrases):
+            at = 0
+            for c in phrase:
+                if c not in self.next[at]:
+                    self.next[at][c] = len(self.next)
+                    self.next.append({})
+                    self.ends.append([])
+                at = self.next[at][c]
+            self.ends[at].append(n)
+        self.back, front = [0] * len(self.next), list(self.next[0].values())
+        for at in front:
+            for c, to in self.next[at].items():
+                fall = self.back[at]
+                while fall and c not in self.next[fall]:
+                    fall = self.back[fall]
+                self.back[to] = self.next[fall].get(c, 0)
+                self.ends[to] = self.ends[to] + self.ends[self.back[to]]
+                front.append(to)
+
+    def found(self, text: str) -> set[int]:
+        """Numbers of the phrases that stand in the text."""
+        out, at, start = set(self.ends[0]), 0, self.next[0]
+        for c in text:
+            if not at and c not in start:
+                continue
+            while at and c not in self.next[at]:
+                at = self.back[at]
+            at = self.next[at].get(c, 0)
+            if self.ends[at]:
+                out.update(self.ends[at])
+        return out
+
+    def raw(self, text: str, words: list[str]) -> float:
+        """The sum that domain_score() scales, in the order of its additions."""
+        total, found = 0.0, self.found(text)
+        for w in words:
+            total += self.words.get(w, 0.0)
+        for n in sorted(found):
+            total += float(self.phrases[n][1])
+        hits = len(self.context.intersection(words))
+        return total + (-0.15 if hits >= 5 else -0.10 if hits >= 3 else -0.06 if hits >= 1 else 0.0)
+
+
+def by_automaton(text: Column | str, lex: Lexicon, words: Column | None = None) -> Column:
+    """domain_score() of a lexicon of any size: the plan has one Arrow batch function, which holds the lexicon."""
+
+    @F.pandas_udf("double")
+    def raw(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known = Automaton(lex)
+        for texts, lists in batches:
+            yield pd.Series([known.raw(t, list(w)) for t, w in zip(texts, lists, strict=True)], dtype="float64")
+
+    words = words_of(text) if words is None else words
+    n = F.size(words)
+    scaled = raw(F.lower(F.coalesce(col(text), F.lit(""))), words) / F.greatest(F.lit(1.0), F.ln(n + 1.0))
+    return F.when(n == 0, F.lit(0.0)).otherwise(clamp(scaled, -1.0, 1.0))
+
+
 def blend(domain: Column, general: Column | None = None) -> Column:
     """0.65 domain and 0.35 general polarity; the other way round if the domain says nothing."""
     g = F.lit(0.0) if general is None else general

@@ -140,9 +140,9 @@ def pii_audit(spark, sf):
     return pii.audit(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query("public_record", f"SELECT sha256('pepper:' || doc_id)[1:24] AS public_id, lang[1:64] AS platform, {redacted_sql('source')}[1:500] AS title, {redacted_sql('text')}[1:10000] AS text, n_chars FROM documents WHERE length(text) > 0")
+@query("public_record", f"SELECT sha256('pepper:' || doc_id)[1:24] AS public_id, lang[1:64] AS platform, {redacted_sql('source')}[1:500] AS title, {redacted_sql('text')}[1:10000] AS text, n_chars FROM documents")
 def public_record(spark, sf):
-    docs = table(spark, sf, "documents").filter(F.length("text") > 0)
+    docs = table(spark, sf, "documents")
     return pii.public_record(docs, "pepper", "doc_id", "text", "source", "lang", ("n_chars",))
 
 
@@ -257,3 +257,29 @@ def source_group(spark, sf):
 )
 def sentiment_live_variant(spark, sf):
     return sentiment.attach_live(table(spark, sf, "documents"), "text", _LEX).select("doc_id", "sentiment", "sentiment_label")
+
+
+#: A lexicon of the size that feeds have, made by a rule: words of two syllables, phrases of a word and a syllable.
+_SYLLABLES = ("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "es", "or")
+_PAIRS = [a + b for a in _SYLLABLES for b in _SYLLABLES]
+_LARGE = sentiment.Lexicon(
+    negative_phrases={f"{w} {_SYLLABLES[n % 12]}": -0.1 - (n % 7) / 10 for n, w in enumerate(_PAIRS[:50])}, positive_phrases={f"{_SYLLABLES[n % 12]} {w}": 0.2 + (n % 5) / 10 for n, w in enumerate(_PAIRS[50:94])},
+    negative_words={w: -0.1 - (n % 6) / 10 for n, w in enumerate(_PAIRS[:80])}, positive_words={w: 0.1 + (n % 4) / 10 for n, w in enumerate(_PAIRS[70:124])}, context=("the", "of", "and", "that", "with", "for"),
+)
+
+
+def _listed(table: dict[str, float]) -> str:
+    return ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in table.items())
+
+
+@query(
+    "lexicon_of_any_size",
+    f"""WITH ph(p, w) AS (VALUES {_listed({**_LARGE.negative_phrases, **_LARGE.positive_phrases})}), wo(x, w) AS (VALUES {_listed({**_LARGE.positive_words, **_LARGE.negative_words})}),
+d AS (SELECT doc_id, lower(text) AS t, regexp_extract_all(lower(text), '[a-zA-Z'']+') AS ws FROM documents),
+a AS (SELECT doc_id, sum(w) AS s FROM d JOIN ph ON contains(t, p) GROUP BY 1), b AS (SELECT doc_id, sum(w) AS s FROM (SELECT doc_id, unnest(ws) AS x FROM d) JOIN wo USING (x) GROUP BY 1),
+c AS (SELECT doc_id, len(ws) AS n, coalesce(a.s, 0) + coalesce(b.s, 0) + CASE WHEN h >= 5 THEN -0.15 WHEN h >= 3 THEN -0.10 WHEN h >= 1 THEN -0.06 ELSE 0 END::DOUBLE AS raw
+      FROM (SELECT *, len(list_intersect(list_distinct(ws), [{", ".join(f"'{x}'" for x in _LARGE.context)}])) AS h FROM d) LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id))
+SELECT doc_id, round(CASE WHEN n = 0 THEN 0 ELSE greatest(-1, least(1, raw / greatest(1, ln(n + 1)))) END, 6) AS score FROM c""",
+)
+def lexicon_of_any_size(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.round(sentiment.domain_score("text", _LARGE), 6).alias("score"))

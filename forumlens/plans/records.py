@@ -116,14 +116,14 @@ def posts_whole(spark, sf):
 
 @query(
     "posts_enriched",
-    rf"""WITH d AS (SELECT doc_id, source, text, trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(text, 'https?://[^ \t\n\r\f\x0B]+|www\.[^ \t\n\r\f\x0B]+', ' ', 'g'), '@[\pL\pN_]+', ' ', 'g'), '#', ''), '[^A-Za-z0-9 .,!?$%''\-]', ' ', 'g'), '{_SP}', ' ', 'g')) AS c FROM documents WHERE length(trim(text)) > 0),
+    rf"""WITH d AS (SELECT doc_id, source, text, trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(text, 'https?://[^ \t\n\r\f\x0B]+|www\.[^ \t\n\r\f\x0B]+', ' ', 'g'), '@[\pL\pN_]+', ' ', 'g'), '#', ''), '[^A-Za-z0-9 .,!?$%''\-]', ' ', 'g'), '{_SP}', ' ', 'g')) AS c FROM (SELECT doc_id, source, coalesce(text, '') AS text FROM documents)),
 w AS (SELECT *, regexp_extract_all(lower(c), '[a-zA-Z'']+') AS w FROM d),
 s AS (SELECT *, round(0.65 * (CASE WHEN len(w) = 0 THEN 0 ELSE greatest(-1, least(1, (len(list_filter(w, lambda x: x = 'license')) * 0.5::DOUBLE) / greatest(1, ln(len(w) + 1)))) END), 4)::DOUBLE AS sentiment FROM w)
 SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN 'legal' ELSE 'general' END AS subtopic, CASE WHEN source = 'src1' THEN 'one' ELSE 'Other' END AS region, sentiment,
 CASE WHEN sentiment >= 0.04 THEN 'positive' WHEN sentiment <= -0.04 THEN 'negative' ELSE 'neutral' END AS sentiment_label FROM s""",
 )
 def posts_enriched(spark, sf):
-    docs = table(spark, sf, "documents").filter(F.length(F.trim("text")) > 0)
+    docs = table(spark, sf, "documents")
     posts = docs.select("doc_id", F.lit("bluesky").alias("platform"), F.lit("").alias("query_keyword"), F.lit(None).cast("string").alias("title"), "text", F.col("source").alias("city_context"))
     lex = sentiment.Lexicon(positive_words={"license": 0.5})
     return normalise.enrich(posts, [("legal", "license")], [("one", "^src1$")], lex).select("doc_id", "subtopic", "region", "sentiment", "sentiment_label")
@@ -236,12 +236,14 @@ def line_counters(spark, sf):
     return counts.crossJoin(objects)  # one row each
 
 
-@query("line_numbers", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS line FROM orders")
+@query("line_numbers", "SELECT o_orderkey, o_orderkey % 8 AS part, row_number() OVER (PARTITION BY o_orderkey % 8 ORDER BY o_orderkey) AS line FROM orders")
 def line_numbers(spark, sf):
-    """The lines of one file have their numbers, however it is split."""
-    path = fresh_dir(spark, "lines")
-    table(spark, sf, "orders").select("o_orderkey").coalesce(1).sortWithinPartitions("o_orderkey").select(F.col("o_orderkey").cast("string").alias("value")).write.text(path)
-    return readers.numbered_lines(spark, path).select(F.col("value").cast("bigint").alias("o_orderkey"), "line")
+    """The lines of each of several files have their numbers, however the files are split."""
+    path, part = fresh_dir(spark, "lines"), (F.col("o_orderkey") % 8).alias("part")
+    orders = table(spark, sf, "orders").select(part, F.col("o_orderkey").cast("string").alias("value"), "o_orderkey")
+    orders.repartition(8, "part").sortWithinPartitions("part", "o_orderkey").drop("o_orderkey").write.partitionBy("part").text(path)
+    lines = readers.numbered_lines(spark, path)
+    return lines.select(F.col("value").cast("bigint").alias("o_orderkey"), F.regexp_extract("file", "part=([0-9]+)", 1).cast("bigint").alias("part"), "line")
 
 
 @query("json_array", "SELECT n_nationkey, n_name FROM nation")

@@ -1,12 +1,14 @@
 """Scalar functions against plain Python on hand-made values."""
 
 import html
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from forumlens.functions import dates, pii, rules, text
+from forumlens.operators import sentiment
 
 
 def values(spark, xs, f):
@@ -99,3 +101,31 @@ def test_public_records_hold_nothing_else(spark):
     out = pii.public_record(df, "salt", "id", "text", "title", "platform").collect()
     assert [(r.platform, r.title, r.text) for r in out] == [("test", "", "hello [HANDLE]"), ("unknown", "A title", "A title")]
     assert len({r.public_id for r in out}) == 2 and set(out[0].asDict()) == {"public_id", "platform", "title", "text"}
+
+
+def test_a_large_lexicon_scores_as_a_small_one_does(spark, monkeypatch):
+    """The automaton and the expressions give equal scores; its plan has one function, whatever the lexicon's size."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abc'") for _ in range(rnd.randint(1, 3)))
+    parts = [{rnd.choice([word(), f"{word()} {word()}"]): round(rnd.uniform(-1, 1), 2) for _ in range(n)} for n in (12, 12)]
+    words = [{word(): round(rnd.uniform(-1, 1), 2) for _ in range(n)} for n in (8, 8)]
+    lex = sentiment.Lexicon(*parts, *words, context=("a", "b", "ab", "c", "ba"))
+    texts = [" ".join(word() for _ in range(rnd.randint(0, 30))).title() for _ in range(300)] + ["", None, "a", "?"]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string")
+    plans, scores = [], []
+    for inline in (64, 0):
+        monkeypatch.setattr(sentiment, "INLINE", inline)
+        out = df.select("n", sentiment.domain_score("t", lex).alias("score"))
+        scores.append({r.n: round(r.score, 12) for r in out.collect()})
+        plans.append(len(out._jdf.queryExecution().optimizedPlan().toString()))
+    assert scores[0] == scores[1] and len(set(scores[0].values())) > 50
+    large = sentiment.Lexicon({f"x{n} y{n}": -0.1 for n in range(2000)}, {}, {f"w{n}": 0.1 for n in range(3000)}, {})
+    size = len(df.select("n", sentiment.domain_score("t", large).alias("score"))._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size - plans[1]) < 100
+
+
+def test_overlapping_phrases_are_all_found():
+    phrases = {"he": 1.0, "she": 2.0, "hers": 4.0, "his": 8.0, "e": 16.0}
+    known = sentiment.Automaton(sentiment.Lexicon(positive_phrases=phrases))
+    for text in ("ushers", "", "xhisx", "sh e", "hishers", "h" * 50):
+        assert {known.phrases[n][0] for n in known.found(text)} == {p for p in phrases if p in text}
