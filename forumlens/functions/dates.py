@@ -54,3 +54,9 @@ def infer_period(c: Column | str) -> Column:
 def within_days(c: Column | str, c_last: Column, days: int) -> Column:
     """From the start of the day `days` before `c_last` on."""
     return col(c) >= F.date_trunc("day", c_last) - F.make_interval(days=F.lit(days))
+
+
+def hour_slot(ts: Column | str, n: int) -> Column:
+    """Which of `n` turns an hour has: the last 32 bits of the MD5 of its digits, modulo n."""
+    hour = F.date_format(ts, "yyyyMMddHH")
+    return (F.conv(F.substring(F.md5(hour), 25, 8), 16, 10).cast("bigint") % n).cast("int")

@@ -93,3 +93,26 @@ def regions_in_text(c: Column | str, aliases: dict[str, str]) -> Column:
     order = sorted(aliases.items(), key=lambda a: (-len(a[0]), a[0]))
     hits = F.array(*[F.when(s.rlike(f"(^|[^a-z]){alias}([^a-z]|$)"), code) for alias, code in order])
     return F.array_distinct(F.array_compact(hits))
+
+
+def place_context(c: Column | str, cities: list[tuple[str, str, str]], states: Rules, country: str, named: tuple[str, str], other: str = "Other") -> Column:
+    """A struct (label, type, city, state) of a free text about a place; null for what only says that a value is missing.
+
+    cities: (city, its state, expression), which all come before states: (state, expression), and these before the country,
+    which `named` gives a label and a state. Expressions match whole words of the lower-cased text; the first match wins.
+    """
+    s = F.lower(clean_value(c))
+    told = lambda label, kind, city, state: F.struct(F.lit(label).alias("label"), F.lit(kind).alias("type"), F.lit(city).cast("string").alias("city"), F.lit(state).alias("state"))
+    whole = lambda pattern: s.rlike(rf"(?<![a-z0-9_])(?:{pattern})(?![a-z0-9_])")
+    out = F.when(s.isNull(), F.lit(None))
+    for city, state, pattern in cities:
+        out = out.when(whole(pattern), told(city, "city", city, state))
+    for state, pattern in states:
+        out = out.when(whole(pattern), told(state, "state", None, state))
+    return out.when(whole(country), told(named[0], "country", None, named[1])).otherwise(told(other, "other", None, "unknown"))
+
+
+def relevant_post(content: Column | str, bio: Column | str, handle: Column | str, words: list[str], phrases: list[str], signs: tuple[str, ...] = ()) -> Column:
+    """relevant() of a post with its author's description and handle; signs, such as a flag of two code points, stand anywhere."""
+    blob = F.concat_ws(" ", col(content), col(bio), col(handle))
+    return relevant(blob, words, [*phrases, *signs])

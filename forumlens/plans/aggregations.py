@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from forumlens.functions import dates
 from forumlens.functions.rules import first_match
 from forumlens.functions.text import cloud_words, tokenize
 from forumlens.operators import aggs, dedup, filters
@@ -371,8 +372,7 @@ def set_ops_tokens(spark, sf):
     "SELECT strftime(ts, '%Y%m%d%H') AS hour, (('0x' || md5(strftime(ts, '%Y%m%d%H'))[25:32])::BIGINT % 30)::INT AS slot, count(*) AS count FROM events GROUP BY ALL",
 )
 def event_hash_rotation(spark, sf):
-    hour = F.date_format("ts", "yyyyMMddHH")
-    slot = (F.conv(F.substring(F.md5(hour), 25, 8), 16, 10).cast("bigint") % 30).cast("int")
+    hour, slot = F.date_format("ts", "yyyyMMddHH"), dates.hour_slot("ts", 30)
     return table(spark, sf, "events").groupBy(hour.alias("hour"), slot.alias("slot")).agg(F.count("*").alias("count"))
 
 

@@ -283,3 +283,47 @@ SELECT doc_id, round(CASE WHEN n = 0 THEN 0 ELSE greatest(-1, least(1, raw / gre
 )
 def lexicon_of_any_size(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.round(sentiment.domain_score("text", _LARGE), 6).alias("score"))
+
+
+#: Ways in which a feed names a place, by a customer's number modulo twelve.
+_PLACES = ("Sydney, NSW", "nsw government", "Greater Melbourne", "vic", "Perth WA", "nan", " None ", "Australia", "aussie rules", "victory", "London", "")
+_SAID = "CASE c_custkey % 12 " + " ".join(f"WHEN {n} THEN '{p}'" for n, p in enumerate(_PLACES)) + " END"
+
+
+@query(
+    "place_context",
+    f"""WITH c AS (SELECT c_custkey, trim({_SAID}) AS said FROM customer), t AS (SELECT c_custkey, ' ' || regexp_replace(lower(said), '[^a-z0-9_]', ' ', 'g') || ' ' AS t, said FROM c WHERE lower(said) NOT IN ('nan', 'none', 'null', 'nat', ''))
+SELECT c_custkey, CASE WHEN contains(t, ' sydney ') THEN 'Sydney' WHEN contains(t, ' melbourne ') THEN 'Melbourne' WHEN contains(t, ' perth ') THEN 'Perth' WHEN contains(t, ' nsw ') THEN 'NSW' WHEN contains(t, ' vic ') THEN 'VIC' WHEN contains(t, ' australia ') OR contains(t, ' aussie ') THEN 'Australia' ELSE 'Other' END AS label,
+CASE WHEN contains(t, ' sydney ') OR contains(t, ' melbourne ') OR contains(t, ' perth ') THEN 'city' WHEN contains(t, ' nsw ') OR contains(t, ' vic ') THEN 'state' WHEN contains(t, ' australia ') OR contains(t, ' aussie ') THEN 'country' ELSE 'other' END AS type,
+CASE WHEN contains(t, ' sydney ') OR contains(t, ' nsw ') THEN 'NSW' WHEN contains(t, ' melbourne ') OR contains(t, ' vic ') THEN 'VIC' WHEN contains(t, ' perth ') THEN 'WA' WHEN contains(t, ' australia ') OR contains(t, ' aussie ') THEN 'AUS' ELSE 'unknown' END AS state FROM t""",
+)
+def place_context(spark, sf):
+    """Cities before states before the country; texts that say that nothing is known are left out."""
+    said = F.element_at(F.array(*map(F.lit, _PLACES)), (F.col("c_custkey") % 12 + 1).cast("int"))
+    cities = [("Sydney", "NSW", "sydney"), ("Melbourne", "VIC", "melbourne"), ("Perth", "WA", "perth")]
+    place = rules.place_context(said, cities, [("NSW", "nsw"), ("VIC", "vic")], "australia|aussie", ("Australia", "AUS"))
+    return table(spark, sf, "customer").select("c_custkey", place.alias("p")).filter("p is not null").select("c_custkey", "p.label", "p.type", "p.state")
+
+
+@query(
+    "relevant_posts",
+    """SELECT doc_id, contains(t, '🇦🇺') OR contains(t, 'first home') OR regexp_matches(t, '(^|[^\pL\pN_])(license|src7)([^\pL\pN_]|$)') AS relevant
+FROM (SELECT doc_id, lower(concat_ws(' ', text, CASE WHEN doc_id % 9 = 0 THEN 'Proud 🇦🇺 owner' WHEN doc_id % 9 = 1 THEN 'First home buyer' END, source)) AS t FROM documents)""",
+)
+def relevant_posts(spark, sf):
+    """Relevance of a text together with its author's description and handle, of which a flag is a sign."""
+    k = F.col("doc_id") % 9
+    bio = F.when(k == 0, "Proud 🇦🇺 owner").when(k == 1, "First home buyer")
+    return table(spark, sf, "documents").select("doc_id", rules.relevant_post("text", bio, "source", ["license", "src7"], ["first home"], ("🇦🇺",)).alias("relevant"))
+
+
+@query(
+    "sentiment_blended",
+    _sentiment_sql("documents", "doc_id")
+    + """SELECT doc_id, round(greatest(-1, least(1, CASE WHEN d = 0 THEN 0.65 * g ELSE 0.65 * d + 0.35 * g END)), 4)::DOUBLE AS sentiment
+FROM r JOIN (SELECT doc_id, (n_chars % 201 - 100) / 100.0::DOUBLE AS g FROM documents) USING (doc_id)""",
+)
+def sentiment_blended(spark, sf):
+    """A general polarity beside the lexicon's: its weight is the larger one where the lexicon says nothing."""
+    general = (F.col("n_chars") % 201 - 100) / 100.0
+    return sentiment.attach(table(spark, sf, "documents"), "text", _LEX, general).select("doc_id", "sentiment")
