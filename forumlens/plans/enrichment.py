@@ -305,16 +305,19 @@ def place_context(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", place.alias("p")).filter("p is not null").select("c_custkey", "p.label", "p.type", "p.state")
 
 
+_FLAG = "\U0001F1E6\U0001F1FA"
+
+
 @query(
     "relevant_posts",
-    """SELECT doc_id, contains(t, '🇦🇺') OR contains(t, 'first home') OR regexp_matches(t, '(^|[^\pL\pN_])(license|src7)([^\pL\pN_]|$)') AS relevant
-FROM (SELECT doc_id, lower(concat_ws(' ', text, CASE WHEN doc_id % 9 = 0 THEN 'Proud 🇦🇺 owner' WHEN doc_id % 9 = 1 THEN 'First home buyer' END, source)) AS t FROM documents)""",
+    rf"""SELECT doc_id, contains(t, '{_FLAG}') OR contains(t, 'first home') OR regexp_matches(t, '(^|[^\pL\pN_])(license|src7)([^\pL\pN_]|$)') AS relevant
+FROM (SELECT doc_id, lower(concat_ws(' ', text, CASE WHEN doc_id % 9 = 0 THEN 'Proud {_FLAG} owner' WHEN doc_id % 9 = 1 THEN 'First home buyer' END, source)) AS t FROM documents)""",
 )
 def relevant_posts(spark, sf):
     """Relevance of a text together with its author's description and handle, of which a flag is a sign."""
     k = F.col("doc_id") % 9
-    bio = F.when(k == 0, "Proud 🇦🇺 owner").when(k == 1, "First home buyer")
-    return table(spark, sf, "documents").select("doc_id", rules.relevant_post("text", bio, "source", ["license", "src7"], ["first home"], ("🇦🇺",)).alias("relevant"))
+    bio = F.when(k == 0, f"Proud {_FLAG} owner").when(k == 1, "First home buyer")
+    return table(spark, sf, "documents").select("doc_id", rules.relevant_post("text", bio, "source", ["license", "src7"], ["first home"], (_FLAG,)).alias("relevant"))
 
 
 @query(

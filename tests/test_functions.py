@@ -129,3 +129,20 @@ def test_overlapping_phrases_are_all_found():
     known = sentiment.Automaton(sentiment.Lexicon(positive_phrases=phrases))
     for text in ("ushers", "", "xhisx", "sh e", "hishers", "h" * 50):
         assert {known.phrases[n][0] for n in known.found(text)} == {p for p in phrases if p in text}
+
+
+def test_places_come_by_city_state_and_country(spark):
+    cities, states = [("Sydney", "NSW", "sydney|parramatta"), ("Perth", "WA", "perth")], [("NSW", "nsw|new south wales"), ("WA", "wa")]
+    texts = ["NSW near Perth", "New South Wales", "wander", "Australia, WA", "in australia", "Oslo", " NaN ", "", None, "none"]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string")
+    got = [r.p and tuple(r.p) for r in df.select("n", rules.place_context("t", cities, states, "australia", ("Australia", "AUS")).alias("p")).orderBy("n").collect()]
+    assert got[:6] == [("Perth", "city", "Perth", "WA"), ("NSW", "state", None, "NSW"), ("Other", "other", None, "unknown"), ("WA", "state", None, "WA"), ("Australia", "country", None, "AUS"), ("Other", "other", None, "unknown")]
+    assert got[6:] == [None] * 4
+
+
+def test_relevance_reads_description_and_handle(spark):
+    flag = "\U0001F1E6\U0001F1FA"
+    rows = [("rent", None, None), (None, f"from {flag}", None), (None, None, "@perth.news"), ("perthshire", "", ""), (None, None, None), ("\U0001F1E6 \U0001F1FA", None, None)]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n int, t string, b string, h string")
+    got = [r.x for r in df.select("n", rules.relevant_post("t", "b", "h", ["perth", "rent"], [], (flag,)).alias("x")).orderBy("n").collect()]
+    assert got == [True, True, True, False, False, False]
