@@ -168,18 +168,37 @@ def votes(text: str, parsed: list[tuple[list[str], dict[str, float]]], marks: Ke
     return {"noise": noise, "again": again, "toxic": toxic + NONE * (FOLDS - 1 - len(keys))}
 
 
-def _number(name: str) -> int:
-    """A signed 32-bit hash: so wide that the words of a long text hit no other's feature."""
-    return (zlib.crc32(name.encode()) ^ 1 << 31) - (1 << 31)
+def _number(name: str, crc: int = 0) -> int:
+    """A signed 32-bit hash: so wide that the words of a long text hit no other's feature. crc: of what stands before."""
+    return (zlib.crc32(name.encode(), crc) ^ 1 << 31) - (1 << 31)
+
+
+class Starts(dict):
+    """word start -> its feature, by the CRC of what names the kind of feature."""
+
+    def __init__(self, kind: str):
+        super().__init__()
+        self.crc = zlib.crc32(kind.encode())
+
+    def __missing__(self, start: str) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        out = self[start] = _number(start, self.crc)
+        return out
 
 
 class Hasher(dict):
-    """word -> its features, kept for a worker's life and cleared when it grows."""
+    """word -> its features, kept for a worker's life and cleared when it grows; starts are fewer than words and kept apart."""
+
+    def __init__(self):
+        super().__init__()
+        self.whole, self.four, self.five = zlib.crc32(b"w "), Starts("4 "), Starts("5 ")
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 50_000:
+        if len(self) > 150_000:
             self.clear()
-        out = self[word] = tuple(_number(x) for x in (f"w {word}", f"4 {word[:4]}", f"5 {word[:5]}")[: 3 if len(word) > 4 else 1])
+        number = (zlib.crc32(word.encode(), self.whole) ^ 2147483648) - 2147483648
+        out = self[word] = (number, self.four[word[:4]], self.five[word[:5]]) if len(word) > 4 else (number,)
         return out
 
 
