@@ -229,3 +229,14 @@ def test_jsonl_sink_has_no_nan(spark, tmp_path):
     lines = [json.loads(x) for p in (tmp_path / "out").glob("part-*") for x in p.read_text().splitlines()]
     assert sorted(lines, key=lambda r: r["k"]) == [{"k": 1}, {"k": 2, "x": 0.5}]
     assert sinks.write_jsonl(spark.range(7), f"{tmp_path}/more", ["id"]) == 7
+
+
+def test_stamps_of_folders_above_are_no_files_stamps(spark, tmp_path):
+    """A cluster names its applications by the time, and the shared folder's tables lie below that name."""
+    root = tmp_path / "app-20261128094439-0000" / "days"
+    for stamp in ("20240104000000", "20240105000000"):
+        (root / f"stamp={stamp}").mkdir(parents=True)
+        (root / f"stamp={stamp}" / "part.txt").write_text("x")
+    files = readers.list_files(spark, [str(root), str(tmp_path)], "*.txt")
+    assert [r.stamp for r in files.collect()] == ["20240104000000", "20240105000000"] and readers.latest_file(files).first().stamp == "20240105000000"
+    assert readers.list_files(spark, f"file://{root}/", "*.txt", "20240105", "20240120").count() == 1
