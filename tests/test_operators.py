@@ -146,6 +146,18 @@ def test_lines_are_numbered_however_files_are_split(spark, tmp_path):
     assert {(r.file[-5], r.line) for r in got} == {(n, k + 1) for n in "ab" for k in range(3000)}
 
 
+def test_lines_are_counted_on_through_the_parts_of_a_text(spark, tmp_path):
+    for n in range(4):
+        (tmp_path / f"part-{n}.txt").write_text("".join(f"{n * 1000 + k + 1}\n" for k in range(1000 if n != 2 else 0)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        got = readers.numbered_lines(spark, str(tmp_path), through=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert {(r.line, int(r.value)) for r in got} == {(k, k if k <= 2000 else k + 1000) for k in range(1, 3001)}
+
+
 def test_official_files_and_caps(spark, tmp_path):
     for name in ("official_sources_json_v2/a.jsonl", "official_sources_json_v3/z.jsonl", "official_sources_json_v3/normalised_1.jsonl"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
