@@ -2,6 +2,9 @@
 
 import datetime as dt
 import json
+import math
+import random
+import statistics
 import zipfile
 from datetime import date
 
@@ -9,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forumlens.operators import aggs, dedup, filters, inverted, normalise, retrieval, sentiment
+from forumlens.operators import aggs, dedup, evaluation, filters, inverted, normalise, retrieval, sentiment
 from forumlens.plans.panels import SearchRequest, Tools
 from forumlens.sources import readers, sinks
 from forumlens.streaming import jobs
@@ -252,3 +255,22 @@ def test_stamps_of_folders_above_are_no_files_stamps(spark, tmp_path):
     files = readers.list_files(spark, [str(root), str(tmp_path)], "*.txt")
     assert [r.stamp for r in files.collect()] == ["20240104000000", "20240105000000"] and readers.latest_file(files).first().stamp == "20240105000000"
     assert readers.list_files(spark, f"file://{root}/", "*.txt", "20240105", "20240120").count() == 1
+
+
+def test_percentiles_are_exact_and_no_task_holds_a_group(spark):
+    rnd = random.Random(5)
+    rows_ = [(g, rnd.choice([rnd.randint(0, 9) / 2, rnd.random() * 1e5])) for g, n in (("a", 1), ("b", 2), ("c", 20), ("d", 1001), (None, 300)) for _ in range(n)] + [("e", None), ("c", None)]
+    df = spark.createDataFrame(rows_, "variant string, latency_ms double").repartition(5)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = evaluation.percentiles(df, "variant", "latency_ms")
+        got_rows = {r.variant: (round(r.p50, 9), r.p95) for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    want = {}
+    for g in ("a", "b", "c", "d", None):
+        v = sorted(x for k, x in rows_ if k == g and x is not None)
+        want[g] = (round(statistics.median(v), 9), v[max(0, math.ceil(len(v) * 0.95) - 1)])
+    assert got_rows == want
+    assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
