@@ -21,8 +21,9 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from functools import cache
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pandas as pd
@@ -48,11 +49,15 @@ WINDOW = 8000
 RUN = 8
 #: A feature takes part if this many rows hold it and its share of bad rows is this many deviations too high.
 LEAST_ROWS, LEAST_Z = 4, 4.0
+#: Slices that the features of the sample are counted in.
+SLICES = 8
 #: What the belief that a lone labeller is right counts, as a share of its votes.
 BELIEF = 0.03
 #: Rejected from this score on.
 THRESHOLD = 0.5
 WORD = re.compile(r"\w+")
+#: ASCII to words: letters in lower case, all that is no word character to spaces.
+ASCII = bytes(ord(chr(c).lower()) if c < 128 and WORD.match(chr(c)) else 32 for c in range(256))
 SYMBOLS = "#$%&*|~^=<>{}[]\\@+_"
 MARKS = re.compile(f"[{re.escape(SYMBOLS)}]")
 BREAKS = tuple(map(re.compile, ("\n", r"\s", r"\W")))
@@ -63,20 +68,26 @@ INSULTS = frozenset("clown disgusting dumb idiot imbecile jerk loser moron pathe
 ENGLISH = frozenset(("the", "of", "and", "to", "is", "with"))
 
 
-def shape(text: str, words: list[str]) -> dict[str, float]:
-    """Shares that tell prose from junk, each 0 to 1."""
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case; the pattern is for text beyond ASCII, which it takes several times as long for."""
+    return text.encode().translate(ASCII).decode().split() if text.isascii() else WORD.findall(text.lower())
+
+
+def shape(text: str, n_words: int, distinct: int) -> dict[str, float]:
+    """Shares that tell prose from junk, each 0 to 1. n_words, distinct: words of the text, and different ones."""
     runs = text.split()
     n = len(runs)
     if not n:
         return {}
-    lines = [x for x in text.split("\n") if x.strip()]
+    counts = Counter(runs)
+    lines = [x for x in text.split("\n") if x.strip()] if "\n" in text else [text]
     symbols = sum(map(text.count, SYMBOLS))
     return {
         "symbols": symbols / len(text),
-        "marked": sum(c for r, c in Counter(runs).items() if MARKS.search(r)) / n if symbols else 0.0,
-        "bare": sum(c for r, c in Counter(r for r in runs if len(r) < 4).items() if not any(map(str.isalnum, r))) / n,
-        "repeats": 1 - len(set(zip(runs, runs[1:]))) / (n - 1) if n > 1 else 0.0,
-        "same": 1 - len(set(words)) / len(words) if words else 1.0,
+        "marked": sum(c for r, c in counts.items() if MARKS.search(r)) / n if symbols else 0.0,
+        "bare": sum(c for r, c in counts.items() if len(r) < 4 and not r.isalnum() and not any(map(str.isalnum, r))) / n,
+        "repeats": 1 - len(set(pairwise(runs))) / (n - 1) if n > 1 else 0.0,
+        "same": 1 - distinct / n_words if n_words else 1.0,
         "lines": 1 - len(set(lines)) / len(lines) if lines else 0.0,
     }
 
@@ -108,16 +119,22 @@ def _by(share: float, bad: float, good: float) -> str:
     return BAD if share >= bad else GOOD if share <= good else NONE
 
 
-def parse(text: str) -> list[tuple[list[str], dict[str, float]]]:
-    """The words of each window of a text in lower case, and its shape. Windows of white space are left out."""
-    parts = []
+#: A window: how often each word stands in it, how many words, its shape.
+Part = tuple[Counter[str], int, dict[str, float]]
+
+
+def parse(text: str) -> list[Part]:
+    """The windows of a text. Those of white space are left out."""
+    parts, all_words = [], []
     for part in windows(text):
-        words = WORD.findall(part.lower())
-        if s := shape(part, words):
-            parts.append((words, s))
+        words = words_of(part)
+        counts = Counter(words)
+        if s := shape(part, len(words), len(counts)):
+            parts.append((counts, len(words), s))
+            all_words.append(words)
     if len(parts) > 1:
-        again = repeated_runs(list(chain.from_iterable(words for words, _ in parts)))
-        for _, s in parts:
+        again = repeated_runs(list(chain.from_iterable(all_words)))
+        for *_, s in parts:
             s["repeats"] = max(s["repeats"], again)
     return parts
 
@@ -125,44 +142,46 @@ def parse(text: str) -> list[tuple[list[str], dict[str, float]]]:
 Keywords = tuple[frozenset[str], ...]
 
 
-class KeyMarks(dict):
-    """word -> in which of the keyword sets one of its starts is, as bits; kept for a worker's life."""
+class KeyMarks:
+    """In which of the keyword sets one of a word's starts is, as bits. Few words share even their first letters with a keyword."""
 
     def __init__(self, keys: Keywords):
-        super().__init__()
-        self.keys = keys
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        starts = [word[:k] for k in KEY_SIZES if len(word) >= k]
-        out = self[word] = sum(1 << n for n, keys in enumerate(self.keys) if any(s in keys for s in starts))
+        self.keys, self.starts = keys, {}
+        for n, some in enumerate(keys):
+            for start in some:
+                self.starts[start] = self.starts.get(start, 0) | 1 << n
+        self.least = min(KEY_SIZES)
+        self.heads = {start[: self.least] for start in self.starts}
+
+    def of(self, word: str) -> int:
+        out = 0
+        for k in KEY_SIZES:
+            out |= self.starts.get(word[:k], 0)
         return out
 
-    def shares(self, words: list[str]) -> list[float]:
-        """For each set the share of the words that begin with a keyword, if two at least do."""
-        if not words:
-            return [0.0] * len(self.keys)
-        marks = Counter(bytes(map(self.__getitem__, words)).translate(None, b"\0"))
-        found = [sum(c for m, c in marks.items() if m >> n & 1) for n in range(len(self.keys))]
-        return [c / len(words) if c > 1 else 0.0 for c in found]
+    def shares(self, counts: Counter[str], n: int) -> list[float]:
+        """For each set the share of the `n` words that begin with a keyword, if two at least do."""
+        heads, least = self.heads, self.least
+        marks = [(self.of(w), counts[w]) for w in counts if w[:least] in heads]
+        found = [sum(c for m, c in marks if m >> k & 1) for k in range(len(self.keys))]
+        return [c / n if c > 1 else 0.0 for c in found]
 
 
-def votes(text: str, parsed: list[tuple[list[str], dict[str, float]]], marks: KeyMarks | None = None) -> dict[str, str]:
+def votes(text: str, parsed: list[Part], marks: KeyMarks | None = None) -> dict[str, str]:
     """The votes of the labellers of each fault, one letter a labeller. An empty text gets none."""
-    s = {name: sum(x[name] for _, x in parsed) / len(parsed) for name in parsed[0][1]} if parsed else {}
-    n = sum(len(words) for words, _ in parsed)
-    insults = sum(sum(map(INSULTS.__contains__, words)) for words, _ in parsed)
+    s = {name: sum(x[name] for *_, x in parsed) / len(parsed) for name in parsed[0][2]} if parsed else {}
+    n = sum(size for _, size, _ in parsed)
+    times = lambda known: sum(counts[w] for counts, *_ in parsed for w in known if w in counts)
     noise = again = NONE * 3
     if s:
         noise = (_by(s["symbols"], 0.05, 0.01) if n >= 5 else NONE) + (_by(s["marked"], 0.3, 0.1) if n >= 5 else NONE) + (_by(s["bare"], 0.1, 0.01) if n >= 20 else NONE)
         lines = _by(s["lines"], 0.5, 0.25) if text.count("\n") >= 2 else NONE
         again = (_by(s["repeats"], 0.35, 0.15) if n >= 20 else NONE) + (_by(s["same"], 0.75, 0.45) if n >= 50 else NONE) + lines
     # The list is English: it says nothing on a text in another language that holds none of it.
-    english = n >= 20 and sum(sum(map(ENGLISH.__contains__, words)) for words, _ in parsed) >= 0.05 * n
-    toxic = BAD if insults else GOOD if english else NONE
+    english = n >= 20 and times(ENGLISH) >= 0.05 * n
+    toxic = BAD if times(INSULTS) else GOOD if english else NONE
     keys = () if marks is None else marks.keys
-    worst = [max(x) for x in zip(*(marks.shares(words) for words, _ in parsed))] if keys and parsed else [0.0] * len(keys)
+    worst = [max(x) for x in zip(*(marks.shares(counts, size) for counts, size, _ in parsed))] if keys and parsed else [0.0] * len(keys)
     for k, share in zip(keys, worst, strict=True):
         toxic += NONE if not k or n < 10 else _by(share, KEY_BAD, KEY_GOOD)
     return {"noise": noise, "again": again, "toxic": toxic + NONE * (FOLDS - 1 - len(keys))}
@@ -202,16 +221,39 @@ class Hasher(dict):
         return out
 
 
-def features(part: tuple[list[str], dict[str, float]], hasher: Hasher) -> np.ndarray:
+@cache
+def _reached(name: str, tenths: int) -> tuple[int, ...]:
+    # One feature for each tenth that is reached, so that weights add up along the scale.
+    return tuple(_number(f"s {name} {k}") for k in range(1, tenths + 1))
+
+
+def features(part: Part, hasher: Hasher) -> np.ndarray:
     """Distinct hashed features of a window."""
-    words, shares = part
-    found = set(chain.from_iterable(map(hasher.__getitem__, set(words))))
+    counts, _, shares = part
+    found = set(chain.from_iterable(map(hasher.__getitem__, counts)))
     for name, share in shares.items():
-        # One feature for each tenth that is reached, so that weights add up along the scale.
-        found.update(_number(f"s {name} {k}") for k in range(1, int(share * 20) + 1))
+        found.update(_reached(name, int(share * 20)))
     return np.fromiter(found, np.int32, len(found))
 
 
+class Chosen:
+    """Those of a window's features() that a model has weights for. Nothing is kept of words, as most have none."""
+
+    def __init__(self, numbers: Iterable[int]):
+        self.numbers = frozenset(numbers)
+        self.crcs = frozenset(n % (1 << 32) for n in self.numbers)  # a feature's number is its CRC with a sign
+        self.kinds = [zlib.crc32(kind) for kind in (b"w ", b"4 ", b"5 ")]
+
+    def features(self, part: Part) -> np.ndarray:
+        counts, _, shares = part
+        long = [w for w in counts if len(w) > 4]
+        found: set[int] = set()
+        for words, kind in zip((counts, {w[:4] for w in long}, {w[:5] for w in long}), self.kinds, strict=True):
+            found |= self.crcs.intersection(map(zlib.crc32, map(str.encode, words), repeat(kind)))
+        found.update(n % (1 << 32) for name, share in shares.items() for n in _reached(name, int(share * 20)) if n in self.numbers)
+        return np.sort(np.fromiter(found, np.uint32, len(found)).view(np.int32))
+
+
 def posteriors(counts: dict[str, float], rounds: int = 100) -> tuple[dict[str, float], float, list[dict]]:
     """For each pattern the probability of bad; the share of bad; how often each labeller's votes are bad, by class.
 
@@ -262,21 +304,24 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray |
     none = np.zeros(0, np.int32), np.zeros(0), bias
     if not len(rows):
         return none
-    names, n = np.unique(np.concatenate(rows), return_counts=True)
-    names = names[n >= LEAST_ROWS]
-    rows = [_at(names, r).astype(np.int32) for r in rows]
-    of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    cols = np.concatenate(rows)
-    held = np.bincount(cols, weight[of], minlength=len(names))
-    bad = np.bincount(cols, (weight * target)[of], minlength=len(names))
+    # Features are counted a slice after the other, and their sums made row by row, as the driver has little memory.
+    found = []
+    for k in range(SLICES):
+        names, n = np.unique(np.concatenate([r[r % SLICES == k] for r in rows]), return_counts=True)
+        found.append(names[n >= LEAST_ROWS])
+    names = np.sort(np.concatenate(found))
+    held, bad = np.zeros(len(names)), np.zeros(len(names))
+    for r, w, t in zip(rows, weight, target, strict=True):
+        at = _at(names, r)
+        held[at] += w
+        bad[at] += w * t
     z = (bad - held * share) / np.sqrt(np.maximum(held, 1) * share * (1 - share))
     chosen = np.nonzero((held >= LEAST_ROWS) & (z >= LEAST_Z))[0]
     if not len(chosen):
         return none
-    place = np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-    keep = place[cols] >= 0
-    of, cols = of[keep], place[cols[keep]]
+    names = names[chosen]
+    places = [np.sort(_at(names, r)) for r in rows]
+    of, cols = np.repeat(np.arange(len(rows)), [len(p) for p in places]), np.concatenate(places)
     w, m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     w[-1] = bias
     for t in range(1, rounds + 1):
@@ -287,7 +332,7 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray |
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w[:-1] = np.maximum(w[:-1], 0)
-    return names[chosen], w[:-1], float(w[-1])
+    return names, w[:-1], float(w[-1])
 
 
 #: Faults have labellers of their own, and each head tells of one or more faults.
@@ -311,7 +356,7 @@ def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, bad = Counter(), Counter()
         for t, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("t", "toxic", "fold")), strict=True):
             # Starts of each text once: what tells of a toxic row is no matter of its length.
-            starts = {(fold, w[:k]) for w in set(WORD.findall(t.lower())) for k in KEY_SIZES if len(w) >= k} | {(fold, "")}
+            starts = {(fold, w[:k]) for w in set(words_of(t)) for k in KEY_SIZES if len(w) >= k} | {(fold, "")}
             total.update(starts)
             if toxic > 0:
                 bad.update(starts)
@@ -402,14 +447,16 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
 
     @F.pandas_udf("struct<votes:string,junk:double,toxic:double>")
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hasher, (junk, toxic, keys) = Hasher(), held.value
+        junk, toxic, keys = held.value
+        # Of the other features no weight is looked up.
+        chosen = Chosen(chain(junk[0].tolist(), toxic[0].tolist()))
         marks = KeyMarks(keys)
         total = lambda head, f: head[1][_at(head[0], f)].sum() + head[2]
         for batch in texts:
             rows = []
             for t in batch:
                 parsed = parse(t)
-                fs, v = [features(part, hasher) for part in parsed] or [np.zeros(0, np.int32)], votes(t, parsed, marks)
+                fs, v = [chosen.features(part) for part in parsed] or [np.zeros(0, np.int32)], votes(t, parsed, marks)
                 z = sum(total(junk, f) for f in fs) / len(fs), max(total(toxic, f) for f in fs)
                 rows.append(("/".join(v.values()), *(1 / (1 + np.exp(-float(np.clip(x, -30, 30)))) for x in z)))
             yield pd.DataFrame(rows, columns=["votes", *HEADS])

@@ -120,3 +120,33 @@ def test_rows_without_ids_are_sampled_like_others(spark):
         rejected.append({r.text for r in out.collect()})
     bad = {t for k, t, _ in rows if truth[k] != (1, 0)}
     assert all(len(r & bad) > 0.85 * len(bad) and len(r - bad) < 0.02 * len(rows) for r in rejected)
+
+
+def test_words_and_weights_are_found_without_all_features():
+    """Words of ASCII texts come without the pattern, and the scorer's features without those that no weight is for."""
+    texts = ["A_b1\x1cC\x0b d-e's  x\x7fy", "", " \n", "É A_1 ſ İ K", "what rubbish and more RUBBISH of the " * 10 + "#1 $$ ##"]
+    for t in texts:
+        assert quality.words_of(t) == quality.WORD.findall(t.lower())
+    marks = quality.KeyMarks((frozenset({"rubb", "rubbish"}), frozenset({"rubbis", "more"})))
+    assert [marks.of(w) for w in ("rubbing", "rubbish", "mor", "more", "bore")] == [1, 3, 0, 2, 0]
+    part = quality.parse(texts[-1])[0]
+    every = quality.features(part, quality.Hasher())
+    some = every[::3].tolist() + [1, -1]
+    assert quality.Chosen(some).features(part).tolist() == sorted(set(some) & set(every.tolist()))
+    assert quality.Chosen(()).features(part).tolist() == []
+
+
+def test_fitting_needs_little_memory():
+    """Less than the features themselves take twice, as the fit runs in the driver."""
+    import tracemalloc
+
+    rnd = np.random.default_rng(5)
+    rows = [np.unique(rnd.integers(-(1 << 31), 1 << 31, 2000).astype(np.int32)) for _ in range(1000)]
+    for r in rows[::2]:
+        r[:3] = (1, 2, 3)
+    tracemalloc.start()
+    names, weights, _ = quality.fit_linear(rows, np.resize([0.9, 0.1], len(rows)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert names.tolist() == [1, 2, 3] and (weights > 0).all()
+    assert most < 2 * sum(r.nbytes for r in rows)
