@@ -210,3 +210,16 @@ def test_farthest_is_a_quantile_of_the_binomial():
     drawn = rnd.binomial(252, 0.1, 1_000_000)
     assert (drawn > far).mean() <= 1.2e-3 < (drawn > far - 1).mean() * 1.2
     assert simhash.farthest(252, 0.0) == 0 and simhash.farthest(10, 0.5, 0.0) == 10
+
+
+def test_components_write_two_tables_a_round(spark, monkeypatch):
+    """Labels are made at the end and not written each round: the driver plans and keeps a table less for each."""
+    from forumlens.llm import components
+
+    made = []
+    monkeypatch.setattr(components, "written", lambda df, f=components.written: made.append(f(df)) or made[-1])
+    path = [(k * 7 % 31, (k + 1) * 7 % 31) for k in range(30)] + [(100, 100), (201, 200)]
+    got = {r.node: r.label for r in connected_components(spark.createDataFrame(path, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(31), 0), 100: 100, 200: 200, 201: 200}
+    rounds = sum(df.columns == ["x", "y"] for df in made)
+    assert rounds > 1 and len(made) == 1 + 2 * rounds
